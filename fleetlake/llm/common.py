@@ -35,7 +35,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fleetlake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def pieces(batches, most_bytes: int = 4 << 20):
+    """Arrow batches cut into runs of rows of about ``most_bytes`` (one row at least)."""
+    for b in batches:
+        step = max(1, int(b.num_rows * most_bytes / max(1, b.nbytes)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
 
 def lower_ascii(col):

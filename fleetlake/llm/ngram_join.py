@@ -23,10 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlake.llm.common import materialize, mix, shingle_hashes, texts_of, word_hashes
+from fleetlake.llm.common import materialize, mix, pieces, release, shingle_hashes, texts_of, word_hashes
 
-#: Tokens below this hash (a quarter of all) have their frequency counted.
-COUNTED_BELOW = -(2**63) + 2**62
+#: Tokens below this hash (three sixteenths of all) have their frequency counted.
+COUNTED_BELOW = -(2**63) + 3 * 2**60
 COMBINATION = 0xD6E8FEB86659FD93
 
 
@@ -35,7 +35,7 @@ class JoinParams:
     shingle: int = 3
     percent: int = 90  # links: 100 * intersection >= percent * union
     frequent_above: int = 24  # documents with a token beyond which it is frequent
-    small_bucket: int = 8  # buckets up to this size give all their pairs
+    small_bucket: int = 24  # buckets up to this size give all their pairs; no less than frequent_above
     pivot_rounds: int = 1
     broadcast_rows: int = 1_000_000  # 8 MB of ids or tokens; larger ones are joined by a shuffle
 
@@ -51,14 +51,14 @@ def token_set(text: bytes, k: int) -> np.ndarray:
 
 
 def _stored(s: np.ndarray) -> np.ndarray:
-    """The part of a set that signatures can need: the counted range, or a little over a quarter."""
-    return s[: max(int(np.searchsorted(s, COUNTED_BELOW)), min(len(s), -(-len(s) // 4) + 12))]
+    """The part of a set that signatures can need: the counted range, or a little over a fifth."""
+    return s[: max(int(np.searchsorted(s, COUNTED_BELOW)), min(len(s), -(-len(s) // 5) + 12))]
 
 
 def _digest_batches(batches, k: int):
     import pyarrow as pa
 
-    for b in batches:
+    for b in pieces(batches):
         n, d1, d2, toks = [], [], [], []
         for t in texts_of(b.column(1)):
             s = token_set(t, k)
@@ -82,9 +82,14 @@ def _bands() -> np.ndarray:
 BANDS = _bands()
 
 
+def needed(n: int, percent: int) -> int:
+    """Tokens of a set of ``n`` of which one at least is in any set that reaches the threshold."""
+    return n - -(-percent * n // 100) + 1
+
+
 def signatures(toks: np.ndarray, frequent: np.ndarray, n: int, percent: int) -> np.ndarray:
     """Signatures of one set. ``toks``: its sorted stored tokens; ``frequent``: a mask."""
-    need = n - -(-percent * n // 100) + 1
+    need = needed(n, percent)
     counted = toks < COUNTED_BELOW
     rare, often, rest = toks[counted & ~frequent], toks[counted & frequent], toks[~counted]
     out = [rare[:need]]
@@ -92,7 +97,7 @@ def signatures(toks: np.ndarray, frequent: np.ndarray, n: int, percent: int) ->
     if left > 0:
         band, spare = int(np.searchsorted(BANDS, n, side="right")) - 1, 0
         for level in (band, band + 1):
-            m = max(1, int(BANDS[level]) // 12)
+            m = max(1, int(BANDS[level]) // 16)
             groups: dict[int, list[int]] = {}
             got = 0
             for t in often.tolist():
@@ -115,14 +120,15 @@ def _sign_batches(batches, percent: int, table):
     import pyarrow as pa
 
     known = None if table is None else table.value
-    for b in batches:
+    for b in pieces(batches):
         ids, ns, toks = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+        toks = toks if not toks.offset else pa.concat_arrays([toks])
         flat, off = toks.values.to_numpy(zero_copy_only=False), toks.offsets.to_numpy()
         own = b.column(3).to_pylist() if known is None else None
         if known is not None:
             at = np.searchsorted(known, flat)
             mask = known[np.minimum(at, len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
-        sig, who, size = [], [], []
+        sig, who, size, plain = [], [], [], []
         for i, (d, n) in enumerate(zip(ids, ns, strict=True)):
             t = flat[off[i] : off[i + 1]]
             often = mask[off[i] : off[i + 1]] if own is None else np.isin(t, np.array(own[i] or [], np.int64))
@@ -130,14 +136,15 @@ def _sign_batches(batches, percent: int, table):
             sig.append(s)
             who.append(np.full(len(s), d, np.int64))
             size.append(np.full(len(s), n, np.int64))
+            plain.append(np.full(len(s), (~often & (t < COUNTED_BELOW)).sum() >= needed(n, percent)))
         if sig:
-            yield pa.record_batch([np.concatenate(x) for x in (sig, who, size)], names=["sig", "id", "n"])
+            yield pa.record_batch([np.concatenate(x) for x in (sig, who, size, plain)], names=["sig", "id", "n", "plain"])
 
 
 def _set_batches(batches, k: int):
     import pyarrow as pa
 
-    for b in batches:
+    for b in pieces(batches):
         sets = [token_set(t, k) for t in texts_of(b.column(1))]
         offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
@@ -198,7 +205,10 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
     rows = full.select("doc_id", "n", "d1", "d2")
     known = rows.where("n > 0 and doc_id is not null")
     reps = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    vertices = materialize(full.join(reps.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n", "toks"), "vertices")
+    heads = reps.select(F.col("rep").alias("doc_id"))
+    few = reps.count() <= p.broadcast_rows
+    heads = F.broadcast(heads) if few else heads
+    vertices = materialize(full.where("n > 0").join(heads, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "toks"), "vertices")
 
     often = vertices.select(F.explode("toks").alias("t")).where(F.col("t") < COUNTED_BELOW).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") > p.frequent_above).select("t")
     often = materialize(often, "frequent")
@@ -209,13 +219,19 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
         table = None
         carried = vertices.select("id", F.explode("toks").alias("t")).join(often, "t").groupBy("id").agg(F.collect_set("t").alias("own"))
         source = vertices.join(carried, "id", "left").select("id", "n", "toks", "own")
-    sigs = materialize(source.mapInArrow(lambda it: _sign_batches(it, p.percent, table), "sig long, id long, n long"), "signatures")
+    sigs = materialize(source.mapInArrow(lambda it: _sign_batches(it, p.percent, table), "sig long, id long, n long, plain boolean"), "signatures")
 
     buckets = sigs.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("pivot")).where("c > 1")
-    members = materialize(sigs.join(buckets, "sig").select("sig", "id", "n", "c", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn")), "members")
+    members = materialize(sigs.join(buckets, "sig").select("sig", "id", "n", "plain", "c", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn")), "members")
+    release(vertices, sigs)
     small, large = members.where(F.col("c") <= p.small_bucket), members.where(F.col("c") > p.small_bucket)
-    x, y = small.select("sig", F.col("id").alias("a"), F.col("n").alias("na")), small.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = x.join(y, "sig").where((F.col("a") < F.col("b")) & _close_sizes(F.col("na"), F.col("nb"), p.percent)).select("a", "b")
+    x, y = small.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("plain").alias("pa")), small.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("plain").alias("pb"))
+    near = x.join(y, "sig").where((F.col("a") < F.col("b")) & _close_sizes(F.col("na"), F.col("nb"), p.percent))
+    near = near.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.count("*").alias("common"))
+    # Prefixes of rare tokens only: what they have in common and all that follows bound the overlap.
+    after = [F.col(c) - (F.col(c) - F.ceil(p.percent * F.col(c) / 100) + 1) for c in ("na", "nb")]
+    enough = (100 + p.percent) * (F.col("common") + F.greatest(*after)) >= p.percent * (F.col("na") + F.col("nb"))
+    near = near.where(~(F.col("pa") & F.col("pb")) | enough).select("a", "b")
     star = large.where((F.col("p") < F.col("id")) & _close_sizes(F.col("n"), F.col("pn"), p.percent)).select(F.col("p").alias("a"), F.col("id").alias("b"))
     pairs = materialize(near.union(star).distinct(), "pairs")
 
