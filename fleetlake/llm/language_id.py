@@ -95,6 +95,8 @@ class PpmModel:
             mass = counts[i].astype(float)
             kinds, whole = (mass > 0).sum(0), mass.sum(0)
             other = np.where(mass > 0, 0, lower)
+            other[0] = 0
+            other[1] *= 256 - len(seen)  # one entry stands for all bytes never seen
             rest = np.maximum(other.sum(0), 1e-12) if s else np.maximum((256 - kinds) / 256, 1 / 256)
             escape = np.where(whole > 0, kinds / np.maximum(whole + kinds, 1), 1.0)
             p = np.where(mass > 0, mass / np.maximum(whole + kinds, 1), lower * escape / np.where(whole > 0, rest, 1.0))
@@ -143,8 +145,10 @@ def _score(batches, model, order: int):
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    from fleetlake.llm.common import pieces
+
     m = model.value
-    for b in batches:
+    for b in pieces(batches):
         texts = pc.fill_null(b.column(1).cast(pa.large_binary()), b"")
         joined = pc.binary_join_element_wise(texts, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\0", pa.large_binary()))
         if isinstance(joined, pa.ChunkedArray):
@@ -155,21 +159,24 @@ def _score(batches, model, order: int):
         best = bits.argmin(1)
         gap = 2.0 ** np.maximum(bits.min(1, keepdims=True) - bits, -1000)
         size = np.maximum(np.diff(offsets) - 1, 1)
-        yield pa.record_batch([b.column(0), b.column(2), pa.array([m.languages[i] for i in best], pa.string()), pa.array(1 / gap.sum(1)), pa.array(bits.min(1) / size)], names=["doc_id", "letters", "lang_pred", "score", "bits_per_byte"])
+        yield pa.record_batch([b.column(0), b.column(2), pa.array([m.languages[i] for i in best], pa.string()), pa.array(1 / gap.sum(1)), pa.array(bits.min(1) / size), *b.columns[3:]], names=["doc_id", "letters", "lang_pred", "score", "bits_per_byte", *b.schema.names[3:]])
 
 
-def identify(docs: DataFrame, model: PpmModel | None, params: PpmParams = PpmParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: PpmModel | None, params: PpmParams = PpmParams(), id_col: str = "doc_id", text_col: str = "text", passed: str | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte), one row per row of ``docs``.
 
+    The column ``passed`` of ``docs`` is handed on beside them, if named.
+
     ``score`` is the share of the best language among all by code length. Texts
     that are null or have no letter are ``und`` with score 0; so is everything if
     no language was learned. Of equally short codes the first language by name
     wins. Repeated rows each get their result; other columns aren't read.
     """
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    text, more = F.col(text_col), [passed] if passed else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), *more)
     if model is None or not model.languages:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"))
+        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"), *more)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # max_contexts rows at most
-    scored = rows.mapInArrow(lambda it: _score(it, shared, params.order), "doc_id long, letters boolean, lang_pred string, score double, bits_per_byte double")
-    return scored.select("doc_id", F.when(F.col("letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"), "bits_per_byte")
+    schema = "doc_id long, letters boolean, lang_pred string, score double, bits_per_byte double" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
+    scored = rows.mapInArrow(lambda it: _score(it, shared, params.order), schema)
+    return scored.select("doc_id", F.when(F.col("letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"), "bits_per_byte", *more)
