@@ -1,18 +1,20 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-Documents are sets of word shingles. All tokens (shingle hashes) stand in one
-global order: *rare* tokens first, then *frequent* ones, then tokens above a hash
-bound whose frequency isn't counted. A document's prefix is extended along that
-order until losing as many tokens as the threshold allows can't destroy all its
-signatures: each rare token is a signature of its own, frequent tokens are
-indexed in 2-token combinations within sub-classes (so their number stays linear
-in the set). Two sets that reach the threshold share a signature; shared ones are
-verified exactly on the whole sets.
+Documents are sets of word shingles; the tokens are hashes of shingles in hash
+order. Tokens below a hash bound are counted over all documents: *rare* ones are
+signatures of their own. A document's prefix is as many of its rare tokens as it
+needs for one at least to survive in any set that reaches the threshold. Where
+the prefix runs out of rare tokens, as in large groups of near copies, it extends
+over the whole set: its tokens are dealt into more sub-classes than the threshold
+allows differences, so that in one sub-class two linked sets have the very same
+combination of tokens, and each combination is a signature. Two sets that reach
+the threshold share a signature; shared ones are verified exactly on the whole
+sets.
 
 Equal sets are one vertex. Small buckets give all their pairs; in large ones each
-member meets only a pivot, components are contracted, and only pairs that are
-still in different components are compared, so that a group of copies costs its
-size and not its square, while no connection is lost.
+member meets only a pivot and components are contracted. What is still in
+different components of a large bucket's group is compared in blocks by a bound
+on the intersection, so pairs become rows only where they may link.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from fleetlake.llm.common import materialize, mix, pieces, release, shingle_hash
 
 #: Tokens below this hash (three sixteenths of all) have their frequency counted.
 COUNTED_BELOW = -(2**63) + 3 * 2**60
-COMBINATION = 0xD6E8FEB86659FD93
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class JoinParams:
     percent: int = 90  # links: 100 * intersection >= percent * union
     frequent_above: int = 24  # documents with a token beyond which it is frequent
     small_bucket: int = 24  # buckets up to this size give all their pairs; no less than frequent_above
-    pivot_rounds: int = 1
+    block_rows: int = 1024  # sets of a group that are compared with each other in one task
     broadcast_rows: int = 1_000_000  # 8 MB of ids or tokens; larger ones are joined by a shuffle
 
 
@@ -50,11 +51,6 @@ def token_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(h, k).view(np.int64))
 
 
-def _stored(s: np.ndarray) -> np.ndarray:
-    """The part of a set that signatures can need: the counted range, or a little over a fifth."""
-    return s[: max(int(np.searchsorted(s, COUNTED_BELOW)), min(len(s), -(-len(s) // 5) + 12))]
-
-
 def _digest_batches(batches, k: int):
     import pyarrow as pa
 
@@ -66,20 +62,18 @@ def _digest_batches(batches, k: int):
             n.append(len(s))
             d1.append(int(mix(u + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
             d2.append(int(np.bitwise_xor.reduce(mix(u + np.uint64(2)), initial=np.uint64(0)).astype(np.int64)))
-            toks.append(_stored(s))
+            toks.append(s[: int(np.searchsorted(s, COUNTED_BELOW))])
         offsets = np.cumsum([0, *map(len, toks)]).astype(np.int32)
         flat = np.concatenate(toks) if toks else np.empty(0, np.int64)
         yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "d1", "d2", "toks"])
 
 
-def _bands() -> np.ndarray:
+def bands(percent: int) -> list[int]:
+    """Bounds of size bands so wide that two sets that reach the threshold are in one or in neighbours."""
     b = [1]
     while b[-1] < 2**40:
-        b.append(max(b[-1] + 1, -(-b[-1] * 5 // 4)))
-    return np.array(b)
-
-
-BANDS = _bands()
+        b.append(max(b[-1] + 1, -(-b[-1] * 101 // percent)))
+    return b
 
 
 def needed(n: int, percent: int) -> int:
@@ -87,32 +81,26 @@ def needed(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signatures(toks: np.ndarray, frequent: np.ndarray, n: int, percent: int) -> np.ndarray:
-    """Signatures of one set. ``toks``: its sorted stored tokens; ``frequent``: a mask."""
-    need = needed(n, percent)
-    counted = toks < COUNTED_BELOW
-    rare, often, rest = toks[counted & ~frequent], toks[counted & frequent], toks[~counted]
-    out = [rare[:need]]
-    left = need - len(rare)
-    if left > 0:
-        band, spare = int(np.searchsorted(BANDS, n, side="right")) - 1, 0
-        for level in (band, band + 1):
-            m = max(1, int(BANDS[level]) // 16)
-            groups: dict[int, list[int]] = {}
-            got = 0
-            for t in often.tolist():
-                if got >= left:
-                    break
-                g = groups.setdefault(t % m, [])
-                got += bool(g)
-                g.append(t)
-            pairs = [(g[i], g[j]) for g in groups.values() for j in range(1, len(g)) for i in range(j)]
-            if pairs:
-                p = np.array(pairs, np.int64).view(np.uint64)
-                out.append(mix(mix(p[:, 0] + np.uint64(COMBINATION * (level + 1) % 2**64)) + p[:, 1]).view(np.int64))
-            spare = max(spare, left - got)
-        out.append(rest[:spare])
-    return np.concatenate(out)
+def combinations(s: np.ndarray, percent: int, bounds: list[int]) -> np.ndarray:
+    """Signatures of a whole set: the tokens of each sub-class, in its own band and the next one."""
+    import bisect
+
+    u = s.view(np.uint64)
+    where, what = mix(u + np.uint64(3)), mix(u + np.uint64(4))
+    band = bisect.bisect_right(bounds, len(s)) - 1
+    out = []
+    for level in (band, band + 1):
+        most = 2 * (bounds[level + 1] - 1) * (100 - percent) // (100 + percent)  # tokens that only one of two linked sets has
+        m = most + 1 + (most > 2)
+        group = (where % np.uint64(m)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.diff(group[order], prepend=-1))
+        full, content = group[order][first], np.add.reduceat(what[order], first)
+        out.append(mix(content ^ mix((full * 64 + level % 64).astype(np.uint64))))
+        if len(full) <= most:  # empty sub-classes may be the only equal ones
+            empty = np.setdiff1d(np.arange(m), full)
+            out.append(mix(mix((empty * 64 + level % 64).astype(np.uint64)) + np.uint64(5)))
+    return np.unique(np.concatenate(out)).view(np.int64)
 
 
 def _sign_batches(batches, percent: int, table):
@@ -132,15 +120,28 @@ def _sign_batches(batches, percent: int, table):
         for i, (d, n) in enumerate(zip(ids, ns, strict=True)):
             t = flat[off[i] : off[i + 1]]
             often = mask[off[i] : off[i + 1]] if own is None else np.isin(t, np.array(own[i] or [], np.int64))
-            s = signatures(t, often, n, percent)
+            need = needed(n, percent)
+            rare = t[~often][:need]
+            s = rare if len(rare) == need else np.concatenate([rare, [0]])  # 0 asks for combinations
             sig.append(s)
             who.append(np.full(len(s), d, np.int64))
             size.append(np.full(len(s), n, np.int64))
-            plain.append(np.full(len(s), (~often & (t < COUNTED_BELOW)).sum() >= needed(n, percent)))
+            plain.append(np.full(len(s), len(rare) == need))
         if sig:
             yield pa.record_batch([np.concatenate(x) for x in (sig, who, size, plain)], names=["sig", "id", "n", "plain"])
 
 
+def _combination_batches(batches, k: int, percent: int):
+    import pyarrow as pa
+
+    bounds = bands(percent)
+    for b in pieces(batches):
+        sets = [token_set(t, k) for t in texts_of(b.column(1))]
+        found = [combinations(s, percent, bounds) for s in sets]
+        ids, lengths = b.column(0).to_numpy(), [len(f) for f in found]
+        yield pa.record_batch([np.concatenate(found), np.repeat(ids, lengths), np.repeat([len(s) for s in sets], lengths).astype(np.int64), np.zeros(sum(lengths), bool)], names=["sig", "id", "n", "plain"])
+
+
 def _set_batches(batches, k: int):
     import pyarrow as pa
 
@@ -189,6 +190,72 @@ def _verify(pairs: DataFrame, base: DataFrame, p: JoinParams) -> DataFrame:
     return materialize(good.select("a", "b").distinct(), "links")
 
 
+def _sketch_batches(batches, k: int):
+    import pyarrow as pa
+
+    for b in pieces(batches):
+        sets = [np.unique(token_set(t, k).view(np.uint64) >> np.uint64(48)).astype(np.uint16).tobytes() for t in texts_of(b.column(1))]
+        yield pa.record_batch([b.column(0), pa.array(sets, pa.binary())], names=["sid", "t"])
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each array of ``x`` shares with each of ``y``, by products of 0/1 matrices."""
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    out = np.zeros((len(x), len(y)), np.float32)
+
+    def matrix(arrays, part):
+        flat = np.concatenate(arrays)
+        at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+        hit, m = part[at] == flat, np.zeros((len(arrays), len(part)), np.float32)
+        m[np.repeat(np.arange(len(arrays)), [len(v) for v in arrays])[hit], at[hit]] = 1
+        return m
+
+    for i in range(0, len(both), 2048):
+        part = both[i : i + 2048]
+        out += matrix(x, part) @ matrix(y, part).T
+    return out
+
+
+def _unlike(open_: DataFrame, base: DataFrame, p: JoinParams) -> DataFrame:
+    """Pairs (a, b) from different components of a group that may link.
+
+    Sets travel as their tokens' first 16 bits: what two have in common there,
+    and what a set lost in them, bounds the intersection from above. Groups are
+    cut into blocks that meet each other pairwise, so a task holds two blocks
+    and only pairs within the bound are rows.
+    """
+    k, size, percent = p.shingle, p.block_rows, p.percent
+    groups = connected_components(open_.select(F.col("head").alias("a"), F.col("id").alias("b")))
+    members = open_.select("id", "n", "comp").distinct().join(groups.withColumnRenamed("comp", "grp"), "id")
+    ids = materialize(members, "groups")
+    few = ids.count() <= p.broadcast_rows
+    wanted = ids.select("id").distinct()
+    texts = base.join(F.broadcast(wanted) if few else wanted, base.doc_id == wanted.id, "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(lambda it: _sketch_batches(it, k), "sid long, t binary")
+    counts = ids.groupBy("grp").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    rows = ids.join(counts, "grp").join(sets, F.col("id") == F.col("sid")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    meet = rows.select("grp", "id", "n", "comp", "t", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    meet = meet.select("grp", "id", "n", "comp", "t", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(table):
+        import pyarrow as pa
+
+        ids, n, comp, own = (table[c].to_numpy() for c in ("id", "n", "comp", "own"))
+        t = [np.frombuffer(v, np.uint16) for v in table["t"].to_pylist()]
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = [np.empty(0, np.int64)] * 2
+        if len(left) and len(right):
+            most = _common([t[q] for q in left], [t[q] for q in right]) + np.maximum(*np.meshgrid(*((n - [len(v) for v in t])[q] for q in (left, right)), indexing="ij"))
+            good = most * (100 + percent) >= percent * (n[left][:, None] + n[right][None, :])
+            good &= comp[left][:, None] != comp[right][None, :]
+            x, y = np.nonzero(good)
+            found = [ids[left[x]], ids[right[y]]]
+        return pa.table({"a": np.minimum(*found), "b": np.maximum(*found)})
+
+    return meet.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
+
+
 def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id, copies_id).
 
@@ -219,11 +286,17 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
         table = None
         carried = vertices.select("id", F.explode("toks").alias("t")).join(often, "t").groupBy("id").agg(F.collect_set("t").alias("own"))
         source = vertices.join(carried, "id", "left").select("id", "n", "toks", "own")
-    sigs = materialize(source.mapInArrow(lambda it: _sign_batches(it, p.percent, table), "sig long, id long, n long, plain boolean"), "signatures")
+    schema = "sig long, id long, n long, plain boolean"
+    rare = materialize(source.mapInArrow(lambda it: _sign_batches(it, p.percent, table), schema), "signatures")
+    short_of_rare = rare.where("sig = 0").select("id")
+    few = short_of_rare.count() <= p.broadcast_rows
+    whole = base.where("text is not null").join(F.broadcast(short_of_rare) if few else short_of_rare, base.doc_id == short_of_rare.id, "left_semi")
+    combined = materialize(whole.mapInArrow(lambda it: _combination_batches(it, k, p.percent), schema).where("n > 0").distinct(), "combinations")
+    sigs = rare.where("sig <> 0").union(combined)
 
     buckets = sigs.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("pivot")).where("c > 1")
     members = materialize(sigs.join(buckets, "sig").select("sig", "id", "n", "plain", "c", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn")), "members")
-    release(vertices, sigs)
+    release(vertices, rare, combined)
     small, large = members.where(F.col("c") <= p.small_bucket), members.where(F.col("c") > p.small_bucket)
     x, y = small.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("plain").alias("pa")), small.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("plain").alias("pb"))
     near = x.join(y, "sig").where((F.col("a") < F.col("b")) & _close_sizes(F.col("na"), F.col("nb"), p.percent))
@@ -243,29 +316,14 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
     edges = edges.union(same_id)
     comps = connected_components(edges)
 
-    for turn in range(p.pivot_rounds + 1):
-        # Members of large buckets that hold several components still; a member without links is its own.
-        open_ = large.join(comps, "id", "left").select("sig", "id", "n", F.coalesce("comp", "id").alias("comp"))
-        mixed = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-        open_ = materialize(open_.join(mixed, "sig"), "open")
-        if not open_.limit(1).count():
-            break
-        if turn < p.pivot_rounds:
-            # The member with most links so far is likely to stand in the middle of its group.
-            degree = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
-            ranked = open_.join(degree, "id", "left").select("sig", "id", "n", "comp", F.coalesce("deg", F.lit(0)).alias("deg"))
-            pivot = ranked.groupBy("sig").agg(F.max(F.struct("deg", "id", "n", "comp")).alias("q"))
-            again = open_.join(pivot, "sig").where((F.col("q.comp") != F.col("comp")) & _close_sizes(F.col("n"), F.col("q.n"), p.percent))
-            again = again.select(F.least("id", "q.id").alias("a"), F.greatest("id", "q.id").alias("b"))
-        else:
-            u, v = open_.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), open_.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            again = u.join(v, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _close_sizes(F.col("na"), F.col("nb"), p.percent)).select("a", "b")
-        fresh = materialize(again.distinct().join(pairs, ["a", "b"], "left_anti"), "again")
-        pairs = pairs.union(fresh)
-        found = _verify(fresh, base, p)
-        if found.limit(1).count():
-            edges = edges.union(found)
-            comps = connected_components(edges)
+    # Members of large buckets that hold several components still; a member without links is its own.
+    open_ = large.join(comps, "id", "left").select("sig", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    mixed = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("head")).where("lo < hi").select("sig", "head")
+    open_ = materialize(open_.join(mixed, "sig").select("id", "n", "comp", "head").distinct(), "open")
+    if open_.limit(1).count():
+        fresh = materialize(_unlike(open_, base, p).join(pairs, ["a", "b"], "left_anti"), "again")
+        edges = edges.union(_verify(fresh, base, p))
+        comps = connected_components(edges)
 
     out = rows.join(reps, ["d1", "d2", "n"], "left").join(comps, F.col("rep") == F.col("id"), "left")
     own = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id"))
