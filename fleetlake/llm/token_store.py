@@ -23,8 +23,8 @@ from fleetlake.llm.common import materialize, texts_of
 
 MAGIC = b"FLWM"
 BLOCK = 512  # bits between rank counts
-#: Encoded words that a worker remembers.
-CACHE_WORDS = 300_000
+#: Encoded words that a worker remembers, under 200 bytes each; others are encoded again for each run of texts.
+CACHE_WORDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -169,12 +169,12 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words = [t.replace(b"\n", b" ").split(b" ") for t in texts]
         new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {b"": b""}
-            new = list({w for ws in words for w in ws if w})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
-        get = self.known.__getitem__
+        codes = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True)}
+        if len(self.known) + len(codes) <= CACHE_WORDS:
+            self.known.update(codes)
+            get = self.known.__getitem__
+        else:
+            get = {**{w: self.known[w] for ws in words for w in ws if w in self.known}, **codes}.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)), self.kind) for ws in words]
 
 
@@ -201,8 +201,8 @@ def _write_shards(batches, p: StoreParams):
 
     for b in batches:
         texts, keys = texts_of(b.column(1)), b.column(0).to_pylist()
-        for i in range(0, len(texts), 256):
-            for d, e in zip(keys[i : i + 256], encoder.encode(texts[i : i + 256]), strict=True):
+        for i in range(0, len(texts), 1024):
+            for d, e in zip(keys[i : i + 1024], encoder.encode(texts[i : i + 1024]), strict=True):
                 run = np.concatenate([e, end])
                 if runs and size + len(run) > p.shard_tokens:
                     yield shard()
