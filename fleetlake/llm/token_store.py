@@ -166,10 +166,24 @@ class Encoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
         self.known: dict[bytes, bytes] = {b"": b""}
 
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Codes of new words, encoded as one text; the offsets tell which word a token is of."""
+        texts = [w.decode() for w in words]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids, at = np.array(e.ids, self.kind), np.array([a for a, _ in e.offsets], np.int64)
+        cuts = np.searchsorted(at, starts).tolist()
+        return {w: ids[cuts[i] : cuts[i + 1]].tobytes() for i, w in enumerate(words)}
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.replace(b"\n", b" ").split(b" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        codes = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True)}
+        words = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        new = {w for ws in words for w in ws if w not in self.known}
+        # A letter or digit and the mark that ends a word are tokens of their own.
+        ended = {w for w in new if len(w) > 1 and w[-1] in b".," and w[-2:-1].isalnum()}
+        cores = {w for w in (new - ended) | {w[:-1] for w in ended} | {b".", b","} if w not in self.known}
+        codes = self._encode_words(sorted(cores)) if cores else {}
+        for w in ended:
+            codes[w] = (codes.get(w[:-1]) or self.known[w[:-1]]) + (codes.get(w[-1:]) or self.known[w[-1:]])
         if len(self.known) + len(codes) <= CACHE_WORDS:
             self.known.update(codes)
             get = self.known.__getitem__
