@@ -131,8 +131,12 @@ def fit_ppm(labelled: DataFrame, params: PpmParams = PpmParams()) -> PpmModel:
     """``labelled``: key (long), text, lang. Fitted on ``sample_docs`` texts a language."""
     p = params
     usable = labelled.where("text is not null and text <> '' and lang is not null").withColumn("r", F.xxhash64("key", "text"))
-    w = Window.partitionBy("lang").orderBy("r", "key")
-    chosen = usable.select("lang", "key", "r").withColumn("i", F.row_number().over(w)).where(F.col("i") <= p.sample_docs).select("key", "r").distinct()
+    # First within salted parts of a language, so that a common one doesn't meet in one task.
+    ranked = usable.select("lang", "key", "r", F.pmod("r", F.lit(128)).alias("salt"))
+    for part in (["lang", "salt"], ["lang"]):
+        w = Window.partitionBy(*part).orderBy("r", "key")
+        ranked = ranked.withColumn("i", F.row_number().over(w)).where(F.col("i") <= p.sample_docs).drop("i")
+    chosen = ranked.select("key", "r").distinct()
     sample = usable.join(F.broadcast(chosen), ["key", "r"])  # sample_docs rows a language
     grams = sample.select("lang", "text").mapInArrow(lambda it: _count_grams(it, p.order), "lang string, k long, code long, n long")
     table = grams.groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toPandas()
