@@ -102,10 +102,10 @@ _E = v.sql("vectors") + ", e AS (SELECT id, seq, unnest(x) AS v, unnest(range(0,
 
 
 def _cells(df, value="x"):
-    return df.select("id", F.posexplode(value).alias("d", "v")).select("id", "d", F.round("v", 6).alias("v"))
+    return df.select("id", F.posexplode(value).alias("d", "v")).select("id", "d", (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query("v1_normalize", _E + " SELECT id, d, round(v / sqrt(avg(v * v) OVER (PARTITION BY id) + 1e-6), 6) AS v FROM e")
+@query("v1_normalize", _E + " SELECT id, d, round(v / sqrt(avg(v * v) OVER (PARTITION BY id) + 1e-6), 6) + 0.0 AS v FROM e")
 def _(spark, d):
     return _cells(vectors.normalize(v.vectors(spark, d).select("id", "x")))
 
@@ -145,7 +145,7 @@ def _(spark, d):
     return vectors.causal_conv(x, [0.1, 0.2, 0.3, 0.4]).withColumn("y", F.round("y", 6))
 
 
-@query("v10_hadamard", _E + " SELECT a.id, a.d, round(sum(CASE WHEN bit_count((a.d % 16) & (b.d % 16)) % 2 = 0 THEN b.v ELSE -b.v END) / 4, 6) AS v FROM e a JOIN e b ON a.id = b.id AND a.d // 16 = b.d // 16 GROUP BY a.id, a.d")
+@query("v10_hadamard", _E + " SELECT a.id, a.d, round(sum(CASE WHEN bit_count((a.d % 16) & (b.d % 16)) % 2 = 0 THEN b.v ELSE -b.v END) / 4, 6) + 0.0 AS v FROM e a JOIN e b ON a.id = b.id AND a.d // 16 = b.d // 16 GROUP BY a.id, a.d")
 def _(spark, d):
     return _cells(vectors.hadamard(v.vectors(spark, d).select("id", "x"), 16))
 
