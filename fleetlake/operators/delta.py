@@ -73,3 +73,22 @@ def check_artifacts(manifests: DataFrame, artifacts: DataFrame, kind: str, proto
 def neighbors(stages: DataFrame) -> DataFrame:
     w = Window.partitionBy("plan").orderBy("pos")
     return stages.select("plan", "pos", F.array_compact(F.array(F.lag("stage").over(w), F.lead("stage").over(w))).alias("prefetch"))
+
+
+def rebuild(local: DataFrame, overlays: DataFrame, expected: DataFrame) -> DataFrame:
+    """(id, status, epoch, data): local bytes with (id, start, bytes) laid over them, published only if the epoch is the expected one.
+
+    Overlays don't overlap. Each brings the local bytes between the one before and
+    itself, zeros beyond the local end, so one ordered join of pieces does.
+    """
+    w = Window.partitionBy("id").orderBy("start")
+    held = overlays.join(local.select("id", "data"), "id").withColumn("end", F.col("start") + F.octet_length("bytes")).withColumn("prev", F.coalesce(F.lag("end").over(w), F.lit(0)))
+    n = (F.col("start") - F.col("prev")).cast("int")
+    gap = F.expr("rpad(substring(data, cast(prev + 1 as int), cast(start - prev as int)), cast(start - prev as int), X'00')")
+    piece = F.concat(F.when(n > 0, F.hex(gap)).otherwise(""), F.hex("bytes"))
+    whole = held.select("id", "start", "end", piece.alias("h")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "h"))).alias("parts"), F.max("end").alias("end"))
+    joined = local.select("id", "data").join(whole, "id", "left").join(expected.select("id", "expected"), "id")
+    laid = F.concat(F.unhex(F.array_join(F.transform("parts", lambda x: x["h"]), "")), F.expr("substring(data, cast(end + 1 as int))"))
+    made = joined.select("id", "expected", F.when(F.col("parts").isNull(), F.col("data")).otherwise(laid).alias("data"))
+    good = F.sha2("data", 256) == F.col("expected")
+    return made.select("id", F.when(good, "published").otherwise("epoch mismatch").alias("status"), F.when(good, F.col("expected")).alias("epoch"), F.when(good, F.col("data")).alias("data"))

@@ -32,3 +32,35 @@ def hop_timings(spans: DataFrame) -> DataFrame:
 
 def transfer_bill(plan: DataFrame) -> DataFrame:
     return plan.groupBy("id").agg(F.sum("length").alias("bytes"), F.count("*").alias("ranges"))
+
+
+def reconciliation_bill(draw: DataFrame) -> DataFrame:
+    """Bytes that reconciling costs: a bit for each node as planned, eight bytes for each that drifted."""
+    return draw.withColumn("bill", F.floor(F.col("n_planned") / 8) + 8 * F.col("n_drifted"))
+
+
+def draw_balance(moves: DataFrame, budget: int) -> DataFrame:
+    """Adds ``draw`` after each commit (+) or release (-) of ``watts``, never below 0, and ``headroom``.
+
+    A sum that stops at 0 is the running sum less its lowest value below 0, so
+    two windows over one sort do.
+    """
+    w = Window.partitionBy("node").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = moves.withColumn("total", F.sum("watts").over(w))
+    level = total.withColumn("draw", F.col("total") - F.least(F.lit(0), F.min("total").over(w)))
+    return level.drop("total").withColumn("headroom", F.greatest(F.lit(0), budget - F.col("draw")))
+
+
+def set_hash(options):
+    """Content hash of an ordered candidate set."""
+    return F.sha2(F.to_json(F.struct(options.alias("o"))), 256)
+
+
+def resolve_picks(picks: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, status, value): the option an index points to if both sides know the same set, else the full payload."""
+    known = sets.select("set_id", "options", set_hash(F.col("options")).alias("have"))
+    both = picks.join(known, "set_id", "left")
+    same = F.coalesce(F.col("have") == F.col("set_hash"), F.lit(False))
+    inside = F.col("pick").between(0, F.size("options") - 1)
+    status = F.when(~same, "full payload").when(inside, "pick").otherwise("out of range")
+    return both.select("id", status.alias("status"), F.when(~same, F.col("payload")).when(inside, F.get("options", F.col("pick").cast("int"))).alias("value"))

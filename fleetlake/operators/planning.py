@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlake.operators.folds import Admission, ordered_fold
+
 # Words that tell a workload's class, the first match wins.
 CLASS_RULES = [("branch|sort", "BranchHeavy"), ("recurs|tree|travers", "Recursive"), ("matmul|matrix", "Simd"), ("graph|bfs|dfs", "Irregular"), ("batch|small", "SmallBatch"), ("llm|bitnet|inference|generate", "Llm"), ("gpu|cuda|opencl", "Gpu")]
 
@@ -37,19 +39,13 @@ def rank_nodes(cands: DataFrame) -> DataFrame:
 
 
 def admit(tasks: DataFrame, budget: int) -> DataFrame:
-    """In each pool, in order of arrival: a task is admitted if it still fits, else it waits and later ones may fit.
-
-    Skipping makes this a fold over the pool's ordered tasks; a pool is one group,
-    so pools should be many.
-    """
-    ordered = tasks.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct("enqueued", "task", "watts"))).alias("q"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<task:bigint,admitted:boolean>>").alias("out"))
+    """In each pool, in order of arrival: a task is admitted if it still fits, else it waits and later ones may fit."""
+    return ordered_fold(tasks, "pool", ["enqueued", "task"], Admission(budget))
 
-    def step(acc, t):
-        fits = acc["used"] + t["watts"] <= budget
-        return F.struct((acc["used"] + F.when(fits, t["watts"]).otherwise(0)).cast("long").alias("used"), F.concat(acc["out"], F.array(F.struct(t["task"].alias("task"), fits.alias("admitted")))).alias("out"))
 
-    return ordered.select("pool", F.explode(F.aggregate("q", start, step)["out"]).alias("o")).select("pool", "o.task", "o.admitted")
+def reoffer(queue: DataFrame, budget: int) -> DataFrame:
+    """The waiting tasks once more, by priority and then arrival; those that don't fit wait on."""
+    return ordered_fold(queue.withColumn("turn", -F.col("priority")), "pool", ["turn", "enqueued", "task"], Admission(budget))
 
 
 def queue_order(tasks: DataFrame, cap: int = 1000) -> DataFrame:

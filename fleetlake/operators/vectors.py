@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlake.functions.encodings import decode_vectors
+
 
 def _sum(array, f=lambda v: v):
     return F.aggregate(array, F.lit(0.0), lambda a, v: a + f(v))
@@ -29,9 +31,20 @@ def softmax(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def score(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(q, id, y): products of a block of queries with every item; the block goes to all tasks, so it must be a bounded one."""
+    """(q, id, y): products of a block of queries with every item; lengths must be equal.
+
+    Spark sends the block to all tasks only if it is below its broadcast
+    threshold; a larger one meets the items partition by partition.
+    """
     q = queries.select(F.col("id").alias("q"), F.col("x").alias("qx"))
-    return items.join(F.broadcast(q), F.size("x") == F.size("qx")).select("q", "id", dot("x", "qx").alias("y"))
+    y = F.when(F.size("x") == F.size("qx"), dot("x", "qx")).otherwise(F.raise_error(F.lit("vectors of different length")).cast("double"))
+    return items.select("id", "x").crossJoin(q).select("q", "id", y.alias("y"))
+
+
+def score_encoded(queries: DataFrame, store: DataFrame) -> DataFrame:
+    """``score`` over encoded rows (id, kind, data), which are decoded batch by batch on the way."""
+    decoded = store.select("id", decode_vectors("kind", "data").cast("array<double>").alias("x"))
+    return score(queries, decoded)
 
 
 def best_item(scores: DataFrame) -> DataFrame:
@@ -82,7 +95,42 @@ def causal_attention(seq: DataFrame, look_back: int) -> DataFrame:
     return parts.groupBy("seq", "pq", "d").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("y")).select("seq", F.col("pq").alias("pos"), "d", "y")
 
 
+def fingerprint(x):
+    """Content hash of a vector, to six decimals."""
+    return F.sha2(F.array_join(F.transform(x, lambda v: F.round(v, 6).cast("decimal(18,6)").cast("string")), ","), 256)
+
+
 def fingerprint_match(announced: DataFrame, local: DataFrame) -> DataFrame:
     """Hit where the announced hash is the local vector's; else its payload has to travel."""
-    have = local.select("id", F.sha2(F.array_join(F.transform("x", lambda v: F.round(v, 6).cast("decimal(18,6)").cast("string")), ","), 256).alias("own"), F.size("x").alias("n"))
+    have = local.select("id", fingerprint(F.col("x")).alias("own"), F.size("x").alias("n"))
     return announced.join(have, "id", "left").select("id", F.col("fingerprint").eqNullSafe(F.col("own")).alias("hit"), F.when(F.col("fingerprint").eqNullSafe(F.col("own")), F.col("n") * 4).otherwise(0).alias("saved"))
+
+
+def rotate_positions(df: DataFrame, rot: int, base: float = 10000.0) -> DataFrame:
+    """Turns the pairs (i, i + rot/2) of ``x`` by ``pos * base ** (-2i/rot)``; the rest and position 0 stay."""
+    half = rot // 2
+
+    def cell(v, i):
+        angle = F.col("pos") * F.pow(F.lit(base), -2.0 * (i % half) / rot)
+        low, high = F.get("x", i % half), F.get("x", i % half + half)
+        return F.when(i < half, low * F.cos(angle) - high * F.sin(angle)).when(i < rot, low * F.sin(angle) + high * F.cos(angle)).otherwise(v)
+
+    return df.withColumn("x", F.transform("x", cell))
+
+
+def _entropy(df: DataFrame, value: str, name: str) -> DataFrame:
+    """(seq, pos, name): bits a value of the array's 256-bin histogram over its own range."""
+    span = F.col("hi") - F.col("lo")
+    cells = df.select("seq", "pos", F.array_min(value).alias("lo"), F.array_max(value).alias("hi"), F.size(value).alias("n"), F.explode(value).alias("v"))
+    bins = cells.groupBy("seq", "pos", "n", F.when(span > 0, F.floor((F.col("v") - F.col("lo")) / span * 255)).otherwise(0).alias("bin")).agg(F.count("*").alias("c"))
+    share = F.col("c") / F.col("n")
+    return bins.groupBy("seq", "pos").agg((F.sum(-share * F.log2(share)) + 0.0).alias(name))
+
+
+def stream_geometry(df: DataFrame) -> DataFrame:
+    """Of each row of a sequence and the one before: cosine, size of the step against the row, and bits of row and step."""
+    w = Window.partitionBy("seq").orderBy("pos")
+    pairs = df.select("seq", "pos", "x", F.lag("x").over(w).alias("px")).where("px is not null").withColumn("dx", F.zip_with("x", "px", lambda a, b: a - b))
+    norm = lambda c: F.sqrt(dot(c, c))
+    shape = pairs.select("seq", "pos", (dot("x", "px") / F.greatest(norm("x") * norm("px"), F.lit(1e-30))).alias("cosine"), (norm("dx") / F.greatest(norm("x"), F.lit(1e-9))).alias("step"))
+    return shape.join(_entropy(pairs, "x", "state_bits"), ["seq", "pos"]).join(_entropy(pairs, "dx", "step_bits"), ["seq", "pos"])

@@ -18,7 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of machines: one row an event."""
-    return table(spark, sf_dir, "events").select(
+    return telemetry_of(table(spark, sf_dir, "events"))
+
+
+def telemetry_of(events: DataFrame) -> DataFrame:
+    """Reports from events, be they a table or a stream."""
+    return events.select(
         F.col("user_id").alias("node"), F.concat(F.lit("b"), "user_id").alias("node_id"), "ts", F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "signup", "register").when(F.col("event_type") == "error", "failure").otherwise("heartbeat").alias("verb"),
         F.floor("value").cast("int").alias("power_watts"), (F.col("value") / 100).alias("load_avg"),

@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlake.functions import tokens
-from fleetlake.operators import delta, failures, planning, vectors
-from fleetlake.plans import artifacts, registry  # noqa: F401
+from fleetlake import storage
+from fleetlake.functions import encodings, tokens
+from fleetlake.operators import delta, failures, folds, identity, planning, vectors
+from fleetlake.plans import artifacts, flows, registry  # noqa: F401
 from fleetlake.sources import logs
 
 SMALL = "/root/testdata/sf0.001"
@@ -100,3 +101,65 @@ def test_results_do_not_depend_on_partitions(spark):
     t = spark.range(500).select((F.col("id") % 7).alias("node"), (F.col("id") % 50).alias("ts"), F.col("id").alias("seq"), F.when(F.rand(3) < 0.6, "failure").otherwise("register").alias("verb")).cache()
     one, many = (failures.failure_streaks(x).orderBy("seq").collect() for x in (t.coalesce(1), t.repartition(9, F.rand(1))))
     assert one == many
+
+
+def test_batch_and_stream_memory_agree(spark):
+    batch, stream = (registry.QUERIES[n](spark, SMALL).orderBy("seq", "pos").collect() for n in ("v9_delta_memory", "x6_stream_memory"))
+    assert batch == stream and batch
+
+
+def test_memory_recalls_what_it_was_told(spark):
+    rows = spark.createDataFrame([(1, 0, [1.0, 0.0], [1.0, 0.0], [3.0, 4.0], 0.0, 1.0), (1, 1, [1.0, 0.0], [0.0, 1.0], [9.0, 9.0], 0.0, 1.0)], "seq int, pos long, q array<double>, k array<double>, v array<double>, gate double, beta double")
+    assert [r.y for r in folds.ordered_fold(rows, "seq", ["pos"], folds.DeltaMemory(2)).orderBy("pos").collect()] == [[3.0, 4.0], [3.0, 4.0]]
+
+
+def test_a_paused_bucket_is_credited_later(spark):
+    calls = spark.createDataFrame([("a", 1, 0.0, 10.0, False), ("a", 2, 5.0, 1.0, True), ("a", 3, 5.0, 5.0, False), ("a", 4, 5.0, 1.0, False)], "node string, seq long, at double, bytes double, paused boolean")
+    got = folds.ordered_fold(calls, "node", ["at", "seq"], folds.TokenBucket(10, 1)).orderBy("seq").collect()
+    assert [r.allowed for r in got] == [True, False, True, False]
+
+
+def test_a_cut_character_at_the_end_is_shown_as_such(spark):
+    rows = spark.createDataFrame([(1, 0, bytearray(b"a\xe2\x82")), (2, 0, bytearray(b"\xe2\x82")), (2, 1, bytearray(b"\xac"))], "id int, pos long, piece binary")
+    got = folds.ordered_fold(rows, "id", ["pos"], folds.Utf8Decoder()).orderBy("id", F.col("pos").asc_nulls_last()).collect()
+    assert [(r.id, r.text, r.waiting) for r in got] == [(1, "a", 2), (1, "�", 0), (2, "", 2), (2, "€", 0)]
+
+
+def test_a_fold_carries_its_state_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(100).select(F.lit("k").alias("node"), F.col("id").alias("seq"), F.lit("failure").alias("verb"))
+        assert [r.streak for r in folds.ordered_fold(rows, "node", ["seq"], folds.Streak()).orderBy("seq").collect()] == list(range(1, 101))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_encodings_decode_what_they_encode():
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(-1, 2, 64 * 128)
+    assert (encodings.decode_bytes(encodings.PTQ1, encodings.encode_groups(x)) == x).all()
+    halves = np.array([0.5, -2.0], "<f2")
+    assert encodings.decode_bytes(encodings.F16, halves.tobytes()).tolist() == [0.5, -2.0]
+    assert encodings.decode_bytes(encodings.Q8_0, halves[:1].tobytes() + bytes(range(32))).tolist() == [i / 2 for i in range(32)]
+    assert encodings.decode_bytes(encodings.BF16, b"\x80\x3f").tolist() == [1.0] and encodings.decode_bytes(99, b"") is None
+    with pytest.raises(ValueError):
+        encodings.decode_bytes(encodings.F32, b"123")
+
+
+def test_overlays_grow_a_file_with_zeros(spark):
+    local = spark.createDataFrame([(1, bytearray(b"abcdef"))], "id int, data binary")
+    over = spark.createDataFrame([(1, 2, bytearray(b"XY")), (1, 8, bytearray(b"Z"))], "id int, start long, bytes binary")
+    want = spark.createDataFrame([(1, b"abXYef\0\0Z")], "id int, b binary").select("id", F.sha2("b", 256).alias("expected"))
+    got = delta.rebuild(local, over, want).first()
+    assert got.status == "published" and bytes(got.data) == b"abXYef\0\0Z"
+
+
+def test_identities_follow_chains(spark):
+    rows = [(1, 0, "a", "", ""), (2, 1, "a", "x", ""), (3, 2, "", "x", ""), (4, 3, "b", "", "h"), (5, 100, "", "y", "h"), (6, 101, "", "", "h"), (7, 9, "", "", None)]
+    s = spark.createDataFrame(rows, "seq long, ts long, node_id string, ip string, hostname string").withColumn("ts", F.timestamp_seconds("ts"))
+    assert {r.seq: r.slot for r in identity.resolve_identity(s, 30).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+def test_a_missing_snapshot_is_an_empty_state(spark, tmp_path):
+    assert storage.load_state(spark, f"{tmp_path}/none", "node long").collect() == []
