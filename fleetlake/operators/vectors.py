@@ -16,11 +16,19 @@ def dot(a, b):
     return _sum(F.zip_with(a, b, lambda p, q: p * q))
 
 
-def normalize(df: DataFrame, mode: str = "rms", eps: float = 1e-6) -> DataFrame:
-    """rms: x / sqrt(mean x^2 + eps); l2: x / (sqrt(sum x^2) + eps)."""
+def normalize(df: DataFrame, mode: str = "rms", eps: float = 1e-6, weights: str | None = None, gate: str | None = None) -> DataFrame:
+    """rms: x / sqrt(mean x^2 + eps); l2: x / (sqrt(sum x^2) + eps); gated: rms times g / (1 + exp(-g)) of the array ``gate``.
+
+    The array ``weights``, if named, is multiplied in. Arrays of other lengths than x are an error.
+    """
     total = _sum("x", lambda v: v * v)
-    scale = F.sqrt(total / F.size("x") + eps) if mode == "rms" else F.sqrt(total) + eps
-    return df.withColumn("scale", scale).withColumn("x", F.transform("x", lambda v: v / F.col("scale"))).drop("scale")
+    scale = F.sqrt(total) + eps if mode == "l2" else F.sqrt(total / F.size("x") + eps)
+    x = F.transform("x", lambda v: v / F.col("scale"))
+    factors = ([(weights, lambda e: e)] if weights else []) + ([(gate, lambda g: g / (1 + F.exp(-g)))] if mode == "gated" else [])
+    for name, of in factors:
+        same = F.when(F.size("x") == F.size(name), F.col(name)).otherwise(F.raise_error(F.lit(f"x and {name} differ in length")).cast("array<double>"))
+        x = F.zip_with(x, F.transform(same, of), lambda v, f: v * f)
+    return df.withColumn("scale", scale).withColumn("x", x).drop("scale")
 
 
 def softmax(df: DataFrame, key: str, value: str) -> DataFrame:

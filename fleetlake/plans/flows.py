@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from fleetlake import storage
 from fleetlake import views as v
-from fleetlake.functions import encodings
+from fleetlake.functions import bpe, encodings
 from fleetlake.operators import delta, energy, fleet, folds, identity, planning, vectors
 from fleetlake.plans import artifacts as a
 from fleetlake.plans import registry as r
 from fleetlake.plans.registry import query
 from fleetlake.sources import frames, shards
 from fleetlake.streaming import folds as streams
+from fleetlake.streaming import liveness
 
 _RECURSIVE = ("WITH ", "WITH RECURSIVE ")
 
@@ -276,3 +277,44 @@ def _(spark, d):
         F.when(k % 3 == 0, "flags: avx avx2").otherwise("flags: avx avx2x"),
     )
     return shards.parse_probe_logs(v.table(spark, d, "supplier").select(k.alias("node"), log.alias("text")))
+
+
+@query("s6_announcements", """SELECT vec_id AS id, CASE WHEN vec_id % 5 < 2 THEN NULL ELSE label END AS token_pos, CASE WHEN vec_id % 5 < 2 THEN NULL ELSE left(md5(CAST(vec_id AS VARCHAR)), 16) END AS hash,
+  CASE vec_id % 5 WHEN 0 THEN 'truncated' WHEN 1 THEN 'short' ELSE 'ok' END AS reason FROM embeddings""")
+def _(spark, d):
+    k = F.col("vec_id")
+    x = v.table(spark, d, "embeddings").select(k.alias("id"), k.alias("sequence"), F.col("label").alias("token_pos"), F.lit(0).alias("layer_start"), F.lit(9).alias("layer_end"), F.left(F.md5(k.cast("string").cast("binary")), F.lit(16)).alias("hash"))
+    cut = F.when(F.col("id") % 5 == 0, F.expr("left(frame, 66)")).when(F.col("id") % 5 == 1, F.expr("left(frame, 50)")).otherwise(F.col("frame"))
+    good, bad = frames.decode_announcements(frames.encode_announcements(x).select("id", cut.alias("frame")))
+    return good.select("id", "token_pos", "hash", F.lit("ok").alias("reason")).unionByName(bad, allowMissingColumns=True)
+
+
+@query("v1_normalize_gated", a._E + " SELECT id, d, round(v / sqrt(avg(v * v) OVER (PARTITION BY id) + 1e-6) * (1 + d % 3) * (v / 2 / (1 + exp(-v / 2))), 6) + 0.0 AS v FROM e")
+def _(spark, d):
+    x = v.vectors(spark, d).select("id", "x", F.transform("x", lambda _, i: (1 + i % 3).cast("double")).alias("w"), F.transform("x", lambda e: e / 2).alias("g"))
+    return a._cells(vectors.normalize(x, "gated", weights="w", gate="g"))
+
+
+def _vocabulary():
+    import public_tokenizers
+
+    return bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("t2_bpe_encode")
+def _(spark, d):
+    return bpe.bpe_encode(v.table(spark, d, "documents").select("doc_id", "text"), _vocabulary()).select("doc_id", "ids")
+
+
+@query("t3_bpe_decode", "SELECT doc_id, text FROM documents")
+def _(spark, d):
+    words = _vocabulary()
+    return bpe.bpe_decode(bpe.bpe_encode(v.table(spark, d, "documents").select("doc_id", "text"), words).select("doc_id", "ids"), words)
+
+
+@query("x2_stream_liveness", """WITH o AS (SELECT user_id AS node, epoch_ms(ts) AS ms, lag(epoch_ms(ts)) OVER w AS prev, lead(epoch_ms(ts)) OVER w AS next FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY epoch_ms(ts)))
+SELECT node, ms AS at_ms, true AS online FROM o WHERE prev IS NULL OR ms - prev >= 43200000
+UNION ALL SELECT node, ms + 43200000, false FROM o WHERE next - ms >= 43200000 OR (next IS NULL AND ms + 43200000 <= (SELECT max(ms) - 60000 FROM o))""")
+def _(spark, d):
+    reports = v.telemetry_of(streams.open_table(spark, f"{d}/events.parquet"))
+    return streams.drain(liveness.stream_liveness(reports, 43200, 60), "liveness")

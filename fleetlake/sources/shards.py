@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 MAGIC, VERSION, HEADER = 0x4F55524F, 1, 16
 
 
-def _turned(b, n: int):
+def turned(b, n: int):
     """The first ``n`` bytes in the other order."""
     return F.concat(*[F.substring(b, i, 1) for i in range(n, 0, -1)])
 
 
 def le_bytes(col, n: int):
-    return _turned(F.unhex(F.lpad(F.hex(col.cast("long")), 2 * n, "0")), n)
+    return turned(F.unhex(F.lpad(F.hex(col.cast("long")), 2 * n, "0")), n)
 
 
 def le_number(data, at: int, n: int):
-    return F.conv(F.hex(_turned(F.substring(data, at + 1, n), n)), 16, 10).cast("long")
+    return F.conv(F.hex(turned(F.substring(data, at + 1, n), n)), 16, 10).cast("long")
 
 
 def layout_shards(items: DataFrame) -> DataFrame:

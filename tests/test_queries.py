@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlake import storage
-from fleetlake.functions import encodings, tokens
+from fleetlake.functions import bpe, encodings, tokens
 from fleetlake.operators import delta, failures, folds, identity, planning, vectors
 from fleetlake.plans import artifacts, flows, registry  # noqa: F401
-from fleetlake.sources import logs
+from fleetlake.sources import frames, logs
+from fleetlake.streaming import liveness
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -163,3 +164,121 @@ def test_identities_follow_chains(spark):
 
 def test_a_missing_snapshot_is_an_empty_state(spark, tmp_path):
     assert storage.load_state(spark, f"{tmp_path}/none", "node long").collect() == []
+
+
+def bits(block: bytes, first: int, n: int = 1) -> int:
+    return int.from_bytes(block, "little") >> first & (1 << n) - 1
+
+
+def plain_block(kind: int, b: bytes) -> list[float]:
+    """One block, element by element, in exact arithmetic."""
+    import struct
+
+    half = lambda at: struct.unpack_from("<e", b, at)[0]
+    out = []
+    for i in range(256):
+        part, pos = i // 32, i % 32
+        if kind == encodings.TQ1_0:
+            run, size, start = (0, 32, 0) if i < 160 else (32, 16, 160) if i < 240 else (48, 4, 240)
+            digit, byte = divmod(i - start, size)
+            out.append((b[run + byte] * 3**digit % 256 * 3 // 256 - 1) * half(52))
+        elif kind == encodings.Q3_K:
+            q = bits(b[32 + 32 * (i // 128) + pos : 97], 2 * (part % 4), 2) - (0 if bits(b[pos : pos + 1], part) else 4)
+            at = i // 16
+            scale = bits(b[96 + at % 8 : 97 + at % 8], 4 * (at // 8), 4) + 16 * bits(b[104 + at % 4 : 105 + at % 4], 2 * (at // 4), 2)
+            out.append(half(108) * (scale - 32) * q)
+        elif kind == encodings.Q6_K:
+            half_no, quarter = i // 128, i % 128 // 32
+            low = bits(b[64 * half_no + 32 * (quarter % 2) + pos :][:1], 4 * (quarter // 2), 4)
+            high = bits(b[128 + 32 * half_no + pos :][:1], 2 * quarter, 2)
+            out.append(half(208) * struct.unpack_from("<b", b, 192 + i // 16)[0] * (low + 16 * high - 32))
+        else:
+            s = b[4:16]
+            scale, offset = (s[part] % 64, s[part + 4] % 64) if part < 4 else (s[part + 4] % 16 + s[part - 4] // 64 * 16, s[part + 4] // 16 + s[part] // 64 * 16)
+            q = bits(b[-128 + 32 * (part // 2) + pos :][:1], 4 * (part % 2), 4) + (16 * bits(b[16 + pos : 17 + pos], part) if kind == encodings.Q5_K else 0)
+            out.append(half(0) * scale * q - half(2) * offset)
+    return out
+
+
+@pytest.mark.parametrize("kind", [encodings.Q3_K, encodings.Q4_K, encodings.Q5_K, encodings.Q6_K, encodings.TQ1_0])
+def test_blocks_decode_as_element_by_element(kind):
+    import numpy as np
+
+    size, r = encodings.BLOCKS[kind][1], np.random.default_rng(kind)
+    blocks = r.integers(0, 256, (5, size), np.uint8)
+    for at in {encodings.Q3_K: [108], encodings.Q6_K: [208], encodings.TQ1_0: [52]}.get(kind, [0, 2]):
+        blocks[:, at : at + 2] = r.normal(size=(5, 1)).astype("<f2").view(np.uint8)
+    want = [x for b in blocks for x in plain_block(kind, b.tobytes())]
+    assert np.allclose(encodings.decode_bytes(kind, blocks.tobytes()), want, rtol=1e-5, atol=1e-5)
+    assert len(encodings.decode_bytes(kind, b"")) == 0
+
+
+HELLO = bpe.Vocabulary(dict(enumerate(["H", "e", "l", "o", "He", "Hel", "lo", "Hello"])), {}, [("H", "e"), ("He", "l"), ("l", "o"), ("Hel", "lo")])
+
+
+def test_pairs_merge_by_rank(spark):
+    t = spark.createDataFrame([(1, "Hello"), (2, "o"), (3, ""), (4, None), (5, "Help")], "id int, text string")
+    got = bpe.bpe_encode(t, HELLO).orderBy("id").collect()
+    assert [(r.ids, r.unknown) for r in got] == [([7], False), ([3], False), ([], False), (None, False), (None, True)]
+
+
+def test_merging_equals_the_plain_loop():
+    import random
+
+    r = random.Random(5)
+    for _ in range(200):
+        ranks = {}
+        for n in range(r.randrange(1, 12)):
+            ranks.setdefault(("".join(r.choices("ab", k=r.randrange(1, 3))), "".join(r.choices("ab", k=r.randrange(1, 3)))), n)
+        parts = want = r.choices("ab", k=r.randrange(0, 30))
+        while best := min(((ranks[p], i) for i, p in enumerate(zip(want, want[1:])) if p in ranks), default=None):
+            i = best[1]
+            want = [*want[:i], want[i] + want[i + 1], *want[i + 2 :]]
+        assert bpe.merge_pairs(parts, ranks) == want
+
+
+def test_encoding_equals_the_tokenizer_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs = Tokenizer.from_file(path)
+    theirs.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    t = spark.read.parquet(f"{SMALL}/documents.parquet").where("text is not null").select("doc_id", "text").limit(60)
+    cut = {}
+    for r in tokens.pretokenize(t).orderBy("doc_id", "i").collect():
+        cut.setdefault(r.doc_id, []).append(r.piece)
+    ours = {r.doc_id: r.ids for r in bpe.bpe_encode(t, bpe.read_vocabulary(path)).collect()}
+    assert ours and all(ours[k] == [i for p in v for i in theirs.encode(p, add_special_tokens=False).ids] for k, v in cut.items())
+
+
+def test_tokens_without_text_decode_empty(spark):
+    words = bpe.Vocabulary({0: "a", 1: "Ġb", 2: "x", 3: "y", 4: "â"}, {2: bpe.CONTROL, 3: bpe.UNUSED}, [])
+    t = spark.createDataFrame([(1, [0, 2, 1, 3, 99]), (2, [4]), (3, []), (4, None)], "id int, ids array<int>")
+    assert [r.text for r in bpe.bpe_decode(t, words).orderBy("id").collect()] == ["a b", "�", "", None]
+
+
+def test_liveness_of_a_table_equals_the_stream(spark):
+    from fleetlake import views
+
+    rows = liveness.liveness_changes(views.telemetry(spark, SMALL), 43200, 60).collect()
+    assert sorted(rows) == sorted(registry.QUERIES["x2_stream_liveness"](spark, SMALL).collect())
+
+
+def test_silence_is_told_once_over_many_triggers(spark, tmp_path):
+    from fleetlake.streaming import folds as streams
+
+    for i, part in enumerate([[("a", 0), ("b", 5)], [("a", 20)], [("b", 100)], [("a", 101), ("c", 200), (None, 1)]]):
+        df = spark.createDataFrame(part, "node string, s long").select("node", F.timestamp_seconds(F.col("s") + 1000).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("node string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = sorted((r.node, r.at_ms // 1000 - 1000, r.online) for r in streams.drain(liveness.stream_liveness(stream, 30), "silence").collect())
+    whole = sorted((r.node, r.at_ms // 1000 - 1000, r.online) for r in liveness.liveness_changes(spark.read.parquet(f"{tmp_path}/in"), 30).collect())
+    assert got == whole == [("a", 0, True), ("a", 50, False), ("a", 101, True), ("a", 131, False), ("b", 5, True), ("b", 35, False), ("b", 100, True), ("b", 130, False), ("c", 200, True)]
+
+
+def test_frames_of_the_other_type_are_errors(spark):
+    t = spark.createDataFrame([(1, 2, 3, 4, "00000000000000ff", [1.0])], "sequence long, token_pos long, layer_start long, layer_end long, hash string, x array<float>")
+    announced, plain_ones = frames.encode_announcements(t).select("frame"), frames.encode_frames(t).select("frame")
+    assert frames.decode_announcements(announced)[0].first().hash == "00000000000000ff"
+    assert frames.decode_frames(announced)[1].first().reason == frames.decode_announcements(plain_ones)[1].first().reason == "type"
