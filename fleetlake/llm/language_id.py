@@ -88,7 +88,7 @@ class PpmModel:
         for g, size, c, count in zip(lang, k, code, n, strict=True):
             if (i := at.get((s := spell(c, size))[:-1])) is not None:
                 counts[i, symbol[s[-1]], g] = count
-        cost = np.empty_like(counts)
+        cost = counts  # each row of counts is read before its costs replace it
         step = np.zeros((len(contexts), width), np.int32)
         for i, s in enumerate(contexts):
             lower = np.full((width, len(languages)), 1 / 256) if not s else 2.0 ** -cost[at[s[1:]]].astype(float)
@@ -139,7 +139,7 @@ def fit_ppm(labelled: DataFrame, params: PpmParams = PpmParams()) -> PpmModel:
     chosen = ranked.select("key", "r").distinct()
     sample = usable.join(F.broadcast(chosen), ["key", "r"])  # sample_docs rows a language
     grams = sample.select("lang", "text").mapInArrow(lambda it: _count_grams(it, p.order), "lang string, k long, code long, n long")
-    table = grams.groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toPandas()
+    table = grams.groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas(self_destruct=True)
     if table["lang"].nunique() > p.max_languages:
         raise ValueError(f"more than {p.max_languages} languages")
     return PpmModel.fit(table, p.order, p.max_contexts)
