@@ -1,17 +1,19 @@
 """Language-model scores from a weighted backoff automaton.
 
-Words are counted over all training documents; frequent words and the frequent
-word sequences up to ``order`` become states, each with arcs to the words seen
-after it (discounted) and a failure arc to its longest suffix whose weight hands
-the discounted mass down; at the root stand add-0.1 unigrams of the whole
-vocabulary. A text is read once from left to right: the current state either has
-an arc for the next word or fails until one has, and log-probabilities add up.
-
-Documents are gathered into blocks with a dictionary of their own. Blocks send
-dictionary parts to buckets of words, buckets add up the counts and send totals
-back, so no task sees more than a block or a bucket, and only states and arcs,
-which are at most ``1 / least_share`` and ``order / least_arc_share`` by
-construction, go to all tasks.
+Words are counted over all training documents; words and word sequences up to
+``order`` that occur ``least_count`` times become states, each with arcs to the
+words seen after it (discounted) and a failure arc to its longest suffix whose
+weight hands the discounted mass down; at the root stand add-0.1 unigrams of the
+whole vocabulary. At each word of a text the state fails until it has an arc, and
+log-probabilities add up.
+
+The automaton grows with the corpus and is nowhere whole. Documents are gathered
+into blocks with a dictionary of their own. For one length after the other a block
+deals the sequences it holds (those whose parts are states) to buckets by hash;
+buckets add up the counts and send each block the totals of its own. One of the
+blocks that hold an arc adds it to its context's sums, which go the same way and
+give the failure weights. So a block ends up with just the states and arcs that
+its texts can meet, and no task sees more than a block or a bucket.
 """
 
 from __future__ import annotations
@@ -25,15 +27,15 @@ from pyspark.sql import functions as F
 from fleetlake.llm.common import materialize, mix, pieces, texts_of, word_hashes
 
 END = b"\0end"  # not a word: words hold what isn't white space, and none has this hash by design
-SEGMENT = 512  # tokens that the traversal takes at a stretch
+START = np.uint64(0x5E0F7C3A91D24B86)  # stands before each text in the hashes of sequences
 
 
 @dataclass(frozen=True)
 class LmParams:
     order: int = 3
-    least_share: float = 1e-5  # of the training tokens that make a word a state
-    least_arc_share: float = 1e-6  # of the training tokens that make a sequence an arc
-    least_count: int = 2
+    least_share: float = 0.0  # a further bound on words as a share of the training tokens; it cuts more the larger the corpus is
+    least_arc_share: float = 0.0  # the same for sequences
+    least_count: int = 2  # occurrences that make a word a state and a sequence an arc
     discount: float = 0.75
     block_tokens: int = 1_500_000
 
@@ -43,7 +45,7 @@ def _end_hash() -> int:
 
 
 def _blocks(batches, p: LmParams):
-    """Rows of (block, doc_ids, train, lengths, words, counts, tokens): words and counts are a sorted dictionary."""
+    """Rows of (block, doc_ids, train, lengths, words, counts, tokens): words and counts are a dictionary."""
     import pyarrow as pa
     import zstandard
     from pyspark import TaskContext
@@ -56,9 +58,13 @@ def _blocks(batches, p: LmParams):
         lengths = np.array([len(h) for *_, h in docs])
         train = np.array([t for _, t, _ in docs], bool)
         words, local = np.unique(np.concatenate([h for *_, h in docs]), return_inverse=True)
-        local = local.astype(np.int32)
+        # Frequent words first and the digits of all numbers together: this takes a third of the bytes.
+        often = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[often] = np.arange(len(words), dtype=np.int32)
+        words, local = words[often], rank[local]
         counts = np.bincount(local[np.repeat(train, lengths)], minlength=len(words)).astype(np.int64)
-        cells = [part << 20 | serial, [d for d, *_ in docs], train.tolist(), lengths.tolist(), int(lengths[train].sum()), int(train.sum()), words.tobytes(), counts.astype(np.uint32).tobytes(), zstandard.ZstdCompressor(level=1).compress(local.tobytes())]
+        cells = [part << 20 | serial, [d for d, *_ in docs], train.tolist(), lengths.tolist(), int(lengths[train].sum()), int(train.sum()), words.tobytes(), counts.astype(np.uint32).tobytes(), zstandard.ZstdCompressor(level=1).compress(local.view(np.uint8).reshape(-1, 4).T.tobytes())]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.int64(), *[pa.binary()] * 3]
         return pa.record_batch([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=["block", "doc_ids", "train", "lengths", "train_tokens", "train_docs", "words", "counts", "tokens"])
 
@@ -78,169 +84,175 @@ def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _deal(keys: np.ndarray, counts: np.ndarray, block: int, buckets: int):
-    """Rows of (bucket, block, keys, counts) for one block; the order of keys is kept within a bucket."""
-    import pyarrow as pa
+def _pack(a: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+
+
+def _open(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
 
+def _slots(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by bucket, kept within one, and where buckets begin in it."""
     b = _bucket_of(keys, buckets)
     order = np.argsort(b, kind="stable")
-    cuts = np.searchsorted(b[order], np.arange(buckets + 1))
+    return order, np.searchsorted(b[order], np.arange(buckets + 1))
+
+
+def _deal(level: int, keys: np.ndarray, values: np.ndarray, block: int, buckets: int):
+    """Rows of (bucket, block, level, keys, vals) for one block."""
+    import pyarrow as pa
+
+    order, cuts = _slots(keys, buckets)
     full = [i for i in range(buckets) if cuts[i + 1] > cuts[i]]
-    k, c = keys[order], counts[order]
-    return pa.record_batch([pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array([k[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()), pa.array([c[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())], names=["bucket", "block", "keys", "counts"])
+    k, c = keys[order], values[order]
+    return pa.record_batch([pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array([level] * len(full), pa.int64()), pa.array([k[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()), pa.array([_pack(c[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())], names=["bucket", "block", "level", "keys", "vals"])
 
 
-DEALT = "bucket long, block long, keys binary, counts binary"
+def _told(level: int, keys: np.ndarray, replies: dict, buckets: int) -> np.ndarray:
+    """What the buckets sent back for the keys that ``_deal`` got."""
+    order, cuts = _slots(keys, buckets)
+    out = np.zeros(len(keys), np.int64) if level > 0 else np.zeros((len(keys), 2))
+    for bucket, data in replies[level]:
+        out[order[cuts[bucket] : cuts[bucket + 1]]] = _open(data, out.dtype).reshape(-1, *out.shape[1:])
+    return out
 
 
-def _merge(table, least: int, send_back: bool):
-    """Adds up a bucket. Block -1 gets the keys that reach ``least``; with ``send_back`` each block its totals."""
+#: ``level`` n: counts of sequences of n words; -n: sums over the arcs of contexts of n words.
+DEALT = "bucket long, block long, level long, keys binary, vals binary"
+
+
+def _merge(table):
+    """Adds up a bucket and sends each block its totals: of counts twice the total, and 1 for the key's first block."""
     import pyarrow as pa
 
+    table = table.sort_by("block")
+    level, bucket = table["level"][0].as_py(), table["bucket"][0].as_py()
     keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-    counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table["counts"].to_pylist()]
-    unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(unique)).astype(np.int64)
-    good = total >= least
-    rows = [(-1, unique[good].tobytes(), total[good].tobytes(), int((total > 0).sum()))]
-    if send_back:
-        ends = np.cumsum([len(k) for k in keys])
-        rows += [(b, b"", total[inverse[e - len(k) : e]].tobytes(), 0) for b, k, e in zip(table["block"].to_pylist(), keys, ends.tolist(), strict=True)]
-    bucket = table["bucket"][0].as_py()
-    return pa.table({"bucket": pa.array([bucket] * len(rows), pa.int64()), "block": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "totals": pa.array([r[2] for r in rows], pa.binary()), "n_seen": pa.array([r[3] for r in rows], pa.int64())})
-
-
-MERGED = "bucket long, block long, keys binary, totals binary, n_seen long"
-
-
-class Automaton:
-    """States: 0 the root, then the words (0 stands for a text's start), then kept sequences."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words  # sorted hashes of the state words; word i + 1 has hash words[i]
-        self.width = len(words) + 1
-        self.grams: list[np.ndarray] = []  # of 2, 3, ... words: sorted keys (index of the shorter one, last word)
-
-    def word_ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of the state words, -1 for other words."""
-        if not len(self.words):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 1, -1)
-
-    @staticmethod
-    def _at(keys: np.ndarray, wanted: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(wanted), -1, np.int64)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(valid & (keys[at] == wanted), at, -1)
-
-    def sequence_keys(self, w: np.ndarray) -> np.ndarray:
-        """Keys of the next longer sequences at each place of ``w``, -1 where a shorter one isn't kept."""
-        index = w
-        for keys in self.grams:
-            before = np.concatenate([[-1], index[:-1]])
-            index = self._at(keys, before * self.width + w, (before >= 0) & (w > 0))
-        before = np.concatenate([[-1], index[:-1]])
-        return np.where((before >= 0) & (w > 0) & (index >= 0), before * self.width + w, -1)
-
-    def weigh(self, word_counts: np.ndarray, gram_counts: list[np.ndarray], starts: int, unigram: np.ndarray, discount: float) -> None:
-        """Arcs and failure weights. ``unigram``: probabilities of the state words, 0 for the start."""
-        base = [1]
-        for keys in [np.arange(self.width), *self.grams]:
-            base.append(base[-1] + len(keys))
-        states = base[-1]
-        self.fail, self.weight = np.zeros(states, np.int64), np.zeros(states)
-        context_counts = np.concatenate([[starts], word_counts]).astype(float)
-        lower = unigram
-        suffix = np.zeros(self.width, np.int64)  # state of each context's suffix, by index
-        arcs, probs, following = [], [], []
-        for n, (keys, counts) in enumerate(zip(self.grams, gram_counts, strict=True)):
-            context, word = keys // self.width, keys % self.width
-            p = (counts - discount) / context_counts[context]
-            # The same word after the suffix of the context: kept too, as it is at least as frequent.
-            below = lower[word] if n == 0 else lower[np.searchsorted(self.grams[n - 1], (suffix_index[context]) * self.width + word)]
-            left = 1 - np.bincount(context, p, len(context_counts))
-            rest = 1 - np.bincount(context, below, len(context_counts))
-            self.weight[base[n] : base[n + 1]] = np.log10(np.clip(left, 1e-9, 1) / np.clip(rest, 1e-9, None))
-            self.fail[base[n] : base[n + 1]] = suffix
-            arcs.append((base[n] + context) * self.width + word)
-            probs.append(np.log10(np.maximum(p, 1e-12)))
-            suffix_index = word if n == 0 else np.searchsorted(self.grams[n - 1], suffix_index[context] * self.width + word)
-            suffix = base[n] + suffix_index
-            following.append(base[n + 1] + np.arange(len(keys)) if n + 1 < len(self.grams) else suffix)
-            lower, context_counts = p, counts.astype(float)
-        if self.grams:
-            self.fail[base[-2] :] = suffix
-        order = np.argsort(np.concatenate(arcs)) if arcs else np.empty(0, np.int64)
-        pick = lambda parts, kind: np.concatenate(parts)[order] if parts else np.empty(0, kind)
-        self.arcs, self.arc_log, self.arc_next = pick(arcs, np.int64), pick(probs, float), pick(following, np.int64)
-
-    def read(self, w: np.ndarray, unigram_log: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Log-probability of each text ``w[start:end]``; all stretches advance one word at a time together."""
-        text, first, last = [], [], []
-        lead = max(0, len(self.grams))  # words that settle the state a stretch begins with
-        for i, (a, z) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            for s in range(a, z, SEGMENT):
-                text.append(i)
-                first.append(s)
-                last.append(min(z, s + SEGMENT))
-        text, first, last = np.array(text, np.int64), np.array(first, np.int64), np.array(last, np.int64)
-        lead = np.minimum(lead, first - starts[text])
-        order = np.argsort(-(last - first + lead), kind="stable")
-        text, begin, lead, last = text[order], (first - lead)[order], lead[order], last[order]
-        size = last - begin
-        state = np.where(begin == starts[text], 1, 0)  # the start of a text is word 0
-        total = np.zeros(len(text))
-        active = len(text)
-        for step in range(int(size.max()) if len(size) else 0):
-            while active and size[active - 1] <= step:
-                active -= 1
-            at = begin[:active] + step
-            word, cost = w[at], np.zeros(active)
-            follow = np.where(word > 0, word + 1, 0)
-            now = state[:active].copy()
-            todo = np.flatnonzero(now > 0)
-            while len(todo):
-                s, x = now[todo], word[todo]
-                arc = self._at(self.arcs, s * self.width + x, x > 0)
-                hit = arc >= 0
-                cost[todo[hit]] += self.arc_log[arc[hit]]
-                follow[todo[hit]] = self.arc_next[arc[hit]]
-                now[todo[hit]] = -1
-                todo = todo[~hit]
-                cost[todo] += self.weight[now[todo]]
-                now[todo] = self.fail[now[todo]]
-                todo = todo[now[todo] > 0]
-            root = now == 0
-            cost[root] += unigram_log[at[root]]
-            state[:active] = follow
-            total[:active] += np.where(step >= lead[:active], cost, 0)
-        return np.bincount(text, total, len(starts))
+    unique, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    values = np.concatenate([_open(x, np.uint32 if level > 0 else np.float64) for x in table["vals"].to_pylist()])
+    seen = 0
+    if level > 0:
+        total = np.bincount(inverse, weights=values, minlength=len(unique)).astype(np.int64)
+        seen = int((total > 0).sum())
+        back = total[inverse] * 2
+        back[first] += 1
+    else:
+        back = np.stack([np.bincount(inverse, weights=v, minlength=len(unique))[inverse] for v in values.reshape(-1, 2).T], 1)
+    ends = np.cumsum([len(k) for k in keys]).tolist()
+    n = len(keys)
+    return pa.table({"bucket": pa.array([bucket] * n, pa.int64()), "block": table["block"], "level": table["level"], "totals": pa.array([_pack(back[e - len(k) : e]) for k, e in zip(keys, ends, strict=True)], pa.binary()), "n_seen": pa.array([seen] + [0] * (n - 1), pa.int64())})
+
+
+MERGED = "bucket long, block long, level long, totals binary, n_seen long"
 
 
 def _unpack(row):
     import zstandard
 
     words = np.frombuffer(row["words"], np.uint64)
-    tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.int32)
+    tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.uint8)
+    tokens = np.ascontiguousarray(tokens.reshape(4, -1).T).view(np.int32).ravel()
     return words, tokens, np.array(row["lengths"], np.int64), np.array(row["train"], bool)
 
 
-def _count_sequences(batches, shared, buckets: int):
-    automaton = shared.value
-    for b in batches:
-        for row in b.to_pylist():
-            words, tokens, lengths, train = _unpack(row)
-            ids = automaton.word_ids(words)[tokens]
-            # A start before each training text; nothing reaches over it, as it is never a next word.
-            ends = np.cumsum(lengths)
-            chosen = np.repeat(train, lengths)
-            w = np.insert(ids, ends - lengths, 0)[np.insert(chosen, ends - lengths, train)]
-            keys = automaton.sequence_keys(w)
-            unique, counts = np.unique(keys[keys >= 0], return_counts=True)
-            if len(unique):
-                yield _deal(unique.view(np.uint64), counts.astype(np.uint32), row["block"], buckets)
+@dataclass
+class Level:
+    """The sequences of one length that a block holds."""
+
+    keys: np.ndarray
+    counts: np.ndarray  # in training, over all blocks
+    probs: np.ndarray  # of the last word after the others
+    kept: np.ndarray
+    place: np.ndarray  # the kept sequence that ends at each place of the block, or -1
+    before: np.ndarray | None = None  # the kept context that ends before each place, or -1
+    sums: np.ndarray | None = None  # of each context: discounted counts and lower probabilities of the arcs that this block answers for
+
+
+@dataclass(frozen=True)
+class Facts:
+    buckets: int
+    starts: int
+    whole: float
+    least_word: int
+    least_arc: int
+    discount: float
+
+
+class Block:
+    """A block's texts, each behind its start, and the levels that the buckets have told it."""
+
+    def __init__(self, row, replies: dict, f: Facts):
+        words, local, self.lengths, train = _unpack(row)
+        self.f, self.replies = f, replies
+        ends = np.cumsum(self.lengths)
+        self.first = ends - self.lengths + np.arange(len(ends))  # places of the starts
+        self.w = np.insert(local + 1, ends - self.lengths, 0)
+        self.train = np.repeat(train, self.lengths + 1)
+        total = _told(1, words, replies, f.buckets) >> 1
+        self.hashes = np.concatenate([[START], words])
+        kept = np.concatenate([[True], total >= f.least_word])
+        self.levels = [Level(self.hashes, np.concatenate([[f.starts], total]), np.concatenate([[1], (total + 0.1) / f.whole]), kept, np.where(kept[self.w], self.w, -1).astype(np.int32))]
+
+    def _candidates(self):
+        """Sequences one longer than the last level whose parts are states: contexts, last words, keys, their places."""
+        low, width = self.levels[-1], len(self.hashes)
+        before = np.concatenate([np.array([-1], np.int32), low.place[:-1]])
+        at = np.flatnonzero((before >= 0) & (self.w > 0) & (low.place >= 0))
+        codes, inverse = np.unique(before[at].astype(np.int64) * width + self.w[at], return_inverse=True)
+        context, word = codes // width, codes % width
+        keys = mix(low.keys[context] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[word])
+        return before, at, inverse.astype(np.int32), context, keys
+
+    def next_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        _, at, inverse, _, keys = self._candidates()
+        return keys, np.bincount(inverse, weights=self.train[at], minlength=len(keys)).astype(np.uint32)
+
+    def add_level(self) -> None:
+        low, n = self.levels[-1], len(self.levels) + 1
+        before, at, inverse, context, keys = self._candidates()
+        told = _told(n, keys, self.replies, self.f.buckets)
+        counts = told >> 1
+        kept = counts >= self.f.least_arc
+        mass = np.where(kept, counts - self.f.discount, 0.0)
+        suffix = np.zeros(len(keys), np.int32)
+        suffix[inverse] = low.place[at]
+        mine = np.flatnonzero(kept & (told & 1 > 0))
+        sums = np.stack([np.bincount(context[mine], weights=v, minlength=len(low.keys)) for v in (mass[mine], low.probs[suffix[mine]])], 1)
+        place = np.full(len(self.w), -1, np.int32)
+        place[at] = np.where(kept[inverse], inverse, -1)
+        self.levels.append(Level(keys, counts, mass / np.maximum(low.counts[context], 1), kept, place, before, sums))
+
+    def context_sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the states that the last level's arcs leave: keys and sums."""
+        low, top = self.levels[-2:]
+        return low.keys[low.kept], top.sums[low.kept]
+
+    def costs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of the word at each place, by unigrams and by the automaton; 0 at starts."""
+        base = np.log10(self.levels[0].probs)[self.w]
+        cost = base
+        for n, (low, top) in enumerate(zip(self.levels, self.levels[1:]), 1):
+            mass, below = _told(-n, low.keys[low.kept], self.replies, self.f.buckets).T
+            weight = np.zeros(len(low.keys))
+            left = 1 - mass / np.maximum(low.counts[low.kept], 1)
+            weight[low.kept] = np.log10(np.clip(left, 1e-9, 1) / np.clip(1 - below, 1e-9, None))
+            failed = cost + np.where(top.before >= 0, weight[top.before], 0)
+            cost = np.where(top.place >= 0, np.log10(np.maximum(top.probs, 1e-12))[top.place] if len(top.probs) else 0, failed)
+        cost = cost.copy()
+        cost[self.first] = 0
+        return base, cost
+
+
+def _replies(table) -> dict:
+    out: dict = {}
+    for level, bucket, totals in zip(*(table[c].to_pylist() for c in ("level", "bucket", "totals")), strict=True):
+        out.setdefault(level, []).append((bucket, totals))
+    return out
 
 
 def score_texts(docs: DataFrame, params: LmParams = LmParams(), id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> DataFrame:
@@ -266,52 +278,50 @@ def score_texts(docs: DataFrame, params: LmParams = LmParams(), id_col: str = "d
     def deal_words(batches):
         for b in batches:
             for row in b.to_pylist():
-                yield _deal(np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.uint32), row["block"], buckets)
-
-    def gathered(frame: DataFrame, least: int, send_back: bool, name: str) -> DataFrame:
-        return materialize(frame.groupBy("bucket").applyInArrow(lambda t: _merge(t, least, send_back), MERGED), name)
-
-    def kept(frame: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and totals that reached their bound: so few that they fit everywhere."""
-        found = frame.where("block = -1 and length(keys) > 0").select("keys", "totals").collect()
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in found] or [np.empty(0, np.uint64)])
-        totals = np.concatenate([np.frombuffer(r["totals"], np.int64) for r in found] or [np.empty(0, np.int64)])
-        order = np.argsort(keys)
-        return keys[order], totals[order]
-
-    counted = gathered(blocks.select("block", "words", "counts").mapInArrow(deal_words, DEALT), least_word, True, "totals")
-    vocabulary = int(counted.agg(F.coalesce(F.sum("n_seen"), F.lit(0))).first()[0])
-    words, word_counts = kept(counted)
-    automaton = Automaton(words)
-    gram_counts = []
-    for n in range(2, p.order + 1):
-        shared = spark.sparkContext.broadcast(automaton)
-        dealt = blocks.where("train_docs > 0").select("block", "train", "lengths", "words", "tokens").mapInArrow(lambda it, s=shared: _count_sequences(it, s, buckets), DEALT)
-        keys, counts = kept(gathered(dealt, least_arc, False, f"sequences{n}"))
-        automaton.grams.append(keys.view(np.int64))
-        gram_counts.append(counts)
-    whole = tokens + 0.1 * (vocabulary + 1)
-    automaton.weigh(word_counts, gram_counts, starts, np.concatenate([[0], (word_counts + 0.1) / whole]), p.discount)
-    shared = spark.sparkContext.broadcast(automaton)
-
-    def score(block, totals):
+                yield _deal(1, np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.uint32), row["block"], buckets)
+
+    def gathered(frame: DataFrame, name: str) -> DataFrame:
+        return materialize(frame.groupBy("bucket", "level").applyInArrow(_merge, MERGED), name)
+
+    told = gathered(blocks.select("block", "words", "counts").mapInArrow(deal_words, DEALT), "totals")
+    vocabulary = int(told.agg(F.coalesce(F.sum("n_seen"), F.lit(0))).first()[0])
+    facts = Facts(buckets, starts, tokens + 0.1 * (vocabulary + 1), least_word, least_arc, p.discount)
+    heavy = blocks.select("block", "doc_ids", "train", "lengths", "words", "tokens")
+
+    def with_replies(function, schema: str) -> DataFrame:
+        return heavy.groupBy("block").cogroup(told.select("block", "level", "bucket", "totals").groupBy("block")).applyInArrow(function, schema)
+
+    def dealer(step: int):
+        def deal(block, replies):
+            import pyarrow as pa
+
+            row = block.to_pylist()[0]
+            mine = Block(row, _replies(replies), facts)
+            while len(mine.levels) < step - 1:
+                mine.add_level()
+            out = []
+            if step > 2:
+                out.append(_deal(2 - step, *mine.context_sums(), row["block"], buckets))
+            if step <= p.order:
+                out.append(_deal(step, *mine.next_counts(), row["block"], buckets))
+            return pa.Table.from_batches(out)
+
+        return deal
+
+    for step in range(2, p.order + 2 if p.order > 1 else 2):  # counts of this length, sums of contexts two shorter
+        told = told.unionByName(gathered(with_replies(dealer(step), DEALT), f"replies{step}"))
+
+    def score(block, replies):
         import pyarrow as pa
 
         row = block.to_pylist()[0]
-        words, local, lengths, _ = _unpack(row)
-        counts, of = np.zeros(len(words), np.int64), _bucket_of(words, buckets)
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(buckets + 1))
-        for bucket, total in zip(totals["bucket"].to_pylist(), totals["totals"].to_pylist(), strict=True):
-            counts[order[cuts[bucket] : cuts[bucket + 1]]] = np.frombuffer(total, np.int64)
-        model, ends = shared.value, np.cumsum(lengths)
-        log = np.log10((counts + 0.1) / whole)[local]
-        first = ends - lengths
-        scores = model.read(model.word_ids(words)[local], log, first, ends)
-        known = np.add.reduceat((counts > 0)[local].astype(np.int64), first)
-        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "base_score": pa.array(np.add.reduceat(log, first)), "score": pa.array(scores)})
-
-    back = counted.where("block >= 0").select("block", "bucket", "totals")
-    heavy = blocks.select("block", "doc_ids", "train", "lengths", "words", "tokens")
-    out = heavy.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        mine = Block(row, _replies(replies), facts)
+        while len(mine.levels) < p.order:
+            mine.add_level()
+        base, cost = mine.costs()
+        known = (mine.levels[0].counts[mine.w] > 0) & (mine.w > 0)
+        total = lambda x: pa.array(np.add.reduceat(x, mine.first))
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(mine.lengths), "n_known": total(known.astype(np.int64)), "base_score": total(base), "score": total(cost)})
+
+    out = with_replies(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -267,6 +267,19 @@ def test_lm_scores_equal_plain_backoff(spark, texts):
         assert r.score == pytest.approx(total, rel=1e-6)
 
 
+def test_lm_keeps_rare_sequences_of_a_large_corpus(spark):
+    """A sequence counts from its second occurrence on, however many other tokens there are."""
+    rare = "zeta eta theta iota"
+    rows = [(i, " ".join(f"w{(i * 7919 + j * j) % 50}" for j in range(3000)), True) for i in range(1000)]
+    rows += [(5001, rare, True), (5002, rare, True), (5003, rare, False), (5004, "eta zeta iota theta", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(4)
+    got = {r.doc_id: r for r in lm_score.score_texts(docs).where("doc_id > 5000").collect()}
+    assert got[5003].base_score == pytest.approx(got[5004].base_score)
+    # <s> zeta: 1.25 of 1002; four arcs of 1.25 of 2 follow.
+    assert got[5003].score == pytest.approx(math.log10(1.25 / 1002) + 4 * math.log10(1.25 / 2), rel=1e-6)
+    assert got[5003].score > got[5004].score + 5
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://a.com/en/x", "https://WWW.Example.COM/en/77?q", "http://example.net/de/8", "http://sub.example.net/de/9", "http://x.org/es", "http://notcom/en/", "http://com/en/", "ftp://x.org/es/?a#b", "http:///en/", "http://a.com/en/x"]
     rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")], "host string, path string, verdict string")
