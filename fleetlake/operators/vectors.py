@@ -93,14 +93,53 @@ def parity_report(a: DataFrame, b: DataFrame, least: float = 0.999) -> DataFrame
     return both.select("id", cos.alias("cosine"), worst.alias("max_abs"), (F.col("xa") == F.col("xb")).alias("equal")).withColumn("verdict", F.when(F.col("cosine").isNull(), "missing").when(F.col("cosine") >= least, "pass").otherwise("fail"))
 
 
-def causal_attention(seq: DataFrame, look_back: int) -> DataFrame:
-    """(seq, pos, d, y): each position's softmax-weighted mean of itself and up to ``look_back`` before it."""
-    q = seq.select("seq", F.col("pos").alias("pq"), F.col("x").alias("xq"))
-    k = seq.select(F.col("seq").alias("ks"), "pos", "x", F.explode(F.sequence(F.col("pos"), F.col("pos") + look_back)).alias("to"))
-    pairs = q.join(k, (F.col("seq") == F.col("ks")) & (F.col("pq") == F.col("to")))
-    scored = pairs.select("seq", "pq", "x", F.exp(dot("xq", "x") / F.sqrt(F.size("x").cast("double"))).alias("w"))
-    parts = scored.select("seq", "pq", "w", F.posexplode("x").alias("d", "v"))
-    return parts.groupBy("seq", "pq", "d").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("y")).select("seq", F.col("pq").alias("pos"), "d", "y")
+def causal_attention(seq: DataFrame, look_back: int | None = None, heads: int = 1, kv_heads: int | None = None, q: str = "x", k: str = "x", v: str = "x", block: int = 128) -> DataFrame:
+    """(seq, pos, d, y): each position's softmax-weighted mean of ``v`` over itself and the rows before it.
+
+    With ``look_back`` only rows from ``pos - look_back`` on. The array ``q`` holds
+    ``heads`` heads of equal size, ``k`` and ``v`` hold ``kv_heads`` (as many, if
+    not named), each shared by ``heads / kv_heads`` heads in a row; ``d`` counts
+    through all heads. Blocks of queries meet blocks of keys; each pair of blocks
+    gives a maximum, a sum and a weighted sum a head, which are merged.
+    """
+    groups = kv_heads or heads
+    if heads % groups:
+        raise ValueError("heads must be a multiple of kv_heads")
+    own = seq.select("seq", F.col("pos").cast("long").alias("pos"), F.col(q).alias("q"), F.col(k).alias("k"), F.col(v).alias("v")).withColumn("b", F.floor(F.col("pos") / block))
+    rows = own.groupBy("seq", "b").agg(F.collect_list(F.struct("pos", "q")).alias("qs"), F.collect_list(F.struct("pos", "k", "v")).alias("ks"))
+    first = own.groupBy("seq").agg(F.min("b").alias("low"))
+    low = F.col("low") if look_back is None else F.greatest("low", F.floor((F.col("b") * block - look_back) / block))
+    asked = rows.join(first, "seq").select("seq", "qs", F.explode(F.sequence(low, F.col("b"))).alias("b"))
+    pairs = asked.join(rows.select("seq", "b", "ks"), ["seq", "b"]).select("seq", "qs", "ks")
+
+    def meet(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                qs, ks = b.column(1)[i].as_py(), b.column(2)[i].as_py()
+                pq, pk = np.array([r["pos"] for r in qs]), np.array([r["pos"] for r in ks])
+                xq = np.array([r["q"] for r in qs], float).reshape(len(qs), heads, -1)
+                xk, xv = (np.array([r[c] for r in ks], float).reshape(len(ks), groups, -1) for c in ("k", "v"))
+                seen = pk[None, :] <= pq[:, None]
+                if look_back is not None:
+                    seen &= pk[None, :] >= pq[:, None] - look_back
+                at = np.flatnonzero(seen.any(1))
+                for h in range(heads):
+                    g = h * groups // heads
+                    s = np.where(seen, xq[:, h] @ xk[:, g].T / xq.shape[2] ** 0.5, -np.inf)[at]
+                    m = s.max(1, initial=-np.inf)
+                    w = np.exp(s - m[:, None])
+                    o = w @ xv[:, g]
+                    yield pa.record_batch([pa.array([b.column(0)[i].as_py()] * len(at), b.schema.field(0).type), pa.array(pq[at]), pa.array([h] * len(at), pa.int32()), pa.array(m), pa.array(w.sum(1)), pa.array(o.tolist(), pa.list_(pa.float64()))], names=["seq", "pos", "h", "m", "s", "o"])
+
+    kind = pairs.schema["seq"].dataType.simpleString()
+    parts = pairs.mapInArrow(meet, f"seq {kind}, pos long, h int, m double, s double, o array<double>")
+    scale = F.exp(F.col("m") - F.max("m").over(Window.partitionBy("seq", "pos", "h")))
+    cells = parts.withColumn("f", scale).select("seq", "pos", "h", F.size("o").alias("n"), (F.col("f") * F.col("s")).alias("s"), "f", F.posexplode("o").alias("i", "v"))
+    y = (F.sum(F.col("f") * F.col("v")) / F.sum("s")).alias("y")
+    return cells.groupBy("seq", "pos", (F.col("h") * F.col("n") + F.col("i")).alias("d")).agg(y)
 
 
 def fingerprint(x):

@@ -168,6 +168,19 @@ def _(spark, d):
     return vectors.causal_attention(x.select("seq", "pos", "x"), 3).where("d < 4").withColumn("y", F.round("y", 5))
 
 
+@query("v7_full_attention", _E + """, c AS (SELECT seq, id AS pos, d, v FROM e), w AS (SELECT a.seq, a.pos, b.pos AS kp, exp(sum(a.v * b.v) / 8) AS w FROM c a JOIN c b ON a.seq = b.seq AND a.d = b.d AND b.pos <= a.pos GROUP BY ALL)
+SELECT w.seq, w.pos, c.d, round(sum(w * v) / sum(w), 5) + 0.0 AS y FROM w JOIN c ON c.seq = w.seq AND c.pos = w.kp GROUP BY ALL""")
+def _(spark, d):
+    x = v.vectors(spark, d).select("seq", F.col("id").alias("pos"), "x")
+    return vectors.causal_attention(x).withColumn("y", F.round("y", 5) + 0.0)
+
+
+@query("v8_full_conv", _E + " SELECT seq * 64 + d AS seq, id AS pos, round(0.1 * coalesce(lag(v, 3) OVER w, 0) + 0.2 * coalesce(lag(v, 2) OVER w, 0) + 0.3 * coalesce(lag(v, 1) OVER w, 0) + 0.4 * v, 6) + 0.0 AS y FROM e WINDOW w AS (PARTITION BY seq, d ORDER BY id)")
+def _(spark, d):
+    x = v.vectors(spark, d).select("seq", F.col("id").alias("pos"), F.posexplode("x").alias("d", "v"))
+    return vectors.causal_conv(x.select((F.col("seq") * 64 + F.col("d")).alias("seq"), "pos", "v"), [0.1, 0.2, 0.3, 0.4]).withColumn("y", F.round("y", 6) + 0.0)
+
+
 _W = v.sql("words") + ", o AS (SELECT conv_id AS seq, turn * 100000 + i AS pos, token FROM words)"
 
 
@@ -193,6 +206,15 @@ def _(spark, d):
     return tokens.draft(start, tokens.ngram_continuations(w), 2).withColumn("tokens", F.array_join("tokens", " "))
 
 
+@query("t6_full_draft", _CONT + """, h AS (SELECT seq, list(token ORDER BY pos) AS a FROM o GROUP BY seq), g AS (SELECT seq, len(a) AS n, a[len(a) - 2:len(a)] AS h FROM h),
+s1 AS (SELECT seq, h, next[1] AS x FROM g LEFT JOIN n ON g.n >= 3 AND a = h[1] AND b = h[2] AND c = h[3]),
+s2 AS (SELECT s1.*, next[1] AS y FROM s1 LEFT JOIN n ON a = h[2] AND b = h[3] AND c = x) SELECT seq AS id, concat_ws(' ', x, y) AS tokens FROM s2""")
+def _(spark, d):
+    w = _words(spark, d)
+    whole = w.groupBy(F.col("seq").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
+    return tokens.draft(whole, tokens.ngram_continuations(w), 2).withColumn("tokens", F.array_join("tokens", " "))
+
+
 @query("t7_acceptance", """WITH t AS (SELECT conv_id * 1000 + turn AS id, string_split(text, ' ') AS a FROM conversations), u AS (SELECT id, a, list_transform(a[1:5], lambda x, i: CASE WHEN i = id % 7 THEN '~' ELSE x END) AS d FROM t)
 SELECT id, CASE WHEN id % 7 BETWEEN 1 AND len(d) THEN id % 7 - 1 ELSE len(d) END AS accepted, len(d) - CASE WHEN id % 7 BETWEEN 1 AND len(d) THEN id % 7 - 1 ELSE len(d) END AS missed FROM u""")
 def _(spark, d):
