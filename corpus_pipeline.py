@@ -19,12 +19,18 @@ def _with_keys(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that is known; ``lang`` becomes the one found."""
+    """Keeps documents in a language that is known; ``lang`` becomes the one found.
+
+    The best language must have half of the share, and code the text in no more
+    bits a byte than its own sampled texts take (``language_id.bits_bounds``): a text
+    that no language codes well is in none of them.
+    """
     rows = _with_keys(docs).withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    model = language_id.fit_ppm(rows.select(F.col("doc_id").alias("key"), "text", "lang"))
+    labelled = rows.select(F.col("doc_id").alias("key"), "text", "lang")
+    model = language_id.fit_ppm(labelled)
     keep = docs.columns
     found = language_id.identify(rows.withColumn("row", F.struct(*keep)), model, passed="row")
-    good = found.where("lang_pred <> 'und' and score >= 0.5")
+    good = found.where("lang_pred <> 'und' and score >= 0.5").where(language_id.well_coded(language_id.bits_bounds(labelled, model), F.octet_length("row.text")))
     return good.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}").alias(c) for c in keep])
 
 

@@ -31,6 +31,9 @@ class PpmParams:
     sample_docs: int = 1500  # labelled documents a language that the trees are fitted on
     max_contexts: int = 24_000  # most frequent contexts that become states
     max_languages: int = 200
+    bits_quantile: float = 0.95  # of a language's sampled texts, for ``bits_bounds``
+    bits_slack: float = 1.25
+    short_bits: float = 120.0  # that a text may take beyond its bound, for words the sample lacks
 
 
 def _count_grams(batches, order: int):
@@ -127,9 +130,8 @@ class PpmModel:
         return out
 
 
-def fit_ppm(labelled: DataFrame, params: PpmParams = PpmParams()) -> PpmModel:
-    """``labelled``: key (long), text, lang. Fitted on ``sample_docs`` texts a language."""
-    p = params
+def _sample(labelled: DataFrame, p: PpmParams) -> DataFrame:
+    """``sample_docs`` usable rows a language."""
     usable = labelled.where("text is not null and text <> '' and lang is not null").withColumn("r", F.xxhash64("key", "text"))
     # First within salted parts of a language, so that a common one doesn't meet in one task.
     ranked = usable.select("lang", "key", "r", F.pmod("r", F.lit(128)).alias("salt"))
@@ -137,7 +139,13 @@ def fit_ppm(labelled: DataFrame, params: PpmParams = PpmParams()) -> PpmModel:
         w = Window.partitionBy(*part).orderBy("r", "key")
         ranked = ranked.withColumn("i", F.row_number().over(w)).where(F.col("i") <= p.sample_docs).drop("i")
     chosen = ranked.select("key", "r").distinct()
-    sample = usable.join(F.broadcast(chosen), ["key", "r"])  # sample_docs rows a language
+    return usable.join(F.broadcast(chosen), ["key", "r"])
+
+
+def fit_ppm(labelled: DataFrame, params: PpmParams = PpmParams()) -> PpmModel:
+    """``labelled``: key (long), text, lang. Fitted on ``sample_docs`` texts a language."""
+    p = params
+    sample = _sample(labelled, p)
     grams = sample.select("lang", "text").mapInArrow(lambda it: _count_grams(it, p.order), "lang string, k long, code long, n long")
     table = grams.groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas(self_destruct=True)
     if table["lang"].nunique() > p.max_languages:
@@ -166,6 +174,26 @@ def _score(batches, model, order: int):
         yield pa.record_batch([b.column(0), b.column(2), pa.array([m.languages[i] for i in best], pa.string()), pa.array(1 / gap.sum(1)), pa.array(bits.min(1) / size), *b.columns[3:]], names=["doc_id", "letters", "lang_pred", "score", "bits_per_byte", *b.schema.names[3:]])
 
 
+def bits_bounds(labelled: DataFrame, model: PpmModel, params: PpmParams = PpmParams()) -> dict[str, float]:
+    """Bits a byte of each language's own texts in the sample: the quantile ``bits_quantile`` times ``bits_slack``."""
+    p = params
+    rows = _sample(labelled, p).select(F.col("key").alias("doc_id"), "text", F.struct("lang", F.octet_length("text").alias("size")).alias("row"))
+    own = identify(rows, model, p, passed="row").where("lang_pred = row.lang and row.size >= 100")
+    found = own.groupBy("lang_pred").agg(F.percentile("bits_per_byte", F.lit(p.bits_quantile)).alias("q")).collect()
+    return {r.lang_pred: r.q * p.bits_slack for r in found}
+
+
+def well_coded(bounds: dict[str, float], size, params: PpmParams = PpmParams()):
+    """Whether ``bits_per_byte`` is within the bound of ``lang_pred``; texts of ``size`` bytes have ``short_bits`` more in all.
+
+    A language without a bound (no labelled text long enough) rejects nothing.
+    """
+    bound = F.lit(None).cast("double")
+    for lang, b in sorted(bounds.items()):
+        bound = F.when(F.col("lang_pred") == lang, b).otherwise(bound)
+    return F.coalesce(F.col("bits_per_byte") <= bound + F.lit(params.short_bits) / F.greatest(size, F.lit(1)), F.lit(True))
+
+
 def identify(docs: DataFrame, model: PpmModel | None, params: PpmParams = PpmParams(), id_col: str = "doc_id", text_col: str = "text", passed: str | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte), one row per row of ``docs``.
 

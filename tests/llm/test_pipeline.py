@@ -44,3 +44,21 @@ def test_run_equals_the_stages(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "piece", "n_tokens", "bin_id", "bin_start"]
     assert out.count() > 100
+
+
+def test_language_stage_rejects_gibberish_and_unlearned_languages(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    text = lambda make, n: " ".join(make(int(rng.integers(2, 10))) for _ in range(n))
+    noise = lambda k: "".join(chr(int(c)) for c in rng.integers(97, 123, k))
+    symbols = lambda k: "".join("#*$%&|<>{}=~^a"[int(c)] for c in rng.integers(0, 14, k))
+    greek = lambda k: "".join(chr(int(c)) for c in rng.integers(945, 970, k))
+    bad = [(10**7 + i, text(make, 80), None, "s") for i, make in enumerate([noise, symbols, greek] * 3)]
+    clean = [r for r in docs.where("text is not null and length(text) between 300 and 3000 and doc_id is not null").orderBy("doc_id").limit(200).collect()]
+    mixed = docs.union(spark.createDataFrame(bad, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, mixed, "").select("doc_id").collect()}
+    assert not kept & {b[0] for b in bad}
+    assert len({r.doc_id for r in clean} & kept) >= 0.97 * len({r.doc_id for r in clean})
+    print("kept", len(kept), docs.where(r"text rlike '\\p{L}'").count())
