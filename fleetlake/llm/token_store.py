@@ -11,6 +11,7 @@ Spark writes and commits, one row a file part, so lost tasks are simply rerun.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -150,10 +151,12 @@ class Encoder:
     """Ids of texts. Words between spaces are encoded once and remembered.
 
     No token, added token or normalisation of the tokenizer reaches over a space
-    or line end, so pieces between them can be encoded on their own.
+    or line end, so pieces between them can be encoded on their own. With ``added``
+    a text that spells an added token (as ``<|endoftext|>``) is encoded whole, as the
+    library does it: to the token's own id. Without it such spellings are plain text.
     """
 
-    def __init__(self, path: str | None):
+    def __init__(self, path: str | None, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -163,6 +166,10 @@ class Encoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(str(path))
         self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(str(path)) if added else None
+        contents = [t.content for t in self.plain.get_added_tokens_decoder().values()] if added else []
+        # Whether letter case counts is the library's to say; here any case sends a text to it.
+        self.added = re.compile("|".join(map(re.escape, contents)).encode(), re.IGNORECASE) if contents else None
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
         self.known: dict[bytes, bytes] = {b"": b""}
 
@@ -176,6 +183,13 @@ class Encoder:
         return {w: ids[cuts[i] : cuts[i + 1]].tobytes() for i, w in enumerate(words)}
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        whole = {i for i, t in enumerate(texts) if self.added.search(t)} if self.added else set()
+        if whole:
+            rest = iter(self._encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [np.array(self.plain.encode(t.decode(), add_special_tokens=False).ids, self.kind) if i in whole else next(rest) for i, t in enumerate(texts)]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
         new = {w for ws in words for w in ws if w not in self.known}
         # A letter or digit and the mark that ends a word are tokens of their own.
@@ -194,7 +208,7 @@ class Encoder:
 
 def _encoder(path: str | None) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, added=True)
     return _ENCODERS[path]
 
 

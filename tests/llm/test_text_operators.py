@@ -344,3 +344,18 @@ def test_token_store_equals_encoding_whole_texts(spark, texts):
     odd = ["a b c  d\r\ne\x1cf <|endoftext|> ΑΣ Σ é don't 12 34", "\n\n", "İ ǅ"]
     mine = token_store.Encoder(None).encode([x.encode() for x in odd])
     assert [m.tolist() for m in mine] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+
+
+def test_token_store_gives_added_tokens_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    rows = [(1, "plain words", "a"), (2, "one<|endoftext|>Two <|startoftext|> three", "a"), (3, "Up <|EndOfText|> case", "a"), (4, "after <|end", "a")]
+    got = {r.doc_id: r for r in token_store.read_digests(token_store.write_store(frame(spark, rows))).collect()}
+    start = 0
+    for d, text, _ in rows:
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {49407, 49406} <= set(t.encode(rows[1][1], add_special_tokens=False).ids)
