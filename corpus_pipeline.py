@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from fleetlake.llm import decontaminate, language_id, ngram_join, packing, pii
 from fleetlake.llm.common import materialize
 
+#: The usual reading of near copies: five words, links from 0.8 on.
+NEAR = ngram_join.JoinParams(shingle=5, percent=80)
+
 
 def _with_keys(docs: DataFrame) -> DataFrame:
     """Rows that repeat an id and text are one row from here on; a row without id is dropped."""
@@ -34,9 +37,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return good.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}").alias(c) for c in keep])
 
 
-def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    groups = ngram_join.jaccard_components(docs)
+def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, near: ngram_join.JoinParams = ngram_join.JoinParams()) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies.
+
+    As the stage runs, copies share 90 % of three-word shingles, which is stricter
+    than the usual reading; ``near=NEAR`` takes that one.
+    """
+    groups = ngram_join.jaccard_components(docs, near)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from fleetlake.llm.common import materialize, mix, pieces, release, shingle_hashes, texts_of, word_hashes
 
-#: Tokens below this hash (three sixteenths of all) have their frequency counted.
-COUNTED_BELOW = -(2**63) + 3 * 2**60
+def counted_below(percent: int) -> int:
+    """Tokens below this hash have their frequency counted: nearly twice as many as a prefix needs (3/16 of all at 90 %)."""
+    return -(2**63) + min(160, 3 * (100 - percent)) * 2**64 // 160 - (3 * (100 - percent) >= 160)
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ def token_set(text: bytes, k: int) -> np.ndarray:
     return np.unique(shingle_hashes(h, k).view(np.int64))
 
 
-def _digest_batches(batches, k: int):
+def _digest_batches(batches, k: int, below: int):
     import pyarrow as pa
 
     for b in pieces(batches):
@@ -62,7 +63,7 @@ def _digest_batches(batches, k: int):
             n.append(len(s))
             d1.append(int(mix(u + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
             d2.append(int(np.bitwise_xor.reduce(mix(u + np.uint64(2)), initial=np.uint64(0)).astype(np.int64)))
-            toks.append(s[: int(np.searchsorted(s, COUNTED_BELOW))])
+            toks.append(s[: int(np.searchsorted(s, below))])
         offsets = np.cumsum([0, *map(len, toks)]).astype(np.int32)
         flat = np.concatenate(toks) if toks else np.empty(0, np.int64)
         yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "n", "d1", "d2", "toks"])
@@ -266,9 +267,10 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
     are not read. A null id is kept and stands alone.
     """
     p, k = params, params.shingle
+    below = counted_below(p.percent)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    full = materialize(base.mapInArrow(lambda it: _digest_batches(it, k), "doc_id long, n long, d1 long, d2 long, toks array<long>"), "digests")
+    full = materialize(base.mapInArrow(lambda it: _digest_batches(it, k, below), "doc_id long, n long, d1 long, d2 long, toks array<long>"), "digests")
     rows = full.select("doc_id", "n", "d1", "d2")
     known = rows.where("n > 0 and doc_id is not null")
     reps = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
@@ -277,7 +279,7 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
     heads = F.broadcast(heads) if few else heads
     vertices = materialize(full.where("n > 0").join(heads, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "toks"), "vertices")
 
-    often = vertices.select(F.explode("toks").alias("t")).where(F.col("t") < COUNTED_BELOW).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") > p.frequent_above).select("t")
+    often = vertices.select(F.explode("toks").alias("t")).where(F.col("t") < below).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") > p.frequent_above).select("t")
     often = materialize(often, "frequent")
     if often.count() <= p.broadcast_rows:
         table = spark.sparkContext.broadcast(np.sort(np.array(often.toPandas()["t"], np.int64)))

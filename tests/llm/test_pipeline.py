@@ -62,3 +62,22 @@ def test_language_stage_rejects_gibberish_and_unlearned_languages(spark):
     assert not kept & {b[0] for b in bad}
     assert len({r.doc_id for r in clean} & kept) >= 0.97 * len({r.doc_id for r in clean})
     print("kept", len(kept), docs.where(r"text rlike '\\p{L}'").count())
+
+
+def test_copies_stage_links_five_words_from_four_fifths_on(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{int(x)}" for x in rng.integers(0, 10**6, 60 + 20 * g)]
+        for c in range(6):
+            w = list(base)
+            for at in rng.integers(0, len(w), c):
+                w[int(at)] = f"e{g}c{c}at{int(at)}"
+            rows.append((len(rows), " ".join(w)))
+    base = [f"pair{i}" for i in range(100)]
+    rows += [(900, " ".join(base)), (901, " ".join([*base[:30], "x", *base[31:70], "y", *base[71:]]))]
+    kept = sorted(r.doc_id for r in corpus_pipeline.copies_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "", corpus_pipeline.NEAR).collect())
+    assert kept == sorted(i for i, _, c in jaccard_reference(rows, 5, 80) if i == c)
+    assert 900 in kept and 901 not in kept and 901 in {i for i, _, c in jaccard_reference(rows) if i == c}
