@@ -5,7 +5,7 @@ seed entities. The one and two words to their left are lexical patterns. Pattern
 and instances form a graph that Spark scores in turns: a pattern is as good as the
 share of all its occurrences in the corpus that precede an instance, weighted by
 how good the instances are; an instance that the fixed patterns missed is as good
-as its patterns make it. Instances beyond ``accept`` are reported wherever they
+as its patterns make it, and gives patterns in the next turn. Instances beyond ``accept`` are reported wherever they
 stand, beside the seeds, which always stay.
 """
 
@@ -30,13 +30,14 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_GROUPS = re.compile(r"(?<![\w.@+-])\(?[0-9]++(?:(?:\) ?| \(?|[.-]{1,2})[0-9]++)++(?!\w)")
 _SPACE = frozenset(" \t\n\r\x0b\x0c=:;,<>\"'")
 _IP_FORM, _CARD_FORM, _PHONE_FORM, _EMAIL_FORM = re.compile(r"[0-9]+(?:\.[0-9]+){3}"), re.compile(r"[0-9-]{16,22}"), re.compile(r"[0-9().-]{7,20}"), re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+")
 
 
 @dataclass(frozen=True)
 class PiiParams:
-    least_seeds: int = 5  # different seeds after a pattern that make it count
+    least_seeds: int = 5  # different seeds or accepted instances after a pattern that make it count
     accept: float = 0.8
     turns: int = 2
     window: int = 200  # characters to the left in which a pattern's words are sought
@@ -89,14 +90,24 @@ def candidate_spans(text: str, seeds: list[tuple[int, int, int]]) -> list[tuple[
         pos = end
         while i < len(taken) and taken[i][1] <= start:
             i += 1
-        if end - start > 64 or i < len(taken) and taken[i][0] < end:
+        if i < len(taken) and taken[i][0] < end:
             continue
         word = text[start:end].rstrip(".!?)")
         digits = len(_NOT_DIGIT.sub("", word))
         kind = 0 if _EMAIL_FORM.fullmatch(word) else 1 if _IP_FORM.fullmatch(word) else 2 if 16 <= digits <= 19 and _CARD_FORM.fullmatch(word) else 3 if 7 <= digits <= 15 and _PHONE_FORM.fullmatch(word) else -1
         if kind >= 0:
             out.append((kind, start, start + len(word)))
-    return out
+    # Groups of digits with spaces between, unless a seed or a word of them is one already.
+    taken, i = sorted(taken + [(a, b) for _, a, b in out]), 0
+    for m in _GROUPS.finditer(text):
+        a, b = m.span()
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        digits = len(_NOT_DIGIT.sub("", m[0]))
+        kind = 2 if 16 <= digits <= 19 else 3 if 7 <= digits <= 15 else -1
+        if kind >= 0 and " " in m[0] and not (i < len(taken) and taken[i][0] < b):
+            out.append((kind, a, b))
+    return sorted(out, key=lambda x: x[1:])
 
 
 def pattern_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,21 +163,27 @@ def _discover(docs: DataFrame, p: PiiParams, id_col: str, text_col: str):
     found = materialize(rows.mapInArrow(lambda it: _extract(it, p), _FOUND), "entities")
     seen = found.select("doc_id", "th", F.explode("seen").alias("x")).select("doc_id", "th", "x.*")
     edges = materialize(seen.select("k", "i", "seed", F.explode("p").alias("p")).groupBy("p", "k", "i").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pattern_graph")
-    strong = edges.where("seed").groupBy("p", "k").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= p.least_seeds)
+    scores = edges.select("k", "i", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).distinct()
+    scores = scores.groupBy("k", "i").agg(F.max("score").alias("score"))
     open_ = edges.where("not seed").select("p", "k").distinct()
-    live = materialize(strong.join(open_, ["p", "k"]).select("p", "k"), "patterns")
-    patterns = live.select("p").distinct()
-    known = None
-    if patterns.count() <= p.broadcast_rows:
-        known = spark.sparkContext.broadcast(Members(patterns.toPandas()["p"].to_numpy(np.int64)))
-    counts = rows.where("text is not null").select("text").mapInArrow(lambda it: _count_patterns(it, known), "p long, n long")
-    totals = materialize(counts.join(patterns, "p", "left_semi").groupBy("p").agg(F.sum("n").alias("total")), "pattern_totals")
-    graph = materialize(edges.join(live, ["p", "k"]).join(totals, "p"), "live_graph")
-    scores = graph.select("k", "i", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score")).distinct()
+    totals = None
     for _ in range(p.turns):
-        good = graph.join(scores, ["k", "i"]).groupBy("p", "k", "total").agg(F.sum(F.col("n") * F.col("score")).alias("hits"))
-        weight = good.select("p", "k", F.least(F.col("hits") / F.col("total"), F.lit(0.999999)).alias("w"))
-        better = graph.join(weight, ["p", "k"]).groupBy("k", "i").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.col("w"))))).alias("score"))
+        # Patterns that follow from all instances accepted so far; only new ones are counted in the texts.
+        good = scores.where(F.col("score") >= p.accept).select("k", "i")
+        strong = edges.join(good, ["k", "i"]).groupBy("p", "k").agg(F.count_distinct("i").alias("found")).where(F.col("found") >= p.least_seeds)
+        live = materialize(strong.join(open_, ["p", "k"]).select("p", "k"), "patterns")
+        fresh = live.select("p").distinct()
+        fresh = fresh if totals is None else materialize(fresh.join(totals, "p", "left_anti"), "new_patterns")
+        n = fresh.count()
+        if n or totals is None:
+            known = spark.sparkContext.broadcast(Members(fresh.toPandas()["p"].to_numpy(np.int64))) if n <= p.broadcast_rows else None
+            counts = rows.where("text is not null").select("text").mapInArrow(lambda it, known=known: _count_patterns(it, known), "p long, n long")
+            counted = materialize(counts.join(fresh, "p", "left_semi").groupBy("p").agg(F.sum("n").alias("total")), "pattern_totals")
+            totals = counted if totals is None else totals.unionByName(counted)
+        graph = edges.join(live, ["p", "k"]).join(totals, "p")
+        hits = graph.join(scores, ["k", "i"]).groupBy("p", "k", "total").agg(F.sum(F.col("n") * F.col("score")).alias("hits"))
+        weight = hits.select("p", "k", F.least(F.col("hits") / F.col("total"), F.lit(0.999999)).alias("w"))
+        better = edges.join(weight, ["p", "k"], "left").groupBy("k", "i").agg(F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.coalesce("w", F.lit(0.0)))))).alias("score"))
         scores = materialize(better.select("k", "i", F.when(F.col("seed"), 1.0).when(F.col("score") >= p.accept, F.col("score")).otherwise(0.0).alias("score")), "instance_scores")
     accepted = scores.where(F.col("score") >= p.accept).select("k", "i")
     added = seen.where("not seed").join(accepted, ["k", "i"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("k", "s", "e")).alias("added"))

@@ -359,3 +359,15 @@ def test_token_store_gives_added_tokens_their_ids(spark):
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert {49407, 49406} <= set(t.encode(rows[1][1], add_special_tokens=False).ids)
+
+
+def test_discovered_instances_lead_to_further_patterns(spark):
+    rows = [(i, f"blah {i} your hotline number: +1 555 0{i:02d} 99{i:02d} thanks", "a") for i in range(10, 30)]
+    for i in range(40, 46):
+        rows += [(i, f"so your hotline number: 555.123.45{i} then", "a"), (i + 100, f"or ring desk: 555.123.45{i} then", "a")]
+    rows += [(90, "or ring desk: 030 123 4567 then", "a"), (91, "a value 030 123 9999 then", "a"), (92, "or ring desk: " + "7-" * 40 + "7 then", "a")]
+    spans = {r.doc_id: [(pii.KINDS[x.k], x.s, x.e) for x in r.spans] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert spans[90] == [("phone", 14, 26)] and spans[91] == [] and spans[92] == []
+    assert spans[140] == [("phone", 14, 26)]
+    long = "a" * 90 + "@host"
+    assert pii.candidate_spans(f"mail {long} or 4111 1111 1111 1112.", []) == [(0, 5, 100), (2, 104, 123)]
