@@ -117,7 +117,7 @@ def _told(level: int, keys: np.ndarray, replies: dict, buckets: int) -> np.ndarr
     """What the buckets sent back for the keys that ``_deal`` got."""
     order, cuts = _slots(keys, buckets)
     out = np.zeros(len(keys), np.int64) if level > 0 else np.zeros((len(keys), 2))
-    for bucket, data in replies[level]:
+    for bucket, data in replies.get(level, ()):
         out[order[cuts[bucket] : cuts[bucket + 1]]] = _open(data, out.dtype).reshape(-1, *out.shape[1:])
     return out
 
@@ -237,6 +237,8 @@ class Block:
         base = np.log10(self.levels[0].probs)[self.w]
         cost = base
         for n, (low, top) in enumerate(zip(self.levels, self.levels[1:]), 1):
+            if not len(low.keys):  # no sequence is kept
+                break
             mass, below = _told(-n, low.keys[low.kept], self.replies, self.f.buckets).T
             weight = np.zeros(len(low.keys))
             left = 1 - mass / np.maximum(low.counts[low.kept], 1)
