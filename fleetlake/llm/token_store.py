@@ -10,6 +10,7 @@ Spark writes and commits, one row a file part, so lost tasks are simply rerun.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -32,7 +33,7 @@ CACHE_WORDS = 1_000_000
 class StoreParams:
     end_id: int = 2
     shard_tokens: int = 4_000_000
-    tokenizer: str | None = None  # path of a tokenizers file; None: word_bpe_49k.json of the public tokenizers
+    tokenizer: str | None = None  # path of any tokenizers file; None: word_bpe_49k.json of the public tokenizers
 
 
 class WaveletMatrix:
@@ -147,16 +148,42 @@ class WaveletMatrix:
 _ENCODERS: dict = {}
 
 
+# What a tokenizer file must say for its words to be encoded on their own.
+WORDWISE_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORDWISE_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Lower-case letters that are one byte-level piece as they stand: no normalisation changes them.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+def is_wordwise(spec: dict) -> bool:
+    """Whether no normalisation, piece or token of this tokenizer reaches over a space, and letter case doesn't count."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    parts = cut.get("pretokenizers") or [None, {}]
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == WORDWISE_NORMALIZER
+        and len(parts) == 2 and parts[0] == WORDWISE_SPLIT and parts[1].get("type") == "ByteLevel"
+        and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex", True)
+        and model["type"] == "BPE" and not model.get("dropout") and not spec.get("truncation")
+    )
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level pieces show for each byte: itself if it prints, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """Ids of texts. Words between spaces are encoded once and remembered.
+    """Ids of texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    No token, added token or normalisation of the tokenizer reaches over a space
-    or line end, so pieces between them can be encoded on their own. With ``added``
-    a text that spells an added token (as ``<|endoftext|>``) is encoded whole, as the
-    library does it: to the token's own id. Without it such spellings are plain text.
+    If the tokenizer's file says that nothing reaches over a space or line end
+    (``is_wordwise``), words between them are encoded once and remembered; words of
+    plain letters go straight to the tokenizer's model. Texts that spell an added
+    token (as ``<|endoftext|>``), and all texts of other tokenizers, are encoded whole.
     """
 
-    def __init__(self, path: str | None, added: bool = False):
+    def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -164,37 +191,50 @@ class Encoder:
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        self.tokenizer = Tokenizer.from_file(str(path))
-        self.tokenizer.encode_special_tokens = True
-        self.plain = Tokenizer.from_file(str(path)) if added else None
-        contents = [t.content for t in self.plain.get_added_tokens_decoder().values()] if added else []
+        self.plain = Tokenizer.from_file(str(path))
+        self.wordwise = is_wordwise(json.loads(self.plain.to_str()))
+        self.words = Tokenizer.from_file(str(path))  # only sees texts in which no added token is spelled
+        self.words.encode_special_tokens = True
+        self.model = self.words.model
+        contents = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         # Whether letter case counts is the library's to say; here any case sends a text to it.
         self.added = re.compile("|".join(map(re.escape, contents)).encode(), re.IGNORECASE) if contents else None
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
+        self.kind = np.uint16 if self.plain.get_vocab_size() <= 65536 else np.uint32
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.letters = _byte_letters()
 
     def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Codes of new words, encoded as one text; the offsets tell which word a token is of."""
-        texts = [w.decode() for w in words]
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids, at = np.array(e.ids, self.kind), np.array([a for a, _ in e.offsets], np.int64)
-        cuts = np.searchsorted(at, starts).tolist()
-        return {w: ids[cuts[i] : cuts[i + 1]].tobytes() for i, w in enumerate(words)}
+        """Codes of new words: letters by the model, the others as one text, whose offsets tell which word a token is of."""
+        codes, rest = {}, []
+        for w in words:
+            text = w.decode()
+            if _LETTERS.fullmatch(text):
+                piece = text if len(text) == len(w) else w.decode("latin-1").translate(self.letters)
+                codes[w] = np.array([t.id for t in self.model.tokenize(piece)], self.kind).tobytes()
+            else:
+                rest.append((w, text))
+        if rest:
+            starts = np.cumsum([0, *(len(t) + 1 for _, t in rest)])
+            e = self.words.encode(" ".join(t for _, t in rest), add_special_tokens=False)
+            ids, at = np.array(e.ids, self.kind), np.array([a for a, _ in e.offsets], np.int64)
+            cuts = np.searchsorted(at, starts).tolist()
+            codes |= {w: ids[cuts[i] : cuts[i + 1]].tobytes() for i, (w, _) in enumerate(rest)}
+        return codes
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        whole = {i for i, t in enumerate(texts) if self.added.search(t)} if self.added else set()
-        if whole:
-            rest = iter(self._encode([t for i, t in enumerate(texts) if i not in whole]))
-            return [np.array(self.plain.encode(t.decode(), add_special_tokens=False).ids, self.kind) if i in whole else next(rest) for i, t in enumerate(texts)]
-        return self._encode(texts)
+        whole = [i for i, t in enumerate(texts) if not self.wordwise or (self.added and self.added.search(t))]
+        if not whole:
+            return self._encode(texts)
+        found = dict(zip(whole, self.plain.encode_batch_fast([texts[i].decode() for i in whole], add_special_tokens=False), strict=True))
+        rest = iter(self._encode([t for i, t in enumerate(texts) if i not in found]))
+        return [np.array(found[i].ids, self.kind) if i in found else next(rest) for i in range(len(texts))]
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words = [t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        new = {w for ws in words for w in ws if w not in self.known}
+        new = set().union(*words).difference(self.known)
         # A letter or digit and the mark that ends a word are tokens of their own.
         ended = {w for w in new if len(w) > 1 and w[-1] in b".," and w[-2:-1].isalnum()}
-        cores = {w for w in (new - ended) | {w[:-1] for w in ended} | {b".", b","} if w not in self.known}
+        cores = ((new - ended) | {w[:-1] for w in ended} | {b".", b","}).difference(self.known)
         codes = self._encode_words(sorted(cores)) if cores else {}
         for w in ended:
             codes[w] = (codes.get(w[:-1]) or self.known[w[:-1]]) + (codes.get(w[-1:]) or self.known[w[-1:]])
@@ -208,7 +248,7 @@ class Encoder:
 
 def _encoder(path: str | None) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, added=True)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
