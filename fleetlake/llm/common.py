@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -48,6 +50,19 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def drop_old_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver (its Python, then its JVM) collects garbage, which may
+    come after several steps have each left their files on the executors' disks. The
+    second round takes what the first let go of.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def pieces(batches, most_bytes: int = 4 << 20):
     """Arrow batches cut into runs of rows of about ``most_bytes`` (one row at least)."""
     for b in batches:

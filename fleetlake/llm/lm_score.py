@@ -1,19 +1,24 @@
 """Language-model scores from a weighted backoff automaton.
 
-Words are counted over all training documents; words and word sequences up to
-``order`` that occur ``least_count`` times become states, each with arcs to the
-words seen after it (discounted) and a failure arc to its longest suffix whose
-weight hands the discounted mass down; at the root stand add-0.1 unigrams of the
-whole vocabulary. At each word of a text the state fails until it has an arc, and
-log-probabilities add up.
+Words and word sequences up to ``order`` that occur ``least_count`` times in
+training documents become states, each with arcs to the words seen after it
+(discounted) and a failure arc to its longest suffix whose weight hands the
+discounted mass down; at the root stand add-0.1 unigrams of the whole vocabulary.
+At each word of a text the state fails until it has an arc, and log-probabilities
+add up.
 
 The automaton grows with the corpus and is nowhere whole. Documents are gathered
-into blocks with a dictionary of their own. For one length after the other a block
-deals the sequences it holds (those whose parts are states) to buckets by hash;
-buckets add up the counts and send each block the totals of its own. One of the
-blocks that hold an arc adds it to its context's sums, which go the same way and
-give the failure weights. So a block ends up with just the states and arcs that
-its texts can meet, and no task sees more than a block or a bucket.
+into blocks with a dictionary of their own. A block deals the distinct words and
+sequences it holds to buckets, which are ranges of their hashes, sorted and
+written as differences; the bucket adds up the counts and tells each block the
+totals of its own, and one of the blocks that hold an arc to answer for it. The
+blocks then walk their texts: they sum the arcs they answer for by context and note
+where a state failed. Buckets add up these sums to the weights of the failure arcs
+and send each block those that it met, which completes its scores.
+
+A block sends a bucket one row if it has anything for it, so there are never more
+rows than distinct sequences of blocks. No task sees more than a block or a bucket,
+whose number follows the size of the input.
 """
 
 from __future__ import annotations
@@ -24,30 +29,65 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlake.llm.common import materialize, mix, pieces, texts_of, word_hashes
+from fleetlake.llm.common import drop_old_shuffles, materialize, mix, pieces, release, texts_of, word_hashes
 
 END = b"\0end"  # not a word: words hold what isn't white space, and none has this hash by design
 START = np.uint64(0x5E0F7C3A91D24B86)  # stands before each text in the hashes of sequences
+KEY_BITS = 56  # of a hash that stand for a sequence
 
 
 @dataclass(frozen=True)
 class LmParams:
     order: int = 3
-    least_share: float = 0.0  # a further bound on words as a share of the training tokens; it cuts more the larger the corpus is
-    least_arc_share: float = 0.0  # the same for sequences
     least_count: int = 2  # occurrences that make a word a state and a sequence an arc
     discount: float = 0.75
     block_tokens: int = 1_500_000
+    bucket_keys: int = 4_000_000  # words and sequences that blocks deal to one bucket, about
 
 
 def _end_hash() -> int:
     return int(word_hashes([END])[0] ^ np.uint64(0x5BF03635))
 
 
+def _pack(a: np.ndarray) -> bytes:
+    """Compressed, the first bytes of all numbers together, then the second ones and so on."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).data if len(a) else b"")
+
+
+def _open(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences: their low bytes are random and stay as they are, the others are compressed."""
+    import zstandard
+
+    if not len(keys):
+        return b""
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    low = max(0, int(keys[-1] - keys[0]) // len(keys)).bit_length() // 8
+    return bytes([low]) + len(keys).to_bytes(8, "little") + np.ascontiguousarray(planes[:low]).tobytes() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes[low:]).tobytes())
+
+
+def _open_keys(data: bytes) -> np.ndarray:
+    import zstandard
+
+    if not data:
+        return np.empty(0, np.uint64)
+    low, n = data[0], int.from_bytes(data[1:9], "little")
+    cut = 9 + low * n
+    planes = np.concatenate([np.frombuffer(data[9:cut], np.uint8), np.frombuffer(zstandard.ZstdDecompressor().decompress(data[cut:]), np.uint8)])
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _blocks(batches, p: LmParams):
-    """Rows of (block, doc_ids, train, lengths, words, counts, tokens): words and counts are a dictionary."""
+    """Rows of (block, doc_ids, train, lengths, train_tokens, train_docs, words, tokens); ``words`` is a dictionary of hashes."""
     import pyarrow as pa
-    import zstandard
     from pyspark import TaskContext
 
     part, serial, size = TaskContext.get().partitionId(), 0, 0
@@ -58,15 +98,13 @@ def _blocks(batches, p: LmParams):
         lengths = np.array([len(h) for *_, h in docs])
         train = np.array([t for _, t, _ in docs], bool)
         words, local = np.unique(np.concatenate([h for *_, h in docs]), return_inverse=True)
-        # Frequent words first and the digits of all numbers together: this takes a third of the bytes.
+        # Frequent words first: this takes a third of the bytes.
         often = np.argsort(-np.bincount(local, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.int32)
         rank[often] = np.arange(len(words), dtype=np.int32)
-        words, local = words[often], rank[local]
-        counts = np.bincount(local[np.repeat(train, lengths)], minlength=len(words)).astype(np.int64)
-        cells = [part << 20 | serial, [d for d, *_ in docs], train.tolist(), lengths.tolist(), int(lengths[train].sum()), int(train.sum()), words.tobytes(), counts.astype(np.uint32).tobytes(), zstandard.ZstdCompressor(level=1).compress(local.view(np.uint8).reshape(-1, 4).T.tobytes())]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.int64(), *[pa.binary()] * 3]
-        return pa.record_batch([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=["block", "doc_ids", "train", "lengths", "train_tokens", "train_docs", "words", "counts", "tokens"])
+        cells = [part << 20 | serial, [d for d, *_ in docs], train.tolist(), lengths.tolist(), int(lengths[train].sum()), int(train.sum()), words[often].tobytes(), _pack(rank[local])]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.record_batch([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=["block", "doc_ids", "train", "lengths", "train_tokens", "train_docs", "words", "tokens"])
 
     for b in pieces(batches):
         for d, text, train in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), strict=True):
@@ -80,181 +118,250 @@ def _blocks(batches, p: LmParams):
         yield block()
 
 
-def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<long>, train_tokens long, train_docs long, words binary, tokens binary"
 
 
-def _pack(a: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
-
+@dataclass
+class Level:
+    """The distinct sequences of one length in a block: hashes, and the one that ends at each place (or -1)."""
 
-def _open(data: bytes, kind) -> np.ndarray:
-    import zstandard
+    hashes: np.ndarray
+    place: np.ndarray
+    context: np.ndarray | None = None  # of each sequence: the sequence without its last word
+    suffix: np.ndarray | None = None  # and without its first
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
+class Block:
+    """A block's texts, each behind its start, and the sequences they hold."""
 
-def _slots(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of keys by bucket, kept within one, and where buckets begin in it."""
-    b = _bucket_of(keys, buckets)
-    order = np.argsort(b, kind="stable")
-    return order, np.searchsorted(b[order], np.arange(buckets + 1))
+    def __init__(self, row: dict, order: int):
+        words, local = np.frombuffer(row["words"], np.uint64), _open(row["tokens"], np.int32)
+        self.lengths, train = np.array(row["lengths"], np.int64), np.array(row["train"], bool)
+        ends = np.cumsum(self.lengths)
+        self.first = ends - self.lengths + np.arange(len(ends))  # places of the starts
+        self.w = np.insert(local + 1, ends - self.lengths, 0)
+        self.train = np.repeat(train, self.lengths + 1)
+        hashes = np.concatenate([[START], words])
+        self.levels = [Level(mix(hashes), self.w)]
+        for _ in range(order - 1):
+            low = self.levels[-1]
+            before = np.concatenate([np.array([-1], np.int32), low.place[:-1]])
+            at = np.flatnonzero((before >= 0) & (self.w > 0))
+            codes, inverse = np.unique(before[at].astype(np.int64) * len(hashes) + self.w[at], return_inverse=True)
+            context, word = codes // len(hashes), codes % len(hashes)
+            place, suffix = np.full(len(self.w), -1, np.int32), np.empty(len(codes), np.int32)
+            place[at] = inverse
+            suffix[inverse] = low.place[at]
+            self.levels.append(Level(mix(low.hashes[context] * np.uint64(0x9E3779B97F4A7C15) + hashes[word]), place, context, suffix))
+
+    def counts(self, n: int) -> np.ndarray:
+        """Of the sequences of level ``n``: occurrences in the block's training texts."""
+        level = self.levels[n]
+        at = (level.place >= 0) & self.train
+        return np.bincount(level.place[at], minlength=len(level.hashes)).astype(np.uint32)
+
+
+def _keys(levels: list[Level]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all sequences of the levels in rising order, and that order. Without sequences both are empty."""
+    keys = np.concatenate([x.hashes for x in levels]) >> np.uint64(64 - KEY_BITS) if levels else np.empty(0, np.uint64)
+    order = np.argsort(keys)
+    return keys[order], order
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each of the rising keys; it never falls."""
+    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(parts: list[np.ndarray], buckets: int):
+    """(bucket, slices): where each bucket's keys stand in the sorted ``parts``; only buckets that get any."""
+    owners = [_cuts(k, buckets) for k in parts]
+    full = np.unique(np.concatenate(owners))
+    low, high = ([np.searchsorted(o, full, side=s) for o in owners] for s in ("left", "right"))
+    for i, bucket in enumerate(full.tolist()):
+        yield bucket, [slice(int(a[i]), int(z[i])) for a, z in zip(low, high, strict=True)]
+
+
+def _deal_counts(batches, order: int, buckets: int):
+    """Rows of (bucket, block, words, word_counts, keys, counts)."""
+    import pyarrow as pa
 
+    for b in batches:
+        for row in b.to_pylist():
+            block = Block(row, order)
+            (wk, wo), (sk, so) = _keys(block.levels[:1]), _keys(block.levels[1:])
+            ones = block.counts(0)
+            ones[0] = 0  # a start isn't a word
+            wv, sv = ones[wo], np.concatenate([np.empty(0, np.uint32), *(block.counts(n) for n in range(1, order))])[so]
+            out = [(i, row["block"], _pack_keys(wk[w]), _pack(wv[w]), _pack_keys(sk[s]), _pack(sv[s])) for i, (w, s) in _runs([wk, sk], buckets)]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 2 + [pa.binary()] * 4, strict=True)], names=["bucket", "block", "words", "word_counts", "keys", "counts"])
 
-def _deal(level: int, keys: np.ndarray, values: np.ndarray, block: int, buckets: int):
-    """Rows of (bucket, block, level, keys, vals) for one block."""
-    import pyarrow as pa
 
-    order, cuts = _slots(keys, buckets)
-    full = [i for i in range(buckets) if cuts[i + 1] > cuts[i]]
-    k, c = keys[order], values[order]
-    return pa.record_batch([pa.array(full, pa.int64()), pa.array([block] * len(full), pa.int64()), pa.array([level] * len(full), pa.int64()), pa.array([k[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()), pa.array([_pack(c[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())], names=["bucket", "block", "level", "keys", "vals"])
+COUNTS = "bucket long, block long, words binary, word_counts binary, keys binary, counts binary"
+TOTALS = "bucket long, block long, n_seen long, word_totals binary, totals binary"
 
 
-def _told(level: int, keys: np.ndarray, replies: dict, buckets: int) -> np.ndarray:
-    """What the buckets sent back for the keys that ``_deal`` got."""
-    order, cuts = _slots(keys, buckets)
-    out = np.zeros(len(keys), np.int64) if level > 0 else np.zeros((len(keys), 2))
-    for bucket, data in replies.get(level, ()):
-        out[order[cuts[bucket] : cuts[bucket + 1]]] = _open(data, out.dtype).reshape(-1, *out.shape[1:])
-    return out
+def _same(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different key, and the number of its key at each place."""
+    order = np.argsort(keys)
+    s = keys[order]
+    new = np.append(True, s[1:] != s[:-1])[: len(s)]
+    inverse = np.empty(len(s), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
 
 
-#: ``level`` n: counts of sequences of n words; -n: sums over the arcs of contexts of n words.
-DEALT = "bucket long, block long, level long, keys binary, vals binary"
+def _split(a: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    return np.split(a, np.cumsum(lengths)[:-1])
 
 
-def _merge(table):
-    """Adds up a bucket and sends each block its totals: of counts twice the total, and 1 for the key's first block."""
+def _add_counts(table, least: int):
+    """Adds up a bucket and tells each block the totals of its words, and of its sequences 0 or twice the total, and 1 more in one block."""
     import pyarrow as pa
 
     table = table.sort_by("block")
-    level, bucket = table["level"][0].as_py(), table["bucket"][0].as_py()
-    keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-    unique, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    values = np.concatenate([_open(x, np.uint32 if level > 0 else np.float64) for x in table["vals"].to_pylist()])
-    seen = 0
-    if level > 0:
-        total = np.bincount(inverse, weights=values, minlength=len(unique)).astype(np.int64)
-        seen = int((total > 0).sum())
-        back = total[inverse] * 2
-        back[first] += 1
-    else:
-        back = np.stack([np.bincount(inverse, weights=v, minlength=len(unique))[inverse] for v in values.reshape(-1, 2).T], 1)
-    ends = np.cumsum([len(k) for k in keys]).tolist()
-    n = len(keys)
-    return pa.table({"bucket": pa.array([bucket] * n, pa.int64()), "block": table["block"], "level": table["level"], "totals": pa.array([_pack(back[e - len(k) : e]) for k, e in zip(keys, ends, strict=True)], pa.binary()), "n_seen": pa.array([seen] + [0] * (n - 1), pa.int64())})
-
-
-MERGED = "bucket long, block long, level long, totals binary, n_seen long"
-
-
-def _unpack(row):
-    import zstandard
 
-    words = np.frombuffer(row["words"], np.uint64)
-    tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.uint8)
-    tokens = np.ascontiguousarray(tokens.reshape(4, -1).T).view(np.int32).ravel()
-    return words, tokens, np.array(row["lengths"], np.int64), np.array(row["train"], bool)
+    def summed(keys: str, counts: str):
+        keys = [_open_keys(x) for x in table[keys].to_pylist()]
+        values = np.concatenate([_open(x, np.uint32) for x in table[counts].to_pylist()])
+        first, inverse = _same(np.concatenate(keys))
+        return np.bincount(inverse, weights=values, minlength=len(first)).astype(np.int64), first, inverse, [len(k) for k in keys]
 
+    total, _, inverse, sizes = summed("words", "word_counts")
+    seen, words = int((total > 0).sum()), _split(total[inverse], sizes)
+    total, first, inverse, sizes = summed("keys", "counts")
+    told = np.where(total >= least, total * 2, 0)[inverse]
+    told[first] += told[first] > 0
+    n = table.num_rows
+    return pa.table({"bucket": table["bucket"], "block": table["block"], "n_seen": pa.array([seen] + [0] * (n - 1), pa.int64()), "word_totals": pa.array([_pack(x) for x in words], pa.binary()), "totals": pa.array([_pack(x) for x in _split(told, sizes)], pa.binary())})
 
-@dataclass
-class Level:
-    """The sequences of one length that a block holds."""
 
-    keys: np.ndarray
-    counts: np.ndarray  # in training, over all blocks
-    probs: np.ndarray  # of the last word after the others
-    kept: np.ndarray
-    place: np.ndarray  # the kept sequence that ends at each place of the block, or -1
-    before: np.ndarray | None = None  # the kept context that ends before each place, or -1
-    sums: np.ndarray | None = None  # of each context: discounted counts and lower probabilities of the arcs that this block answers for
+def _joined(table, column: str, kind) -> np.ndarray:
+    """What the buckets told a block, in the order of its keys. ``table`` is sorted by bucket."""
+    return np.concatenate([np.empty(0, kind), *(_open(x, kind) for x in table[column].to_pylist())])
 
 
-@dataclass(frozen=True)
-class Facts:
-    buckets: int
-    starts: int
-    whole: float
-    least_word: int
-    least_arc: int
-    discount: float
+WALKED = "bucket long, block long, words binary, word_sums binary, keys binary, sums binary, n_seen long, doc_ids array<long>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>, n_root array<long>, failures array<struct<n:array<long>,at:binary>>"
+#: Sums of a context: its count, its arcs, their counts, their lower probabilities (of words: counts), and whether its weight is asked for.
+SUMS = np.dtype([("count", "<u4"), ("arcs", "<u4"), ("mass", "<u8"), ("below", "<f8"), ("asked", "u1")])
 
 
-class Block:
-    """A block's texts, each behind its start, and the levels that the buckets have told it."""
+def _walk(row: dict, told, p: LmParams, starts: int, buckets: int):
+    """One block's rows for the buckets of its contexts, and one row with its scores as far as they are known."""
+    import pyarrow as pa
 
-    def __init__(self, row, replies: dict, f: Facts):
-        words, local, self.lengths, train = _unpack(row)
-        self.f, self.replies = f, replies
-        ends = np.cumsum(self.lengths)
-        self.first = ends - self.lengths + np.arange(len(ends))  # places of the starts
-        self.w = np.insert(local + 1, ends - self.lengths, 0)
-        self.train = np.repeat(train, self.lengths + 1)
-        total = _told(1, words, replies, f.buckets) >> 1
-        self.hashes = np.concatenate([[START], words])
-        kept = np.concatenate([[True], total >= f.least_word])
-        self.levels = [Level(self.hashes, np.concatenate([[f.starts], total]), np.concatenate([[1], (total + 0.1) / f.whole]), kept, np.where(kept[self.w], self.w, -1).astype(np.int32))]
-
-    def _candidates(self):
-        """Sequences one longer than the last level whose parts are states: contexts, last words, keys, their places."""
-        low, width = self.levels[-1], len(self.hashes)
-        before = np.concatenate([np.array([-1], np.int32), low.place[:-1]])
-        at = np.flatnonzero((before >= 0) & (self.w > 0) & (low.place >= 0))
-        codes, inverse = np.unique(before[at].astype(np.int64) * width + self.w[at], return_inverse=True)
-        context, word = codes // width, codes % width
-        keys = mix(low.keys[context] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[word])
-        return before, at, inverse.astype(np.int32), context, keys
-
-    def next_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        _, at, inverse, _, keys = self._candidates()
-        return keys, np.bincount(inverse, weights=self.train[at], minlength=len(keys)).astype(np.uint32)
-
-    def add_level(self) -> None:
-        low, n = self.levels[-1], len(self.levels) + 1
-        before, at, inverse, context, keys = self._candidates()
-        told = _told(n, keys, self.replies, self.f.buckets)
-        counts = told >> 1
-        kept = counts >= self.f.least_arc
-        mass = np.where(kept, counts - self.f.discount, 0.0)
-        suffix = np.zeros(len(keys), np.int32)
-        suffix[inverse] = low.place[at]
-        mine = np.flatnonzero(kept & (told & 1 > 0))
-        sums = np.stack([np.bincount(context[mine], weights=v, minlength=len(low.keys)) for v in (mass[mine], low.probs[suffix[mine]])], 1)
-        place = np.full(len(self.w), -1, np.int32)
-        place[at] = np.where(kept[inverse], inverse, -1)
-        self.levels.append(Level(keys, counts, mass / np.maximum(low.counts[context], 1), kept, place, before, sums))
-
-    def context_sums(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of the states that the last level's arcs leave: keys and sums."""
-        low, top = self.levels[-2:]
-        return low.keys[low.kept], top.sums[low.kept]
-
-    def costs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of the word at each place, by unigrams and by the automaton; 0 at starts."""
-        base = np.log10(self.levels[0].probs)[self.w]
-        cost = base
-        for n, (low, top) in enumerate(zip(self.levels, self.levels[1:]), 1):
-            if not len(low.keys):  # no sequence is kept
-                break
-            mass, below = _told(-n, low.keys[low.kept], self.replies, self.f.buckets).T
-            weight = np.zeros(len(low.keys))
-            left = 1 - mass / np.maximum(low.counts[low.kept], 1)
-            weight[low.kept] = np.log10(np.clip(left, 1e-9, 1) / np.clip(1 - below, 1e-9, None))
-            failed = cost + np.where(top.before >= 0, weight[top.before], 0)
-            cost = np.where(top.place >= 0, np.log10(np.maximum(top.probs, 1e-12))[top.place] if len(top.probs) else 0, failed)
-        cost = cost.copy()
-        cost[self.first] = 0
-        return base, cost
-
-
-def _replies(table) -> dict:
-    out: dict = {}
-    for level, bucket, totals in zip(*(table[c].to_pylist() for c in ("level", "bucket", "totals")), strict=True):
-        out.setdefault(level, []).append((bucket, totals))
-    return out
+    told = told.sort_by("bucket")
+    block, order = Block(row, p.order), p.order
+    n_seen = int(sum(told["n_seen"].to_pylist()))
+    total = np.empty(len(block.levels[0].hashes), np.int64)
+    total[_keys(block.levels[:1])[1]] = _joined(told, "word_totals", np.int64)
+    total[0] = starts
+    answers = np.empty(sum(len(x.hashes) for x in block.levels[1:]), np.int64)
+    answers[_keys(block.levels[1:])[1]] = _joined(told, "totals", np.int64)
+    counts, mine = [total], [np.zeros(len(total), bool)]
+    for part in _split(answers, [len(x.hashes) for x in block.levels[1:]]) if order > 1 else []:
+        counts.append(part >> 1)
+        mine.append(part & 1 > 0)
+
+    words = block.w > 0
+    cost = np.zeros(len(block.w))
+    open_ = words.copy()
+    sums, asked = [], []
+    for n in range(order - 1, 0, -1):
+        level, low = block.levels[n], counts[n - 1]
+        kept = (level.place >= 0) & (counts[n][level.place] > 0) if len(level.hashes) else np.zeros(len(words), bool)
+        hit = np.flatnonzero(open_ & kept)
+        at = level.place[hit]
+        cost[hit] = np.log10((counts[n][at] - p.discount) / low[level.context[at]]) if len(hit) else 0
+        open_[hit] = False
+        before = np.concatenate([np.array([-1], np.int32), block.levels[n - 1].place[:-1]])
+        least = p.least_count if n == 1 else 1  # totals of sequences below the least count aren't told
+        failed = np.flatnonzero(open_ & (before >= 0))
+        failed = failed[(low[before[failed]] >= least) | ((before[failed] == 0) & (n == 1))]
+        asked.append((failed, before[failed]))
+        # Arcs that this block answers for, by context.
+        arcs = np.flatnonzero(mine[n])
+        context, suffix = level.context[arcs], level.suffix[arcs]
+        s = np.zeros(len(low), SUMS)
+        s["arcs"] = np.bincount(context, minlength=len(low))
+        s["mass"] = np.bincount(context, weights=counts[n][arcs], minlength=len(low))
+        s["count"] = np.where(s["arcs"] > 0, low, 0)
+        lower = total[suffix] if n == 1 else (counts[n - 1][suffix] - p.discount) / counts[n - 2][block.levels[n - 1].context[suffix]]
+        s["below"] = np.bincount(context, weights=lower, minlength=len(low))
+        s["asked"][before[failed]] = 1
+        sums.append(s)
+    sums.reverse()
+    asked.reverse()
+    base = np.log10(total + 0.1)[block.w]
+    cost[open_] = base[open_]
+    base[block.first] = 0
+
+    def dealt(levels, parts):
+        keys, at = _keys(levels)
+        s = np.concatenate(parts)[at] if parts else np.empty(0, SUMS)
+        used = (s["arcs"] > 0) | (s["asked"] > 0)
+        rank = np.full(len(keys), -1, np.int64)
+        wanted = s["asked"] > 0
+        rank[at[wanted]] = np.arange(int(wanted.sum()))
+        return keys[used], s[used], rank
+
+    (wk, ws, wrank), (sk, ss, srank) = dealt(block.levels[: order > 1], sums[:1]), dealt(block.levels[1 : order - 1], sums[1:])
+    rows = [(i, row["block"], _pack_keys(wk[w]), _pack(ws[w]), _pack_keys(sk[s]), _pack(ss[s])) for i, (w, s) in _runs([wk, sk], buckets)] if len(wk) + len(sk) else []
+    doc = np.repeat(np.arange(len(block.lengths)), block.lengths + 1)
+
+    def failures(at, ranks):
+        """Of each document the number of failures, and the weights they take, as numbers in the order of all asked for."""
+        return {"n": np.bincount(doc[at], minlength=len(block.lengths)).tolist(), "at": _pack(ranks.astype(np.uint32))}
+
+    more, shift = [], 0
+    if order > 1:
+        more.append(failures(asked[0][0], wrank[asked[0][1]]))
+    for n in range(2, order):
+        more.append(failures(asked[n - 1][0], srank[shift + asked[n - 1][1]]))
+        shift += len(block.levels[n - 1].hashes)
+    add = lambda x: np.add.reduceat(x, block.first)
+    done = (None, row["block"], None, None, None, None, n_seen, row["doc_ids"], block.lengths.tolist(), add(((total[block.w] > 0) & words).astype(np.int64)).tolist(), add(base).tolist(), add(cost).tolist(), add(open_.astype(np.int64)).tolist(), more)
+    rows = [(*r, *[None] * 8) for r in rows] + [done]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.list_(pa.float64())] * 2, pa.list_(pa.int64()), pa.list_(pa.struct([("n", pa.list_(pa.int64())), ("at", pa.binary())]))]
+    names = ["bucket", "block", "words", "word_sums", "keys", "sums", "n_seen", "doc_ids", "n_tokens", "n_known", "base", "score", "n_root", "failures"]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+WEIGHTS = "bucket long, block long, word_weights binary, weights binary"
+
+
+def _weigh(table, discount: float, whole: float):
+    """Adds up the sums of a bucket's contexts and sends each block the weights of those it asked for."""
+    import pyarrow as pa
+
+    def weights(keys: str, sums: str, of_words: bool) -> list[bytes]:
+        keys = [_open_keys(x) for x in table[keys].to_pylist()]
+        s = np.concatenate([_open(x, SUMS) for x in table[sums].to_pylist()])
+        first, inverse = _same(np.concatenate(keys))
+        add = lambda c: np.bincount(inverse, weights=s[c], minlength=len(first))
+        arcs, count = add("arcs"), np.zeros(len(first))
+        np.maximum.at(count, inverse, s["count"])
+        left = 1 - (add("mass") - discount * arcs) / np.maximum(count, 1)
+        below = add("below")
+        below = (below + 0.1 * arcs) / whole if of_words else below
+        log = np.log10(np.clip(left, 1e-9, 1) / np.clip(1 - below, 1e-9, None))[inverse].astype(np.float32)
+        sizes = [len(k) for k in keys]
+        return [_pack(x[a > 0]) for x, a in zip(_split(log, sizes), _split(s["asked"], sizes), strict=True)]
+
+    return pa.table({"bucket": table["bucket"], "block": table["block"], "word_weights": pa.array(weights("words", "word_sums", True), pa.binary()), "weights": pa.array(weights("keys", "sums", False), pa.binary())})
+
+
+def _finish(row: dict, weights, whole: float):
+    import pyarrow as pa
+
+    weights = weights.sort_by("bucket")
+    tables = [_joined(weights, c, np.float32).astype(float) for c in ("word_weights", "weights")]
+    tokens, root = (np.array(row[c], np.int64) for c in ("n_tokens", "n_root"))
+    score = np.array(row["score"]) - root * np.log10(whole)
+    for i, f in enumerate(row["failures"]):
+        doc = np.repeat(np.arange(len(tokens)), np.array(f["n"], np.int64))
+        score += np.bincount(doc, weights=tables[min(i, 1)][_open(f["at"], np.uint32)], minlength=len(tokens))
+    return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(tokens), "n_known": pa.array(row["n_known"], pa.int64()), "base_score": pa.array(np.array(row["base"]) - tokens * np.log10(whole)), "score": pa.array(score)})
 
 
 def score_texts(docs: DataFrame, params: LmParams = LmParams(), id_col: str = "doc_id", text_col: str = "text", train_col: str = "train") -> DataFrame:
@@ -269,61 +376,28 @@ def score_texts(docs: DataFrame, params: LmParams = LmParams(), id_col: str = "d
     p = params
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"))
-    schema = "block long, doc_ids array<long>, train array<boolean>, lengths array<long>, train_tokens long, train_docs long, words binary, counts binary, tokens binary"
-    blocks = materialize(rows.mapInArrow(lambda it: _blocks(it, p), schema), "blocks")
-    size = blocks.agg(F.count("*").alias("b"), F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("d")).first()
+    blocks = materialize(rows.mapInArrow(lambda it: _blocks(it, p), BLOCKS), "blocks")
+    size = blocks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("d"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("all")).first()
     tokens, starts = int(size["n"]), int(size["d"])
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size["b"])
-    least_word = max(p.least_count, int(np.ceil(p.least_share * tokens)))
-    least_arc = max(p.least_count, int(np.ceil(p.least_arc_share * tokens)))
+    pairs = p.order * int(size["all"])
+    buckets = max(1, -(-pairs // p.bucket_keys), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * pairs // p.bucket_keys)))
 
-    def deal_words(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                yield _deal(1, np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.uint32), row["block"], buckets)
-
-    def gathered(frame: DataFrame, name: str) -> DataFrame:
-        return materialize(frame.groupBy("bucket", "level").applyInArrow(_merge, MERGED), name)
-
-    told = gathered(blocks.select("block", "words", "counts").mapInArrow(deal_words, DEALT), "totals")
-    vocabulary = int(told.agg(F.coalesce(F.sum("n_seen"), F.lit(0))).first()[0])
-    facts = Facts(buckets, starts, tokens + 0.1 * (vocabulary + 1), least_word, least_arc, p.discount)
     heavy = blocks.select("block", "doc_ids", "train", "lengths", "words", "tokens")
-
-    def with_replies(function, schema: str) -> DataFrame:
-        return heavy.groupBy("block").cogroup(told.select("block", "level", "bucket", "totals").groupBy("block")).applyInArrow(function, schema)
-
-    def dealer(step: int):
-        def deal(block, replies):
-            import pyarrow as pa
-
-            row = block.to_pylist()[0]
-            mine = Block(row, _replies(replies), facts)
-            while len(mine.levels) < step - 1:
-                mine.add_level()
-            out = []
-            if step > 2:
-                out.append(_deal(2 - step, *mine.context_sums(), row["block"], buckets))
-            if step <= p.order:
-                out.append(_deal(step, *mine.next_counts(), row["block"], buckets))
-            return pa.Table.from_batches(out)
-
-        return deal
-
-    for step in range(2, p.order + 2 if p.order > 1 else 2):  # counts of this length, sums of contexts two shorter
-        told = told.unionByName(gathered(with_replies(dealer(step), DEALT), f"replies{step}"))
-
-    def score(block, replies):
-        import pyarrow as pa
-
-        row = block.to_pylist()[0]
-        mine = Block(row, _replies(replies), facts)
-        while len(mine.levels) < p.order:
-            mine.add_level()
-        base, cost = mine.costs()
-        known = (mine.levels[0].counts[mine.w] > 0) & (mine.w > 0)
-        total = lambda x: pa.array(np.add.reduceat(x, mine.first))
-        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_tokens": pa.array(mine.lengths), "n_known": total(known.astype(np.int64)), "base_score": total(base), "score": total(cost)})
-
-    out = with_replies(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    dealt = heavy.mapInArrow(lambda it: _deal_counts(it, p.order, buckets), COUNTS)
+    told = materialize(dealt.groupBy("bucket").applyInArrow(lambda t: _add_counts(t, p.least_count), TOTALS), "totals")
+    drop_old_shuffles(spark)
+
+    def walk(block, replies):
+        return _walk(block.to_pylist()[0], replies, p, starts, buckets)
+
+    walked = materialize(heavy.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(walk, WALKED), "walked")
+    release(blocks, told)
+    drop_old_shuffles(spark)
+    vocabulary = int(walked.agg(F.coalesce(F.sum("n_seen"), F.lit(0))).first()[0])
+    whole = tokens + 0.1 * (vocabulary + 1)
+
+    sums = walked.where("bucket is not null").select("bucket", "block", "words", "word_sums", "keys", "sums")
+    weights = sums.groupBy("bucket").applyInArrow(lambda t: _weigh(t, p.discount, whole), WEIGHTS)
+    done = walked.where("bucket is null").select("block", "doc_ids", "n_tokens", "n_known", "base", "score", "n_root", "failures")
+    out = done.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(lambda block, w: _finish(block.to_pylist()[0], w, whole), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

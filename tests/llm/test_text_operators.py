@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -218,14 +219,14 @@ def test_ppm_costs_are_a_code(spark):
 
 
 def test_lm_scores_equal_plain_backoff(spark, texts):
-    p = lm_score.LmParams(least_share=1e-3, least_arc_share=1e-4, block_tokens=3000)
+    p = lm_score.LmParams(block_tokens=3000, bucket_keys=20_000)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id", "text", "coalesce(pmod(crc32(cast(doc_id as string)), 10), 0) <> 0 as train")
     got = {r.doc_id: r for r in lm_score.score_texts(docs, p).collect()}
     toks = {d: [*(r.text or "").encode().lower().split(), None] for d, r in texts.items()}
     train = [t for d, t in toks.items() if zlib.crc32(str(d).encode()) % 10]
     uni = collections.Counter(w for t in train for w in t)
     n, v = sum(uni.values()), len(uni)
-    state = {w for w, c in uni.items() if c >= max(2, math.ceil(p.least_share * n))}
+    state = {w for w, c in uni.items() if c >= p.least_count}
     kept = [{(w,): uni[w] for w in state}]
     counts = {("<s>",): len(train), **kept[0]}
     for size in (2, 3):
@@ -236,7 +237,7 @@ def test_lm_scores_equal_plain_backoff(spark, texts):
                 g = tuple(s[i : i + size])
                 if all(w in state for w in g[1:]) and (g[0] == "<s>" or g[0] in state) and (size == 2 or (g[:-1] in counts and g[1:] in counts)):
                     c[g] += 1
-        kept.append({g: k for g, k in c.items() if k >= max(2, math.ceil(p.least_arc_share * n))})
+        kept.append({g: k for g, k in c.items() if k >= p.least_count})
         counts.update(kept[-1])
     one = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
     after = collections.defaultdict(list)
@@ -333,7 +334,6 @@ def test_token_store_equals_encoding_whole_texts(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
-    t.encode_special_tokens = True
     got = {r.doc_id: r for r in entry.queries()["op10_token_store"](spark, SMALL).collect()}
     start = 0
     for d in sorted(texts):
@@ -344,6 +344,23 @@ def test_token_store_equals_encoding_whole_texts(spark, texts):
     odd = ["a b c  d\r\ne\x1cf <|endoftext|> ΑΣ Σ é don't 12 34", "\n\n", "İ ǅ"]
     mine = token_store.Encoder(None).encode([x.encode() for x in odd])
     assert [m.tolist() for m in mine] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+    r = random.Random(4)
+    odd = ["".join(r.choices("ab éßñÿÀÉ÷×Σςσ'.,12 \n\t\r\u0301ǅİ<|>가漢ि", k=r.randrange(30))) for _ in range(3000)] + ["x<|startoftext|>y", "<|ENDOFTEXT|> z"]
+    assert [m.tolist() for m in token_store.Encoder(None).encode([x.encode() for x in odd])] == [t.encode(x, add_special_tokens=False).ids for x in odd]
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    t = Tokenizer.from_file(path)
+    rows = [(1, "Hello World", "a"), (2, None, "a"), (3, "Two  spaces\n\nand <|endoftext|> inside", "a")]
+    p = token_store.StoreParams(tokenizer=path, end_id=50256)
+    got = {r.doc_id: r for r in token_store.read_digests(token_store.write_store(frame(spark, rows), p)).collect()}
+    for d, text, _ in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 50256]
+        assert (got[d].n_tokens, got[d].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
 def test_token_store_gives_added_tokens_their_ids(spark):
