@@ -1,16 +1,18 @@
 """Language identification by prediction by partial matching over bytes.
 
-Each language has a context tree of up to ``order`` bytes. In a context seen in
-training, a byte seen there costs its share and any other byte the escape
+Each language has a context tree of up to ``order`` bytes of its own. In a context
+seen in training, a byte seen there costs its share and any other byte the escape
 probability (escapes count as often as the context has different bytes), spread
 over the next shorter context without the bytes already excluded; at the end
-stands a uniform distribution. The statistics are frozen after training, so the
-trees of all languages become one automaton: a table of contexts by byte with the
-next context and the exact code length in every language. A text's language is
-the one that codes it shortest.
-
-The trees are fitted on a bounded sample of labelled documents (``sample_docs`` a
-language, those whose hashed id is smallest); every document is scored whole.
+stands a uniform distribution. The statistics are frozen after training, so a tree
+becomes an automaton: a table of all its contexts by byte with the next context and
+the exact code length. A text's language is the one that codes it shortest.
+
+The trees are fitted on a bounded sample of labelled documents: of each language
+the share ``sample_docs / documents`` with the smallest hashes, or all if it has
+fewer, so ``sample_docs`` give or take its square root. Each tree is fitted in a
+task of its own; every document is scored whole. The model takes some megabytes a
+language, in the driver and in each worker.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are scored in pieces of so many bytes.
@@ -28,9 +30,7 @@ PIECE = 1 << 21
 @dataclass(frozen=True)
 class PpmParams:
     order: int = 3
-    sample_docs: int = 1500  # labelled documents a language that the trees are fitted on
-    max_contexts: int = 24_000  # most frequent contexts that become states
-    max_languages: int = 200
+    sample_docs: int = 1500  # labelled documents a language that the trees are fitted on, about
     bits_quantile: float = 0.95  # of a language's sampled texts, for ``bits_bounds``
     bits_slack: float = 1.25
     short_bits: float = 120.0  # that a text may take beyond its bound, for words the sample lacks
@@ -60,97 +60,113 @@ def _count_grams(batches, order: int):
         )
 
 
-class PpmModel:
-    """The automaton: ``step[context, symbol]`` and ``cost[context, symbol, language]`` in bits."""
+class PpmTree:
+    """A language's automaton: ``step[context, symbol]`` and ``cost[context, symbol]`` in bits; context 0 is the empty one."""
 
-    def __init__(self, languages: list[str], symbol: np.ndarray, step: np.ndarray, cost: np.ndarray):
-        self.languages, self.symbol, self.step, self.cost = languages, symbol, step, cost
+    def __init__(self, symbol: np.ndarray, step: np.ndarray, cost: np.ndarray):
+        self.symbol, self.step, self.cost = symbol, step, cost
+        self.width = step.shape[1]
+        self.flat = (step * self.width).astype(np.int32).ravel()  # contexts as beginnings of their rows
+        self.bits = cost.ravel()
 
     @staticmethod
-    def fit(grams, order: int, max_contexts: int) -> PpmModel:
-        """``grams``: a frame lang, k, code, n of all counts of the sample."""
-        languages = sorted(grams["lang"].unique())
-        lang = np.searchsorted(languages, grams["lang"].to_numpy(str)) if languages else np.empty(0, int)
-        k, code, n = (grams[c].to_numpy(np.int64) for c in ("k", "code", "n"))
-        seen = np.unique(code[k == 1])
+    def fit(k: np.ndarray, code: np.ndarray, n: np.ndarray, order: int) -> PpmTree:
+        """From all counts ``n`` of ``k`` bytes in a row (packed into ``code``) of one language."""
+        grams = [(code[k == size], n[k == size]) for size in range(1, order + 2)]
+        seen = np.unique(grams[0][0])
         symbol = np.zeros(256, np.int32)  # 0: ends a text; 1: never seen
         symbol[1:] = 1
         symbol[seen] = np.arange(2, 2 + len(seen))
         width = 2 + len(seen)
-        spell = lambda c, size: bytes(int(c) >> 8 * (size - 1 - j) & 255 for j in range(size))
-        contexts = [b""]
-        total: dict[bytes, int] = {}
-        for size, c, count in zip(k, code, n, strict=True):
-            if size <= order:
-                total[s] = total.get(s := spell(c, size), 0) + int(count)
-        frequent = sorted(total, key=lambda s: (len(s) > 1, -total[s], s))[:max_contexts]
-        known = set(frequent)
-        contexts += sorted((s for s in frequent if all(s[i:] in known for i in range(1, len(s)))), key=lambda s: (len(s), s))
-        at = {s: i for i, s in enumerate(contexts)}
-        counts = np.zeros((len(contexts), width, len(languages)), np.float32)
-        for g, size, c, count in zip(lang, k, code, n, strict=True):
-            if (i := at.get((s := spell(c, size))[:-1])) is not None:
-                counts[i, symbol[s[-1]], g] = count
-        cost = counts  # each row of counts is read before its costs replace it
-        step = np.zeros((len(contexts), width), np.int32)
-        for i, s in enumerate(contexts):
-            lower = np.full((width, len(languages)), 1 / 256) if not s else 2.0 ** -cost[at[s[1:]]].astype(float)
-            mass = counts[i].astype(float)
-            kinds, whole = (mass > 0).sum(0), mass.sum(0)
-            other = np.where(mass > 0, 0, lower)
-            other[0] = 0
-            other[1] *= 256 - len(seen)  # one entry stands for all bytes never seen
-            rest = np.maximum(other.sum(0), 1e-12) if s else np.maximum((256 - kinds) / 256, 1 / 256)
-            escape = np.where(whole > 0, kinds / np.maximum(whole + kinds, 1), 1.0)
-            p = np.where(mass > 0, mass / np.maximum(whole + kinds, 1), lower * escape / np.where(whole > 0, rest, 1.0))
-            cost[i] = -np.log2(np.maximum(p, 1e-12))
-            cost[i, 0] = 0
-            for j, byte in enumerate(seen.tolist()):
-                t = (s + bytes([byte]))[-order:] if order else b""
-                while t not in at:
-                    t = t[1:]
-                step[i, 2 + j] = at[t]
-        return PpmModel(languages, symbol, step, cost)
-
-    def code_lengths(self, buffer: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
-        """Bits of each text in each language. ``buffer``: texts ending in byte 0; ``starts``: where they begin."""
-        out = np.zeros((len(starts), len(self.languages)))
-        width, flat, cost = self.step.shape[1], self.step.ravel(), self.cost.reshape(-1, len(self.languages))
-        for a in range(0, len(buffer), PIECE):
+        # Contexts of each length: all that something follows.
+        contexts = [np.unique(c >> 8) for c, _ in grams]
+        offset = np.cumsum([0, *map(len, contexts)])
+        at = lambda size, c: offset[size] + np.searchsorted(contexts[size], c)
+        step = np.zeros((offset[-1], width), np.int32)
+        cost = np.zeros((offset[-1], width), np.float32)
+        for size, (c, count) in enumerate(grams):
+            own = slice(offset[size], offset[size + 1])
+            mass = np.zeros((len(contexts[size]), width))
+            mass[at(size, c >> 8) - offset[size], symbol[c & 255]] = count
+            if size:
+                shorter = at(size - 1, contexts[size] & (1 << 8 * (size - 1)) - 1)
+                lower = 2.0 ** -cost[shorter].astype(float)
+                step[own] = step[shorter]
+            else:
+                lower = np.full((len(mass), width), 1 / 256)
+            if size < order:
+                longer = contexts[size + 1]
+                step[at(size, longer >> 8), symbol[longer & 255]] = at(size + 1, longer)
+            kinds, whole = (mass > 0).sum(1, keepdims=True), mass.sum(1, keepdims=True)
+            free = np.where(mass > 0, 0, lower)
+            free[:, 0] = 0
+            free[:, 1] *= 256 - len(seen)  # one entry stands for all bytes never seen
+            rest = np.maximum(free.sum(1, keepdims=True), 1e-12) if size else np.maximum((256 - kinds) / 256, 1 / 256)
+            p = np.where(mass > 0, mass / (whole + kinds), lower * kinds / (whole + kinds) / rest)
+            cost[own] = -np.log2(np.maximum(p, 1e-12))
+            cost[own, 0] = 0
+        return PpmTree(symbol, step, cost)
+
+    def code_lengths(self, buffer: np.ndarray, starts: np.ndarray, order: int, piece: int = PIECE) -> np.ndarray:
+        """Bits of each text. ``buffer``: texts ending in byte 0; ``starts``: where they begin."""
+        out = np.zeros(len(starts))
+        for a in range(0, len(buffer), piece):
             lead = min(a, order)
-            u = self.symbol[buffer[a - lead : a + PIECE]]
+            u = self.symbol[buffer[a - lead : a + piece]]
             state = np.zeros(len(u), np.int32)  # the context before each byte
             for _ in range(order):
-                state[1:] = flat[state[:-1] * width + u[:-1]]
-            bits = cost[state * width + u][lead:]
+                state[1:] = self.flat[state[:-1] + u[:-1]]
+            bits = self.bits[state + u][lead:]
             first = int(np.searchsorted(starts, a, side="right")) - 1
             last = int(np.searchsorted(starts, a + len(bits), side="left"))
             cuts = np.maximum(starts[first:last] - a, 0)
-            out[first:last] += np.add.reduceat(bits, cuts, axis=0, dtype=np.float64)
+            out[first:last] += np.add.reduceat(bits, cuts, dtype=np.float64)
         return out
 
 
+class PpmModel:
+    """The trees of all languages, in the order of their names."""
+
+    def __init__(self, trees: dict[str, PpmTree]):
+        self.languages = sorted(trees)
+        self.trees = [trees[g] for g in self.languages]
+
+    def code_lengths(self, buffer: np.ndarray, starts: np.ndarray, order: int, piece: int = PIECE) -> np.ndarray:
+        """Bits of each text (rows) in each language (columns)."""
+        return np.stack([t.code_lengths(buffer, starts, order, piece) for t in self.trees], 1)
+
+
 def _sample(labelled: DataFrame, p: PpmParams) -> DataFrame:
-    """``sample_docs`` usable rows a language."""
+    """About ``sample_docs`` usable rows a language: those whose hash is below the language's bound."""
     usable = labelled.where("text is not null and text <> '' and lang is not null").withColumn("r", F.xxhash64("key", "text"))
-    # First within salted parts of a language, so that a common one doesn't meet in one task.
-    ranked = usable.select("lang", "key", "r", F.pmod("r", F.lit(128)).alias("salt"))
-    for part in (["lang", "salt"], ["lang"]):
-        w = Window.partitionBy(*part).orderBy("r", "key")
-        ranked = ranked.withColumn("i", F.row_number().over(w)).where(F.col("i") <= p.sample_docs).drop("i")
-    chosen = ranked.select("key", "r").distinct()
-    return usable.join(F.broadcast(chosen), ["key", "r"])
+    share = F.lit(float(p.sample_docs)) / F.col("n_lang")
+    bounds = usable.groupBy("lang").agg(F.count("*").alias("n_lang")).select("lang", F.when(share < 1, (2.0**64 * share - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1)).alias("bound"))
+    return usable.join(F.broadcast(bounds), "lang").where("r <= bound").drop("bound")  # a row a language
 
 
 def fit_ppm(labelled: DataFrame, params: PpmParams = PpmParams()) -> PpmModel:
-    """``labelled``: key (long), text, lang. Fitted on ``sample_docs`` texts a language."""
+    """``labelled``: key (long), text, lang. Fitted on about ``sample_docs`` texts a language."""
+    import pyarrow as pa
+
     p = params
-    sample = _sample(labelled, p)
-    grams = sample.select("lang", "text").mapInArrow(lambda it: _count_grams(it, p.order), "lang string, k long, code long, n long")
-    table = grams.groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toArrow().to_pandas(self_destruct=True)
-    if table["lang"].nunique() > p.max_languages:
-        raise ValueError(f"more than {p.max_languages} languages")
-    return PpmModel.fit(table, p.order, p.max_contexts)
+    grams = _sample(labelled, p).select("lang", "text").mapInArrow(lambda it: _count_grams(it, p.order), "lang string, k long, code long, n long")
+
+    def fit(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        tree = PpmTree.fit(*(table[c].to_numpy() for c in ("k", "code", "n")), p.order)
+        parts = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in (tree.symbol, tree.step, tree.cost)]
+        return pa.table({"lang": table["lang"].slice(0, 1), "width": pa.array([tree.width], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in zip(("symbol", "step", "cost"), parts, strict=True)}})
+
+    counts = grams.groupBy("lang", "k", "code").agg(F.sum("n").alias("n"))
+    trees = counts.groupBy("lang").applyInArrow(fit, "lang string, width long, symbol binary, step binary, cost binary").toArrow()
+
+    def opened(data: bytes, kind):
+        import zstandard
+
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+    return PpmModel({r["lang"]: PpmTree(opened(r["symbol"], np.int32), opened(r["step"], np.int32).reshape(-1, r["width"]), opened(r["cost"], np.float32).reshape(-1, r["width"])) for r in trees.to_pylist()})
 
 
 def _score(batches, model, order: int):
@@ -208,7 +224,7 @@ def identify(docs: DataFrame, model: PpmModel | None, params: PpmParams = PpmPar
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), *more)
     if model is None or not model.languages:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"), *more)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_contexts rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some megabytes a language
     schema = "doc_id long, letters boolean, lang_pred string, score double, bits_per_byte double" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
     scored = rows.mapInArrow(lambda it: _score(it, shared, params.order), schema)
     return scored.select("doc_id", F.when(F.col("letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"), "bits_per_byte", *more)

@@ -1,6 +1,7 @@
 """Text operators against plain Python on small inputs, with their edge cases."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -202,22 +203,56 @@ def test_language_of_held_out_documents(spark, texts):
     assert np.mean([r.lang_pred == texts[r.doc_id].lang for r in held]) > 0.95
 
 
-def test_ppm_costs_are_a_code(spark):
-    rows = [(1, "abracadabra", "x"), (2, "abba", "x"), (3, "zzz", "y")]
-    model = language_id.fit_ppm(spark.createDataFrame(rows, "key long, text string, lang string"), language_id.PpmParams(order=2))
-    share = 2.0 ** -model.cost.astype(float)
-    seen, unseen = share[:, 2:].sum(1), share[:, 1] * (256 - (model.cost.shape[1] - 2))
-    assert np.allclose(seen + unseen, 1, atol=1e-4)
-    text = np.frombuffer(b"abraz\0", np.uint8)
-    want, context = np.zeros(2), 0
-    for byte in text[:-1]:
-        want += model.cost[context, model.symbol[byte]]
-        context = model.step[context, model.symbol[byte]]
-    assert np.allclose(model.code_lengths(text, np.array([0]), 2)[0], want, atol=1e-4)
-    single = language_id.identify(spark.createDataFrame([(1, "123"), (2, None), (3, "zz")], "doc_id long, text string"), model, language_id.PpmParams(order=2))
+def plain_ppm_bits(train, text, order):
+    """Code length of a text, byte by byte, from counts of contexts that are looked up as they come."""
+    after = collections.defaultdict(collections.Counter)
+    for t in train:
+        for i, byte in enumerate(t):
+            for size in range(min(order, i) + 1):
+                after[t[i - size : i]][byte] += 1
+
+    @functools.cache
+    def share(context, byte):
+        c = after.get(context)
+        if not c:
+            return share(context[1:], byte) if context else 1 / 256
+        whole, kinds = sum(c.values()), len(c)
+        if byte in c:
+            return c[byte] / (whole + kinds)
+        lower = (lambda x: share(context[1:], x)) if context else (lambda x: 1 / 256)
+        return kinds / (whole + kinds) * lower(byte) / sum(lower(x) for x in range(256) if x not in c)
+
+    return -sum(math.log2(share(text[max(0, i - order) : i], byte)) for i, byte in enumerate(text))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_code_lengths_equal_plain_ppm(spark, order):
+    train = {"x": ["abracadabra", "abba cab"], "y": ["zzz yzzy z", "häuser über häuser"], "z": ["a"]}
+    rows = [(i, t, g) for g, ts in train.items() for i, t in enumerate(ts)]
+    p = language_id.PpmParams(order=order)
+    model = language_id.fit_ppm(spark.createDataFrame(rows, "key long, text string, lang string"), p)
+    texts = [x.encode() for x in ("abraz", "cab cab", "", "über 12", "zyzzy häu", "q" * 9 + "ab")]
+    buffer = np.frombuffer(b"".join(t + b"\0" for t in texts), np.uint8)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    want = [[plain_ppm_bits([t.encode() for t in train[g]], text, order) for g in model.languages] for text in texts]
+    for piece in (language_id.PIECE, 7, 2):  # borders of pieces change nothing
+        assert np.allclose(model.code_lengths(buffer, starts, order, piece), want, rtol=1e-4)
+    single = language_id.identify(spark.createDataFrame([(1, "123"), (2, None), (3, "zz")], "doc_id long, text string"), model, p)
     assert [r.lang_pred for r in single.orderBy("doc_id").collect()] == ["und", "und", "y"]
 
 
+def test_rare_languages_keep_their_contexts_and_many_languages_are_learned(spark):
+    rng = np.random.default_rng(4)
+    words = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    alphabets = {f"l{i:03d}": "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(4)) + chr(0x400 + i) for i in range(240)}
+    rows = [(i, words("abcdefghijklmnopqrstuvwxyz", 400), "big") for i in range(60)] + [(1000 + i, words(x, 30), g) for i, (g, x) in enumerate(alphabets.items())]
+    model = language_id.fit_ppm(spark.createDataFrame(rows, "key long, text string, lang string"))
+    assert len(model.languages) == 241
+    asked = [(i, words(x, 12)) for i, x in enumerate(alphabets.values())]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert np.mean([got[i] == g for i, g in enumerate(alphabets)]) > 0.95
+
+
 def test_lm_scores_equal_plain_backoff(spark, texts):
     p = lm_score.LmParams(block_tokens=3000, bucket_keys=20_000)
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id", "text", "coalesce(pmod(crc32(cast(doc_id as string)), 10), 0) <> 0 as train")
