@@ -2,7 +2,7 @@
 
 A rule is a host and the beginning of a path. Every URL is expanded into the
 expressions that could be rules: each suffix of its host, on label borders,
-followed by each beginning of its path of a length that some rule has. The
+followed by each beginning of its path as long as that of a rule for this suffix. The
 expressions meet the rules in an equi-join on a short prefix of their SHA-256;
 the whole digest confirms a hit and the longest confirmed rule decides.
 """
@@ -16,8 +16,6 @@ from fleetlake.llm.common import lower_ascii
 
 #: Hex digits of the digest that the join compares first.
 PREFIX_DIGITS = 8
-#: Rules may have paths of up to this many characters; so many lengths at most are expanded.
-MAX_PATH = 4096
 
 
 def url_parts(url):
@@ -43,23 +41,23 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     and so does everything if there are no rules. Other columns aren't read.
     """
     rules = rules.select(lower_ascii(F.col("host")).alias("rhost"), F.coalesce("path", F.lit("")).alias("rpath"), F.col("verdict").alias("rverdict"))
-    rules = rules.where("rhost <> '' and rverdict is not null").where(F.length("rpath") <= MAX_PATH)
+    rules = rules.where("rhost <> '' and rverdict is not null")
     expression = F.concat_ws("\u0000", "rhost", "rpath")
     rules = rules.withColumns({"digest": _digest(expression), "rule": F.concat("rhost", "rpath")}).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
-    lengths = sorted(r[0] for r in rules.select(F.length("rpath")).distinct().collect())  # MAX_PATH + 1 values at most
+    lengths = rules.groupBy("rhost").agg(F.array_sort(F.collect_set(F.length("rpath"))).alias("lengths"))
 
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    if not lengths:
-        return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     urls = rows.select("host", "path").where("host <> ''").distinct()
     labels = F.split("host", r"\.")
     suffixes = urls.select("host", "path", F.posexplode(labels).alias("i", "_label")).select("host", "path", F.array_join(F.slice(F.split("host", r"\."), F.col("i") + 1, F.size(labels)), ".").alias("suffix"))
-    prefix = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
-    spelled = suffixes.select("host", "path", "suffix", F.explode(prefix).alias("start")).where("start is not null")
-    spelled = spelled.withColumn("d", _digest(F.concat_ws("\u0000", "suffix", "start"))).withColumn("short", F.substring("d", 1, PREFIX_DIGITS))
+    # A suffix is only spelled with beginnings as long as some rule of that host.
+    known = suffixes.join(lengths, F.col("suffix") == F.col("rhost")).select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    spelled = known.withColumn("d", _digest(F.concat_ws("\u0000", "suffix", F.substring("path", F.lit(1), F.col("n"))))).withColumn("short", F.substring("d", 1, PREFIX_DIGITS))
     hits = spelled.join(rules, "short").where(F.col("d") == F.col("digest"))
     order = F.struct(F.length("rule"), (F.col("rverdict") == "block").cast("int"), F.col("rule"))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rverdict"), order).alias("best"))
-    out = rows.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rverdict", F.lit(default)).alias("verdict"))
+    # Rows without a host would all meet in one task of the join and can't be hit.
+    none = rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    out = rows.where("host <> ''").join(best, ["host", "path"], "left")
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rverdict", F.lit(default)).alias("verdict")).unionByName(none)
