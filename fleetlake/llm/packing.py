@@ -80,7 +80,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return bins, offsets
 
 
-def _measure(batches):
+def _measure(batches, given: bool):
     import pyarrow as pa
     import xxhash
 
@@ -89,8 +89,8 @@ def _measure(batches):
         for t in texts_of(b.column(1)):
             words = t.lower().split()
             n.append(len(words) + 1)
-            cluster.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63)
-        yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cluster, pa.int64())], names=["doc_id", "source", "n", "cluster"])
+            cluster.append(None if given else xxhash.xxh3_64_intdigest(b" ".join(words)) - 2**63)
+        yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64()), b.column(3) if given else pa.array(cluster, pa.int64())], names=["doc_id", "source", "n", "cluster"])
 
 
 def _codes(column) -> list[int]:
@@ -99,11 +99,13 @@ def _codes(column) -> list[int]:
     return [-1 if v is None else seen.setdefault(v, len(seen)) for v in column.to_pylist()]
 
 
-def pack(docs: DataFrame, params: PackParams = PackParams(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, params: PackParams = PackParams(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None) -> DataFrame:
     """(doc_id, piece, n_tokens, bin_id, bin_start): every row of ``docs`` in bins.
 
     A document longer than a bin is cut into whole bins and a rest. Clusters are
-    texts with the same words, A-Z lower-cased. Null text is empty and takes its
+    rows with the same ``cluster_col`` (a long, as ``component_id`` of the n-gram
+    join; null: a cluster of its own), or without it texts with the same words, A-Z
+    lower-cased. Null text is empty and takes its
     end token; a null source conflicts with none. Equally long pieces go by id and
     piece. Repeated rows are copies and go to different bins. An empty table gives
     an empty result; other columns aren't read.
@@ -111,16 +113,20 @@ def pack(docs: DataFrame, params: PackParams = PackParams(), id_col: str = "doc_
     import pyarrow as pa
 
     p = params
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-    lengths = rows.mapInArrow(_measure, "doc_id long, source string, n long, cluster long")
+    given = F.col(cluster_col).cast("long") if cluster_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), given.alias("given"))
+    lengths = rows.mapInArrow(lambda it: _measure(it, cluster_col is not None), "doc_id long, source string, n long, cluster long")
+    # Equal rows are counted and numbered, so that they are dealt to all shards as others are.
+    counted = lengths.groupBy("doc_id", "source", "n", "cluster").agg(F.count("*").alias("rows"))
+    each = counted.select("doc_id", "source", "n", "cluster", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy"))
     whole = F.floor((F.col("n") - 1) / p.capacity)
-    cut = lengths.select("doc_id", "source", "cluster", "n", F.explode(F.sequence(F.lit(0).cast("long"), whole)).alias("piece"))
+    cut = each.select("doc_id", "source", "cluster", "copy", "n", F.explode(F.sequence(F.lit(0).cast("long"), whole)).alias("piece"))
     parts = materialize(cut.withColumn("n_tokens", F.least(F.col("n") - F.col("piece") * p.capacity, F.lit(p.capacity))).drop("n"), "pieces")
     shards = max(1, -(-parts.count() // p.shard_rows))
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "copy"), F.lit(shards)))
 
     def fill(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending")])
+        table = table.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending"), ("copy", "ascending")])
         bins, starts = best_fit(table["n_tokens"].to_pylist(), _codes(table["source"]), _codes(table["cluster"]), p.capacity)
         shard = table["shard"][0].as_py()
         return pa.table({"doc_id": table["doc_id"], "piece": table["piece"], "n_tokens": table["n_tokens"], "bin_id": pa.array([shard << 32 | b for b in bins], pa.int64()), "bin_start": pa.array(starts, pa.int64())})
