@@ -102,7 +102,7 @@ used AS (
 norm AS (
   SELECT *, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789',
                       'abcdefghijklmnopqrstuvwxyz000000000') AS nl FROM used),
-shared AS (SELECT host, nl FROM norm GROUP BY ALL HAVING count(DISTINCT t) > 30),
+shared AS (SELECT host, nl FROM norm GROUP BY ALL HAVING count(DISTINCT doc_id) > 30),
 cut AS (SELECT doc_id, sum(len(lw)) AS cut_words FROM norm JOIN shared USING (host, nl) GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM used GROUP BY doc_id),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2),

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fleetlake.llm import decontaminate, language_id, license_scan, lm_score, ngram_join, packing, pii, quality, token_store, url_filter
@@ -108,17 +109,25 @@ def test_patterns_discover_what_the_seeds_missed(spark):
     assert masked[10] == "blah 10 your hotline number: [PHONE] thanks"
 
 
-def test_shared_lines_go_and_copies_do_not_count(spark):
-    p = quality.LineParams(max_texts=2, min_words=5)
+def test_shared_lines_go_and_depleted_documents_too(spark):
+    p = quality.LineParams(max_docs=2, min_words=5)
     body = [" ".join("abcd"[i] * (1 + j % 9) + "xyz"[j % 3] * (1 + j // 9) for j in range(60)) for i in range(4)]
     rows = [(i, f"Subscribe 20{i} now\n{body[i]}", "h") for i in range(4)] + [(9, "Subscribe 777 now\nsubscribe   111 NOW\nfine words here", "h"), (10, "Subscribe 333 now\n" + body[0], "other")]
-    rows += [(20 + i, body[3] + " same", "h") for i in range(5)]
-    got = {r.doc_id: r for r in quality.line_quality(frame(spark, rows), p).collect()}
-    assert [got[i].cut_words for i in (0, 3, 9, 10, 20)] == [3, 3, 6, 0, 0]
+    rows += [(20 + i, body[3] + " same", "h") for i in range(5)] + [(30 + i, body[2] + " twice", "h") for i in range(2)] * 3
+    rows += [(40, None, "h"), (40, "Subscribe 140 now\nother text", "h")]
+    out = quality.line_quality(frame(spark, rows), p).collect()
+    assert len(out) == len(rows)
+    got = {r.doc_id: r for r in out}
+    assert [got[i].cut_words for i in (0, 3, 9, 10, 30)] == [3, 3, 6, 0, 0]
     assert got[0].kept and got[9].kept  # a third of its words is left
-    assert all(got[20 + i].kept for i in range(5))
-    clean = {r.doc_id: r.text for r in quality.without_shared_lines(frame(spark, rows), p).collect()}
-    assert clean[0] == body[0] and clean[9] == "fine words here" and clean[10].startswith("Subscribe")
+    # A text in more documents of a host than the limit is shared lines only; repeated rows are one document.
+    assert [(r.cut_words, r.kept, r.base_failed) for r in out if 20 <= r.doc_id < 25] == [(61, False, False)] * 5
+    assert all(r.kept for r in out if 30 <= r.doc_id < 32)
+    clean = collections.defaultdict(set)
+    for r in quality.without_shared_lines(frame(spark, rows), p).collect():
+        clean[r.doc_id].add(r.text)
+    assert clean[0] == {body[0]} and clean[9] == {"fine words here"} and next(iter(clean[10])).startswith("Subscribe")
+    assert clean[20] == {""} and clean[40] == {None, "other text"}
 
 
 def jaccard_reference(rows, k=3, percent=90):
@@ -178,6 +187,26 @@ def test_packing_respects_conflicts_and_capacity(spark):
         assert len({source[r.doc_id] for r in members}) == len(members) == len({text[r.doc_id] for r in members})
 
 
+def test_equal_rows_spread_over_shards_and_clusters_may_be_given(spark):
+    rows = [(1, "a b c d", None)] * 500 + [(2 + i, f"w{i} x y z", None) for i in range(100)]
+    out = packing.pack(frame(spark, rows), packing.PackParams(capacity=20, shard_rows=100)).collect()
+    assert len(out) == 600 and len({(r.bin_id, r.bin_start) for r in out}) == 600
+    shards = collections.Counter(r.bin_id >> 32 for r in out if r.doc_id == 1)
+    assert len(shards) == 6 and max(shards.values()) < 160
+    given = frame(spark, rows).withColumn("component_id", F.when(F.col("doc_id") > 50, F.lit(7)))
+    members = collections.defaultdict(list)
+    for r in packing.pack(given, packing.PackParams(capacity=20, shard_rows=1000), cluster_col="component_id").collect():
+        members[r.bin_id].append(r.doc_id)
+    assert all(sum(d > 50 for d in m) <= 1 for m in members.values()) and any(m.count(1) > 1 for m in members.values())
+
+
+def test_long_rule_paths_count(spark):
+    path = "/" + "p" * 9000
+    rules = spark.createDataFrame([("a.com", path, "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, f"http://x.a.com{path}/q"), (2, f"http://x.a.com{path[:-1]}"), (3, None)], "page_id long, url string")
+    assert [r.verdict for r in url_filter.filter_urls(pages, rules).orderBy("page_id").collect()] == ["block", "allow", "allow"]
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = np.random.default_rng(5)
     sizes = sorted((int(x) for x in rng.integers(1, 60, 400)), reverse=True)
