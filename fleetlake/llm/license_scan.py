@@ -17,8 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlake.llm.common import mix, pieces, texts_of
-from fleetlake.llm.decontaminate import Members, plain_shingles
+from fleetlake.llm.common import mix, pieces, shingle_hashes, texts_of
+from fleetlake.llm.decontaminate import Members, plain_words, short_shingles
 
 # Wordings of public license notices.
 TEMPLATES = [
@@ -71,9 +71,13 @@ class TemplateIndex:
 
     def __init__(self, templates: list[tuple[str, str]], p: LicenseParams):
         self.names, self.sets = [], []
+        self.short: dict[int, dict[int, list[str]]] = {}  # by number of words and hash: names of shorter templates
         keys, owners = [], []
         for name, text in templates:
-            s = plain_shingles(text.encode(), p.shingle)
+            h = plain_words(text.encode())
+            if 0 < len(h) < p.shingle:
+                self.short.setdefault(len(h), {}).setdefault(int(short_shingles(h, len(h))[0]), []).append(name)
+            s = shingle_hashes(h, p.shingle).view(np.int64)
             if not len(s):
                 continue
             w = window_size(len(s), p.windows)
@@ -101,9 +105,18 @@ def _scan(batches, index, p: LicenseParams):
 
     t = index.value
     for b in pieces(batches):
-        out = []
+        out: list = []
+        first: dict[int, list[int]] = {}
         for d, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-            s = plain_shingles(text, p.shingle)
+            h = plain_words(text)
+            for size, names in t.short.items():
+                found = short_shingles(h, size)
+                for at in np.flatnonzero(np.isin(found, list(names))).tolist():
+                    first.setdefault(found[at].item(), [at, at])[1] = at
+                for key, (a, z) in first.items():
+                    out += [(d, name, 1, 1, a, z + size) for name in names[key]]
+                first.clear()
+            s = shingle_hashes(h, p.shingle).view(np.int64)
             for i in t.retrieve(s, p) if len(s) else ():
                 at = t.sets[i].find(s)
                 shared, whole = len(np.unique(s[at])), len(t.sets[i].values)
@@ -119,7 +132,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
     Words count from 0, ``end_word`` is exclusive; together they span all that the
     document shares with the template. Null, empty and short texts hold nothing,
-    templates of fewer than five words are never found, repeated rows report each,
+    a template of fewer than five words is one shingle of all its words, repeated rows report each,
     and a tie isn't possible as every template is judged on its own. The templates
     go to all tasks, so their list should stay within some megabytes.
     """

@@ -380,6 +380,23 @@ def test_benchmark_items_in_documents(spark, limit):
     assert got == want and len(got) >= 20
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_short_and_equal_items_are_found(spark, limit):
+    items = [(1, "the red fox"), (2, "The RED fox!"), (3, "one"), (4, ""), (5, "a b c d e f"), (6, "a b c d e f")]
+    docs = [(1, "see the red, fox run", "s"), (2, "red fox the", "s"), (3, "one", "s"), (4, None, "s"), (5, "x a b c d e f y", "s"), (5, "x a b c d e", "s"), (6, "", "s")]
+    got = decontaminate.contained_items(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), decontaminate.ContainmentParams(broadcast_rows=limit)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, 1), (1, 2, 1, 1), (3, 3, 1, 1), (5, 5, 2, 2), (5, 6, 2, 2)]
+
+
+def test_short_templates_and_scattered_edits(spark):
+    mit = dict(license_scan.TEMPLATES)["mit"].split()
+    # An edit every 26 words leaves a little over four fifths of the five-word shingles and few whole windows.
+    edited = [("new" if i % 26 == 13 else w) for i, w in enumerate(mit)]
+    docs = [(1, "under MIT License here, MIT license", "a"), (2, "MIT", "a"), (3, "pad " * 7 + " ".join(edited) + " pad", "a"), (4, None, "a")]
+    got = {(r.doc_id, r.license, r.first_word, r.end_word) for r in license_scan.scan_licenses(frame(spark, docs), [("mit-name", "MIT License"), ("mit", " ".join(mit)), ("none", "")]).collect()}
+    assert {g[:2] for g in got} == {(1, "mit-name"), (3, "mit")} and (1, "mit-name", 1, 6) in got
+
+
 def test_wavelet_matrix_round_trip():
     rng = np.random.default_rng(2)
     for values in ([], [0], [5], rng.integers(0, 50, 3000).tolist(), rng.integers(0, 49408, 2000).tolist(), [70000, 3, 70000]):
