@@ -469,3 +469,72 @@ def test_discovered_instances_lead_to_further_patterns(spark):
     assert spans[140] == [("phone", 14, 26)]
     long = "a" * 90 + "@host"
     assert pii.candidate_spans(f"mail {long} or 4111 1111 1111 1112.", []) == [(0, 5, 100), (2, 104, 123)]
+
+
+def plain_graph(rows, p):
+    """Discovered (row, kind, start, end) by the same rules over dictionaries."""
+    edges, places, total = collections.Counter(), [], collections.Counter()
+    beside = lambda w, v: [("l", *w[-1:])] * bool(w) + [("l", *w)] * (len(w) == 2) + [("r", *v)] * (len(v) == 2)
+    for n, (_, t, _) in enumerate(rows):
+        seeds = pii.seed_spans(t)
+        for spans, is_seed in ((seeds, True), (pii.candidate_spans(t, seeds), False)):
+            for k, s, e in spans:
+                words = [x.encode().translate(decontaminate.PLAIN).split() for x in (t[:s], t[e:])]
+                i = t[s:e].lower()
+                places += [] if is_seed else [(n, k, i, s, e)]
+                for q in beside(words[0][-2:], words[1][:2]):
+                    edges[q, k, i, is_seed] += 1
+        w = t.encode().translate(decontaminate.PLAIN).split()
+        total.update([("l", x) for x in w] + [(d, *x) for x in zip(w, w[1:]) for d in "lr"])
+    seeds = {(k, i): 1.0 for _, k, i, s in edges if s}
+    scores, open_ = dict(seeds), {(q, k) for q, k, _, s in edges if not s}
+    while True:
+        found, hits = collections.defaultdict(set), collections.Counter()
+        for (q, form, i, _), n in edges.items():
+            for k in range(4):
+                if (k, i) in scores and form in (-1, k):
+                    found[q, k].add(i)
+                    hits[q, k] += n * scores[k, i]
+        weight = {x: min(hits[x] / total[x[0]], 0.999999) for x, members in found.items() if len(members) >= p.least_seeds and {(x[0], -1), (x[0], x[1])} & open_}
+        miss = collections.defaultdict(dict)
+        for q, form, i, s in edges:
+            for k in range(4):
+                if not s and form in (-1, k) and (q, k) in weight:
+                    miss[k, i][q] = 1 - weight[q, k]
+        new = {x: 1 - math.prod(m.values()) for x, m in miss.items() if 1 - math.prod(m.values()) >= p.accept} | seeds
+        done = len(new) == len(scores)
+        scores = new
+        if done:
+            break
+    out = set()
+    for n, form, i, s, e in places:
+        kinds = [k for k in range(4) if (k, i) in scores]
+        if kinds and form in (-1, *kinds):
+            out.add((n, form if form >= 0 else max(kinds, key=lambda k: (scores[k, i], -k)), s, e))
+    return out
+
+
+def test_the_pattern_graph_equals_plain_dictionaries(spark):
+    rng = np.random.default_rng(12)
+    pick = lambda x: x[int(rng.integers(0, len(x)))]
+    digits = lambda k: "".join(str(int(x)) for x in rng.integers(0, 10, k))
+    forms = [lambda: f"+1 555 {digits(7)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: f"acct-{digits(5)}x", lambda: f"u{digits(3)}@home", lambda: f"ann{digits(2)}@mail.org", lambda: f"10.{digits(1)}.{digits(1)}.7", lambda: digits(4)]
+    rows = []
+    for i in range(400):
+        lead = pick(["my phone number", "call", "write to", "host", "the", "reach desk", "so"])
+        form = forms[0] if lead == "my phone number" and rng.random() < 0.8 else forms[4] if lead == "write to" and rng.random() < 0.9 else pick(forms)
+        rows.append((i, f"{pick(['hello', 'well then', 'note'])} {lead}: {form()} {pick(['thanks a lot', 'or not', 'ok'])}", "a"))
+    p = pii.PiiParams()
+    got = {(r.doc_id, x.k, x.s, x.e) for r in pii.find_pii(frame(spark, rows), p).collect() for x in set(r.spans) - set(r.base)}
+    want = plain_graph(rows, p)
+    assert got == want
+    found = {rows[n][1][s:e] for n, _, s, e in want}
+    assert any(x.startswith("acct-") for x in found) and any(x.endswith("@home") for x in found)
+
+
+def test_long_words_beside_an_instance_count(spark):
+    long = "w" * 5000
+    rows = [(i, f"see {long} code: +1 555 0{i:02d} 99{i:02d} stop", "a") for i in range(10, 20)] + [(90, f"see {long} code: zx-81q stop", "a")]
+    spans = {r.doc_id: [(pii.KINDS[x.k], r_text[x.s : x.e]) for x in r.spans] for r in pii.find_pii(frame(spark, rows)).collect() for r_text in [dict((a, b) for a, b, _ in rows)[r.doc_id]]}
+    assert spans[90] == [("phone", "zx-81q")]
+    assert pii.words_beside(f"a {long} ", 5003, 5003)[0] == [b"a", long.encode()]
