@@ -220,10 +220,12 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 def _unlike(open_: DataFrame, base: DataFrame, p: JoinParams) -> DataFrame:
     """Pairs (a, b) from different components of a group that may link.
 
-    Sets travel as their tokens' first 16 bits: what two have in common there,
-    and what a set lost in them, bounds the intersection from above. Groups are
-    cut into blocks that meet each other pairwise, so a task holds two blocks
-    and only pairs within the bound are rows.
+    Of two such sets one at least is outside the group's largest component, so those
+    outside it are compared with all: rows and work grow with their number times
+    that of all, and a group in which few are outside takes a row each. Sets travel
+    as their tokens' first 16 bits: what two have in common there, and what a set
+    lost in them, bounds the intersection from above. A task holds a block of either
+    side and only pairs within the bound are rows.
     """
     k, size, percent = p.shingle, p.block_rows, p.percent
     groups = connected_components(open_.select(F.col("head").alias("a"), F.col("id").alias("b")))
@@ -233,18 +235,23 @@ def _unlike(open_: DataFrame, base: DataFrame, p: JoinParams) -> DataFrame:
     wanted = ids.select("id").distinct()
     texts = base.join(F.broadcast(wanted) if few else wanted, base.doc_id == wanted.id, "left_semi").select("doc_id", "text")
     sets = texts.mapInArrow(lambda it: _sketch_batches(it, k), "sid long, t binary")
-    counts = ids.groupBy("grp").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    rows = ids.join(counts, "grp").join(sets, F.col("id") == F.col("sid")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    meet = rows.select("grp", "id", "n", "comp", "t", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    meet = meet.select("grp", "id", "n", "comp", "t", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sizes = ids.groupBy("grp", "comp").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("c", (-F.col("comp")).alias("first"))).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    blocks = largest.select("grp", "main", F.ceil(F.col("all") / size).alias("blocks"), F.greatest(F.ceil((F.col("all") - F.col("most")) / size), F.lit(1)).alias("few"))
+    rows = ids.join(blocks, "grp").join(sets, F.col("id") == F.col("sid"))
+    number = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    cells = ["grp", "id", "n", "comp", "t"]
+    asking = rows.where("comp <> main").select(*cells, F.lit(True).alias("asks"), own("few").alias("i"), F.explode(number("blocks")).alias("j"))
+    asked = rows.select(*cells, F.lit(False).alias("asks"), F.explode(number("few")).alias("i"), own("blocks").alias("j"))
+    meet = asking.unionByName(asked)
 
     def compare(table):
         import pyarrow as pa
 
-        ids, n, comp, own = (table[c].to_numpy() for c in ("id", "n", "comp", "own"))
+        ids, n, comp, asks = (table[c].to_numpy() for c in ("id", "n", "comp", "asks"))
         t = [np.frombuffer(v, np.uint16) for v in table["t"].to_pylist()]
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
         found = [np.empty(0, np.int64)] * 2
         if len(left) and len(right):
             most = _common([t[q] for q in left], [t[q] for q in right]) + np.maximum(*np.meshgrid(*((n - [len(v) for v in t])[q] for q in (left, right)), indexing="ij"))
