@@ -1,85 +1,5 @@
-"""A corpus pipeline of five stages over ``documents``.
+"""The corpus pipeline: five stages over ``documents``, which ``fleetlake.llm.stages`` holds."""
 
-Each stage takes (spark, docs, sf_dir) and returns what it keeps; ``run`` writes
-each result to the shared folder and reads it back as the next stage's input.
-"""
+from fleetlake.llm.stages import NEAR, ORACLE_SQL, STAGES, copies_stage, language_stage, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from fleetlake.llm import decontaminate, language_id, ngram_join, packing, pii
-from fleetlake.llm.common import materialize
-
-#: The usual reading of near copies: five words, links from 0.8 on.
-NEAR = ngram_join.JoinParams(shingle=5, percent=80)
-
-
-def _with_keys(docs: DataFrame) -> DataFrame:
-    """Rows that repeat an id and text are one row from here on; a row without id is dropped."""
-    return docs.where("doc_id is not null")
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that is known; ``lang`` becomes the one found.
-
-    The best language must have half of the share, and code the text in no more
-    bits a byte than its own sampled texts take (``language_id.bits_bounds``): a text
-    that no language codes well is in none of them.
-    """
-    rows = _with_keys(docs).withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    labelled = rows.select(F.col("doc_id").alias("key"), "text", "lang")
-    model = language_id.fit_ppm(labelled)
-    keep = docs.columns
-    found = language_id.identify(rows.withColumn("row", F.struct(*keep)), model, passed="row")
-    good = found.where("lang_pred <> 'und' and score >= 0.5").where(language_id.well_coded(language_id.bits_bounds(labelled, model), F.octet_length("row.text")))
-    return good.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}").alias(c) for c in keep])
-
-
-def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, near: ngram_join.JoinParams = ngram_join.JoinParams()) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies.
-
-    As the stage runs, copies share 90 % of three-word shingles, which is stricter
-    than the usual reading; ``near=NEAR`` takes that one.
-    """
-    groups = ngram_join.jaccard_components(docs, near)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-
-
-def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that contain no benchmark item."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.contained_items(docs, items).select("doc_id").distinct()
-    return docs.join(materialize(leaks, "leaks"), "doc_id", "left_anti").select(*docs.columns)
-
-
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data; ``n_chars`` follows the text."""
-    masked = pii.mask_pii(docs)
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into bins: (doc_id, piece, n_tokens, bin_id, bin_start)."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("language_id", language_stage),
-    ("ngram_jaccard", copies_stage),
-    ("decontamination", decontamination_stage),
-    ("pii", pii_stage),
-    ("packing", packing_stage),
-]
-
-#: The first and the last stage aren't SQL; tests hold the stages against plain Python.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["NEAR", "ORACLE_SQL", "STAGES", "copies_stage", "language_stage", "run"]
