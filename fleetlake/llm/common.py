@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries kept by a worker's word cache; beyond them hashes are computed anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,11 +64,17 @@ def drop_old_shuffles(spark: SparkSession) -> None:
 
 
 def pieces(batches, most_bytes: int = 4 << 20):
-    """Arrow batches cut into runs of rows of about ``most_bytes`` (one row at least)."""
+    """Arrow batches cut into runs of rows of about ``most_bytes`` (one row at least).
+
+    What a batch leaves unused goes back to the system, so that workers stay small.
+    """
+    import pyarrow as pa
+
     for b in batches:
         step = max(1, int(b.num_rows * most_bytes / max(1, b.nbytes)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+        pa.default_memory_pool().release_unused()
 
 
 def lower_ascii(col):

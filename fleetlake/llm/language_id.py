@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlake.llm.common import pieces
+
 #: Texts are scored in pieces of so many bytes.
 PIECE = 1 << 21
 
@@ -40,7 +42,7 @@ def _count_grams(batches, order: int):
     """(lang, k, code, n): how often k bytes, packed into a long, follow each other. Byte 0 ends a text."""
     import pyarrow as pa
 
-    for b in batches:
+    for b in pieces(batches):
         langs = np.array(b.column(0).to_pylist(), object)
         texts = b.column(1).to_pylist()
         out = []
@@ -61,13 +63,18 @@ def _count_grams(batches, order: int):
 
 
 class PpmTree:
-    """A language's automaton: ``step[context, symbol]`` and ``cost[context, symbol]`` in bits; context 0 is the empty one."""
+    """A language's automaton: ``step[source[context], symbol]`` and ``cost[context, symbol]`` in bits; context 0 is the empty one.
+
+    The longest contexts lead where those without their first byte lead, so they
+    share the rows of ``step``.
+    """
+
+    def __init__(self, symbol: np.ndarray, source: np.ndarray, step: np.ndarray, cost: np.ndarray):
+        self.symbol, self.source, self.step, self.cost = symbol, source, step, cost
 
-    def __init__(self, symbol: np.ndarray, step: np.ndarray, cost: np.ndarray):
-        self.symbol, self.step, self.cost = symbol, step, cost
-        self.width = step.shape[1]
-        self.flat = (step * self.width).astype(np.int32).ravel()  # contexts as beginnings of their rows
-        self.bits = cost.ravel()
+    @property
+    def width(self) -> int:
+        return self.step.shape[1]
 
     @staticmethod
     def fit(k: np.ndarray, code: np.ndarray, n: np.ndarray, order: int) -> PpmTree:
@@ -82,7 +89,8 @@ class PpmTree:
         contexts = [np.unique(c >> 8) for c, _ in grams]
         offset = np.cumsum([0, *map(len, contexts)])
         at = lambda size, c: offset[size] + np.searchsorted(contexts[size], c)
-        step = np.zeros((offset[-1], width), np.int32)
+        step = np.zeros((offset[max(order, 1)], width), np.int32)
+        source = np.arange(offset[-1], dtype=np.int32)
         cost = np.zeros((offset[-1], width), np.float32)
         for size, (c, count) in enumerate(grams):
             own = slice(offset[size], offset[size + 1])
@@ -91,7 +99,10 @@ class PpmTree:
             if size:
                 shorter = at(size - 1, contexts[size] & (1 << 8 * (size - 1)) - 1)
                 lower = 2.0 ** -cost[shorter].astype(float)
-                step[own] = step[shorter]
+                if size < order:
+                    step[own] = step[shorter]
+                else:
+                    source[own] = shorter
             else:
                 lower = np.full((len(mass), width), 1 / 256)
             if size < order:
@@ -105,18 +116,19 @@ class PpmTree:
             p = np.where(mass > 0, mass / (whole + kinds), lower * kinds / (whole + kinds) / rest)
             cost[own] = -np.log2(np.maximum(p, 1e-12))
             cost[own, 0] = 0
-        return PpmTree(symbol, step, cost)
+        return PpmTree(symbol, source, step, cost)
 
     def code_lengths(self, buffer: np.ndarray, starts: np.ndarray, order: int, piece: int = PIECE) -> np.ndarray:
         """Bits of each text. ``buffer``: texts ending in byte 0; ``starts``: where they begin."""
         out = np.zeros(len(starts))
+        source, flat, cost = self.source * np.int32(self.width), self.step.ravel(), self.cost.ravel()
         for a in range(0, len(buffer), piece):
             lead = min(a, order)
             u = self.symbol[buffer[a - lead : a + piece]]
             state = np.zeros(len(u), np.int32)  # the context before each byte
             for _ in range(order):
-                state[1:] = self.flat[state[:-1] + u[:-1]]
-            bits = self.bits[state + u][lead:]
+                state[1:] = flat[source[state[:-1]] + u[:-1]]
+            bits = cost[state.astype(np.int64) * self.width + u][lead:]
             first = int(np.searchsorted(starts, a, side="right")) - 1
             last = int(np.searchsorted(starts, a + len(bits), side="left"))
             cuts = np.maximum(starts[first:last] - a, 0)
@@ -155,29 +167,29 @@ def fit_ppm(labelled: DataFrame, params: PpmParams = PpmParams()) -> PpmModel:
         import zstandard
 
         tree = PpmTree.fit(*(table[c].to_numpy() for c in ("k", "code", "n")), p.order)
-        parts = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in (tree.symbol, tree.step, tree.cost)]
-        return pa.table({"lang": table["lang"].slice(0, 1), "width": pa.array([tree.width], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in zip(("symbol", "step", "cost"), parts, strict=True)}})
+        parts = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in (tree.symbol, tree.source, tree.step, tree.cost)]
+        return pa.table({"lang": table["lang"].slice(0, 1), "width": pa.array([tree.width], pa.int64()), **{c: pa.array([x], pa.binary()) for c, x in zip(("symbol", "source", "step", "cost"), parts, strict=True)}})
 
     counts = grams.groupBy("lang", "k", "code").agg(F.sum("n").alias("n"))
-    trees = counts.groupBy("lang").applyInArrow(fit, "lang string, width long, symbol binary, step binary, cost binary").toArrow()
+    trees = counts.groupBy("lang").applyInArrow(fit, "lang string, width long, symbol binary, source binary, step binary, cost binary").toArrow()
 
     def opened(data: bytes, kind):
         import zstandard
 
         return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
-    return PpmModel({r["lang"]: PpmTree(opened(r["symbol"], np.int32), opened(r["step"], np.int32).reshape(-1, r["width"]), opened(r["cost"], np.float32).reshape(-1, r["width"])) for r in trees.to_pylist()})
+    return PpmModel({r["lang"]: PpmTree(opened(r["symbol"], np.int32), opened(r["source"], np.int32), opened(r["step"], np.int32).reshape(-1, r["width"]), opened(r["cost"], np.float32).reshape(-1, r["width"])) for r in trees.to_pylist()})
 
 
-def _score(batches, model, order: int):
+def _score(batches, model, order: int, field: str | None):
+    """``field``: where the text stands in the column that is handed on, if there is one."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    from fleetlake.llm.common import pieces
-
     m = model.value
     for b in pieces(batches):
-        texts = pc.fill_null(b.column(1).cast(pa.large_binary()), b"")
+        column = b.column(1) if field is None else pc.struct_field(b.column(2), field)
+        texts = pc.fill_null(column.cast(pa.large_binary()), b"")
         joined = pc.binary_join_element_wise(texts, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\0", pa.large_binary()))
         if isinstance(joined, pa.ChunkedArray):
             joined = joined.combine_chunks()
@@ -187,13 +199,14 @@ def _score(batches, model, order: int):
         best = bits.argmin(1)
         gap = 2.0 ** np.maximum(bits.min(1, keepdims=True) - bits, -1000)
         size = np.maximum(np.diff(offsets) - 1, 1)
-        yield pa.record_batch([b.column(0), b.column(2), pa.array([m.languages[i] for i in best], pa.string()), pa.array(1 / gap.sum(1)), pa.array(bits.min(1) / size), *b.columns[3:]], names=["doc_id", "letters", "lang_pred", "score", "bits_per_byte", *b.schema.names[3:]])
+        letters, more = (b.column(2), []) if field is None else (b.column(1), [b.column(2)])
+        yield pa.record_batch([b.column(0), letters, pa.array([m.languages[i] for i in best], pa.string()), pa.array(1 / gap.sum(1)), pa.array(bits.min(1) / size), *more], names=["doc_id", "letters", "lang_pred", "score", "bits_per_byte", *b.schema.names[2:][: len(more)]])
 
 
 def bits_bounds(labelled: DataFrame, model: PpmModel, params: PpmParams = PpmParams()) -> dict[str, float]:
     """Bits a byte of each language's own texts in the sample: the quantile ``bits_quantile`` times ``bits_slack``."""
     p = params
-    rows = _sample(labelled, p).select(F.col("key").alias("doc_id"), "text", F.struct("lang", F.octet_length("text").alias("size")).alias("row"))
+    rows = _sample(labelled, p).select(F.col("key").alias("doc_id"), F.struct("text", "lang", F.octet_length("text").alias("size")).alias("row"))
     own = identify(rows, model, p, passed="row").where("lang_pred = row.lang and row.size >= 100")
     found = own.groupBy("lang_pred").agg(F.percentile("bits_per_byte", F.lit(p.bits_quantile)).alias("q")).collect()
     return {r.lang_pred: r.q * p.bits_slack for r in found}
@@ -213,18 +226,19 @@ def well_coded(bounds: dict[str, float], size, params: PpmParams = PpmParams()):
 def identify(docs: DataFrame, model: PpmModel | None, params: PpmParams = PpmParams(), id_col: str = "doc_id", text_col: str = "text", passed: str | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte), one row per row of ``docs``.
 
-    The column ``passed`` of ``docs`` is handed on beside them, if named.
+    The struct column ``passed`` of ``docs`` is handed on beside them, if named; the
+    text is then its field ``text_col`` and isn't sent twice.
 
     ``score`` is the share of the best language among all by code length. Texts
     that are null or have no letter are ``und`` with score 0; so is everything if
     no language was learned. Of equally short codes the first language by name
     wins. Repeated rows each get their result; other columns aren't read.
     """
-    text, more = F.col(text_col), [passed] if passed else []
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), *more)
+    text, more = F.col(passed)[text_col] if passed else F.col(text_col), [passed] if passed else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *([] if passed else [text.alias("text")]), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), *more)
     if model is None or not model.languages:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits_per_byte"), *more)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some megabytes a language
     schema = "doc_id long, letters boolean, lang_pred string, score double, bits_per_byte double" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
-    scored = rows.mapInArrow(lambda it: _score(it, shared, params.order), schema)
+    scored = rows.mapInArrow(lambda it: _score(it, shared, params.order, text_col if passed else None), schema)
     return scored.select("doc_id", F.when(F.col("letters"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"), "bits_per_byte", *more)

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlake.llm.common import materialize, mix, pieces, release, shingle_hashes, texts_of, word_hashes
+from fleetlake.llm.common import drop_old_shuffles, materialize, mix, pieces, release, shingle_hashes, texts_of, word_hashes
 
 def counted_below(percent: int) -> int:
     """Tokens below this hash have their frequency counted: nearly twice as many as a prefix needs (3/16 of all at 90 %)."""
@@ -188,7 +188,9 @@ def _verify(pairs: DataFrame, base: DataFrame, p: JoinParams) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     good = pairs.select("a", "b").join(left, "a").join(right, "b").where(100 * both >= p.percent * (F.size("sa") + F.size("sb") - both))
-    return materialize(good.select("a", "b").distinct(), "links")
+    links = materialize(good.select("a", "b").distinct(), "links")
+    release(sets)
+    return links
 
 
 def _sketch_batches(batches, k: int):
@@ -306,6 +308,7 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
     buckets = sigs.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("pivot")).where("c > 1")
     members = materialize(sigs.join(buckets, "sig").select("sig", "id", "n", "plain", "c", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn")), "members")
     release(vertices, rare, combined)
+    drop_old_shuffles(spark)
     small, large = members.where(F.col("c") <= p.small_bucket), members.where(F.col("c") > p.small_bucket)
     x, y = small.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("plain").alias("pa")), small.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("plain").alias("pb"))
     near = x.join(y, "sig").where((F.col("a") < F.col("b")) & _close_sizes(F.col("na"), F.col("nb"), p.percent))
@@ -318,6 +321,7 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
     pairs = materialize(near.union(star).distinct(), "pairs")
 
     edges = _verify(pairs, base, p)
+    drop_old_shuffles(spark)
 
     twice = known.join(reps, ["d1", "d2", "n"]).select("doc_id", F.col("rep"))
     least = twice.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
