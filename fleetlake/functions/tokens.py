@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed value: the pieces a text is cut into, contractions, letters, digits, signs and space.
-PIECES = r"(?U)(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+# Fixed value: the pieces a text is cut into, contractions, letters with their marks, digits, signs and space.
+PIECES = r"(?:'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD])|[^\r\n\p{L}\p{N}]?[\p{L}\p{M}]+|\p{N}| ?[^\s\p{L}\p{M}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 
 
 def pretokenize(df: DataFrame, text: str = "text") -> DataFrame:
     """(…, i, piece): the pieces, which cover the text."""
-    return df.select(*[c for c in df.columns if c != text], F.posexplode(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))).alias("i", "piece"))
+    return df.select(*[c for c in df.columns if c != text], F.posexplode(F.regexp_extract_all(text, F.lit(f"(?U){PIECES}"), F.lit(0))).alias("i", "piece"))
 
 
 def ngram_continuations(words: DataFrame) -> DataFrame:

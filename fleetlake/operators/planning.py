@@ -90,20 +90,28 @@ def proportional_split(groups: DataFrame) -> DataFrame:
     return ranked.select("grp", "ord", (F.col("base") + (F.col("k") <= F.col("left")).cast("int")).cast("long").alias("amount"))
 
 
+def _layer():
+    """The number between the name's first ``blk.`` and the next dot; null if there is none."""
+    n = F.regexp_extract("name", r"^.*?blk\.([^.]*)", 1)
+    return F.when(n.rlike("^[0-9]+$"), n.try_cast("int"))
+
+
 def route_items(items: DataFrame, keep: int, total: int, draft: bool) -> DataFrame:
-    n = F.regexp_extract("name", r"^blk\.([0-9]+)\.", 1)
-    layer = F.when(n != "", n.cast("int"))
-    drop = F.col("name").rlike(r"^(v\.|v_|model\.visual)")
+    """Vision items are dropped; layers go to trunk below ``keep``, then to the draft below ``total``; a ``blk.`` item without a number is trunk."""
+    block = F.col("name").startswith("blk.")
+    layer = F.when(block, _layer())
+    drop = F.col("name").startswith("v.") | F.col("name").contains(".v_") | F.col("name").startswith("model.visual")
     to_draft = F.lit("draft" if draft else "dropped")
-    route = F.when(drop, "dropped").when(layer < keep, "trunk").when(layer < total, to_draft).when(layer.isNotNull(), "dropped").when(F.col("name").contains("nextn"), to_draft).otherwise("trunk")
+    route = F.when(drop, "dropped").when(layer < keep, "trunk").when(layer < total, to_draft).when(layer.isNotNull(), "dropped").when(~block & F.col("name").contains("nextn"), to_draft).otherwise("trunk")
     return items.select("item", route.alias("route"))
 
 
 def contiguous_groups(items: DataFrame, counts: list[int]) -> DataFrame:
-    """Layers in order, cut into runs of the given lengths; what isn't a layer goes to the first (embeddings) or last group."""
-    n = F.regexp_extract("name", r"^blk\.([0-9]+)\.", 1)
-    layer = F.when(n != "", n.cast("int"))
-    rows = items.withColumn("layer", layer)
+    """Layers in order, cut into runs of the given lengths; of what isn't a layer token embeddings go to the first group, the rest to the last.
+
+    A layer is any item with ``blk.`` and a number in its name. Items without any layer are an error.
+    """
+    rows = items.withColumn("layer", _layer())
     distinct = rows.where("layer is not null").select("layer").distinct()
     rank = distinct.withColumn("k", F.row_number().over(Window.orderBy("layer")) - 1)  # a row a layer
     group, upto = F.lit(len(counts) - 1), 0
@@ -113,8 +121,9 @@ def contiguous_groups(items: DataFrame, counts: list[int]) -> DataFrame:
         upto += c
     for lo, hi, i in reversed(bounds):
         group = F.when((F.col("k") >= lo) & (F.col("k") < hi), i).otherwise(group)
-    joined = rows.join(rank, "layer", "left")
-    return joined.select("item", F.when(F.col("layer").isNotNull(), group).when(F.col("name").contains("embd"), 0).otherwise(len(counts) - 1).alias("stage"))
+    joined = rows.join(rank, "layer", "left").join(F.broadcast(distinct.agg(F.count("*").alias("layers"))))  # one row
+    stage = F.when(F.col("layer").isNotNull(), group).when(F.col("name").contains("token_embd"), 0).otherwise(len(counts) - 1)
+    return joined.select("item", F.when(F.col("layers") == 0, F.raise_error(F.lit("no layer among the items")).cast("int")).otherwise(stage).alias("stage"))
 
 
 def shard_census(items: DataFrame) -> DataFrame:

@@ -82,7 +82,8 @@ def hadamard(df: DataFrame, block: int) -> DataFrame:
         signed = F.transform(piece, lambda v, j: v * (1 - 2 * (F.bit_count((i % block).bitwiseAND(j)) % 2)))
         return _sum(signed) / (block**0.5)
 
-    return df.where(n % block == 0).withColumn("x", F.transform(rows, cell))
+    whole = F.when(n % block == 0, F.transform(rows, cell)).otherwise(F.raise_error(F.lit("length is no multiple of the block")).cast("array<double>"))
+    return df.withColumn("x", whole)
 
 
 def parity_report(a: DataFrame, b: DataFrame, least: float = 0.999) -> DataFrame:
@@ -143,8 +144,8 @@ def causal_attention(seq: DataFrame, look_back: int | None = None, heads: int =
 
 
 def fingerprint(x):
-    """Content hash of a vector, to six decimals."""
-    return F.sha2(F.array_join(F.transform(x, lambda v: F.round(v, 6).cast("decimal(18,6)").cast("string")), ","), 256)
+    """64-bit hash of a vector's values, bit by bit."""
+    return F.xxhash64(x)
 
 
 def fingerprint_match(announced: DataFrame, local: DataFrame) -> DataFrame:

@@ -312,7 +312,7 @@ def _(spark, d):
     return bpe.bpe_decode(bpe.bpe_encode(v.table(spark, d, "documents").select("doc_id", "text"), words).select("doc_id", "ids"), words)
 
 
-@query("x2_stream_liveness", """WITH o AS (SELECT user_id AS node, epoch_ms(ts) AS ms, lag(epoch_ms(ts)) OVER w AS prev, lead(epoch_ms(ts)) OVER w AS next FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY epoch_ms(ts)))
+@query("x2_stream_liveness", """WITH o AS (SELECT user_id AS node, epoch_us(ts) // 1000 AS ms, lag(epoch_us(ts) // 1000) OVER w AS prev, lead(epoch_us(ts) // 1000) OVER w AS next FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000))
 SELECT node, ms AS at_ms, true AS online FROM o WHERE prev IS NULL OR ms - prev >= 43200000
 UNION ALL SELECT node, ms + 43200000, false FROM o WHERE next - ms >= 43200000 OR (next IS NULL AND ms + 43200000 <= (SELECT max(ms) - 60000 FROM o))""")
 def _(spark, d):

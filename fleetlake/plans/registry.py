@@ -277,15 +277,17 @@ def _(spark, d):
     return planning.proportional_split(v.items(spark, d).select("grp", F.col("item").alias("ord"), F.col("bytes").alias("weight"), F.lit(1000).alias("n")))
 
 
-@query("p14_contiguous_groups", v.sql("items") + """, l AS (SELECT *, TRY_CAST(regexp_extract(name, '^blk\\.([0-9]+)\\.', 1) AS INTEGER) AS layer FROM items),
+@query("p14_contiguous_groups", v.sql("items") + """, l AS (SELECT *, CASE WHEN contains(name, 'blk.') THEN TRY_CAST(split_part(split_part(name, 'blk.', 2), '.', 1) AS INTEGER) END AS layer FROM items),
 r AS (SELECT layer, row_number() OVER (ORDER BY layer) - 1 AS k FROM (SELECT DISTINCT layer FROM l WHERE layer IS NOT NULL))
-SELECT item, CASE WHEN layer IS NOT NULL THEN CASE WHEN k < 20 THEN 0 WHEN k < 45 THEN 1 ELSE 2 END WHEN contains(name, 'embd') THEN 0 ELSE 2 END AS stage FROM l LEFT JOIN r USING (layer)""")
+SELECT item, CASE WHEN layer IS NOT NULL THEN CASE WHEN k < 20 THEN 0 WHEN k < 45 THEN 1 ELSE 2 END WHEN contains(name, 'token_embd') THEN 0 ELSE 2 END AS stage FROM l LEFT JOIN r USING (layer)""")
 def _(spark, d):
     return planning.contiguous_groups(v.items(spark, d), [20, 25, 19])
 
 
-@query("p15_route_items", v.sql("items") + """, l AS (SELECT *, TRY_CAST(regexp_extract(name, '^blk\\.([0-9]+)\\.', 1) AS INTEGER) AS layer FROM items)
-SELECT item, CASE WHEN starts_with(name, 'v.') THEN 'dropped' WHEN layer < 40 THEN 'trunk' WHEN layer < 50 THEN 'draft' WHEN layer IS NOT NULL THEN 'dropped' ELSE 'trunk' END AS route FROM l""")
+@query("p15_route_items", v.sql("items") + """, l AS (SELECT *, CASE WHEN starts_with(name, 'blk.') THEN TRY_CAST(split_part(split_part(name, 'blk.', 2), '.', 1) AS INTEGER) END AS layer FROM items)
+SELECT item, CASE WHEN starts_with(name, 'v.') OR contains(name, '.v_') OR starts_with(name, 'model.visual') THEN 'dropped'
+  WHEN starts_with(name, 'blk.') AND layer IS NULL THEN 'trunk' WHEN layer < 40 THEN 'trunk' WHEN layer < 50 THEN 'draft' WHEN layer IS NOT NULL THEN 'dropped'
+  WHEN contains(name, 'nextn') THEN 'draft' ELSE 'trunk' END AS route FROM l""")
 def _(spark, d):
     return planning.route_items(v.items(spark, d), 40, 50, True)
 

@@ -32,6 +32,8 @@ def plain(df: pd.DataFrame) -> list:
             return "null"
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return str(bool(v))
+        if hasattr(v, "__float__") and not isinstance(v, str) and abs(v) >= 10**9 and v == int(v):
+            return str(int(v))  # large integers have to be equal to the last digit
         return f"{float(v):.9g}" if hasattr(v, "__float__") and not isinstance(v, str) else str(v)
 
     df = df[sorted(df.columns)]
@@ -282,3 +284,31 @@ def test_frames_of_the_other_type_are_errors(spark):
     announced, plain_ones = frames.encode_announcements(t).select("frame"), frames.encode_frames(t).select("frame")
     assert frames.decode_announcements(announced)[0].first().hash == "00000000000000ff"
     assert frames.decode_frames(announced)[1].first().reason == frames.decode_announcements(plain_ones)[1].first().reason == "type"
+
+
+def test_marks_stay_with_their_letters(spark):
+    t = "cafe\u0301 हिन्दी I'LL x1"
+    assert [r.piece for r in tokens.pretokenize(spark.createDataFrame([(t,)], "text string")).orderBy("i").collect()] == ["cafe\u0301", " हिन्दी", " I", "'LL", " x", "1"]
+
+
+def test_items_are_routed_and_grouped_by_name(spark):
+    names = ["blk.0.v_proj", "v_head", "v.blk.3", "model.visual.x", "blk.x.w", "blk.nextn.w", "nextn.w", "blk.7.w", "blk.45.w", "blk.99.w", "token_embd.w", "output_embd.w", "enc.blk.2.w"]
+    items = spark.createDataFrame(list(enumerate(names)), "item int, name string")
+    route = {names[r.item]: r.route for r in planning.route_items(items, 40, 50, True).collect()}
+    assert [route[n] for n in names] == ["dropped", "trunk", "dropped", "dropped", "trunk", "trunk", "draft", "trunk", "draft", "dropped", "trunk", "trunk", "trunk"]
+    stage = {names[r.item]: r.stage for r in planning.contiguous_groups(items, [2, 2, 2]).collect()}
+    assert [stage[n] for n in ("blk.0.v_proj", "enc.blk.2.w", "v.blk.3", "blk.7.w", "blk.99.w", "token_embd.w", "output_embd.w", "v_head")] == [0, 0, 1, 1, 2, 0, 2, 2]
+    with pytest.raises(Exception, match="no layer"):
+        planning.contiguous_groups(items.where("name = 'v_head'"), [1]).collect()
+
+
+def test_one_bit_makes_another_fingerprint(spark):
+    t = spark.createDataFrame([(1, [0.1234561, 2.0]), (2, [1e20, 1.0]), (3, [0.5, 0.25])], "id int, x array<double>")
+    theirs = spark.createDataFrame([(1, [0.1234561000000001, 2.0]), (2, [1e20, 1.0000000000000002]), (3, [0.5, 0.25])], "id int, x array<double>")
+    got = vectors.fingerprint_match(theirs.select("id", vectors.fingerprint(F.col("x")).alias("fingerprint")), t)
+    assert [(r.hit, r.saved) for r in got.orderBy("id").collect()] == [(False, 0), (False, 0), (True, 8)]
+
+
+def test_vectors_that_are_no_whole_blocks_are_refused(spark):
+    with pytest.raises(Exception, match="multiple"):
+        vectors.hadamard(spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id int, x array<double>"), 2).collect()
