@@ -13,8 +13,8 @@ sets.
 
 Equal sets are one vertex. Small buckets give all their pairs; in large ones each
 member meets only a pivot and components are contracted. What is still in
-different components of a large bucket's group is compared in blocks by a bound
-on the intersection, so pairs become rows only where they may link.
+different components of a large bucket's group is compared in blocks, which give
+only the links that join components.
 """
 
 from __future__ import annotations
@@ -38,7 +38,8 @@ class JoinParams:
     percent: int = 90  # links: 100 * intersection >= percent * union
     frequent_above: int = 24  # documents with a token beyond which it is frequent
     small_bucket: int = 24  # buckets up to this size give all their pairs; no less than frequent_above
-    block_rows: int = 1024  # sets of a group that are compared with each other in one task
+    block_rows: int = 1024  # sets of a group that are compared with as many others in one task
+    block_tokens: int = 2_000_000  # that these sets hold, about
     broadcast_rows: int = 1_000_000  # 8 MB of ids or tokens; larger ones are joined by a shuffle
 
 
@@ -193,18 +194,10 @@ def _verify(pairs: DataFrame, base: DataFrame, p: JoinParams) -> DataFrame:
     return links
 
 
-def _sketch_batches(batches, k: int):
-    import pyarrow as pa
-
-    for b in pieces(batches):
-        sets = [np.unique(token_set(t, k).view(np.uint64) >> np.uint64(48)).astype(np.uint16).tobytes() for t in texts_of(b.column(1))]
-        yield pa.record_batch([b.column(0), pa.array(sets, pa.binary())], names=["sid", "t"])
-
-
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """How many values each array of ``x`` shares with each of ``y``, by products of 0/1 matrices."""
     both = np.intersect1d(np.concatenate(x), np.concatenate(y))
-    out = np.zeros((len(x), len(y)), np.float32)
+    out = np.zeros((len(x), len(y)), np.float64)
 
     def matrix(arrays, part):
         flat = np.concatenate(arrays)
@@ -219,15 +212,28 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _forest(good: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Pairs (row, column) of ``good`` that join all components it joins, and no more; components are numbers from 0."""
+    label = np.arange(max(left.max(initial=-1), right.max(initial=-1)) + 1)
+    for x in np.flatnonzero(good.any(1)):
+        columns = np.flatnonzero(good[x])
+        others, first = np.unique(label[right[columns]], return_index=True)
+        own = label[left[x]]
+        for other, y in zip(others.tolist(), columns[first].tolist(), strict=True):
+            if other != own:
+                yield x, y
+                label[label == other] = own
+
+
 def _unlike(open_: DataFrame, base: DataFrame, p: JoinParams) -> DataFrame:
-    """Pairs (a, b) from different components of a group that may link.
+    """Links (a, b) that join different components of a group.
 
     Of two such sets one at least is outside the group's largest component, so those
-    outside it are compared with all: rows and work grow with their number times
-    that of all, and a group in which few are outside takes a row each. Sets travel
-    as their tokens' first 16 bits: what two have in common there, and what a set
-    lost in them, bounds the intersection from above. A task holds a block of either
-    side and only pairs within the bound are rows.
+    outside it are compared with all, in blocks: work grows with their number times
+    that of all, and a group in which few are outside takes a row each. A task
+    holds a block of either side, counts what their whole sets share, and returns
+    no more links than it takes to join the components it has seen to belong
+    together, so there are at most as many as rows.
     """
     k, size, percent = p.shingle, p.block_rows, p.percent
     groups = connected_components(open_.select(F.col("head").alias("a"), F.col("id").alias("b")))
@@ -236,14 +242,15 @@ def _unlike(open_: DataFrame, base: DataFrame, p: JoinParams) -> DataFrame:
     few = ids.count() <= p.broadcast_rows
     wanted = ids.select("id").distinct()
     texts = base.join(F.broadcast(wanted) if few else wanted, base.doc_id == wanted.id, "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(lambda it: _sketch_batches(it, k), "sid long, t binary")
-    sizes = ids.groupBy("grp", "comp").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("grp").agg(F.max_by("comp", F.struct("c", (-F.col("comp")).alias("first"))).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    blocks = largest.select("grp", "main", F.ceil(F.col("all") / size).alias("blocks"), F.greatest(F.ceil((F.col("all") - F.col("most")) / size), F.lit(1)).alias("few"))
+    sets = texts.mapInArrow(lambda it: _set_batches(it, k), "id long, s array<long>").withColumnRenamed("id", "sid")
+    sizes = ids.groupBy("grp", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    largest = sizes.groupBy("grp").agg(F.max_by(F.struct("comp", "c", "w"), F.struct("c", (-F.col("comp")).alias("first"))).alias("main"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    parts = lambda c, w: F.greatest(F.ceil(c / size), F.ceil(w / p.block_tokens), F.lit(1))
+    blocks = largest.select("grp", F.col("main.comp").alias("main"), parts(F.col("c"), F.col("w")).alias("blocks"), parts(F.col("c") - F.col("main.c"), F.col("w") - F.col("main.w")).alias("few"))
     rows = ids.join(blocks, "grp").join(sets, F.col("id") == F.col("sid"))
     number = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    cells = ["grp", "id", "n", "comp", "t"]
+    cells = ["grp", "id", "n", "comp", "s"]
     asking = rows.where("comp <> main").select(*cells, F.lit(True).alias("asks"), own("few").alias("i"), F.explode(number("blocks")).alias("j"))
     asked = rows.select(*cells, F.lit(False).alias("asks"), F.explode(number("few")).alias("i"), own("blocks").alias("j"))
     meet = asking.unionByName(asked)
@@ -252,18 +259,21 @@ def _unlike(open_: DataFrame, base: DataFrame, p: JoinParams) -> DataFrame:
         import pyarrow as pa
 
         ids, n, comp, asks = (table[c].to_numpy() for c in ("id", "n", "comp", "asks"))
-        t = [np.frombuffer(v, np.uint16) for v in table["t"].to_pylist()]
+        lists = table["s"].combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        t = [flat[a:z] for a, z in zip(off[:-1], off[1:], strict=True)]
         left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
-        found = [np.empty(0, np.int64)] * 2
+        found: list[tuple[int, int]] = []
         if len(left) and len(right):
-            most = _common([t[q] for q in left], [t[q] for q in right]) + np.maximum(*np.meshgrid(*((n - [len(v) for v in t])[q] for q in (left, right)), indexing="ij"))
-            good = most * (100 + percent) >= percent * (n[left][:, None] + n[right][None, :])
+            both = _common([t[q] for q in left], [t[q] for q in right])
+            good = both * (100 + percent) >= percent * (n[left][:, None] + n[right][None, :])
             good &= comp[left][:, None] != comp[right][None, :]
-            x, y = np.nonzero(good)
-            found = [ids[left[x]], ids[right[y]]]
-        return pa.table({"a": np.minimum(*found), "b": np.maximum(*found)})
+            code = np.unique(comp, return_inverse=True)[1]
+            found = [tuple(sorted((int(ids[left[x]]), int(ids[right[y]])))) for x, y in _forest(good, code[left], code[right])]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return meet.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
+    return materialize(meet.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "joined")
 
 
 def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,8 +344,7 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
     mixed = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("head")).where("lo < hi").select("sig", "head")
     open_ = materialize(open_.join(mixed, "sig").select("id", "n", "comp", "head").distinct(), "open")
     if open_.limit(1).count():
-        fresh = materialize(_unlike(open_, base, p).join(pairs, ["a", "b"], "left_anti"), "again")
-        edges = edges.union(_verify(fresh, base, p))
+        edges = edges.union(_unlike(open_, base, p))
         comps = connected_components(edges)
 
     out = rows.join(reps, ["d1", "d2", "n"], "left").join(comps, F.col("rep") == F.col("id"), "left")
