@@ -328,6 +328,9 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
     enough = (100 + p.percent) * (F.col("common") + F.greatest(*after)) >= p.percent * (F.col("na") + F.col("nb"))
     near = near.where(~(F.col("pa") & F.col("pb")) | enough).select("a", "b")
     star = large.where((F.col("p") < F.col("id")) & _close_sizes(F.col("n"), F.col("pn"), p.percent)).select(F.col("p").alias("a"), F.col("id").alias("b"))
+    # Of a member's pivots the one it meets in most buckets and the first one; what they leave open is compared in blocks.
+    met = star.groupBy("b", "a").agg(F.count("*").alias("met"))
+    star = met.groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max_by("a", F.struct("met", (-F.col("a")).alias("first"))))).alias("as")).select(F.explode("as").alias("a"), "b")
     pairs = materialize(near.union(star).distinct(), "pairs")
 
     edges = _verify(pairs, base, p)
