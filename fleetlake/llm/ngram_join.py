@@ -11,10 +11,11 @@ combination of tokens, and each combination is a signature. Two sets that reach
 the threshold share a signature; shared ones are verified exactly on the whole
 sets.
 
-Equal sets are one vertex. Small buckets give all their pairs; in large ones each
-member meets only a pivot and components are contracted. What is still in
-different components of a large bucket's group is compared in blocks, which give
-only the links that join components.
+Equal sets are one vertex. In large buckets and in those of combinations each
+member first meets pivots only and components are contracted. Small buckets then
+give all their pairs of different components. What is still in different
+components of a large bucket's group is compared in blocks, which give only the
+links that join components.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ class JoinParams:
     shingle: int = 3
     percent: int = 90  # links: 100 * intersection >= percent * union
     frequent_above: int = 24  # documents with a token beyond which it is frequent
-    small_bucket: int = 24  # buckets up to this size give all their pairs; no less than frequent_above
+    small_bucket: int = 24  # buckets up to this size give all their pairs of different components; no less than frequent_above
     block_rows: int = 1024  # sets of a group that are compared with as many others in one task
     block_tokens: int = 2_000_000  # that these sets hold, about
     broadcast_rows: int = 1_000_000  # 8 MB of ids or tokens; larger ones are joined by a shuffle
@@ -174,6 +175,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "comp")
 
 
+def merge_components(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, comp) after ``edges`` (a, b) joined components; an end that ``comps`` doesn't have is its own.
+
+    The components are contracted first, so rounds run over links between them only.
+    """
+    label = lambda i: comps.select(F.col("id").alias(i), F.col("comp").alias("c" + i))
+    ends = edges.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = connected_components(ends)
+    up = joined.select(F.col("id").alias("uid"), F.col("comp").alias("up"))
+    old = comps.join(up, F.col("comp") == F.col("uid"), "left").select("id", F.coalesce("up", "comp").alias("comp"))
+    return materialize(old.union(joined.join(comps.select("id"), "id", "left_anti")), "labels")
+
+
+def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with ``comp``; a member without links is its own."""
+    rows = members.join(comps, "id", "left").select("sig", "id", "n", "plain", F.coalesce("comp", "id").alias("comp"))
+    several = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    return materialize(rows.join(several, "sig"), "mixed")
+
+
 def _close_sizes(a, b, percent: int):
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
@@ -319,36 +340,38 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
     members = materialize(sigs.join(buckets, "sig").select("sig", "id", "n", "plain", "c", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn")), "members")
     release(vertices, rare, combined)
     drop_old_shuffles(spark)
-    small, large = members.where(F.col("c") <= p.small_bucket), members.where(F.col("c") > p.small_bucket)
-    x, y = small.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("plain").alias("pa")), small.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("plain").alias("pb"))
-    near = x.join(y, "sig").where((F.col("a") < F.col("b")) & _close_sizes(F.col("na"), F.col("nb"), p.percent))
-    near = near.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.count("*").alias("common"))
-    # Prefixes of rare tokens only: what they have in common and all that follows bound the overlap.
-    after = [F.col(c) - (F.col(c) - F.ceil(p.percent * F.col(c) / 100) + 1) for c in ("na", "nb")]
-    enough = (100 + p.percent) * (F.col("common") + F.greatest(*after)) >= p.percent * (F.col("na") + F.col("nb"))
-    near = near.where(~(F.col("pa") & F.col("pb")) | enough).select("a", "b")
-    star = large.where((F.col("p") < F.col("id")) & _close_sizes(F.col("n"), F.col("pn"), p.percent)).select(F.col("p").alias("a"), F.col("id").alias("b"))
-    # Of a member's pivots the one it meets in most buckets and the first one; what they leave open is compared in blocks.
+    large = members.where(F.col("c") > p.small_bucket)
+    # Large buckets and those of combinations: members meet pivots first, so that groups of near copies become one component.
+    star = members.where(~(F.col("plain") & (F.col("c") <= p.small_bucket)) & (F.col("p") < F.col("id")) & _close_sizes(F.col("n"), F.col("pn"), p.percent)).select(F.col("p").alias("a"), F.col("id").alias("b"))
+    # Of a member's pivots the one it meets in most buckets and the first one.
     met = star.groupBy("b", "a").agg(F.count("*").alias("met"))
     star = met.groupBy("b").agg(F.array_distinct(F.array(F.min("a"), F.max_by("a", F.struct("met", (-F.col("a")).alias("first"))))).alias("as")).select(F.explode("as").alias("a"), "b")
-    pairs = materialize(near.union(star).distinct(), "pairs")
-
-    edges = _verify(pairs, base, p)
-    drop_old_shuffles(spark)
+    edges = _verify(materialize(star, "stars"), base, p)
 
     twice = known.join(reps, ["d1", "d2", "n"]).select("doc_id", F.col("rep"))
     least = twice.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
     same_id = materialize(least.join(twice, "doc_id").where("rep > a").select("a", F.col("rep").alias("b")).distinct(), "same")
-    edges = edges.union(same_id)
-    comps = connected_components(edges)
+    comps = connected_components(edges.union(same_id))
+    drop_old_shuffles(spark)
+
+    # Small buckets with several components: all pairs of different ones, but for what a bound rules out.
+    small = _mixed(members.where(F.col("c") <= p.small_bucket), comps)
+    side = lambda i, z: small.select("sig", F.col("id").alias(i), F.col("n").alias("n" + z), F.col("plain").alias("p" + z), F.col("comp").alias("c" + z))
+    near = side("a", "a").join(side("b", "b"), "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _close_sizes(F.col("na"), F.col("nb"), p.percent))
+    near = near.groupBy("a", "b", "na", "nb", "pa", "pb").agg(F.count("*").alias("common"))
+    # Prefixes of rare tokens only: what they have in common and all that follows bound the overlap.
+    after = [F.col(c) - (F.col(c) - F.ceil(p.percent * F.col(c) / 100) + 1) for c in ("na", "nb")]
+    enough = (100 + p.percent) * (F.col("common") + F.greatest(*after)) >= p.percent * (F.col("na") + F.col("nb"))
+    near = near.where(~(F.col("pa") & F.col("pb")) | enough).select("a", "b")
+    comps = merge_components(comps, _verify(materialize(near, "pairs"), base, p))
+    drop_old_shuffles(spark)
 
-    # Members of large buckets that hold several components still; a member without links is its own.
-    open_ = large.join(comps, "id", "left").select("sig", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    mixed = open_.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("head")).where("lo < hi").select("sig", "head")
-    open_ = materialize(open_.join(mixed, "sig").select("id", "n", "comp", "head").distinct(), "open")
+    # Members of large buckets that hold several components still.
+    open_ = _mixed(large, comps)
+    heads = open_.groupBy("sig").agg(F.min("id").alias("head"))
+    open_ = materialize(open_.join(heads, "sig").select("id", "n", "comp", "head").distinct(), "open")
     if open_.limit(1).count():
-        edges = edges.union(_unlike(open_, base, p))
-        comps = connected_components(edges)
+        comps = merge_components(comps, _unlike(open_, base, p))
 
     out = rows.join(reps, ["d1", "d2", "n"], "left").join(comps, F.col("rep") == F.col("id"), "left")
     own = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id"))
