@@ -247,7 +247,7 @@ def _forest(good: np.ndarray, left: np.ndarray, right: np.ndarray):
 
 
 def _unlike(open_: DataFrame, base: DataFrame, p: JoinParams) -> DataFrame:
-    """Links (a, b) that join different components of a group.
+    """Links (a, b) that join different components of a group: components that share a large bucket, directly or over others.
 
     Of two such sets one at least is outside the group's largest component, so those
     outside it are compared with all, in blocks: work grows with their number times
@@ -257,8 +257,8 @@ def _unlike(open_: DataFrame, base: DataFrame, p: JoinParams) -> DataFrame:
     together, so there are at most as many as rows.
     """
     k, size, percent = p.shingle, p.block_rows, p.percent
-    groups = connected_components(open_.select(F.col("head").alias("a"), F.col("id").alias("b")))
-    members = open_.select("id", "n", "comp").distinct().join(groups.withColumnRenamed("comp", "grp"), "id")
+    groups = connected_components(open_.select(F.col("head").alias("a"), F.col("comp").alias("b")).where("a <> b").distinct())
+    members = open_.select("id", "n", "comp").distinct().join(groups.select(F.col("id").alias("comp"), F.col("comp").alias("grp")), "comp")
     ids = materialize(members, "groups")
     few = ids.count() <= p.broadcast_rows
     wanted = ids.select("id").distinct()
@@ -368,7 +368,7 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
 
     # Members of large buckets that hold several components still.
     open_ = _mixed(large, comps)
-    heads = open_.groupBy("sig").agg(F.min("id").alias("head"))
+    heads = open_.groupBy("sig").agg(F.min("comp").alias("head"))
     open_ = materialize(open_.join(heads, "sig").select("id", "n", "comp", "head").distinct(), "open")
     if open_.limit(1).count():
         comps = merge_components(comps, _unlike(open_, base, p))
