@@ -39,3 +39,11 @@ def acceptance(drafts: DataFrame) -> DataFrame:
     at = F.array_position(differs, True)
     accepted = F.when(at == 0, F.size("drafted").cast("long")).otherwise(at - 1)
     return drafts.select("id", accepted.alias("accepted"), (F.size("drafted") - accepted).alias("missed"))
+
+
+def acceptance_totals(drafts: DataFrame, single: bool = False) -> DataFrame:
+    """(hits, misses, no_draft) over all drafts; with ``single`` only the first drafted token counts."""
+    d = drafts.withColumn("drafted", F.slice("drafted", 1, 1)) if single else drafts
+    empty = F.coalesce(F.size("drafted"), F.lit(0)) <= 0
+    told = acceptance(d.where(~empty)).agg(F.sum("accepted").alias("hits"), F.sum("missed").alias("misses"))
+    return told.join(d.agg(F.count_if(empty).alias("no_draft"))).select(F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("misses", F.lit(0)).alias("misses"), "no_draft")  # a row each

@@ -92,3 +92,11 @@ def rebuild(local: DataFrame, overlays: DataFrame, expected: DataFrame) -> DataF
     made = joined.select("id", "expected", F.when(F.col("parts").isNull(), F.col("data")).otherwise(laid).alias("data"))
     good = F.sha2("data", 256) == F.col("expected")
     return made.select("id", F.when(good, "published").otherwise("epoch mismatch").alias("status"), F.when(good, F.col("expected")).alias("epoch"), F.when(good, F.col("data")).alias("data"))
+
+
+def plan_sync(local: DataFrame, remote: DataFrame, size: int = 65536) -> DataFrame:
+    """(id, idx, start, length, status): chunks that differ if both are equally long, else the ranges of ``plan_pull``."""
+    n = lambda df, c: df.select("id", F.octet_length("data").cast("long").alias(c))
+    uneven = n(local, "local_len").join(n(remote, "remote_len"), "id").where("local_len <> remote_len")
+    even = plan_diff(local, remote, size).select("id", "idx", (F.col("idx") * size).alias("start"), "length", F.lit("ok").alias("status"))
+    return even.unionByName(plan_pull(uneven, size))

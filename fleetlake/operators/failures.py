@@ -39,3 +39,10 @@ def stale_nodes(state: DataFrame) -> DataFrame:
 def cleanup(failures: DataFrame, state: DataFrame) -> DataFrame:
     """Tracking of registered nodes only."""
     return failures.join(state.select("node"), "node", "left_semi")
+
+
+def offline_from_events(log: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(node, seq) of departures that make a node's open streak reach ``limit``; other failures count and are never listed."""
+    told = failures_from_events(log).withColumn("ts", F.col("seq"))
+    streaks = failure_streaks(told, limit).where("offline").select("node", "seq")
+    return streaks.join(told.where("listed").select("node", "seq"), ["node", "seq"], "left_semi")

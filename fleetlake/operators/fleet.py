@@ -26,15 +26,23 @@ def derive_status(reports: DataFrame) -> DataFrame:
     return reports.withColumn("status", F.when(F.col("load_avg") > BUSY_LOAD, "Working").otherwise("Idle"))
 
 
-def change_events(reports: DataFrame) -> DataFrame:
-    """(node, seq, kind, detail): joins, updates of version and measures, changes of status."""
+def change_events(reports: DataFrame, profile: list[str] | None = None) -> DataFrame:
+    """(node, seq, kind, detail): joins, updates of hardware, version and measures, changes of status.
+
+    ``profile`` names the columns that describe the hardware; one update tells of both hardware and version.
+    """
     w = Window.partitionBy("node").orderBy("ts", "seq")
-    r = derive_status(reports).withColumn("prev", F.lag(F.struct("agent_version", "status")).over(w))
+    r = derive_status(reports).withColumn("prev", F.lag(F.struct("agent_version", "status", *(profile or []))).over(w))
     first = F.col("prev").isNull()
+    version = ~F.col("agent_version").eqNullSafe(F.col("prev.agent_version"))
+    hardware = F.lit(False)
+    for c in profile or []:
+        hardware = hardware | ~F.col(c).eqNullSafe(F.col("prev")[c])
+    groups = F.concat_ws(",", F.when(hardware, "hardware"), F.when(version, "version"))
     event = lambda kind, detail, when: F.when(when, F.struct(F.lit(kind).alias("kind"), detail.alias("detail")))
     found = F.array_compact(F.array(
         event("Joined", F.lit("").cast("string"), first),
-        event("Updated", F.lit("version"), ~first & ~F.col("agent_version").eqNullSafe(F.col("prev.agent_version"))),
+        event("Updated", groups, ~first & (hardware | version)),
         event("StateChanged", F.concat_ws(">", "prev.status", "status"), ~first & (F.col("status") != F.col("prev.status"))),
         event("Updated", F.lit("power,temp,load"), ~first & (F.col("verb") == "heartbeat")),
     ))
@@ -62,8 +70,12 @@ def unregister(state: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def fleet_census(state: DataFrame, budget: int) -> DataFrame:
-    """By site: nodes, online ones, what those draw, idle ones and the share of the budget that is left."""
-    g = state.groupBy("site").agg(F.count("*").alias("total"), F.count_if("alive").alias("online"), F.sum(F.when(F.col("alive"), F.col("power_watts")).otherwise(0)).alias("power"), F.count_if(F.col("alive") & (F.col("load_avg") > BUSY_LOAD)).alias("active"))
+    """By site: nodes, online ones, what those draw, idle ones and the share of the budget that is left.
+
+    A node that reports no draw counts its ``tdp``, if there is such a column.
+    """
+    watts = F.when(F.col("power_watts") > 0, F.col("power_watts")).otherwise(F.col("tdp")) if "tdp" in state.columns else F.col("power_watts")
+    g = state.groupBy("site").agg(F.count("*").alias("total"), F.count_if("alive").alias("online"), F.sum(F.when(F.col("alive"), watts).otherwise(0)).alias("power"), F.count_if(F.col("alive") & (F.col("load_avg") > BUSY_LOAD)).alias("active"))
     return g.select("site", "total", "online", "power", (F.col("total") - F.col("active")).alias("idle"), (100 - (F.col("power") * 100 / budget).cast("long")).alias("headroom_pct"))
 
 
@@ -142,3 +154,37 @@ def allocate_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("bin").orderBy("at", "key"))
     out = ranged.withColumn("rank", rank).join(offsets, "bin").join(F.broadcast(top))
     return out.select("key", F.concat(F.lit("n"), (F.col("top") + F.col("before") + F.col("rank")).cast("string")).alias("id"))
+
+
+def accelerators(state: DataFrame) -> DataFrame:
+    """(site, accelerator, n): models with their memory as ``model:MiB``, without the maker's prefix, and how many nodes have them."""
+    short = F.concat_ws(":", F.replace("gpu_model", F.lit("NVIDIA GeForce "), F.lit("")), F.col("vram").cast("string"))
+    return state.where("has_gpu").groupBy("site", short.alias("accelerator")).agg(F.count("*").alias("n"))
+
+
+def drift_summary(drift: DataFrame) -> DataFrame:
+    """(nodes, stale, offline) over the rows of ``version_drift``."""
+    return drift.agg(F.count("*").alias("nodes"), F.count_if(~F.col("is_current")).alias("stale"), F.count_if("offline").alias("offline"))
+
+
+def place_discovered(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(hostname, address, id, is_new): a known address keeps its node, the others get ``n{known + 1}``... in order of hostname.
+
+    Hostnames are ranked inside their first two letters; a row for each such letter pair carries the offsets.
+    """
+    placed = dedupe_discovered(found, known).withColumn("bin", F.substring("hostname", 1, 2))
+    new = placed.where("slot is null")
+    before = F.coalesce(F.sum("count").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a bin
+    offsets = new.groupBy("bin").count().select("bin", before.alias("before"))
+    top = known.agg(F.count("*").alias("top"))
+    rank = F.row_number().over(Window.partitionBy("bin").orderBy("hostname"))
+    fresh = new.withColumn("rank", rank).join(offsets, "bin").join(F.broadcast(top))  # one row
+    told = lambda n: F.concat(F.lit("n"), n.cast("string")).alias("id")
+    return placed.where("slot is not null").select("hostname", "address", told(F.col("slot")), F.lit(False).alias("is_new")).unionByName(fresh.select("hostname", "address", told(F.col("top") + F.col("before") + F.col("rank")), F.lit(True).alias("is_new")))
+
+
+def appetite_changes(frames: DataFrame, content: list[str] = ["workload", "budget", "latency", "profile"]) -> DataFrame:
+    """(pool, seq, applied): a frame is applied if the hash over its ``content`` differs from the pool's frame before."""
+    told = F.xxhash64(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}))
+    before = F.lag(told).over(Window.partitionBy("pool").orderBy("ts", "seq"))
+    return frames.select("pool", "seq", (before.isNull() | (told != before)).alias("applied"))

@@ -139,3 +139,65 @@ def validate_spans(requests: DataFrame, tensors: DataFrame) -> DataFrame:
     done = F.col("received") >= length
     good = reason == "ok"
     return r.select("req", reason.alias("reason"), F.when(good & ~done, start + F.col("received")).alias("next_start"), F.when(good & ~done, length - F.col("received")).alias("next_length"))
+
+
+def schedule(tasks: DataFrame, nodes: DataFrame, budget: int) -> DataFrame:
+    """(pool, task, node, outcome): tasks in order of arrival go to the best node of their class if they fit the pool's budget.
+
+    ``outcome`` is dispatched, ``no suitable node`` or ``energy budget exceeded``; a task without a node takes nothing from the budget.
+    """
+    return _dispatch(tasks, nodes, budget, ["enqueued", "task"])
+
+
+def reschedule(queue: DataFrame, nodes: DataFrame, budget: int) -> DataFrame:
+    """The waiting tasks once more as in ``schedule``, by priority and then arrival."""
+    return _dispatch(queue.withColumn("turn", -F.col("priority")), nodes, budget, ["turn", "enqueued", "task"])
+
+
+def _dispatch(tasks: DataFrame, nodes: DataFrame, budget: int, order: list[str]) -> DataFrame:
+    told = classify_workloads(tasks)
+    best = rank_nodes(candidates(told, nodes)).select("class", F.col("node").alias("best"))
+    placed = told.join(F.broadcast(best), "class", "left")  # a row a class
+    able = placed.where("best is not null")
+    admitted = ordered_fold(able.drop("best"), "pool", order, Admission(budget)).select("task", "admitted")
+    took = able.select("pool", "task", "best").join(admitted, "task")
+    good = took.select("pool", "task", F.when(F.col("admitted"), F.col("best")).alias("node"), F.when(F.col("admitted"), "dispatched").otherwise("energy budget exceeded").alias("outcome"))
+    none = placed.where("best is null").select("pool", "task", F.col("best").alias("node"), F.lit("no suitable node").alias("outcome"))
+    return good.unionByName(none)
+
+
+def queue_rejects(tasks: DataFrame, cap: int = 1000) -> DataFrame:
+    """(pool, task) of the arrivals beyond ``cap``."""
+    arrival = F.row_number().over(Window.partitionBy("pool").orderBy("enqueued", "task"))
+    return tasks.withColumn("arrival", arrival).where(F.col("arrival") > cap).select("pool", "task")
+
+
+def budget_outcome(measured: DataFrame, budget: int) -> DataFrame:
+    """(site, measured, watts, outcome, over_by) of (site, watts); null watts are nodes that couldn't be measured."""
+    g = measured.groupBy("site").agg(F.count("watts").alias("measured"), F.sum("watts").cast("long").alias("watts"))
+    over = F.col("watts") > budget
+    outcome = F.when(F.col("measured") == 0, "nothing measured").when(over, "over").otherwise("within")
+    return g.select("site", "measured", "watts", outcome.alias("outcome"), F.when(over, F.col("watts") - budget).alias("over_by"))
+
+
+def owner_of(layers: DataFrame, stages: DataFrame) -> DataFrame:
+    """(layer, stage): the first stage (by ``pos``) whose array ``layers`` has the layer, null if none has."""
+    owner = stages.select("stage", "pos", F.explode("layers").alias("layer")).groupBy("layer").agg(F.min_by("stage", "pos").alias("stage"))
+    return layers.select("layer").join(owner, "layer", "left")
+
+
+def locate(names: DataFrame, items: DataFrame) -> DataFrame:
+    """(name, shard): the first shard (by ``pos``) that holds the tensor, null if none does."""
+    first = items.groupBy("name").agg(F.min_by("shard", "pos").alias("shard"))
+    return names.select("name").join(first, "name", "left")
+
+
+def missing_shards(stages: DataFrame, shards: DataFrame) -> DataFrame:
+    """Stages of a plan whose shard isn't there."""
+    return stages.join(shards.select("shard").distinct(), "shard", "left_anti")
+
+
+def compatible_plans(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(plan, compatible) of plans on both sides: the same model and number of stages."""
+    shape = lambda df, m, n: df.groupBy("plan").agg(F.min("model").alias(m), F.count("*").alias(n))
+    return shape(a, "ma", "na").join(shape(b, "mb", "nb"), "plan").select("plan", (F.col("ma").eqNullSafe(F.col("mb")) & (F.col("na") == F.col("nb"))).alias("compatible"))

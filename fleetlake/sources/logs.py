@@ -54,3 +54,20 @@ def match_devices(a: DataFrame, b: DataFrame) -> DataFrame:
     hit = F.col("name").contains(F.col("other")) | F.col("other").contains(F.col("name"))
     pairs = a.join(F.broadcast(b.select(F.col("name").alias("other"), "ord")), hit, "left")
     return pairs.groupBy("name").agg(F.min(F.struct("ord", "other")).alias("m")).select("name", F.col("m.other").alias("device"))
+
+
+def audit_frames(frames: DataFrame) -> DataFrame:
+    """(stream, first_bad, reason, high_water) of frames (stream, ord, seq, is_ack, is_eof, acked).
+
+    Data frames count up from 1; an end frame carries the number expected next and
+    doesn't take it. Acknowledgements have no number of their own, but what they
+    acknowledge must not fall. Nothing after a stream's first bad frame counts.
+    """
+    w = Window.partitionBy("stream").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    data = (~F.col("is_ack") & ~F.col("is_eof")).cast("long")
+    r = frames.withColumn("expected", F.coalesce(F.sum(data).over(w), F.lit(0)) + 1).withColumn("highest", F.coalesce(F.max(F.when(F.col("is_ack"), F.col("acked"))).over(w), F.lit(0)))
+    back, off = F.col("is_ack") & (F.col("acked") < F.col("highest")), ~F.col("is_ack") & ~F.col("seq").eqNullSafe(F.col("expected"))
+    r = r.withColumn("reason", F.when(back, "ack went backwards").when(off, "out of order"))
+    first = F.min(F.when(F.col("reason").isNotNull(), F.struct("ord", "reason", "expected")))
+    g = r.groupBy("stream").agg(first.alias("b"), F.sum(data).alias("n"))
+    return g.select("stream", F.col("b.ord").alias("first_bad"), F.col("b.reason").alias("reason"), F.coalesce(F.col("b.expected") - 1, F.col("n")).cast("long").alias("high_water"))
