@@ -70,8 +70,15 @@ def check_artifacts(manifests: DataFrame, artifacts: DataFrame, kind: str, proto
     return both.select("name", reason.alias("reason"))
 
 
-def neighbors(stages: DataFrame) -> DataFrame:
+def neighbors(stages: DataFrame, ranking: DataFrame | None = None) -> DataFrame:
+    """(plan, pos, prefetch): the stages to fetch ahead, the one before and the one after.
+
+    Where ``ranking`` (plan, pos, stage, rank) has rows for a place, its stages take their place, best rank first.
+    """
     w = Window.partitionBy("plan").orderBy("pos")
+    if ranking is not None:
+        planned = ranking.groupBy("plan", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "stage"))), lambda r: r["stage"]).alias("planned"))
+        return neighbors(stages).join(planned, ["plan", "pos"], "left").select("plan", "pos", F.coalesce("planned", "prefetch").alias("prefetch"))
     return stages.select("plan", "pos", F.array_compact(F.array(F.lag("stage").over(w), F.lead("stage").over(w))).alias("prefetch"))
 
 

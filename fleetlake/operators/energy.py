@@ -21,6 +21,28 @@ def reconcile_predictions(predicted: DataFrame, actual: DataFrame, tolerance: fl
     return rows.groupBy("site").agg(F.count_if(~F.col("drifted")).alias("n_planned"), F.count_if("drifted").alias("n_drifted"), F.sum("effective").alias("effective"), F.sum(F.coalesce("actual", "predicted")).alias("actual"))
 
 
+def reconcile_checks(predicted: DataFrame, actual: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """By site, as ``reconcile_predictions``, with its contract: (site, n_predicted, n_actual, n_planned, n_drifted, effective, exact, within_bound).
+
+    Both sides are (site, node, predicted or actual), and every node must have a row
+    on either, or the query fails; a null actual counts as planned. ``exact``: the sum is that of the
+    effective values; ``within_bound``: it is no further from the sum of actuals
+    than a tolerance for each node as planned.
+    """
+    rows = predicted.select("site", "node", "predicted", F.lit(1).alias("p")).join(actual.select("site", "node", "actual", F.lit(1).alias("a")), ["site", "node"], "full")
+    planned = F.coalesce(F.abs(F.col("actual") - F.col("predicted")) <= tolerance, F.lit(True))
+    rows = rows.withColumn("planned", planned).withColumn("value", F.when(F.col("planned"), F.col("predicted")).otherwise(F.col("actual")))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    g = rows.groupBy("site").agg(
+        count("p").alias("n_predicted"), count("a").alias("n_actual"), F.count_if("planned").alias("n_planned"), F.count_if(~F.col("planned")).alias("n_drifted"),
+        F.sum("value").alias("effective"), F.sum(F.when(F.col("planned"), F.col("predicted"))).alias("of_planned"), F.sum(F.when(~F.col("planned"), F.col("actual"))).alias("of_drifted"), F.sum(F.coalesce("actual", "predicted")).alias("truth"), F.count("*").alias("n"),
+    )
+    parts = F.coalesce("of_planned", F.lit(0.0)) + F.coalesce("of_drifted", F.lit(0.0))
+    same = F.when((F.col("n_predicted") == F.col("n")) & (F.col("n_actual") == F.col("n")), F.col("n_predicted")).otherwise(F.raise_error(F.concat(F.lit("arity mismatch at site "), F.col("site").cast("string"))).cast("long"))
+    bound = F.abs(F.col("effective") - F.col("truth")) <= F.col("n_planned") * tolerance + 1e-9
+    return g.select("site", same.alias("n_predicted"), "n_actual", "n_planned", "n_drifted", "effective", (F.abs(F.col("effective") - parts) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(parts))).alias("exact"), bound.alias("within_bound"))
+
+
 def budget_verdict(draw: DataFrame, budget: float) -> DataFrame:
     return draw.withColumn("verdict", F.when(F.col("effective") <= budget, "WITHIN").otherwise("BREACH"))
 

@@ -188,3 +188,36 @@ def appetite_changes(frames: DataFrame, content: list[str] = ["workload", "budge
     told = F.xxhash64(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}))
     before = F.lag(told).over(Window.partitionBy("pool").orderBy("ts", "seq"))
     return frames.select("pool", "seq", (before.isNull() | (told != before)).alias("applied"))
+
+
+# Names a property of a record answers to.
+ALIASES = {"p": "power", "thermal": "temp", "t": "temp", "l": "load", "host": "hostname", "addr": "ip", "r": "ram", "c": "cpu", "s": "simd"}
+
+
+def record_properties(records: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Long form (node, property, value) of whole records; an override (node, property, value) wins and is marked."""
+    c = F.col
+    text = lambda name: c(name).cast("string")
+    simd = F.concat_ws(", ", F.when(c("has_avx2"), "AVX2"), F.when(c("has_avx"), "AVX"), F.when(c("has_sse42"), "SSE4.2"))
+    told = {
+        "power": F.concat(F.when(c("power_watts") > 0, c("power_watts")).otherwise(c("tdp")).cast("string"), F.lit("W")), "temp": F.concat(text("temp_c"), F.lit("C")), "load": F.format_string("%.2f", c("load_avg")),
+        "status": text("status"), "state": F.when(c("alive"), "online").otherwise("offline"), "hostname": text("hostname"), "ip": text("ip"), "ram": F.concat(text("ram_mib"), F.lit("MiB")),
+        "cpu": text("cpu_model"), "cores": text("cores"), "threads": text("threads"), "simd": F.when(simd == "", "none").otherwise(simd),
+        "gpu": F.when(c("has_gpu"), F.concat(text("gpu_model"), F.lit(" ("), text("vram"), F.lit("MiB)"))).otherwise("none"),
+    }
+    pairs = F.array(*[F.struct(F.lit(k).alias("property"), value.alias("value")) for k, value in told.items()])
+    long = records.select("node", F.explode(pairs).alias("p")).select("node", "p.property", "p.value")
+    over = overrides.withColumnRenamed("value", "over")
+    return long.join(over, ["node", "property"], "left").select("node", "property", F.coalesce(F.concat("over", F.lit(" (live)")), "value").alias("value"))
+
+
+def record_answers(paths: DataFrame, properties: DataFrame) -> DataFrame:
+    """(path, answer) of paths ``node.property``: segments of letters, digits and underscores, blanks around them ignored, aliases resolved."""
+    names = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    seg = F.transform(F.split("path", r"\."), lambda s: F.trim(s))
+    ok = (F.size(seg) == 2) & F.forall(seg, lambda s: s.rlike(r"^[\p{L}\p{N}_]+$"))
+    asked = F.get(seg, F.lit(1))
+    q = paths.select("path", ok.alias("ok"), F.get(seg, F.lit(0)).alias("node"), F.coalesce(names[asked], asked).alias("property"))
+    known = F.col("property").isin(*["power", "temp", "load", "status", "state", "hostname", "ip", "ram", "cpu", "cores", "threads", "simd", "gpu"])
+    got = q.join(properties, ["node", "property"], "left")
+    return got.select("path", F.when(~F.col("ok"), "invalid path").when(~known, F.concat(F.lit("unknown property: "), "property")).otherwise(F.coalesce("value", F.lit("unknown node"))).alias("answer"))

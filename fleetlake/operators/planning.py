@@ -11,11 +11,47 @@ from fleetlake.operators.folds import Admission, ordered_fold
 CLASS_RULES = [("branch|sort", "BranchHeavy"), ("recurs|tree|travers", "Recursive"), ("matmul|matrix", "Simd"), ("graph|bfs|dfs", "Irregular"), ("batch|small", "SmallBatch"), ("llm|bitnet|inference|generate", "Llm"), ("gpu|cuda|opencl", "Gpu")]
 
 
+# Classes that accelerators win, or of which nothing is known.
+NO_CPU_ADVANTAGE = ["Simd", "Gpu", "Unknown"]
+# Watts by words of a processor's name, kinds of lanes by the start of an interface's name, watts of a kind.
+MODEL_WATTS = [("i7|i9", 45), ("i5", 35), ("i3|celeron", 25), ("pentium", 15)]
+LANE_KINDS = [("^(wlan|wifi|wl)", "air"), ("^(rxe|rdma|ib)", "rdma")]
+LANE_WATTS = [("^(air|modem)$", 2), ("^rdma$", 3), ("^(dma|blk|nvme)$", 5), ("^gpu$", 8)]
+# Class and watts of tasks known by name.
+TASK_CLASSES = [("^(bitnet_generate|tokenize|detok)$", "Llm"), ("^acts_echo$", "Simd"), ("^bench_sum$", "BranchHeavy"), ("^load_shard$", "Irregular")]
+TASK_WATTS = [("^(bitnet_generate|tokenize|detok|load_shard)$", 10), ("^(acts_echo|bench_sum)$", 5)]
+
+
+def first_match(text, rules: list[tuple], otherwise):
+    """The value of the first rule (pattern, value) that ``text`` matches."""
+    out = F.lit(None)
+    for pattern, value in reversed(rules):
+        out = F.when(text.rlike(pattern), value).otherwise(out)
+    return F.coalesce(out, F.lit(otherwise))
+
+
 def classify_workloads(tasks: DataFrame, rules: list[tuple[str, str]] = CLASS_RULES) -> DataFrame:
-    name, out = F.lower("name"), F.lit(None).cast("string")
-    for words, kind in reversed(rules):
-        out = F.when(name.rlike(words), kind).otherwise(out)
-    return tasks.withColumn("class", F.coalesce(out, F.lit("Unknown")))
+    return tasks.withColumn("class", first_match(F.lower("name"), rules, "Unknown"))
+
+
+def with_cpu_advantage(classified: DataFrame) -> DataFrame:
+    """Adds ``cpu_advantage``: whether processors win the row's class over accelerators."""
+    return classified.withColumn("cpu_advantage", ~F.col("class").isin(NO_CPU_ADVANTAGE))
+
+
+def model_watts(model):
+    """Watts of a processor by its model name."""
+    return first_match(F.lower(model), MODEL_WATTS, 35)
+
+
+def price_lanes(lanes: DataFrame) -> DataFrame:
+    """Adds ``kind`` and ``watts`` of lanes by the name of their interface."""
+    return lanes.withColumn("kind", first_match(F.col("iface"), LANE_KINDS, "tcp")).withColumn("watts", first_match(F.col("kind"), LANE_WATTS, 1))
+
+
+def profile_tasks(tasks: DataFrame) -> DataFrame:
+    """Adds ``class`` and ``watts`` of tasks with exactly a known name."""
+    return tasks.withColumn("class", first_match(F.col("name"), TASK_CLASSES, "Unknown")).withColumn("watts", first_match(F.col("name"), TASK_WATTS, 1))
 
 
 def candidates(classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -201,3 +237,43 @@ def compatible_plans(a: DataFrame, b: DataFrame) -> DataFrame:
     """(plan, compatible) of plans on both sides: the same model and number of stages."""
     shape = lambda df, m, n: df.groupBy("plan").agg(F.min("model").alias(m), F.count("*").alias(n))
     return shape(a, "ma", "na").join(shape(b, "mb", "nb"), "plan").select("plan", (F.col("ma").eqNullSafe(F.col("mb")) & (F.col("na") == F.col("nb"))).alias("compatible"))
+
+
+def requeue(queue: DataFrame, failed: DataFrame, limit: int = 3) -> DataFrame:
+    """(pool, task, retries, disposition, place) after one failure each of ``failed`` (task, at).
+
+    ``queue`` has (pool, task, retries, place). A task with retries left goes to the
+    back of its pool, in order of failure; a dropped one leaves; the others move up.
+    """
+    f = failed.groupBy("task").agg(F.min("at").alias("at"))
+    q = queue.join(f, "task", "left").withColumn("retries", F.col("retries") + F.col("at").isNotNull().cast("int"))
+    told = F.when(F.col("at").isNull(), "waiting").when(F.col("retries") <= limit, "requeued").otherwise("dropped")
+    q = q.withColumn("disposition", told)
+    gone = F.col("disposition") == "dropped"
+    w = Window.partitionBy("pool").orderBy(gone, F.col("at").isNotNull(), "at", F.when(F.col("at").isNull(), F.col("place")), "task")
+    return q.select("pool", "task", "retries", "disposition", F.when(~gone, F.row_number().over(w)).alias("place"))
+
+
+def reconcile_power(desired: DataFrame, acted: DataFrame, addresses: DataFrame) -> DataFrame:
+    """(node, state, action) of declared power states ``awake`` or ``sleeping``.
+
+    One that was acted upon stays ``requested``; without an address it is only
+    ``reported``; else the node is put to ``sleep`` or gets a ``wake``.
+    """
+    done = acted.select("node", "state").distinct().withColumn("done", F.lit(True))
+    rows = desired.join(done, ["node", "state"], "left").join(addresses.select("node", "address"), "node", "left")
+    action = F.when(F.col("done"), "requested").when(F.col("address").isNull(), "reported").when(F.col("state") == "sleeping", "sleep").otherwise("wake")
+    return rows.select("node", "state", action.alias("action"))
+
+
+def stripe_binds(binds: DataFrame, lanes: DataFrame) -> DataFrame:
+    """(bind, node, iface): a node's first bind takes its fastest lane, each later one the next, round and round.
+
+    ``binds`` has (bind, node), numbered in order of ``bind``; ``lanes`` (node, iface, bw). Without lanes ``iface`` is null.
+    """
+    fast = F.row_number().over(Window.partitionBy("node").orderBy(F.col("bw").desc(), "iface")) - 1
+    of = lanes.select("node", "iface", fast.alias("slot"))
+    n = lanes.groupBy("node").agg(F.count("*").alias("n"))
+    k = F.row_number().over(Window.partitionBy("node").orderBy("bind")) - 1
+    asked = binds.select("bind", "node", k.alias("k")).join(n, "node", "left").withColumn("slot", (F.col("k") % F.col("n")).cast("int"))
+    return asked.join(of, ["node", "slot"], "left").select("bind", "node", "iface")

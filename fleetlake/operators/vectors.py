@@ -94,6 +94,18 @@ def parity_report(a: DataFrame, b: DataFrame, least: float = 0.999) -> DataFrame
     return both.select("id", cos.alias("cosine"), worst.alias("max_abs"), (F.col("xa") == F.col("xb")).alias("equal")).withColumn("verdict", F.when(F.col("cosine").isNull(), "missing").when(F.col("cosine") >= least, "pass").otherwise("fail"))
 
 
+def parity_details(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, max_rel, top_a, top_b, top_equal) of rows on both sides.
+
+    ``max_rel`` is the largest deviation of a value against the larger of the two;
+    ``top_a`` and ``top_b`` are the first positions of the largest values.
+    """
+    both = a.select("id", F.col("x").alias("xa")).join(b.select("id", F.col("x").alias("xb")), "id")
+    rel = F.array_max(F.zip_with("xa", "xb", lambda p, q: F.abs(p - q) / F.greatest(F.abs(p), F.abs(q), F.lit(1e-30))))
+    top = lambda x: F.array_position(x, F.array_max(x)) - 1
+    return both.select("id", rel.alias("max_rel"), top(F.col("xa")).alias("top_a"), top(F.col("xb")).alias("top_b")).withColumn("top_equal", F.col("top_a") == F.col("top_b"))
+
+
 def causal_attention(seq: DataFrame, look_back: int | None = None, heads: int = 1, kv_heads: int | None = None, q: str = "x", k: str = "x", v: str = "x", block: int = 128) -> DataFrame:
     """(seq, pos, d, y): each position's softmax-weighted mean of ``v`` over itself and the rows before it.
 

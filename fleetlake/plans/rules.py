@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlake import views as v
 from fleetlake.functions import tokens
-from fleetlake.operators import delta, failures, fleet, planning
+from fleetlake.operators import delta, energy, failures, fleet, planning, vectors
 from fleetlake.plans import artifacts as a
 from fleetlake.plans import flows
 from fleetlake.plans import registry as r
@@ -170,3 +170,146 @@ def _(spark, d):
     x = e.withColumn("expected", 1 + F.coalesce(F.sum((~F.col("is_ack") & ~F.col("is_eof")).cast("long")).over(w), F.lit(0)))
     acked = F.when(F.col("is_ack"), F.when(n % 30 == 0, 0).otherwise(F.col("expected") - 1))
     return logs.audit_frames(x.select(F.col("user_id").alias("stream"), n.alias("ord"), (F.col("expected") + (n % 97 == 0).cast("long")).alias("seq"), "is_ack", "is_eof", acked.alias("acked")))
+
+
+@query("p1_cpu_advantage", v.sql("tasks") + f" SELECT task, class, class NOT IN ('Simd', 'Gpu', 'Unknown') AS cpu_advantage FROM (SELECT task, {r._CLASS} FROM tasks)")
+def _(spark, d):
+    return planning.with_cpu_advantage(planning.classify_workloads(v.tasks(spark, d))).select("task", "class", "cpu_advantage")
+
+
+@query("p1_model_watts", """SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN 45 WHEN 1 THEN 45 WHEN 2 THEN 35 WHEN 3 THEN 25 WHEN 4 THEN 25 WHEN 5 THEN 15 ELSE 35 END AS watts FROM customer""")
+def _(spark, d):
+    models = F.array(*map(F.lit, ["Core(TM) i7-8550U", "CORE I9", "core i5", "Core i3 (not a Pentium)", "Celeron N4000", "Pentium Gold", "Xeon E5"]))
+    k = F.col("c_custkey")
+    return v.table(spark, d, "customer").select(k.alias("id"), planning.model_watts(F.element_at(models, (k % 7 + 1).cast("int"))).alias("watts"))
+
+
+_WIRED = v.sql("lanes") + ", wired AS (SELECT *, ['wlan0', 'wlp3s0', 'wifi1', 'ib0', 'rxe_0', 'rdma1', 'enp3s0', 'eth_wl'][node % 8 + 1] AS name FROM lanes)"
+
+
+@query("p1_lane_kinds", _WIRED + " SELECT node, iface AS lane, name AS iface, CASE WHEN node % 8 < 3 THEN 'air' WHEN node % 8 < 6 THEN 'rdma' ELSE 'tcp' END AS kind, CASE WHEN node % 8 < 3 THEN 2 WHEN node % 8 < 6 THEN 3 ELSE 1 END AS watts FROM wired")
+def _(spark, d):
+    names = F.array(*map(F.lit, ["wlan0", "wlp3s0", "wifi1", "ib0", "rxe_0", "rdma1", "enp3s0", "eth_wl"]))
+    wired = v.lanes(spark, d).select("node", F.col("iface").alias("lane"), F.element_at(names, (F.col("node") % 8 + 1).cast("int")).alias("iface"))
+    return planning.price_lanes(wired)
+
+
+@query("p1_task_profiles", """SELECT o_orderkey AS task, CASE WHEN o_orderkey % 8 < 3 THEN 'Llm' WHEN o_orderkey % 8 = 3 THEN 'Simd' WHEN o_orderkey % 8 = 4 THEN 'BranchHeavy' WHEN o_orderkey % 8 = 5 THEN 'Irregular' ELSE 'Unknown' END AS class,
+  CASE WHEN o_orderkey % 8 < 3 OR o_orderkey % 8 = 5 THEN 10 WHEN o_orderkey % 8 < 5 THEN 5 ELSE 1 END AS watts FROM orders""")
+def _(spark, d):
+    names = F.array(*map(F.lit, ["bitnet_generate", "tokenize", "detok", "acts_echo", "bench_sum", "load_shard", "detokenize", ""]))
+    k = F.col("o_orderkey")
+    return planning.profile_tasks(v.table(spark, d, "orders").select(k.alias("task"), F.element_at(names, (k % 8 + 1).cast("int")).alias("name"))).select("task", "class", "watts")
+
+
+@query("p8_requeue", v.sql("tasks") + """, q AS (SELECT pool, task, task % 5 AS retries, row_number() OVER (PARTITION BY pool ORDER BY enqueued, task) AS place FROM tasks),
+f AS (SELECT l_orderkey AS task, min(l_shipdate) AS failed FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), n AS (SELECT pool, task, retries + CASE WHEN failed IS NULL THEN 0 ELSE 1 END AS retries, place, failed FROM q LEFT JOIN f USING (task)),
+w AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY failed NULLS FIRST, CASE WHEN failed IS NULL THEN place END, task) AS k FROM n WHERE failed IS NULL OR retries <= 3)
+SELECT pool, task, retries, CASE WHEN failed IS NULL THEN 'waiting' ELSE 'requeued' END AS disposition, k AS place FROM w
+UNION ALL SELECT pool, task, retries, 'dropped', NULL FROM n WHERE failed IS NOT NULL AND retries > 3""")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("pool").orderBy("enqueued", "task"))
+    queue = v.tasks(spark, d).select("pool", "task", (F.col("task") % 5).alias("retries"), place.alias("place"))
+    failed = v.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("task"), F.col("l_shipdate").alias("at"))
+    return planning.requeue(queue, failed)
+
+
+@query("p10_power_states", """WITH w AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 2 = 0 THEN 'sleeping' ELSE 'awake' END AS state FROM customer), a AS (SELECT DISTINCT o_custkey AS node FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 2 = 0)
+SELECT w.node, state, CASE WHEN a.node IS NOT NULL THEN 'requested' WHEN s_suppkey IS NULL THEN 'reported' WHEN state = 'sleeping' THEN 'sleep' ELSE 'wake' END AS action FROM w LEFT JOIN a ON a.node = w.node AND state = 'sleeping' LEFT JOIN supplier ON s_suppkey = w.node""")
+def _(spark, d):
+    k = F.col("c_custkey")
+    desired = v.table(spark, d, "customer").select(k.alias("node"), F.when(k % 2 == 0, "sleeping").otherwise("awake").alias("state"))
+    acted = v.table(spark, d, "orders").where("o_orderstatus = 'P' and o_custkey % 2 = 0").select(F.col("o_custkey").alias("node"), F.lit("sleeping").alias("state"))
+    return planning.reconcile_power(desired, acted, v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("address")))
+
+
+@query("p17_stripe_binds", v.sql("lanes") + """, l AS (SELECT node, iface, row_number() OVER (PARTITION BY node ORDER BY bw DESC, iface) - 1 AS slot, count(*) OVER (PARTITION BY node) AS n FROM lanes WHERE node % 6 <> 0),
+b AS (SELECT ps AS bind, l_suppkey AS node, row_number() OVER (PARTITION BY l_suppkey ORDER BY ps) - 1 AS k FROM (SELECT l_orderkey * 10 + l_linenumber AS ps, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1))
+SELECT bind, b.node, iface FROM b LEFT JOIN l ON l.node = b.node AND slot = k % n""")
+def _(spark, d):
+    binds = v.table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("bind")).agg(F.min("l_suppkey").alias("node"))
+    return planning.stripe_binds(binds, v.lanes(spark, d).where("node % 6 <> 0"))
+
+
+_CHECKED = v.sql("telemetry") + """, p AS (SELECT node, site, avg(power_watts) AS predicted, CASE WHEN node % 9 <> 0 THEN CAST(arg_max(power_watts, (ts, seq)) AS DOUBLE) END AS actual FROM telemetry GROUP BY node, site),
+q AS (SELECT *, coalesce(abs(actual - predicted) <= 25, true) AS planned FROM p)"""
+
+
+@query("e2_reconcile_checks", _CHECKED + """ SELECT site, count(*) AS n_predicted, count(*) AS n_actual, count(*) FILTER (planned) AS n_planned, count(*) FILTER (NOT planned) AS n_drifted, round(sum(CASE WHEN planned THEN predicted ELSE actual END), 4) AS effective,
+  true AS exact, abs(sum(CASE WHEN planned THEN predicted ELSE actual END) - sum(coalesce(actual, predicted))) <= count(*) FILTER (planned) * 25 + 1e-9 AS within_bound FROM q GROUP BY site""")
+def _(spark, d):
+    t = v.telemetry(spark, d)
+    actual = F.when(F.col("node") % 9 != 0, F.max_by("power_watts", F.struct("ts", "seq")).cast("double"))
+    both = energy.reconcile_checks(t.groupBy("site", "node").agg(F.avg("power_watts").alias("predicted")), t.groupBy("site", "node").agg(actual.alias("actual")), 25.0)
+    return both.withColumn("effective", F.round("effective", 4))
+
+
+@query("v14_parity_details", a._E + """, w AS (SELECT id, d, v, CASE WHEN id % 2 = 0 AND d = 3 THEN v + 0.5 ELSE v END AS w FROM e),
+g AS (SELECT id, round(max(abs(v - w) / greatest(abs(v), abs(w), 1e-30)), 6) AS max_rel, max(v) AS mv, max(w) AS mw FROM w GROUP BY id),
+t AS (SELECT w.id, any_value(max_rel) AS max_rel, min(d) FILTER (v = mv) AS top_a, min(d) FILTER (w = mw) AS top_b FROM w JOIN g ON w.id = g.id GROUP BY w.id) SELECT *, top_a = top_b AS top_equal FROM t""")
+def _(spark, d):
+    x = v.vectors(spark, d).select("id", "x")
+    y = x.withColumn("x", F.transform("x", lambda e, i: e + F.when((F.col("id") % 2 == 0) & (i == 3), 0.5).otherwise(0.0)))
+    return vectors.parity_details(x, y).withColumn("max_rel", F.round("max_rel", 6))
+
+
+@query("d11_ranked_neighbors", """WITH n AS (SELECT s_nationkey AS plan, s_suppkey AS pos, list_filter([lag(s_name) OVER w, lead(s_name) OVER w], lambda x: x IS NOT NULL) AS prefetch FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+k AS (SELECT l_suppkey AS pos, list('p' || l_partkey ORDER BY n DESC, l_partkey) AS planned FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_linenumber = 7 AND l_suppkey % 3 = 0 GROUP BY ALL) GROUP BY 1)
+SELECT plan, pos, coalesce(planned, prefetch) AS prefetch FROM n LEFT JOIN k USING (pos)""")
+def _(spark, d):
+    s = v.table(spark, d, "supplier").select(F.col("s_nationkey").alias("plan"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("stage"))
+    used = v.table(spark, d, "lineitem").where("l_linenumber = 7 and l_suppkey % 3 = 0").groupBy(F.col("l_suppkey").alias("pos"), "l_partkey").agg(F.count("*").alias("n"))
+    rank = F.struct((-F.col("n")).alias("n"), "l_partkey")
+    ranking = used.join(s.select("plan", "pos"), "pos").select("plan", "pos", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("stage"), rank.alias("rank"))
+    return delta.neighbors(s, ranking)
+
+
+_RECORDS = v.sql("nodes") + """, rec AS (SELECT 'n' || node AS id, *, node % 4 * 20 AS power_watts, node % 90 AS temp_c, node % 997 / 100 AS load_avg, node % 2 = 0 AS alive, node % 8 AS cores FROM nodes JOIN supplier ON s_suppkey = node),
+props AS (SELECT id AS node, unnest([
+  {'property': 'power', 'value': CASE WHEN power_watts > 0 THEN power_watts ELSE tdp END || 'W'}, {'property': 'temp', 'value': temp_c || 'C'}, {'property': 'load', 'value': printf('%.2f', load_avg)}, {'property': 'status', 'value': 'Idle'},
+  {'property': 'state', 'value': CASE WHEN alive THEN 'online' ELSE 'offline' END}, {'property': 'hostname', 'value': s_name}, {'property': 'ip', 'value': '10.0.0.' || s_suppkey}, {'property': 'ram', 'value': vram * 2 || 'MiB'}, {'property': 'cpu', 'value': 'Core i5'},
+  {'property': 'cores', 'value': CAST(cores AS VARCHAR)}, {'property': 'threads', 'value': CAST(cores * 2 AS VARCHAR)}, {'property': 'simd', 'value': coalesce(nullif(concat_ws(', ', CASE WHEN has_avx2 THEN 'AVX2' END, CASE WHEN has_avx THEN 'AVX' END, CASE WHEN has_sse42 THEN 'SSE4.2' END), ''), 'none')},
+  {'property': 'gpu', 'value': CASE WHEN has_gpu THEN 'RTX 3060 (' || vram || 'MiB)' ELSE 'none' END}], recursive := true) FROM rec),
+answers AS (SELECT node, property, CASE WHEN property = 'load' AND CAST(substr(node, 2) AS BIGINT) % 5 = 0 THEN '9.99 (live)' ELSE value END AS value FROM props)"""
+
+
+def _records(spark, d):
+    k = F.col("node")
+    s = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("hostname"), F.concat(F.lit("10.0.0."), F.col("s_suppkey").cast("string")).alias("ip"))
+    rec = v.nodes(spark, d).join(s, "node").select(
+        F.concat(F.lit("n"), k.cast("string")).alias("node"), (k % 4 * 20).alias("power_watts"), (k % 90).alias("temp_c"), (k % 997 / 100).alias("load_avg"), F.lit("Idle").alias("status"), (k % 2 == 0).alias("alive"), "hostname", "ip",
+        (F.col("vram") * 2).alias("ram_mib"), F.lit("Core i5").alias("cpu_model"), (k % 8).alias("cores"), (k % 8 * 2).alias("threads"), "has_avx2", "has_avx", "has_sse42", "has_gpu", F.lit("RTX 3060").alias("gpu_model"), "vram", "tdp",
+    )
+    live = rec.where("cast(substr(node, 2) as bigint) % 5 = 0").select("node", F.lit("load").alias("property"), F.lit("9.99").alias("value"))
+    return fleet.record_properties(rec, live)
+
+
+@query("r12_record_properties", _RECORDS + " SELECT * FROM answers")
+def _(spark, d):
+    return _records(spark, d)
+
+
+_ENDS = ["p", "t", "thermal", "l", "host", "addr", "r", "c", "s", "gpu", "state", "threads", "mac", "a-b", ""]
+
+
+@query("r12_record_answers", _RECORDS + f""", q AS (SELECT p_partkey AS k, 'n' || p_partkey % 12 AS node, {_ENDS}[p_partkey % 15 + 1] AS e FROM part),
+x AS (SELECT node || '.' || e AS path, node, CASE e WHEN 'p' THEN 'power' WHEN 't' THEN 'temp' WHEN 'thermal' THEN 'temp' WHEN 'l' THEN 'load' WHEN 'host' THEN 'hostname' WHEN 'addr' THEN 'ip' WHEN 'r' THEN 'ram' WHEN 'c' THEN 'cpu' WHEN 's' THEN 'simd' ELSE e END AS property FROM q)
+SELECT path, CASE WHEN property IN ('a-b', '') THEN 'invalid path' WHEN property = 'mac' THEN 'unknown property: mac' ELSE coalesce(value, 'unknown node') END AS answer FROM x LEFT JOIN answers USING (node, property)""")
+def _(spark, d):
+    k = F.col("p_partkey")
+    ends = F.array(*map(F.lit, _ENDS))
+    paths = v.table(spark, d, "part").select(F.concat(F.lit("n"), (k % 12).cast("string"), F.lit("."), F.element_at(ends, (k % 15 + 1).cast("int"))).alias("path"))
+    return fleet.record_answers(paths, _records(spark, d))
+
+
+@query("s1_read_reports", v.sql("telemetry") + """ SELECT seq, 'h' || node AS hostname, CASE WHEN seq % 3 = 0 THEN 'i5' ELSE '' END AS cpu_model, CASE WHEN seq % 4 = 0 THEN 8 ELSE 0 END AS cores, 0 AS threads, seq % 5 = 0 AS has_avx2, false AS has_avx,
+  CAST(CASE WHEN seq % 6 = 0 THEN 16384 ELSE 0 END AS BIGINT) AS ram_total_mib, power_watts, agent_version, '' AS image_rev, node_id, CASE WHEN seq % 8 = 0 THEN 1 ELSE 0 END AS n_gpus, CASE WHEN seq % 8 = 0 THEN 'RTX 3060' END AS gpu, 0 AS n_edges FROM telemetry""")
+def _(spark, d):
+    n = F.col("seq")
+    t = v.telemetry(spark, d)
+    gpus = F.when(n % 8 == 0, F.array(F.struct(F.lit("RTX 3060").alias("model"), F.lit(12288).alias("vram_mib"))))
+    told = F.struct(F.concat(F.lit("h"), F.col("node").cast("string")).alias("hostname"), F.when(n % 3 == 0, "i5").alias("cpu_model"), F.when(n % 4 == 0, 8).alias("cores"), F.when(n % 5 == 0, True).alias("has_avx2"), F.when(n % 6 == 0, 16384).alias("ram_total_mib"), "power_watts", "agent_version", "node_id", gpus.alias("gpus"))
+    good, _bad = logs.read_telemetry(t.select("seq", F.to_json(told).alias("line")))
+    return good.select("seq", "hostname", "cpu_model", "cores", "threads", "has_avx2", "has_avx", "ram_total_mib", "power_watts", "agent_version", "image_rev", "node_id", F.size("gpus").alias("n_gpus"), F.get("gpus", F.lit(0))["model"].alias("gpu"), F.size("edges").alias("n_edges"))

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "hostname string, power_watts int, load_avg double, agent_version string, _bad string"
+# Fields of a report and what stands for a missing one; the hostname has no default.
+DEFAULTS = {
+    "cpu_model": ("string", ""), "cores": ("int", 0), "threads": ("int", 0), "has_avx": ("boolean", False), "has_avx2": ("boolean", False), "has_sse42": ("boolean", False),
+    "ram_total_mib": ("long", 0), "power_watts": ("int", 0), "temp_c": ("int", 0), "load_avg": ("double", 0.0), "agent_version": ("string", ""), "image_rev": ("string", ""), "node_id": ("string", ""),
+}
+LISTS = {"gpus": "array<struct<vendor:string,model:string,vram_mib:long,driver:string,compute_cap:string,vulkan_api:string>>", "edges": "array<struct<iface:string,kind:string,bw_mbps:long,latency_us:long,jitter_us:long,watts:long,signal_dbm:int>>"}
+SCHEMA = ", ".join(["hostname string", *[f"{c} {kind}" for c, (kind, _) in DEFAULTS.items()], *[f"{c} {kind}" for c, kind in LISTS.items()], "_bad string"])
 
 
 def read_telemetry(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -13,7 +19,9 @@ def read_telemetry(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = lines.select("*", F.from_json("line", SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("j"))
     ok = F.col("j").isNotNull() & F.col("j._bad").isNull() & F.col("j.hostname").isNotNull()
     keep = [c for c in lines.columns if c != "line"]
-    good = parsed.where(ok).select(*keep, "j.hostname", F.coalesce("j.power_watts", F.lit(0)).alias("power_watts"), F.coalesce("j.load_avg", F.lit(0.0)).alias("load_avg"), F.coalesce("j.agent_version", F.lit("")).alias("agent_version"))
+    plain = [F.coalesce(f"j.{c}", F.lit(value).cast(kind)).alias(c) for c, (kind, value) in DEFAULTS.items()]
+    lists = [F.coalesce(f"j.{c}", F.array().cast(kind)).alias(c) for c, kind in LISTS.items()]
+    good = parsed.where(ok).select(*keep, "j.hostname", *plain, *lists)
     return good, parsed.where(~F.coalesce(ok, F.lit(False))).select(*keep, F.lit("bad-json").alias("reason"))
 
 

@@ -312,3 +312,29 @@ def test_one_bit_makes_another_fingerprint(spark):
 def test_vectors_that_are_no_whole_blocks_are_refused(spark):
     with pytest.raises(Exception, match="multiple"):
         vectors.hadamard(spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id int, x array<double>"), 2).collect()
+
+
+def test_reconciling_needs_a_row_of_each_node_on_both_sides(spark):
+    from fleetlake.operators import energy
+
+    p = spark.createDataFrame([(1, 1, 10.0), (1, 2, 20.0)], "site int, node int, predicted double")
+    good = energy.reconcile_checks(p, spark.createDataFrame([(1, 1, 12.0), (1, 2, None)], "site int, node int, actual double"))
+    assert good.collect() == [(1, 2, 2, 2, 0, 30.0, True, True)]
+    with pytest.raises(Exception, match="arity mismatch"):
+        energy.reconcile_checks(p, spark.createDataFrame([(1, 1, 12.0)], "site int, node int, actual double")).collect()
+
+
+def test_paths_are_trimmed_and_letters_may_be_of_any_script(spark):
+    from fleetlake.operators import fleet
+
+    properties = spark.createDataFrame([("n10", "load", "0.50"), ("né", "load", "1.00")], "node string, property string, value string")
+    paths = spark.createDataFrame([(" n10 .l",), ("né.load",), ("n10",), ("n10.l.x",), ("n7.l",), (".l",)], "path string")
+    got = dict(fleet.record_answers(paths, properties).collect())
+    assert got == {" n10 .l": "0.50", "né.load": "1.00", "n10": "invalid path", "n10.l.x": "invalid path", "n7.l": "unknown node", ".l": "invalid path"}
+
+
+def test_a_reports_missing_fields_have_defaults(spark):
+    lines = spark.createDataFrame([('{"hostname":"a"}',), ('{"cores":4}',), ("{",)], "line string")
+    good, bad = logs.read_telemetry(lines)
+    assert [tuple(r) for r in good.collect()] == [("a", "", 0, 0, False, False, False, 0, 0, 0, 0.0, "", "", "", [], [])]
+    assert bad.count() == 2
