@@ -82,6 +82,28 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: A-Z to a-z, ASCII other than letters and digits to spaces; bytes of other characters stay.
+ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+
+
+def alnum_runs(text: bytes, most_bytes: int = 1 << 20):
+    """The words of letters, digits and characters beyond ASCII, lower-cased (A-Z), in lists of about ``most_bytes`` of text."""
+    text, at = text.translate(ALNUM), 0
+    while at < len(text):
+        end = text.find(b" ", at + most_bytes)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
+def int_lists(parts: list[np.ndarray], kind=np.int32):
+    """An Arrow column of integer lists."""
+    import pyarrow as pa
+
+    flat = np.concatenate(parts).astype(kind, copy=False) if parts else np.empty(0, kind)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(flat))
+
+
 class WordHash(dict):
     """Word (bytes) to a 64-bit hash; remembers up to ``CACHE_ENTRIES`` words."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlake.llm import decontaminate, language_id, license_scan, lm_score, ngram_join, packing, pii, quality, token_store, url_filter
+from fleetlake.llm import chat, decontaminate, language_id, lexical, license_scan, lm_score, ngram_join, packing, pii, quality, resample, token_store, url_filter
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -75,6 +75,25 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(token_store.write_store(_table(spark, sf_dir, "documents")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+#: A conversation whose texts hold marks of templates.
+MARKED = r"\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
+    path = chat.write_examples(rows.unionByName(marked), chat.new_path(spark))
+    return chat.digests(*chat.read_examples(spark, path))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_pii": op2_pii,
@@ -86,6 +105,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_token_store": op10_token_store,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_chat_format": op12_chat_format,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -150,4 +172,61 @@ h AS (
 SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM h WHERE k = 1
 """
 
-ORACLES = {"op3_quality_rules": _OP3, "op4_ngram_jaccard": _OP4, "op8_url_filter": _OP8}
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_OP11 = rf"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERMS}')) AS t FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERMS}')) AS t FROM benchmark),
+len AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+tot AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM len),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM d WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * max(nn) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, tot GROUP BY t),
+s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nn) // l))))) AS BIGINT) AS score
+  FROM q JOIN tf USING (t) JOIN w USING (t) JOIN len USING (doc_id), tot GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+_OP12 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, ['user', 'assistant'][i + 1], '\### Assistant: </turn> ok' FROM range(2) x(i)),
+e AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '#', '\h'), '<', '\l') AS body,
+         replace(replace(replace(replace(role, '\', '\\'), '#', '\h'), '<', '\l'), ':', '\c') AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ' || head || ': ' || body || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (role = 'assistant') AS n_examples
+FROM e GROUP BY conv_id
+"""
+
+_OP13 = r"""
+WITH table_of AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)::UBIGINT[]), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)::UBIGINT ORDER BY i) AS tbl FROM range(256) r(x), LATERAL (SELECT x::UBIGINT AS i)),
+words AS (
+  SELECT 's' AS side, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL SELECT 't', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+counts AS (SELECT side, id, w, count(*) AS c FROM words GROUP BY ALL),
+spelled AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM counts)),
+crc AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(h) // 2 + 1), lambda i: CAST('0x' || substr(h, CAST(2 * i - 1 AS BIGINT), 2) AS UBIGINT))),
+                            lambda c, b: xor(c >> 8, tbl[CAST(xor(c & 255, b) AS BIGINT) + 1])), 4294967295) % 10000 AS bucket FROM spelled, table_of),
+f AS (SELECT side, id, bucket, CAST(sum(c) AS BIGINT) AS c FROM counts JOIN crc USING (w) GROUP BY ALL),
+b AS (SELECT bucket, coalesce(sum(c) FILTER (side = 's'), 0) AS s, coalesce(sum(c) FILTER (side = 't'), 0) AS t FROM f GROUP BY bucket),
+tot AS (SELECT sum(s) AS ss, sum(t) AS tt FROM b),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(ss + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(tt + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM b, tot),
+x AS (SELECT id AS doc_id, CAST(sum(c) AS BIGINT) AS n, CAST(sum(c * gain) AS BIGINT) AS total FROM f JOIN g USING (bucket) WHERE side = 's' GROUP BY id),
+w AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, CAST(CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS BIGINT) AS weight,
+         CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS UBIGINT) AS h FROM documents LEFT JOIN x USING (doc_id)),
+sc AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, 10 * count(*) OVER () // 100 AS most FROM sc WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= most THEN CAST(k AS BIGINT) END AS rank FROM sc LEFT JOIN k USING (doc_id)
+"""
+
+ORACLES = {"op11_ranked_search": _OP11, "op12_chat_format": _OP12, "op13_importance_resampling": _OP13, "op3_quality_rules": _OP3, "op4_ngram_jaccard": _OP4, "op8_url_filter": _OP8}
