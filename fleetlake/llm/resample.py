@@ -155,7 +155,7 @@ def resample(docs: DataFrame, target: DataFrame, params: ResampleParams = Resamp
 
     Of the rows with ``min_words`` words, ``percent`` (rounded down) are drawn: the
     highest scores, ties to the smaller doc_id, rows without an id last of a tie, rows
-    that repeat id and score in any order. Each row is a document of its own, also if it
+    that repeat id and score by number of features. Each row is a document of its own, also if it
     repeats an id. Null, empty and wordless texts have no features and weight 0; very
     long texts are read in runs and leave a count a bucket. Empty documents give an
     empty result, an empty target one with all of its shares equal. Other columns are
