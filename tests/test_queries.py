@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlake import storage
 from fleetlake.functions import bpe, encodings, tokens
 from fleetlake.operators import delta, failures, folds, identity, planning, vectors
-from fleetlake.plans import artifacts, flows, registry, rules  # noqa: F401
+from fleetlake.plans import artifacts, flows, registry, rules, stores  # noqa: F401
 from fleetlake.sources import frames, logs
 from fleetlake.streaming import liveness
 
