@@ -65,12 +65,6 @@ def _(spark, d):
     return streams.drain(streams.stream_fold(calls, "node", ["at", "seq"], BUCKET), "rate").withColumn("tokens", F.round("tokens", 6))
 
 
-@query("x1_stream_state", r.ORACLES["r3_latest_state"])
-def _(spark, d):
-    state = fleet.latest_state(v.telemetry_of(streams.open_table(spark, f"{d}/events.parquet")))
-    return streams.drain(state, "state", "complete").select("node", "last_seen", "verb", "power_watts", F.round("load_avg", 6).alias("load_avg"), "agent_version")
-
-
 @query("x3_stream_failures", r.ORACLES["f1_failure_streaks"])
 def _(spark, d):
     reports = v.telemetry_of(streams.open_table(spark, f"{d}/events.parquet")).select("node", "ts", "seq", "verb")

@@ -31,9 +31,9 @@ def stream_fold(stream: DataFrame, key: str, order: list[str], step) -> DataFram
     return grouped.applyInPandasWithState(run, f"{key} {kind}, {step.out}", step.state, "append", GroupStateTimeout.NoTimeout)
 
 
-def open_table(spark: SparkSession, path: str) -> DataFrame:
-    """The files of a table as a stream; the path is given as a pattern, as Spark takes a plain one for a folder."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
+def open_table(spark: SparkSession, path: str, files_a_trigger: int = 16) -> DataFrame:
+    """The files of a table as a stream, so many a trigger; the path is given as a pattern, as Spark takes a plain one for a folder."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
