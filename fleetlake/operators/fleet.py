@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetlake.operators.scans import running
+
 OFFLINE_AFTER_S = 30
 BUSY_LOAD = 2.0
 
@@ -117,11 +119,14 @@ def dedupe_discovered(found: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def controls_as_of(reports: DataFrame, controls: DataFrame) -> DataFrame:
-    """Each report with the budget last set for its pool; a null budget clears. Controls come before reports at the same time."""
+    """Each report with the budget last set for its pool; a null budget clears. Controls come before reports at the same time.
+
+    A pool of any size spreads over many tasks.
+    """
     cell = F.struct(F.col("budget").alias("b"))
     both = controls.select("pool", "ts", F.lit(0).alias("side"), "seq", cell.alias("c")).unionByName(reports.select("pool", "ts", F.lit(1).alias("side"), "seq", F.lit(None).cast("struct<b:bigint>").alias("c")))
-    w = Window.partitionBy("pool").orderBy("ts", "side", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("last", F.last("c", ignorenulls=True).over(w)).where("side = 1").select("pool", "seq", F.col("last.b").alias("budget"))
+    r = running(both, ["pool"], ["ts", "side", "seq"], lasts={"last": "c"})
+    return r.where("side = 1").select("pool", "seq", F.col("last.b").alias("budget"))
 
 
 def control_changes(controls: DataFrame) -> DataFrame:
@@ -141,19 +146,11 @@ def derive_keys(df: DataFrame) -> DataFrame:
 
 
 def allocate_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Ids ``n{max+1}``... for new keys by first sight.
-
-    Keys are range-partitioned by first sight; ranks are offsets of partitions
-    plus ranks inside them, so no window spans the table.
-    """
-    top = existing.agg(F.coalesce(F.max(F.regexp_extract("id", r"^n([0-9]+)$", 1).cast("long")), F.lit(0)).alias("top"))
+    """Ids ``n{max+1}``... for new keys by first sight, however many come at one time."""
+    top = existing.agg(F.coalesce(F.max(F.regexp_extract("id", r"^n([0-9]+)$", 1).try_cast("long")), F.lit(0)).alias("top"))  # one row
     first = new.groupBy("key").agg(F.min(F.struct("ts", "seq")).alias("at"))
-    ranged = first.withColumn("bin", F.date_trunc("day", F.col("at.ts")))
-    sizes = ranged.groupBy("bin").count()
-    offsets = sizes.select("bin", F.coalesce(F.sum("count").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a day
-    rank = F.row_number().over(Window.partitionBy("bin").orderBy("at", "key"))
-    out = ranged.withColumn("rank", rank).join(offsets, "bin").join(F.broadcast(top))
-    return out.select("key", F.concat(F.lit("n"), (F.col("top") + F.col("before") + F.col("rank")).cast("string")).alias("id"))
+    ranked = running(first, [], ["at", "key"], rank="rank").join(F.broadcast(top))
+    return ranked.select("key", F.concat(F.lit("n"), (F.col("top") + F.col("rank")).cast("string")).alias("id"))
 
 
 def accelerators(state: DataFrame) -> DataFrame:
@@ -168,19 +165,12 @@ def drift_summary(drift: DataFrame) -> DataFrame:
 
 
 def place_discovered(found: DataFrame, known: DataFrame) -> DataFrame:
-    """(hostname, address, id, is_new): a known address keeps its node, the others get ``n{known + 1}``... in order of hostname.
-
-    Hostnames are ranked inside their first two letters; a row for each such letter pair carries the offsets.
-    """
-    placed = dedupe_discovered(found, known).withColumn("bin", F.substring("hostname", 1, 2))
-    new = placed.where("slot is null")
-    before = F.coalesce(F.sum("count").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a bin
-    offsets = new.groupBy("bin").count().select("bin", before.alias("before"))
-    top = known.agg(F.count("*").alias("top"))
-    rank = F.row_number().over(Window.partitionBy("bin").orderBy("hostname"))
-    fresh = new.withColumn("rank", rank).join(offsets, "bin").join(F.broadcast(top))  # one row
+    """(hostname, address, id, is_new): a known address keeps its node, the others get ``n{known + 1}``... in order of hostname."""
+    placed = dedupe_discovered(found, known)
+    top = known.agg(F.count("*").alias("top"))  # one row
+    fresh = running(placed.where("slot is null"), [], ["hostname"], rank="rank").join(F.broadcast(top))
     told = lambda n: F.concat(F.lit("n"), n.cast("string")).alias("id")
-    return placed.where("slot is not null").select("hostname", "address", told(F.col("slot")), F.lit(False).alias("is_new")).unionByName(fresh.select("hostname", "address", told(F.col("top") + F.col("before") + F.col("rank")), F.lit(True).alias("is_new")))
+    return placed.where("slot is not null").select("hostname", "address", told(F.col("slot")), F.lit(False).alias("is_new")).unionByName(fresh.select("hostname", "address", told(F.col("top") + F.col("rank")), F.lit(True).alias("is_new")))
 
 
 def appetite_changes(frames: DataFrame, content: list[str] = ["workload", "budget", "latency", "profile"]) -> DataFrame:

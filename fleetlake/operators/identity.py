@@ -8,21 +8,54 @@ from pyspark.sql import functions as F
 from fleetlake.storage import written
 
 
-def resolve_identity(sightings: DataFrame, gap_s: int = 30) -> DataFrame:
-    """(seq, slot): the smallest seq of all sightings linked with one.
+def held_addresses(sightings: DataFrame) -> DataFrame:
+    """(seq, holding): sightings with an address; equal ``holding`` means the same address while one machine held it.
 
-    Sightings link by the same non-empty node_id, by the same non-empty ip, and by
-    hostname if at least ``gap_s`` seconds passed since that hostname's last one.
-    Equal rows are one vertex from the start; smallest labels then spread over the
-    keys, and along labels, until none changes. Only their number of changes
-    reaches the driver.
+    A machine, told by node_id or else by hostname, holds an address from a sighting there
+    until it is seen at another one. The next sighting at the address joins that holding if
+    it came before the holder moved on, unless it has a node_id that was seen before and
+    isn't the holder's: then it is that machine's and holds the address from then on.
     """
+    at = F.struct("ts", "seq")
+    known = F.row_number().over(Window.partitionBy("node_id").orderBy("ts", "seq")) > 1
+    named = sightings.where("node_id <> ''").withColumn("known", known).unionByName(sightings.where("coalesce(node_id, '') = ''").withColumn("known", F.lit(False)))
+    told = F.when(F.col("node_id") != "", F.concat(F.lit("n"), "node_id")).when(F.col("hostname") != "", F.concat(F.lit("h"), "hostname"))
+    r = named.where("ip <> ''").select("seq", "ts", "ip", F.coalesce("node_id", F.lit("")).alias("node_id"), "known", told.alias("machine"))
+    own = Window.partitionBy("machine").orderBy("ts", "seq")
+    following = own.rowsBetween(1, Window.unboundedFollowing)
+    moves = r.where("machine is not null").withColumn("start", F.when(F.col("ip") != F.lag("ip").over(own), at)).withColumn("left", F.min("start").over(following)).drop("start")
+    r = moves.unionByName(r.where("machine is null").withColumn("left", F.lit(None).cast(moves.schema["left"].dataType)))
+    there = Window.partitionBy("ip").orderBy("ts", "seq")
+    gone = F.coalesce(F.lag("left").over(there) <= at, F.lit(False))
+    other = F.col("known") & (F.lag("node_id").over(there) != F.col("node_id"))
+    fresh = r.withColumn("fresh", (gone | F.coalesce(other, F.lit(False))).cast("int"))
+    return fresh.select("seq", F.concat_ws(":", F.sum("fresh").over(there.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("string"), "ip").alias("holding"))
+
+
+def host_runs(sightings: DataFrame, gap_s: int) -> DataFrame:
+    """(seq, run): sightings with a hostname; equal ``run`` means that each came ``gap_s`` seconds or more after the one before."""
     by_host = Window.partitionBy("hostname").orderBy("ts", "seq")
     quiet = F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(by_host)) >= gap_s
-    run = F.sum(F.when(quiet, 0).otherwise(1)).over(by_host)
-    part = lambda letter, c: F.when(F.col(c) != "", F.concat(F.lit(letter), c))
-    host = F.when(F.col("hostname") != "", F.concat(F.lit("h"), F.col("run").cast("string"), F.lit(":"), "hostname"))
-    seen = sightings.withColumn("run", run).select("seq", F.array_compact(F.array(part("n", "node_id"), part("a", "ip"), host)).alias("keys"))
+    r = sightings.where("hostname <> ''").withColumn("fresh", F.when(quiet, 0).otherwise(1))
+    return r.select("seq", F.concat_ws(":", F.sum("fresh").over(by_host.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("string"), "hostname").alias("run"))
+
+
+def resolve_identity(sightings: DataFrame, gap_s: int = 30) -> DataFrame:
+    """(seq, slot): the smallest seq of all sightings linked with one.
+
+    Sightings link by the same non-empty node_id; by the same address while one machine
+    held it (``held_addresses``); and by hostname if at least ``gap_s`` seconds passed since
+    that hostname's last one. Rows without any of them stay alone and meet no other row in
+    a window. Equal rows are one vertex from the start; smallest labels then spread over
+    the keys, and along labels, until none changes. Only their number of changes reaches
+    the driver. ``seq`` tells sightings apart.
+    """
+    links = [sightings.where("node_id <> ''").select("seq", F.concat(F.lit("n"), "node_id").alias("key"))]
+    links.append(held_addresses(sightings).select("seq", F.concat(F.lit("a"), "holding").alias("key")))
+    links.append(host_runs(sightings, gap_s).select("seq", F.concat(F.lit("h"), "run").alias("key")))
+    keyed = links[0].unionByName(links[1]).unionByName(links[2]).groupBy("seq").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    lone = (F.coalesce("node_id", F.lit("")) == "") & (F.coalesce("ip", F.lit("")) == "") & (F.coalesce("hostname", F.lit("")) == "")
+    seen = keyed.unionByName(sightings.where(lone).select("seq", F.array().cast("array<string>").alias("keys")))
     seen = written(seen, "sightings")
     alone = seen.where(F.size("keys") == 0).select("seq", F.col("seq").alias("slot"))
     vertices = seen.where(F.size("keys") > 0).groupBy("keys").agg(F.min("seq").alias("vid"))

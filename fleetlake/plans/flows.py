@@ -121,11 +121,17 @@ def _(spark, d):
 _SIGHTED = """WITH RECURSIVE s AS (SELECT event_id AS seq, ts, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'b' || user_id END AS node_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE user_id // 2 || '.' || event_id % 5 END AS ip, 'h' || user_id // 6 AS hostname FROM events),
 q AS (SELECT *, floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY hostname ORDER BY ts, seq))) >= 43200 AS quiet FROM s),
 h AS (SELECT *, sum(CASE WHEN quiet THEN 0 ELSE 1 END) OVER (PARTITION BY hostname ORDER BY ts, seq) AS run FROM q),
-k AS (SELECT seq, 'n' || node_id AS key FROM h WHERE node_id <> '' UNION SELECT seq, 'a' || ip FROM h WHERE ip <> '' UNION SELECT seq, 'h' || run || ':' || hostname FROM h),
+m AS (SELECT *, CASE WHEN node_id <> '' THEN 'n' || node_id ELSE 'h' || hostname END AS machine, node_id <> '' AND row_number() OVER (PARTITION BY node_id ORDER BY ts, seq) > 1 AS known FROM s),
+st AS (SELECT *, CASE WHEN ip <> lag(ip) OVER (PARTITION BY machine ORDER BY ts, seq) THEN {'t': ts, 's': seq} END AS start FROM m WHERE ip <> ''),
+lf AS (SELECT *, min(start) OVER (PARTITION BY machine ORDER BY ts, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS gone FROM st),
+fr AS (SELECT *, CASE WHEN coalesce(lag(gone) OVER (PARTITION BY ip ORDER BY ts, seq) <= {'t': ts, 's': seq}, false) OR coalesce(known AND lag(node_id) OVER (PARTITION BY ip ORDER BY ts, seq) <> node_id, false) THEN 1 ELSE 0 END AS fresh FROM lf),
+ad AS (SELECT seq, sum(fresh) OVER (PARTITION BY ip ORDER BY ts, seq) || ':' || ip AS holding FROM fr),
+k AS (SELECT seq, 'n' || node_id AS key FROM h WHERE node_id <> '' UNION SELECT seq, 'a' || holding FROM ad UNION SELECT seq, 'h' || run || ':' || hostname FROM h),
 e AS (SELECT DISTINCT x.key AS a, y.key AS b FROM k x JOIN k y USING (seq) WHERE x.key <> y.key),
-reach(a, b) AS (SELECT DISTINCT key, key FROM k WHERE key LIKE 'n%' UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
-slot AS (SELECT b AS key, min(f) AS slot FROM reach JOIN (SELECT a, min(seq) AS f FROM reach JOIN k ON k.key = b GROUP BY a) USING (a) GROUP BY b)
-SELECT seq, min(coalesce(slot, seq)) AS slot FROM k LEFT JOIN slot USING (key) GROUP BY seq"""
+slot(key, slot) USING KEY (key) AS (
+  SELECT key, min(seq) FROM k GROUP BY key
+  UNION SELECT e.b, min(x.slot) FROM slot x JOIN e ON e.a = x.key JOIN recurring.slot y ON y.key = e.b WHERE x.slot < y.slot GROUP BY e.b)
+SELECT seq, min(slot) AS slot FROM k JOIN slot USING (key) GROUP BY seq"""
 
 
 @query("r1_resolve_identity", _SIGHTED)

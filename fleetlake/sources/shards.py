@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlake.operators.scans import running
+
 # The header is magic, version, node (two bytes each), tensors and length of the table, all little-endian.
 MAGIC, VERSION, HEADER = 0x4F55524F, 1, 16
 
@@ -23,9 +25,9 @@ def le_number(data, at: int, n: int):
 
 
 def layout_shards(items: DataFrame) -> DataFrame:
-    """Adds ``start``, where the bytes of an item begin in its group's file (items in order)."""
-    before = Window.partitionBy("grp").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
-    return items.withColumn("start", F.coalesce(F.sum("bytes").over(before), F.lit(0)).cast("long"))
+    """Adds ``start``, where the bytes of an item begin in its group's file (items in order); a group of any size spreads over many tasks."""
+    r = running(items, ["grp"], ["item"], sums={"start": "bytes"})
+    return r.withColumn("start", (F.col("start") - F.coalesce("bytes", F.lit(0))).cast("long"))
 
 
 def shard_heads(layout: DataFrame, node: int = 1) -> DataFrame:

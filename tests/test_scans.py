@@ -48,3 +48,20 @@ def test_one_key_spreads_over_many_tasks(spark):
     assert stored.groupBy("__part").count().where("count < 2000").count() == 4
     plan = out._jdf.queryExecution().toString()
     assert "BroadcastExchange" in plan and "SinglePartition" not in plan
+
+
+def test_one_pool_day_or_prefix_may_hold_all_rows(spark):
+    from fleetlake.operators import fleet
+
+    n = 3000
+    rows = spark.range(0, n, 1, 3)
+    reports = rows.select(F.lit(1).alias("pool"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"))
+    controls = rows.where("id % 500 = 7").select(F.lit(1).alias("pool"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"), F.when(F.col("id") != 507, F.col("id")).alias("budget"))
+    got = {r.seq: r.budget for r in fleet.controls_as_of(reports, controls).collect()}
+    assert got == {i: None if i < 7 or 507 <= i < 1007 else (i - 7) // 500 * 500 + 7 for i in range(n)}
+    known = spark.createDataFrame([("k", "n41"), ("l", "x9")], "key string, id string")
+    new = rows.select(F.format_string("%06d", F.col("id") * 7919 % n).alias("key"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"))
+    assert {(r.key, r.id) for r in fleet.allocate_ids(new, known).collect()} == {(f"{i * 7919 % n:06d}", f"n{42 + i}") for i in range(n)}
+    found = rows.select(F.format_string("host-%05d", "id").alias("hostname"), F.format_string("a%d", "id").alias("address"))
+    placed = {r.hostname: r.id for r in fleet.place_discovered(found, spark.createDataFrame([("a5", 77)], "address string, node long")).collect()}
+    assert placed["host-00005"] == "n77" and placed["host-00000"] == "n2" and placed["host-02999"] == f"n{n}"
