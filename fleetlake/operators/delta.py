@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from fleetlake.storage import written
 
 
 def epoch(df: DataFrame, col: str = "data") -> DataFrame:
@@ -101,6 +104,81 @@ def rebuild(local: DataFrame, overlays: DataFrame, expected: DataFrame) -> DataF
     return made.select("id", F.when(good, "published").otherwise("epoch mismatch").alias("status"), F.when(good, F.col("expected")).alias("epoch"), F.when(good, F.col("data")).alias("data"))
 
 
+def _laid(batches, key_type):
+    """Pieces in order with overlays over them, and at the end of each file a row with its digest. Keeps one piece at a time."""
+    import hashlib
+
+    import pyarrow as pa
+
+    key, sha, at, rest, covered = None, None, 0, None, 0
+    out: list[tuple] = []
+
+    def emit(b: bytes) -> None:
+        nonlocal at
+        if b:
+            sha.update(b)
+            out.append((key, at, b, None))
+            at += len(b)
+
+    def up_to(end: int) -> None:
+        """What is left of the last local piece, then zeros."""
+        nonlocal rest
+        if rest:
+            start, b = rest
+            emit(b[at - start : max(at, end) - start])
+            rest = rest if at < start + len(b) else None
+        while at < end:
+            emit(bytes(min(end - at, 1 << 20)))
+
+    def close() -> None:
+        up_to(rest[0] + len(rest[1]) if rest else 0)
+        out.append((key, None, None, sha.hexdigest()))
+
+    def batch():
+        columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((key_type, pa.int64(), pa.binary(), pa.string()))]
+        out.clear()
+        return pa.record_batch(columns, names=["id", "start", "bytes", "epoch"])
+
+    for b in batches:
+        for k, start, over, piece in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if sha is None or k != key:
+                if sha is not None:
+                    close()
+                key, sha, at, rest, covered = k, hashlib.sha256(), 0, None, 0
+            piece = piece or b""
+            if over and start < covered:
+                raise ValueError(f"overlays of {k} overlap at {start}")
+            if start >= at:
+                up_to(start)
+            if over:
+                emit(piece)
+                covered = start + len(piece)
+            elif start + len(piece) > at:
+                rest = (start, piece)
+        yield batch()
+    if sha is not None:
+        close()
+        yield batch()
+
+
+def rebuild_pieces(local: DataFrame, overlays: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, status, epoch), published pieces (id, start, bytes)) of files in pieces (id, start, bytes) with overlays laid over them.
+
+    A file's pieces pass in order through one task, which carries the digest and keeps
+    one piece; no row ever holds a file. Gaps are zeros. Local pieces don't overlap, nor
+    do overlays. Pieces of a file are published only if its epoch is the ``expected`` (id, expected) one.
+    """
+    kind = local.schema["id"].dataType
+    rows = local.select("id", "start", F.lit(False).alias("over"), "bytes").unionByName(overlays.select("id", "start", F.lit(True).alias("over"), "bytes"))
+    dealt = rows.repartition("id").sortWithinPartitions("id", "start", "over")
+    key_type = to_arrow_type(kind)
+    laid = written(dealt.mapInArrow(lambda it: _laid(it, key_type), f"id {kind.simpleString()}, start long, bytes binary, epoch string"), "pieces")
+    told = laid.where("epoch is not null").select("id", "epoch").join(expected, "id")
+    good = F.col("epoch") == F.col("expected")
+    status = told.select("id", F.when(good, "published").otherwise("epoch mismatch").alias("status"), F.when(good, F.col("epoch")).alias("epoch"))
+    return status, laid.where("epoch is null").join(status.where("status = 'published'").select("id"), "id", "left_semi").select("id", "start", "bytes")
+
+
 def plan_sync(local: DataFrame, remote: DataFrame, size: int = 65536) -> DataFrame:
     """(id, idx, start, length, status): chunks that differ if both are equally long, else the ranges of ``plan_pull``."""
     n = lambda df, c: df.select("id", F.octet_length("data").cast("long").alias(c))

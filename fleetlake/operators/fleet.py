@@ -81,9 +81,12 @@ def fleet_census(state: DataFrame, budget: int) -> DataFrame:
     return g.select("site", "total", "online", "power", (F.col("total") - F.col("active")).alias("idle"), (100 - (F.col("power") * 100 / budget).cast("long")).alias("headroom_pct"))
 
 
-def overlay_live(live: DataFrame, static: DataFrame) -> DataFrame:
-    """Live rows and the static rows of nodes that aren't live."""
-    return live.unionByName(static.join(live, "node", "left_anti"))
+def overlay_live(live: DataFrame, static: DataFrame, *others: DataFrame) -> DataFrame:
+    """Live rows, then of nodes that aren't live the rows of ``static``, then of each further source for nodes that no source before it has."""
+    out = live
+    for source in (static, *others):
+        out = out.unionByName(source.join(out.select("node"), "node", "left_anti"))
+    return out
 
 
 def node_properties(state: DataFrame, overrides: DataFrame) -> DataFrame:

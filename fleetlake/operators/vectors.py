@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlake.functions.encodings import decode_vectors
+from fleetlake.storage import written
 
 
 def _sum(array, f=lambda v: v):
@@ -38,15 +40,107 @@ def softmax(df: DataFrame, key: str, value: str) -> DataFrame:
     return e.withColumn("p", F.col("e") / F.sum("e").over(w)).drop("e")
 
 
-def score(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """(q, id, y): products of a block of queries with every item; lengths must be equal.
+#: Values of a block of queries that is sent to all tasks (32 MB of doubles); one query at least.
+BLOCK_VALUES = 4 << 20
 
-    Spark sends the block to all tasks only if it is below its broadcast
-    threshold; a larger one meets the items partition by partition.
+
+def _blocks(queries: DataFrame, most_values: int):
+    """(ids, matrix) for each block of queries, of about so many values."""
+    q = queries.select(F.col("id").cast("long").alias("id"), "x")
+    total = q.agg(F.sum(F.size("x"))).first()[0] or 0
+    n = max(1, -(-total // most_values))
+    for block in range(n):
+        rows = q.where(F.pmod(F.xxhash64("id"), F.lit(n)) == block).toPandas()
+        if len(rows):
+            if len({len(x) for x in rows["x"]}) > 1:
+                raise ValueError("vectors of different length")
+            yield rows["id"].to_numpy(np.int64), np.array(rows["x"].tolist(), np.float64)
+
+
+def _matrix(column, width: int) -> np.ndarray:
+    """The arrays of an Arrow column as rows."""
+    sizes = np.diff(column.offsets.to_numpy())
+    if column.null_count or (sizes != width).any():
+        raise ValueError("vectors of different length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
+
+
+def _score_batches(batches, block):
+    import pyarrow as pa
+
+    ids, q = block.value
+    rows = max(1, (1 << 18) // len(ids))
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            b = whole.slice(at, rows)
+            y = _matrix(b.column(1), q.shape[1]) @ q.T
+            yield pa.record_batch([pa.array(np.tile(ids, b.num_rows)), pa.array(np.repeat(b.column(0).to_numpy(), len(ids))), pa.array(y.ravel())], names=["q", "id", "y"])
+
+
+def score(queries: DataFrame, items: DataFrame, most_values: int = BLOCK_VALUES) -> DataFrame:
+    """(q, id, y): products of every query with every item; lengths must be equal.
+
+    Queries go out in blocks of bounded size; each block reads the items once and
+    multiplies them batch by batch as matrices.
+    """
+    spark, out = items.sparkSession, None
+    rows = items.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
+    for block in _blocks(queries, most_values):
+        shared = spark.sparkContext.broadcast(block)
+        y = rows.mapInArrow(lambda it, s=shared: _score_batches(it, s), "q long, id long, y double")
+        out = y if out is None else out.unionByName(y)
+    return spark.createDataFrame([], "q long, id long, y double") if out is None else out
+
+
+def _keep(k: int, y: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places of the k best: NaN last, larger first, then smaller ids."""
+    if len(y) > 4 * k:
+        rank = np.where(np.isnan(y), -np.inf, y)
+        bar = np.partition(rank, len(y) - k)[len(y) - k]
+        near = np.flatnonzero(rank >= bar)
+    else:
+        near = np.arange(len(y))
+    real = ~np.isnan(y[near])
+    return near[np.lexsort((ids[near], -np.where(real, y[near], 0), ~real))[:k]]
+
+
+def _top_batches(batches, block, k: int, others: bool):
+    import pyarrow as pa
+
+    ids, q = block.value
+    best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+    rows = max(1, (1 << 22) // len(ids))
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            b = whole.slice(at, rows)
+            own = b.column(0).to_numpy()
+            y = q @ _matrix(b.column(1), q.shape[1]).T
+            for i, (had, known) in enumerate(best):
+                apt = own != ids[i] if others else slice(None)
+                score, name = np.concatenate([had, y[i][apt]]), np.concatenate([known, own[apt]])
+                top = _keep(k, score, name)
+                best[i] = score[top], name[top]
+    n = [len(y) for y, _ in best]
+    yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([y for y, _ in best]))], names=["q", "id", "y"])
+
+
+def best_items(queries: DataFrame, items: DataFrame, k: int = 1, others: bool = False, most_values: int = BLOCK_VALUES) -> DataFrame:
+    """(q, rank, id, y): the k best items of each query; NaN comes last (as null), of ties the first id. ``others`` leaves out the query's own id.
+
+    Each task keeps its k best of each query while it multiplies batch by batch, so no
+    table of all products exists. What tasks found is merged in 64 parts of a query, then whole.
     """
-    q = queries.select(F.col("id").alias("q"), F.col("x").alias("qx"))
-    y = F.when(F.size("x") == F.size("qx"), dot("x", "qx")).otherwise(F.raise_error(F.lit("vectors of different length")).cast("double"))
-    return items.select("id", "x").crossJoin(q).select("q", "id", y.alias("y"))
+    spark, out = items.sparkSession, None
+    rows = items.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
+    order = [F.isnan("y"), F.when(~F.isnan("y"), F.col("y")).desc(), F.col("id")]
+    for block in _blocks(queries, most_values):
+        shared = spark.sparkContext.broadcast(block)
+        found = rows.mapInArrow(lambda it, s=shared: _top_batches(it, s, k, others), "q long, id long, y double").withColumn("part", F.spark_partition_id() % 64)
+        some = found.withColumn("rank", F.row_number().over(Window.partitionBy("q", "part").orderBy(*order))).where(F.col("rank") <= k)
+        top = some.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k)
+        top = top.select("q", "rank", "id", F.when(~F.isnan("y"), F.col("y")).alias("y"))
+        out = top if out is None else out.unionByName(top)
+    return spark.createDataFrame([], "q long, rank int, id long, y double") if out is None else out
 
 
 def score_encoded(queries: DataFrame, store: DataFrame) -> DataFrame:
@@ -60,6 +154,12 @@ def best_item(scores: DataFrame) -> DataFrame:
     return scores.groupBy("q").agg(F.max(F.struct((~F.isnan("y")).cast("int").alias("real"), F.when(~F.isnan("y"), F.col("y")).alias("y"), (-F.col("id")).alias("i"))).alias("b")).select("q", (-F.col("b.i")).alias("id"), F.col("b.y").alias("y"))
 
 
+def softmax_arrays(df: DataFrame) -> DataFrame:
+    """Adds ``p``, the softmax over each row's array ``x``; an empty array gives an empty one."""
+    shifted = F.transform("x", lambda v: F.exp(v - F.array_max("x")))
+    return df.withColumn("p", shifted).withColumn("p", F.transform("p", lambda e: e / _sum("p")))
+
+
 def lookup_rows(ids: DataFrame, table: DataFrame) -> DataFrame:
     return ids.join(table.select("id", "x", F.lit(True).alias("hit")), "id", "left").select("id", "x", F.when(F.col("hit"), "ok").otherwise("out of vocabulary").alias("status"))
 
@@ -166,6 +266,27 @@ def fingerprint_match(announced: DataFrame, local: DataFrame) -> DataFrame:
     return announced.join(have, "id", "left").select("id", F.col("fingerprint").eqNullSafe(F.col("own")).alias("hit"), F.when(F.col("fingerprint").eqNullSafe(F.col("own")), F.col("n") * 4).otherwise(0).alias("saved"))
 
 
+def match_stream(announced: DataFrame, local: DataFrame) -> DataFrame:
+    """(id, hit, saved): ``fingerprint_match``, kept in the shared folder so that payloads can be read after it."""
+    return written(fingerprint_match(announced, local), "verdicts")
+
+
+def exact_stream(verdicts: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(id, x, hit): the announced stream, bit by bit: hits from ``local``, the others' payload from ``remote``.
+
+    Verdicts are there before any payload is asked for: the remote table's vectors are
+    joined to misses only.
+    """
+    mine = verdicts.where("hit").select("id").join(local.select("id", "x"), "id").select("id", "x", F.lit(True).alias("hit"))
+    misses = verdicts.where("not hit").select("id")
+    return mine.unionByName(remote.select("id", "x").join(misses, "id", "left_semi").select("id", "x", F.lit(False).alias("hit")))
+
+
+def match_totals(verdicts: DataFrame) -> DataFrame:
+    """(hits, misses, saved): one row."""
+    return verdicts.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.coalesce(F.sum("saved"), F.lit(0)).cast("long").alias("saved"))
+
+
 def rotate_positions(df: DataFrame, rot: int, base: float = 10000.0) -> DataFrame:
     """Turns the pairs (i, i + rot/2) of ``x`` by ``pos * base ** (-2i/rot)``; the rest and position 0 stay."""
     half = rot // 2

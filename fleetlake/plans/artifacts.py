@@ -128,7 +128,36 @@ def _(spark, d):
 @query("v5_best_item", _SCORES + " SELECT q, id, round(y, 6) AS y FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY y DESC, id) AS k FROM s WHERE q <> id) WHERE k = 1")
 def _(spark, d):
     x = v.vectors(spark, d)
-    return vectors.best_item(vectors.score(x.where("id % 100 = 0"), x).where("q <> id")).withColumn("y", F.round("y", 6))
+    return vectors.best_items(x.where("id % 100 = 0"), x, 1, others=True).select("q", "id", F.round("y", 6).alias("y"))
+
+
+@query("v5_top_items", _SCORES + " SELECT * FROM (SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY y DESC, id) AS INTEGER) AS rank, id, round(y, 6) AS y FROM s WHERE q <> id) WHERE rank <= 7")
+def _(spark, d):
+    x = v.vectors(spark, d)
+    return vectors.best_items(x.where("id % 100 = 0"), x, 7, others=True).withColumn("y", F.round("y", 6))
+
+
+@query("v2_softmax_arrays", _E + " SELECT id, d, round(exp(v) / sum(exp(v)) OVER (PARTITION BY id), 6) AS v FROM e")
+def _(spark, d):
+    return _cells(vectors.softmax_arrays(v.vectors(spark, d)).select("id", F.col("p").alias("x")))
+
+
+@query("v16_exact_stream", """SELECT vec_id AS id, vec_id % 4 <> 0 AS hit, CAST(list_sum(list_transform(embedding, lambda c, i:
+  i * CAST(floor((CAST(c AS DOUBLE) + CASE WHEN vec_id % 4 = 0 AND i = 6 THEN 1.0::DOUBLE ELSE 0 END) * 10000) AS BIGINT))) AS BIGINT) AS check_sum FROM embeddings""")
+def _(spark, d):
+    """The stream of announced vectors, a quarter of which differ from the local ones."""
+    mine = v.vectors(spark, d).select("id", "x")
+    theirs = mine.select("id", F.transform("x", lambda c, i: c + F.when((F.col("id") % 4 == 0) & (i == 5), 1.0).otherwise(0.0)).alias("x"))
+    verdicts = vectors.match_stream(theirs.select("id", vectors.fingerprint(F.col("x")).alias("fingerprint")), mine)
+    total = F.aggregate(F.transform("x", lambda c, i: F.floor(c * 10000) * (i + 1)), F.lit(0).cast("long"), lambda t, c: t + c)
+    return vectors.exact_stream(verdicts, mine, theirs).select("id", "hit", total.alias("check_sum"))
+
+
+@query("v16_match_totals", "SELECT count(*) FILTER (vec_id % 4 <> 0) AS hits, count(*) FILTER (vec_id % 4 = 0) AS misses, CAST(sum(CASE WHEN vec_id % 4 <> 0 THEN 4 * len(embedding) ELSE 0 END) AS BIGINT) AS saved FROM embeddings")
+def _(spark, d):
+    mine = v.vectors(spark, d)
+    theirs = mine.select("id", F.transform("x", lambda c, i: c + F.when((F.col("id") % 4 == 0) & (i == 5), 1.0).otherwise(0.0)).alias("x"))
+    return vectors.match_totals(vectors.match_stream(theirs.select("id", vectors.fingerprint(F.col("x")).alias("fingerprint")), mine))
 
 
 @query("v6_lookup_rows", "SELECT l_partkey AS id, l_orderkey, l_linenumber, CASE WHEN vec_id IS NULL THEN 'out of vocabulary' ELSE 'ok' END AS status, round(CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM lineitem LEFT JOIN embeddings ON vec_id = l_partkey")

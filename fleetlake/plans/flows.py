@@ -177,6 +177,19 @@ def _(spark, d):
     return delta.rebuild(local, pulled, remote.select("id", F.sha2("data", 256).alias("expected"))).drop("data")
 
 
+@query("d6_rebuild_pieces", f"WITH {a._BOTH} SELECT id, CASE WHEN l = r OR id % 19 <> 0 THEN 'published' ELSE 'epoch mismatch' END AS status, CASE WHEN l = r OR id % 19 <> 0 THEN sha256(unhex(r)) END AS epoch, CASE WHEN l = r OR id % 19 <> 0 THEN CAST(length(r) // 2 AS BIGINT) ELSE 0 END AS bytes FROM l")
+def _(spark, d):
+    """The same files in pieces, which pass through ordered tasks; the bytes that were published are counted."""
+    local, remote = a._local(spark, d), a._remote(spark, d)
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.octet_length("data").cast("long") - 1, F.lit(0)), F.lit(1000).cast("long"))
+    pieces = local.select("id", "data", F.explode(starts).alias("start")).select("id", "start", F.expr("substring(data, cast(start + 1 as int), 1000)").alias("bytes"))
+    plan = delta.plan_sync(local, remote, a.SIZE).where("status = 'ok' and id % 19 <> 0")
+    pulled = plan.join(remote, "id").select("id", "start", F.expr("substring(data, cast(start + 1 as int), cast(length as int))").alias("bytes"))
+    status, published = delta.rebuild_pieces(pieces, pulled, remote.select("id", F.sha2("data", 256).alias("expected")))
+    size = published.groupBy("id").agg(F.sum(F.octet_length("bytes")).alias("bytes"))
+    return status.join(size, "id", "left").select("id", "status", "epoch", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
 @query("v3_rotate_positions", a._E + """, t AS (SELECT e.*, id % 50 * pow(10000.0, -2.0 * (d % 16) / 32) AS an FROM e)
 SELECT t.id, t.d, round(CASE WHEN t.d < 16 THEN t.v * cos(t.an) - o.v * sin(t.an) WHEN t.d < 32 THEN o.v * sin(t.an) + t.v * cos(t.an) ELSE t.v END, 6) + 0.0 AS v
 FROM t LEFT JOIN e o ON o.id = t.id AND o.d = CASE WHEN t.d < 16 THEN t.d + 16 WHEN t.d < 32 THEN t.d - 16 END""")

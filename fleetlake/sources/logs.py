@@ -57,11 +57,48 @@ def audit_sequence(frames: DataFrame) -> DataFrame:
     return r.groupBy("stream").agg(first.alias("first_bad"), F.count("*").alias("n")).select("stream", "first_bad", F.coalesce(F.col("first_bad") - 1, F.col("n")).cast("long").alias("high_water"))
 
 
-def match_devices(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Each name of ``a`` with the first of ``b`` that equals, contains or is contained in it; ``b`` is a short list."""
-    hit = F.col("name").contains(F.col("other")) | F.col("other").contains(F.col("name"))
-    pairs = a.join(F.broadcast(b.select(F.col("name").alias("other"), "ord")), hit, "left")
-    return pairs.groupBy("name").agg(F.min(F.struct("ord", "other")).alias("m")).select("name", F.col("m.other").alias("device"))
+def _grams(name: str, q: int):
+    """The different runs of ``q`` characters."""
+    n = F.char_length(name)
+    return F.array_distinct(F.transform(F.when(n >= q, F.sequence(F.lit(1), n - q + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(F.col(name), i, F.lit(q))))
+
+
+def containing(short: DataFrame, long: DataFrame, q: int = 3) -> DataFrame:
+    """(s, l): names ``s`` of ``short`` that stand in names ``l`` of ``long``, both not empty and each once.
+
+    A short name is looked up by its rarest run of ``q`` characters, a name shorter than
+    that by all of itself; the other side has a row for each of its runs that some name is
+    looked up by. Containment is then checked in full.
+    """
+    s, t = short.where("s <> ''").distinct(), long.where("l <> ''").distinct()
+    runs = t.select("l", F.explode(_grams("l", q)).alias("g"))
+    often = runs.groupBy("g").count()
+    asked = s.where(F.char_length("s") >= q).select("s", F.explode(_grams("s", q)).alias("g")).join(often, "g", "left")
+    # A run that no long name has, comes first and finds nothing.
+    rarest = asked.groupBy("s").agg(F.min_by("g", F.struct(F.coalesce("count", F.lit(0)), "g")).alias("g"))
+    found = rarest.join(runs, "g").where(F.col("l").contains(F.col("s"))).select("s", "l")
+    for n in range(1, q):
+        whole = s.where(F.char_length("s") == n)
+        found = found.unionByName(whole.join(t.select("l", F.explode(_grams("l", n)).alias("s")), "s").select("s", "l"))
+    return found
+
+
+def match_devices(a: DataFrame, b: DataFrame, q: int = 3) -> DataFrame:
+    """(name, device): each name of ``a`` with the first of ``b``, by ``ord``, that equals, contains or is contained in it.
+
+    Either side may be large. Null names match nothing; an empty one is contained in every name.
+    """
+    names = a.select("name").distinct()
+    listed = b.where("name is not null").groupBy(F.col("name").alias("other")).agg(F.min("ord").alias("ord"))
+    theirs = listed.select(F.col("other").alias("s"))
+    inside = containing(theirs, names.select(F.col("name").alias("l")), q).select(F.col("l").alias("name"), F.col("s").alias("other"))
+    around = containing(names.select(F.col("name").alias("s")), theirs.select(F.col("s").alias("l")), q).select(F.col("s").alias("name"), F.col("l").alias("other"))
+    best = F.min(F.struct("ord", "other")).alias("m")
+    pairs = inside.unionByName(around).distinct().join(listed, "other").groupBy("name").agg(best)
+    blank, any_ = listed.where("other = ''").agg(best).select(F.col("m").alias("blank")), listed.agg(best).select(F.col("m").alias("first"))  # a row each
+    r = names.join(pairs, "name", "left").join(F.broadcast(blank)).join(F.broadcast(any_))
+    m = F.when(F.col("name") == "", F.col("first")).when(F.col("name").isNotNull(), F.when(F.col("m").isNull() | (F.col("blank") < F.col("m")), F.coalesce("blank", "m")).otherwise(F.col("m")))
+    return r.select("name", m["other"].alias("device"))
 
 
 def audit_frames(frames: DataFrame) -> DataFrame:
