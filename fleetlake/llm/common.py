@@ -77,6 +77,30 @@ def pieces(batches, most_bytes: int = 4 << 20):
         pa.default_memory_pool().release_unused()
 
 
+def quoted(name: str):
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(columns: list[str]):
+    """The columns in one struct, by place, so that their names meet no others."""
+    return F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def unpacked(columns: list[str], struct: str, **instead) -> list:
+    """The columns of ``packed`` under their names again, or what stands ``instead``."""
+    return [instead.get(c, F.col(struct)[f"c{i}"]).alias(c) for i, c in enumerate(columns)]
+
+
+#: Ids that stand for missing ones begin here.
+NO_ID = 1 << 62
+
+
+def id_or_text(id_col: str, text_col: str):
+    """The id; for rows without one a number from their text's hash, so that equal texts are one document."""
+    return F.coalesce(quoted(id_col).cast("long"), F.lit(NO_ID) + F.xxhash64(quoted(text_col)).bitwiseAND(NO_ID - 1))
+
+
 def lower_ascii(col):
     """A-Z to a-z, all other characters as they are."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlake.llm.common import materialize, mix, pieces, shingle_hashes, texts_of, word_hashes
+from fleetlake.llm.common import materialize, mix, packed, pieces, quoted, shingle_hashes, texts_of, unpacked, word_hashes
 from fleetlake.llm.decontaminate import PLAIN, Members
 
 KINDS = ("email", "ip", "card", "phone")
@@ -263,11 +263,17 @@ def _mask(batches):
 
 
 def mask_pii(docs: DataFrame, params: PiiParams = PiiParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of ``find_pii`` in the text replaced by its kind in brackets; overlapping ones by the first."""
+    """``docs`` with every span of ``find_pii`` in the text replaced by its kind in brackets; overlapping ones by the first.
+
+    Null texts stay null. Repeated rows are masked each, rows without an id by their text.
+    All other columns come as they are, whatever their names. An empty table gives an
+    empty result; texts of any length are masked whole.
+    """
     _, _, added = _discover(docs, params, id_col, text_col)
-    others = [c for c in docs.columns if c != text_col]
-    key = F.coalesce(F.xxhash64(text_col), F.lit(0))
-    joined = docs.withColumns({"__id": F.col(id_col).cast("long"), "__th": key}).join(added, F.col("__id").eqNullSafe(F.col("aid")) & (F.col("__th") == F.col("ath")), "left")
-    picked = joined.select(F.col(text_col).alias("text"), "added", F.struct(*[F.col(c) for c in others]).alias("__rest"))
-    schema = f"text string, __rest {picked.schema['__rest'].dataType.simpleString()}"
-    return picked.mapInArrow(_mask, schema).select(*[F.col("text").alias(c) if c == text_col else F.col(f"__rest.`{c}`").alias(c) for c in docs.columns])
+    text = quoted(text_col)
+    rows = docs.select(text.alias("text"), quoted(id_col).cast("long").alias("did"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("dth"), packed([c for c in docs.columns if c != text_col]).alias("rest"))
+    joined = rows.join(added, F.col("did").eqNullSafe(F.col("aid")) & (F.col("dth") == F.col("ath")), "left").select("text", "added", "rest")
+    masked = joined.mapInArrow(_mask, f"text string, rest {joined.schema['rest'].dataType.simpleString()}")
+    others = unpacked([c for c in docs.columns if c != text_col], "rest")
+    others.insert(docs.columns.index(text_col), F.col("text").alias(text_col))
+    return masked.select(*others)

@@ -66,9 +66,9 @@ def test_every_stage_takes_edge_rows_and_empty_tables(spark):
         assert none.count() == 0 and none.columns == out[name].columns
         if name != "packing":
             assert out[name].columns == docs.columns and out[name].dtypes == docs.dtypes
-    assert ids(out["language_id"]) == [4, 4, 4, 6, 6, 7, 8]
+    assert ids(out["language_id"]) == [0, 4, 4, 4, 6, 6, 7, 8]
     assert {r.lang for r in out["language_id"].collect()} == {"en"} and {r.row for r in out["language_id"].collect()} == {"x"}
-    assert ids(out["ngram_jaccard"]) == [1, 2, 3, 4, 6, 6, 8, 9]
+    assert ids(out["ngram_jaccard"]) == [0, 1, 2, 3, 4, 6, 6, 8, 9]
     assert ids(out["decontamination"]) == sorted(i or 0 for i, *_ in rows)
     masked = {r.doc_id: r for r in out["pii"].collect() if r.doc_id not in (4, 6)}
     assert masked[1].text is None and masked[8].text.endswith(" mail [EMAIL]") and masked[8].n_chars == len(masked[8].text) and out["pii"].count() == len(rows)
@@ -109,3 +109,25 @@ def test_copies_stage_links_five_words_from_four_fifths_on(spark):
     kept = sorted(r.doc_id for r in corpus_pipeline.copies_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "", corpus_pipeline.NEAR).collect())
     assert kept == sorted(i for i, _, c in jaccard_reference(rows, 5, 80) if i == c)
     assert 900 in kept and 901 not in kept and 901 in {i for i, _, c in jaccard_reference(rows) if i == c}
+
+
+def test_stages_hand_on_columns_of_any_name_and_know_rows_without_an_id(spark):
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "house", "river", "stone", "cloud"], n)) + " end"
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first().text
+    plain, copied = text(60), text(70)
+    rows = [(1, plain), (None, plain), (None, copied), (None, copied), (None, f"{text(30)} {item} {text(30)}"), (5, f"{text(20)} {item}"), (7, f"{text(40)} mail a.b@c.de"), (None, f"{text(40)} mail d.e@f.org"), (None, None), (8, None)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "__text", "aid", "ath", "added", "rest", "__rest", "a.b", "row", "th", "c0", "did", "back`tick"]
+    kinds = ["long", "string", "string", "string", "int"] + ["string"] * 12
+    extra = [f"{c}!" for c in names[5:]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 5, *extra) for i, t in rows], ", ".join("`" + n.replace("`", "``") + "` " + k for n, k in zip(names, kinds, strict=True)))
+    kept = {"language_id": rows[:8], "ngram_jaccard": [r for k, r in enumerate(rows) if k not in (1, 3)], "decontamination": [r for r in rows if not r[1] or item not in r[1]], "pii": [(i, t and t.replace("a.b@c.de", "[EMAIL]").replace("d.e@f.org", "[EMAIL]")) for i, t in rows]}
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = [tuple(r) for r in out.collect()]
+        assert sorted([r[:2] for r in got], key=key) == sorted(kept[name], key=key), name
+        assert all(list(r[5:]) == extra and r[3] == "s" for r in got)
+        assert name != "pii" or all(r[4] == (r[1] and len(r[1])) for r in got)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()} == {r[0] for r in rows}
