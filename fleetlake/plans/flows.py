@@ -282,16 +282,27 @@ def _(spark, d):
   CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE -(s_suppkey % 90) END AS signal_dbm, CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey % 40 * 8 + 4 ELSE s_suppkey % 40 END AS bw_mbps,
   CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'GPU X' || s_suppkey % 3 END AS model, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 12288 END AS vram, s_suppkey % 3 = 0 AS has_avx2 FROM supplier""")
 def _(spark, d):
+    """The first columns of what probes print."""
+    return _probes(spark, d).select("node", "latency_us", "jitter_us", "signal_dbm", "bw_mbps", "model", "vram", "has_avx2")
+
+
+def _probes(spark, d):
     k = F.col("s_suppkey")
     text = lambda c: c.cast("string")
     log = F.concat_ws(
         "\n", F.concat(F.lit("rtt min/avg/max/mdev = 0.1/"), text(k % 50), F.when(k % 6 == 0, ".5/9.9 ms").otherwise(".5/9.9/0.25 ms")), F.when(k % 4 != 0, F.concat(F.lit("signal: -"), text(k % 90), F.lit(" dBm"))),
         F.concat(F.lit("tx bitrate: "), text(k % 40), F.when(k % 2 == 1, ".5 MB/s").otherwise(".5 MBit/s")), F.concat(F.lit("GPU X"), text(k % 3), F.when(k % 5 == 0, ", N/A").otherwise(", 12288"), F.lit(", 535.1, 8.6")),
-        F.when(k % 3 == 0, "flags: avx avx2").otherwise("flags: avx avx2x"),
+        F.when(k % 3 == 0, "flags: avx avx2").when(k % 3 == 1, "flags: avx2x sse4_2").otherwise("flags: avx avx2x"),
     )
     return shards.parse_probe_logs(v.table(spark, d, "supplier").select(k.alias("node"), log.alias("text")))
 
 
+@query("s8_probe_hardware", """SELECT s_suppkey AS node, CASE WHEN s_suppkey % 5 <> 0 THEN 'GPU X' || s_suppkey % 3 END AS model, CASE WHEN s_suppkey % 5 <> 0 THEN '535.1' END AS driver, CASE WHEN s_suppkey % 5 <> 0 THEN '8.6' END AS compute_cap,
+  s_suppkey % 3 <> 1 AS has_avx, s_suppkey % 3 = 0 AS has_avx2, s_suppkey % 3 = 1 AS has_sse42 FROM supplier""")
+def _(spark, d):
+    return _probes(spark, d).select("node", "model", "driver", "compute_cap", "has_avx", "has_avx2", "has_sse42")
+
+
 @query("s6_announcements", """SELECT vec_id AS id, CASE WHEN vec_id % 5 < 2 THEN NULL ELSE label END AS token_pos, CASE WHEN vec_id % 5 < 2 THEN NULL ELSE left(md5(CAST(vec_id AS VARCHAR)), 16) END AS hash,
   CASE vec_id % 5 WHEN 0 THEN 'truncated' WHEN 1 THEN 'short' ELSE 'ok' END AS reason FROM embeddings""")
 def _(spark, d):

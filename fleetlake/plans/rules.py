@@ -130,6 +130,13 @@ def _(spark, d):
     return planning.missing_shards(s, v.table(spark, d, "lineitem").where("l_linenumber = 7 and l_quantity > 40").select(F.col("l_suppkey").alias("shard")))
 
 
+@query("p16_absent_shards", "SELECT s_nationkey AS plan, s_suppkey AS stage, s_suppkey AS shard FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_quantity >= 50)")
+def _(spark, d):
+    """Few shards are there, so most stages miss theirs."""
+    s = v.table(spark, d, "supplier").select(F.col("s_nationkey").alias("plan"), F.col("s_suppkey").alias("stage"), F.col("s_suppkey").alias("shard"))
+    return planning.missing_shards(s, v.table(spark, d, "lineitem").where("l_linenumber = 7 and l_quantity >= 50").select(F.col("l_suppkey").alias("shard")))
+
+
 @query("p16_compatible_plans", "WITH a AS (SELECT s_nationkey AS plan, count(*) AS n FROM supplier GROUP BY 1), b AS (SELECT s_nationkey AS plan, count(*) AS n FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY 1) SELECT plan, a.n = b.n AND plan % 4 <> 0 AS compatible FROM a JOIN b USING (plan)")
 def _(spark, d):
     k = F.col("s_nationkey")

@@ -56,6 +56,10 @@ def scan_shards(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, judged.where("reason is not null").select(*keep, "reason")
 
 
+# How processors name what the columns tell.
+CPU_FLAGS = {"has_avx": "avx", "has_avx2": "avx2", "has_sse42": "sse4_2"}
+
+
 def parse_probe_logs(logs: DataFrame) -> DataFrame:
     """Numbers out of what ping, radio and GPU tools print in ``text``; what is missing is 0 or null."""
     number = r"[0-9]+(?:\.[0-9]+)?"
@@ -69,6 +73,8 @@ def parse_probe_logs(logs: DataFrame) -> DataFrame:
         *[c for c in logs.columns if c != "text"], part(1).alias("latency_us"), part(3).alias("jitter_us"),
         F.when(found(r"signal: (-?[0-9]+)") != "", found(r"signal: (-?[0-9]+)").cast("int")).otherwise(0).alias("signal_dbm"),
         F.when(rate == "", 0).otherwise(F.when(unit == "MB/s", F.expr("8.0")).otherwise(1.0) * F.when(rate != "", rate.cast("double"))).cast("int").alias("bw_mbps"),
-        F.get(gpu, F.lit(0)).alias("model"), F.get(gpu, F.lit(1)).alias("x"), F.col("text").rlike(r"\bavx2\b").alias("has_avx2"),
+        F.get(gpu, F.lit(0)).alias("model"), F.get(gpu, F.lit(1)).alias("x"), F.get(gpu, F.lit(2)).alias("driver"), F.get(gpu, F.lit(3)).alias("compute_cap"),
+        *[F.col("text").rlike(rf"\b{flag}\b").alias(name) for name, flag in CPU_FLAGS.items()],
     )
-    return r.withColumn("vram", vram).withColumn("model", F.when(F.col("vram").isNotNull(), F.col("model"))).drop("x")
+    r = r.withColumn("vram", vram).drop("x")
+    return r.withColumns({c: F.when(F.col("vram").isNotNull(), F.col(c)) for c in ("model", "driver", "compute_cap")})
