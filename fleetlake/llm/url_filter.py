@@ -49,8 +49,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     urls = rows.select("host", "path").where("host <> ''").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = urls.select("host", "path", F.posexplode(labels).alias("i", "_label")).select("host", "path", F.array_join(F.slice(F.split("host", r"\."), F.col("i") + 1, F.size(labels)), ".").alias("suffix"))
+    # No suffix has more labels than the longest host of a rule, so a long host has no more suffixes than a short one.
+    most = rules.agg(F.max(F.size(F.split("rhost", r"\.")))).first()[0] or 1
+    last = urls.select("host", "path", F.split("host", r"\.").alias("l")).select("host", "path", F.slice("l", F.greatest(F.size("l") - most, F.lit(0)) + 1, F.lit(most)).alias("l"))
+    suffixes = last.select("host", "path", "l", F.posexplode("l").alias("i", "_label")).select("host", "path", F.array_join(F.slice("l", F.col("i") + 1, F.lit(most)), ".").alias("suffix"))
     # A suffix is only spelled with beginnings as long as some rule of that host.
     known = suffixes.join(lengths, F.col("suffix") == F.col("rhost")).select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
     spelled = known.withColumn("d", _digest(F.concat_ws("\u0000", "suffix", F.substring("path", F.lit(1), F.col("n"))))).withColumn("short", F.substring("d", 1, PREFIX_DIGITS))

@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from fleetlake.llm import chat, entries, lexical, resample
+from fleetlake.llm import chat, entries, lexical, resample, url_filter
 from tests.test_queries import plain
 
 SMALL = "/root/testdata/sf0.001"
@@ -189,3 +189,11 @@ def test_resampling_takes_edge_rows_and_empty_tables(spark):
     assert resample.resample(docs, target.where("false"), p).count() == len(EDGE)
     kept = resample.drawn(docs, got)
     assert kept.columns == docs.columns and 0 < kept.count() < len(EDGE)
+
+
+def test_a_host_of_very_many_labels_costs_no_more_than_its_length(spark):
+    deep = "a." * 50_000
+    rules = spark.createDataFrame([("b.example.com", "/x", "block"), ("com", "", "allow")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, f"http://{deep}b.example.com/xy"), (2, f"http://{deep}example.com/xy"), (3, f"http://{deep}org/"), (4, "http://com/"), (5, "http://.com")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {1: ("b.example.com/x", "block"), 2: ("com", "allow"), 3: (None, "allow"), 4: ("com", "allow"), 5: ("com", "allow")}
