@@ -72,7 +72,7 @@ class ShardWriter(DataSourceArrowWriter):
         folder = f"{root}/{self.staging}/{uuid.uuid4().hex}"
         fs.create_dir(folder, recursive=True)
         done: list[str] = []
-        key, table, parts, end = None, [], [], 0
+        key, table, parts, end, before = None, [], [], 0, None
 
         def close() -> None:
             meta = json.dumps(table, separators=(",", ":"), ensure_ascii=False).encode()
@@ -87,10 +87,12 @@ class ShardWriter(DataSourceArrowWriter):
                 if key != (grp, volume):
                     if key is not None:
                         close()
-                    key, table, parts, end = (grp, volume), [], [], 0
-                if start != end:
+                    key, table, parts, end, before = (grp, volume), [], [], 0, None
+                again = (item, start, len(payload)) == before
+                if start != end and not again:
                     raise ValueError(f"item {item} of {grp} starts at {start} and not at {end}")
-                table.append({"start": start, "bytes": len(payload), "name": name, "item": item})
+                before = (item, start, len(payload))
+                table.append({"start": end, "bytes": len(payload), "name": name, "item": item})
                 parts.append(payload)
                 end += len(payload)
         if key is not None:
@@ -205,16 +207,21 @@ class ShardFiles(DataSource):
 def layout_volumes(items: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     """(grp, volume, start, item, name, payload) of items (grp, item, name, payload): where each one lies.
 
-    Items go in order of ``item``, repeated ones by payload; a volume takes ``max_bytes`` and
-    what the item that begins in it has beyond. Null groups and payloads are empty.
+    Items go in order of ``item``, those that repeat one by a hash of their payload; equal rows
+    have one start here and follow each other in the file. A volume takes ``max_bytes`` and
+    what the items that begin in it have beyond. Null groups and payloads are empty.
     """
     payload = F.coalesce("payload", F.lit(b""))
-    rows = items.select(F.coalesce("grp", F.lit("")).alias("grp"), "item", "name", payload.alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.xxhash64(payload).alias("h"))
-    rows = rows.withColumn("cost", F.col("bytes") + ENTRY)
-    r = running(rows, ["grp"], ["item", "h"], sums={"end": "bytes", "spent": "cost"})
-    r = r.withColumn("volume", F.floor((F.col("spent") - F.col("cost")) / max_bytes)).withColumn("start", F.col("end") - F.col("bytes"))
+    rows = items.select(F.coalesce("grp", F.lit("")).alias("grp"), "item", "name", payload.alias("payload"), F.xxhash64(payload).alias("h"))
+    # Places come from lengths alone; payloads meet them once. Equal items of a group are one row there, with their number.
+    sizes = rows.groupBy("grp", "item", "h").agg(F.max(F.octet_length("payload")).cast("long").alias("bytes"), F.count("*").alias("n"))
+    sizes = sizes.withColumn("all", F.col("bytes") * F.col("n")).withColumn("cost", F.col("all") + ENTRY * F.col("n"))
+    r = running(sizes, ["grp"], ["item", "h"], sums={"end": "all", "spent": "cost"})
+    r = r.withColumn("volume", F.floor((F.col("spent") - F.col("cost")) / max_bytes)).withColumn("start", F.col("end") - F.col("all"))
     first = r.groupBy("grp", "volume").agg(F.min("start").alias("first"))
-    return r.join(first, ["grp", "volume"]).select("grp", "volume", (F.col("start") - F.col("first")).alias("start"), "item", "name", "payload", "bytes")
+    placed = r.join(first, ["grp", "volume"]).select(*[F.col(c).alias(f"p_{c}") for c in ("grp", "item", "h")], "volume", "bytes", (F.col("start") - F.col("first")).alias("start"))
+    same = (F.col("grp") == F.col("p_grp")) & F.col("item").eqNullSafe(F.col("p_item")) & (F.col("h") == F.col("p_h"))
+    return rows.join(placed, same).select("grp", "volume", "start", "item", "name", "payload", "bytes")
 
 
 def write_shards(items: DataFrame, path: str, max_bytes: int = 64 << 20, node: int = 1, mode: str = "append") -> None:

@@ -22,6 +22,7 @@ def test_files_hold_what_was_laid_out(spark, items, tmp_path):
     tensors, errors = sf.read_shards(spark, path)
     assert errors.count() == 0 and not [f for f in os.listdir(path) if not f.endswith(".shard")]
     want = sf.layout_volumes(items, 4000).select("grp", "volume", "start", "item", "name", "bytes")
+    assert want.groupBy("grp", "volume").agg(F.sum("bytes").alias("n"), F.max_by("bytes", "start").alias("last")).where("n - last >= 4000").isEmpty()
     got = tensors.select("grp", "volume", "start", "item", "name", "bytes")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 2202
     assert tensors.where("grp = 'hot'").select("volume").distinct().count() == 37  # 2000 * (10 + 64) / 4000
@@ -103,3 +104,12 @@ def test_pruning_reaches_the_scan(spark, items, tmp_path):
     tensors, errors = sf.read_shards(spark, str(tmp_path / "out"))
     assert tensors.where("grp = 'hot'").count() == 2000
     assert errors.where("grp in ('hot', 'a/b')").count() == 0 and errors.count() == 1
+
+
+def test_equal_items_follow_each_other(spark, tmp_path):
+    rows = [("g", 1, "a", b"xyz")] * 3 + [("g", 1, "a", b"q"), ("g", None, "n", b"null"), ("g", 2, "b", b"end")]
+    sf.write_shards(spark.createDataFrame(rows, "grp string, item long, name string, payload binary"), str(tmp_path / "out"))
+    tensors, _ = sf.read_shards(spark, str(tmp_path / "out"))
+    spans = sf.read_spans(tensors.withColumn("offset", F.lit(0)).withColumn("length", F.col("bytes"))).collect()
+    assert sorted((r.item or 0, bytes(r.content)) for r in spans) == sorted((i or 0, b) for _, i, _, b in rows)
+    assert sorted((r.start, r.start + r.bytes) for r in tensors.collect())[-1][1] == 17 == sum(r.bytes for r in tensors.collect())
