@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import time
 import uuid
@@ -15,6 +16,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``; only sessions on one machine that set none get a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="fleetlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/fleetlake-{name}-{uuid.uuid4().hex}"

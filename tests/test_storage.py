@@ -59,3 +59,14 @@ def test_old_versions_and_unused_folders_are_cleaned(spark, state, tmp_path):
     storage.clean_versions(spark, path, keep=2, unused_s=0)
     assert len([f for f in os.listdir(path) if f.startswith("data-")]) == 2
     assert loaded(spark, path, version=3) == [(1, 2), (2, 2)] and loaded(spark, path) == [(1, 3), (2, 3)]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    kept = {}
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: kept.get(k, d), set=kept.__setitem__), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            storage.shared_path(session(master), "x")
+    assert storage.shared_path(session("local[4]"), "x").startswith(kept["spark.checkpoint.dir"])
