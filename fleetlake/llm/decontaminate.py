@@ -27,15 +27,12 @@ from fleetlake.llm.common import materialize, mix, pieces, shingle_hashes, texts
 PLAIN = bytes.maketrans((string.ascii_uppercase + string.punctuation).encode(), (string.ascii_lowercase + " " * len(string.punctuation)).encode())
 
 
-SIEVE_BITS = 24
-
-
 @dataclass(frozen=True)
 class ContainmentParams:
     shingle: int = 5
     percent: int = 80
     common_above: int = 8  # items with a shingle beyond which it comes last in sketches
-    broadcast_rows: int = 1_000_000  # item shingles (8 MB); more are joined by a shuffle
+    broadcast_rows: int = 1_000_000  # item shingles (8 MB) that are searched at once; more are searched in blocks of items
 
 
 def plain_words(text: bytes) -> np.ndarray:
@@ -85,8 +82,7 @@ def _doc_shingles(text: bytes, k: int, short: list[int]) -> np.ndarray:
 def _hit_batches(batches, k: int, short: list[int], tables):
     """(doc_id, thash, sk, s) of texts with sketch values: those, and all their shingles that stand in items.
 
-    ``tables``: members of sketches and of all items, or a sieve of the first bits of
-    sketches; the sieve lets through what it can't exclude, with all shingles.
+    ``tables``: members of sketches and of all items.
     """
     import pyarrow as pa
     import xxhash
@@ -96,12 +92,12 @@ def _hit_batches(batches, k: int, short: list[int], tables):
         ids, hashes, led, found = [], [], [], []
         for d, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
             s = _doc_shingles(t, k, short)
-            hit = s[sketch.find(s)] if known is not None else s[sketch[s.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)]]
+            hit = s[sketch.find(s)]
             if len(hit):
                 ids.append(d)
                 hashes.append(xxhash.xxh3_64_intdigest(t) - 2**63)
                 led.append(np.unique(hit))
-                found.append(np.unique(s if known is None else s[known.find(s)]))
+                found.append(np.unique(s[known.find(s)]))
         lists = []
         for x in (led, found):
             flat = np.concatenate(x) if x else np.empty(0, np.int64)
@@ -116,7 +112,7 @@ def contained_items(docs: DataFrame, items: DataFrame, params: ContainmentParams
     in the document. Items without words are never found, nor is anything in null,
     empty or blank texts. Rows that repeat an id are one document: the text that
     shares most counts. Rows that repeat an item id are one item for each different
-    text. Empty tables give an empty result.
+    text. Empty tables give an empty result; very long texts are searched whole; other columns are not read.
     """
     p, k = params, params.shingle
     spark = docs.sparkSession
@@ -131,24 +127,23 @@ def contained_items(docs: DataFrame, items: DataFrame, params: ContainmentParams
     order = Window.partitionBy("v").orderBy((F.col("df") > p.common_above).cast("int"), "t")
     ranked = tokens.join(common, "t").withColumn("i", F.row_number().over(order))
     index = materialize(ranked.select("t", "v", (F.col("i") <= keep).alias("sketch")), "item_index")
-    sketches = index.where("sketch").select("t", "v")
     short = sorted(r[0] for r in owned.where(F.col("words") < k).select("words").distinct().collect())  # k - 1 numbers at most
-    if index.count() <= p.broadcast_rows:
-        local = index.select("t", "sketch").toPandas()
-        tables = Members(local["t"][local["sketch"].astype(bool)].to_numpy(np.int64)), Members(local["t"].to_numpy(np.int64))
-    else:
-        # A bit for each beginning of a hash: 2 MB however many items there are.
-        cell = F.shiftrightunsigned("t", 64 - SIEVE_BITS)
-        words = sketches.select(cell.alias("c")).select(F.shiftright("c", 6).alias("at"), F.expr("shiftleft(1L, cast(c & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-        sieve = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
-        sieve[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-        tables = np.unpackbits(sieve.view(np.uint8), bitorder="little").view(bool), None
-    shared = spark.sparkContext.broadcast(tables)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    hits = materialize(texts.mapInArrow(lambda it: _hit_batches(it, k, short, shared), "doc_id long, thash long, sk array<long>, s array<long>").dropDuplicates(["doc_id", "thash"]), "sketch_hits")
-    pairs = hits.select("doc_id", "thash", F.explode("sk").alias("t")).join(sketches, "t").select("doc_id", "thash", "v").distinct()
-    both = pairs.join(hits.select(F.col("doc_id").alias("d"), F.col("thash").alias("h"), F.col("s").alias("ds")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("thash") == F.col("h"))).join(sets, "v")
-    counts = both.select("doc_id", "v", "n", F.size(F.array_intersect("ds", "s")).alias("n_shared"))
+    # Blocks of items, by hash, of about as many shingles as are broadcast; each block reads the documents once.
+    size = index.count()
+    blocks = 1 if size <= p.broadcast_rows else min(sets.count(), -(-size // max(1, p.broadcast_rows)))
+    counts = None
+    for block in range(blocks):
+        mine = index.where(F.pmod("v", F.lit(blocks)) == block) if blocks > 1 else index
+        local = mine.select("t", "sketch").toPandas()
+        tables = Members(local["t"][local["sketch"].astype(bool)].to_numpy(np.int64)), Members(local["t"].to_numpy(np.int64))
+        shared = spark.sparkContext.broadcast(tables)
+        hits = texts.mapInArrow(lambda it, shared=shared: _hit_batches(it, k, short, shared), "doc_id long, thash long, sk array<long>, s array<long>")
+        hits = materialize(hits.dropDuplicates(["doc_id", "thash"]), "sketch_hits")
+        pairs = hits.select("doc_id", "thash", F.explode("sk").alias("t")).join(mine.where("sketch").select("t", "v"), "t").select("doc_id", "thash", "v").distinct()
+        both = pairs.join(hits.select(F.col("doc_id").alias("d"), F.col("thash").alias("h"), F.col("s").alias("ds")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("thash") == F.col("h"))).join(sets, "v")
+        found = both.select("doc_id", "v", "n", F.size(F.array_intersect("ds", "s")).alias("n_shared"))
+        counts = found if counts is None else counts.unionByName(found)
     good = counts.where(100 * F.col("n_shared") >= p.percent * F.col("n")).join(owned.select("item_id", "v"), "v")
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_shared") / F.col("n"), "n", "n_shared")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.n").cast("long").alias("n_shingles"), F.col("m.n_shared").cast("long").alias("n_shared"))
