@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
@@ -11,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlake.storage import shared_path
+
 #: Entries kept by a worker's word cache; beyond them hashes are computed anew.
 CACHE_ENTRIES = 150_000
 
@@ -18,14 +19,10 @@ CACHE_ENTRIES = 150_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder made and remembered in the session.
+    Only where a session on one machine names none (tests) is a temporary folder made
+    and remembered in the session; on a cluster that is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="fleetlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return shared_path(spark, "").rpartition("/")[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
