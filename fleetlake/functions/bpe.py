@@ -7,7 +7,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,10 @@ BYTES = {c: b for b, c in SYMBOLS.items()}
 
 #: Pieces whose ids a worker remembers; others are encoded anew. Longer pieces aren't remembered.
 CACHE_PIECES, CACHE_CHARS = 200_000, 64
+#: Pieces of a batch that are looked up at a time.
+PIECES_AT_ONCE = 1 << 22
+#: Symbols up to which pairs are found by scans.
+FEW = 48
 
 
 @dataclass(frozen=True)
@@ -44,8 +51,28 @@ def read_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(tokens, dict.fromkeys(special, CONTROL), merges)
 
 
+def _merge_few(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
+    """``merge_pairs`` by scans over the ranks of all pairs, which is faster for few symbols."""
+    parts, none = list(symbols), 1 << 62
+    at = [ranks.get(p, none) for p in zip(parts, parts[1:])]
+    while at and (best := min(at)) < none:
+        i = at.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del at[i]
+        if i:
+            at[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
+        if i < len(at):
+            at[i] = ranks.get((parts[i], parts[i + 1]), none)
+    return parts
+
+
 def merge_pairs(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Merges the adjacent pair of lowest rank, the leftmost of equals, until no pair has a rank."""
+    """Merges the adjacent pair of lowest rank, the leftmost of equals, until no pair has a rank.
+
+    Few symbols are scanned, many wait in a heap, so that a long piece doesn't take quadratic time.
+    """
+    if len(symbols) <= FEW:
+        return _merge_few(symbols, ranks)
     parts: list[str | None] = list(symbols)
     end = len(parts)
     after, before = list(range(1, end + 1)), list(range(-1, end - 1))
@@ -81,29 +108,50 @@ class _Encoder:
                 self.seen[piece] = found
         return found
 
-    def pieces(self, pieces) -> list[int] | None:
-        out: list[int] = []
-        for p in pieces:
-            if (ids := self.piece(p)) is None:
-                return None
-            out += ids
-        return out
+    def batch(self, texts: pa.Array) -> pa.Array:
+        """Ids of a batch of lists of pieces: each different piece is encoded once, the ids of a text are gathered from them."""
+        coded = texts.flatten().dictionary_encode()
+        known = [self.piece(p) for p in coded.dictionary.to_pylist()]
+        sizes = np.array([0 if ids is None else len(ids) for ids in known], dtype=np.int64)
+        whole = np.fromiter((i for ids in known if ids is not None for i in ids), dtype=np.int32, count=int(sizes.sum()))
+        used = coded.indices.to_numpy(zero_copy_only=False)
+        took = sizes[used]
+        after = np.concatenate([[0], np.cumsum(took)])
+        # Place k of the output lies behind the start of its piece's ids by as much as it lies behind the start of the piece's output.
+        shift = (np.cumsum(sizes) - sizes)[used] - after[:-1]
+        ids = whole[np.repeat(shift, took) + np.arange(after[-1])]
+        lengths = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        strange = np.concatenate([[0], np.cumsum(np.array([ids is None for ids in known], dtype=np.int64)[used])])
+        null = texts.is_null().to_numpy(zero_copy_only=False) | (strange[ends[1:]] > strange[ends[:-1]])
+        # A text that has null ids may have some all the same; they are left out with it.
+        keep = np.repeat(~null, after[ends[1:]] - after[ends[:-1]])
+        n = np.where(null, 0, after[ends[1:]] - after[ends[:-1]])
+        offsets = np.concatenate([[0], np.cumsum(n)])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[keep], pa.int32()), mask=pa.array(null))
+
+
+def encode_slices(encoder: _Encoder, texts: pa.Array, at_once: int = PIECES_AT_ONCE) -> pa.Array:
+    """Ids of a batch, whose texts are taken together up to about ``at_once`` pieces."""
+    before = np.cumsum(pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(before // at_once)) + 1).tolist(), len(texts)]
+    return pa.concat_arrays([encoder.batch(texts.slice(i, j - i)) for i, j in zip(cuts, cuts[1:])])
 
 
 def bpe_encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """Adds ``ids`` in place of ``text``.
 
-    Words repeat, so each task remembers the ids of its pieces; nothing is
-    shuffled. Null text has null ids, empty text none. A text with a piece outside
+    Words repeat, so a batch encodes each of its different pieces once and each task
+    remembers the ids of its pieces; nothing is shuffled. Null text has null ids, empty text none. A text with a piece outside
     the vocabulary has null ids and ``unknown`` is true.
     """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _Encoder(shared.value)
         for b in batches:
-            yield b.map(lambda x: None if x is None else encoder.pieces(x))
+            yield encode_slices(encoder, b)
 
     rest = [c for c in df.columns if c != text]
     out = df.select(*rest, F.col(text).isNull().alias("_empty"), encode(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))).alias("ids"))

@@ -43,6 +43,24 @@ def reconcile_checks(predicted: DataFrame, actual: DataFrame, tolerance: float =
     return g.select("site", same.alias("n_predicted"), "n_actual", "n_planned", "n_drifted", "effective", (F.abs(F.col("effective") - parts) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(parts))).alias("exact"), bound.alias("within_bound"))
 
 
+def verify_reported(reported: DataFrame, predicted: DataFrame, actual: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """(site, reported, effective, n_nodes, verdict) of (site, reported) totals that somebody else added up.
+
+    ``exact``: the total is the sum of the effective values of ``reconcile_checks``, but
+    for rounding; ``summed predictions`` and ``summed actuals``: it is the sum of one
+    side instead; ``off``: neither; ``unknown site`` and ``not reported``: a side is missing. A null total isn't reported, nor is that of a null site.
+    """
+    drift = F.abs(F.col("actual") - F.col("predicted")) > tolerance
+    rows = predicted.select("site", "node", "predicted").join(actual.select("site", "node", "actual"), ["site", "node"], "left")
+    value = F.when(drift, F.col("actual")).otherwise(F.col("predicted"))
+    sums = rows.groupBy("site").agg(F.sum(value).alias("effective"), F.sum("predicted").alias("planned"), F.sum(F.coalesce("actual", "predicted")).alias("truth"), F.count("*").alias("n_nodes"))
+    both = reported.select("site", "reported").join(sums, "site", "full")
+    like = lambda c: F.abs(F.col("reported") - F.col(c)) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col(c)))
+    told = F.when(F.col("n_nodes").isNull(), "unknown site").when(F.col("reported").isNull(), "not reported").when(like("effective"), "exact")
+    told = told.when(like("planned"), "summed predictions").when(like("truth"), "summed actuals").otherwise("off")
+    return both.select("site", "reported", "effective", F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), told.alias("verdict"))
+
+
 def budget_verdict(draw: DataFrame, budget: float) -> DataFrame:
     return draw.withColumn("verdict", F.when(F.col("effective") <= budget, "WITHIN").otherwise("BREACH"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlake.operators.folds import Admission, ordered_fold
+from fleetlake.operators.scans import running
 
 # Words that tell a workload's class, the first match wins.
 CLASS_RULES = [("branch|sort", "BranchHeavy"), ("recurs|tree|travers", "Recursive"), ("matmul|matrix", "Simd"), ("graph|bfs|dfs", "Irregular"), ("batch|small", "SmallBatch"), ("llm|bitnet|inference|generate", "Llm"), ("gpu|cuda|opencl", "Gpu")]
@@ -203,9 +204,8 @@ def _dispatch(tasks: DataFrame, nodes: DataFrame, budget: int, order: list[str])
 
 
 def queue_rejects(tasks: DataFrame, cap: int = 1000) -> DataFrame:
-    """(pool, task) of the arrivals beyond ``cap``."""
-    arrival = F.row_number().over(Window.partitionBy("pool").orderBy("enqueued", "task"))
-    return tasks.withColumn("arrival", arrival).where(F.col("arrival") > cap).select("pool", "task")
+    """(pool, task) of the arrivals beyond ``cap``. A pool of any size spreads over all tasks."""
+    return running(tasks.select("pool", "task", "enqueued"), ["pool"], ["enqueued", "task"], rank="arrival").where(F.col("arrival") > cap).select("pool", "task")
 
 
 def budget_outcome(measured: DataFrame, budget: int) -> DataFrame:
@@ -244,14 +244,16 @@ def requeue(queue: DataFrame, failed: DataFrame, limit: int = 3) -> DataFrame:
 
     ``queue`` has (pool, task, retries, place). A task with retries left goes to the
     back of its pool, in order of failure; a dropped one leaves; the others move up.
+    A pool of any size spreads over all tasks.
     """
     f = failed.groupBy("task").agg(F.min("at").alias("at"))
     q = queue.join(f, "task", "left").withColumn("retries", F.col("retries") + F.col("at").isNotNull().cast("int"))
     told = F.when(F.col("at").isNull(), "waiting").when(F.col("retries") <= limit, "requeued").otherwise("dropped")
     q = q.withColumn("disposition", told)
     gone = F.col("disposition") == "dropped"
-    w = Window.partitionBy("pool").orderBy(gone, F.col("at").isNotNull(), "at", F.when(F.col("at").isNull(), F.col("place")), "task")
-    return q.select("pool", "task", "retries", "disposition", F.when(~gone, F.row_number().over(w)).alias("place"))
+    turn = [gone.alias("gone"), F.col("at").isNotNull().alias("back"), "at", F.when(F.col("at").isNull(), F.col("place")).alias("before")]
+    q = running(q.select("pool", "task", "retries", "disposition", *turn), ["pool"], ["gone", "back", "at", "before", "task"], rank="now")
+    return q.select("pool", "task", "retries", "disposition", F.when(~F.col("gone"), F.col("now")).alias("place"))
 
 
 def reconcile_power(desired: DataFrame, acted: DataFrame, addresses: DataFrame) -> DataFrame:

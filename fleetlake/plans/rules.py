@@ -253,6 +253,22 @@ def _(spark, d):
     return both.withColumn("effective", F.round("effective", 4))
 
 
+@query("e2_verify_reported", _CHECKED + """, b AS (SELECT site, sum(CASE WHEN planned THEN predicted ELSE actual END) AS eff, sum(predicted) AS pre, sum(coalesce(actual, predicted)) AS act, count(*) AS n FROM q GROUP BY site),
+k AS (SELECT *, CASE site % 5 WHEN 0 THEN eff WHEN 1 THEN pre WHEN 2 THEN act WHEN 3 THEN eff + 1 END AS told FROM b)
+SELECT site, round(told, 3) AS reported, round(eff, 3) AS effective, n AS n_nodes, CASE WHEN told IS NULL THEN 'not reported' WHEN abs(told - eff) < 1e-6 THEN 'exact' WHEN abs(told - pre) < 1e-6 THEN 'summed predictions' WHEN abs(told - act) < 1e-6 THEN 'summed actuals' ELSE 'off' END AS verdict FROM k""")
+def _(spark, d):
+    """Totals as five kinds of reporters make them: right, one side only, off by a watt, none."""
+    t = v.telemetry(spark, d)
+    predicted = t.groupBy("site", "node").agg(F.avg("power_watts").alias("predicted"))
+    actual = t.groupBy("site", "node").agg(F.when(F.col("node") % 9 != 0, F.max_by("power_watts", F.struct("ts", "seq")).cast("double")).alias("actual"))
+    one = predicted.join(actual, ["site", "node"]).groupBy("site").agg(F.sum("predicted").alias("p"), F.sum(F.coalesce("actual", "predicted")).alias("a"))
+    k = F.col("site") % 5
+    told = energy.reconcile_checks(predicted, actual, 25.0).join(one, "site")
+    reported = told.select("site", F.when(k == 0, F.col("effective")).when(k == 1, F.col("p")).when(k == 2, F.col("a")).when(k == 3, F.col("effective") + 1).alias("reported"))
+    out = energy.verify_reported(reported, predicted, actual, 25.0)
+    return out.select("site", F.round("reported", 3).alias("reported"), F.round("effective", 3).alias("effective"), "n_nodes", "verdict")
+
+
 @query("v14_parity_details", a._E + """, w AS (SELECT id, d, v, CASE WHEN id % 2 = 0 AND d = 3 THEN v + 0.5 ELSE v END AS w FROM e),
 g AS (SELECT id, round(max(abs(v - w) / greatest(abs(v), abs(w), 1e-30)), 6) AS max_rel, max(v) AS mv, max(w) AS mw FROM w GROUP BY id),
 t AS (SELECT w.id, any_value(max_rel) AS max_rel, min(d) FILTER (v = mv) AS top_a, min(d) FILTER (w = mw) AS top_b FROM w JOIN g ON w.id = g.id GROUP BY w.id) SELECT *, top_a = top_b AS top_equal FROM t""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlake import storage
 from fleetlake.functions import bpe, encodings, tokens
-from fleetlake.operators import delta, failures, folds, identity, planning, vectors
+from fleetlake.operators import delta, energy, failures, folds, identity, planning, vectors
 from fleetlake.plans import artifacts, flows, registry, rules, stores  # noqa: F401
 from fleetlake.sources import frames, logs
 from fleetlake.streaming import liveness
@@ -239,6 +239,36 @@ def test_merging_equals_the_plain_loop():
         assert bpe.merge_pairs(parts, ranks) == want
 
 
+def test_long_pieces_merge_as_short_ones(monkeypatch):
+    import random
+
+    r = random.Random(6)
+    ranks = {("a", "b"): 3, ("b", "a"): 1, ("ab", "ab"): 0, ("ba", "ba"): 7, ("a", "a"): 2, ("aa", "b"): 9}
+    texts = [r.choices("abc", k=n) for n in range(200)]
+    want = [bpe.merge_pairs(t, ranks) for t in texts]
+    monkeypatch.setattr(bpe, "FEW", 0)
+    assert [bpe.merge_pairs(t, ranks) for t in texts] == want
+
+
+def test_batches_encode_like_single_texts(spark):
+    import pyarrow as pa
+
+    texts = [["Hello", "o"], None, [], ["e", "x", "l"], ["o"], ["Hello"] * 3, ["x"], ["lo", "He"]]
+    whole = bpe._Encoder(HELLO).batch(pa.array(texts, pa.list_(pa.string())))
+    assert whole.to_pylist() == [[7, 3], None, [], None, [3], [7, 7, 7], None, [6, 4]]
+    assert bpe._Encoder(HELLO).batch(pa.array(texts, pa.list_(pa.string())).slice(2, 4)).to_pylist() == [[], None, [3], [7, 7, 7]]
+    assert bpe._Encoder(HELLO).batch(pa.array([], pa.list_(pa.string()))).to_pylist() == []
+    assert bpe._Encoder(HELLO).batch(pa.array([None, []], pa.list_(pa.string()))).to_pylist() == [None, []]
+
+
+def test_few_pieces_at_once_give_the_same(spark):
+    import pyarrow as pa
+
+    texts = [[], ["Hello"], ["lo"] * 5, None, [], ["o", "x"], ["He"] * 3, []]
+    array = pa.array(texts, pa.list_(pa.string()))
+    assert bpe.encode_slices(bpe._Encoder(HELLO), array, 2).to_pylist() == [[], [7], [6] * 5, None, [], None, [4] * 3, []]
+
+
 def test_encoding_equals_the_tokenizer_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer, pre_tokenizers
@@ -315,8 +345,6 @@ def test_vectors_that_are_no_whole_blocks_are_refused(spark):
 
 
 def test_reconciling_needs_a_row_of_each_node_on_both_sides(spark):
-    from fleetlake.operators import energy
-
     p = spark.createDataFrame([(1, 1, 10.0), (1, 2, 20.0)], "site int, node int, predicted double")
     good = energy.reconcile_checks(p, spark.createDataFrame([(1, 1, 12.0), (1, 2, None)], "site int, node int, actual double"))
     assert good.collect() == [(1, 2, 2, 2, 0, 30.0, True, True)]
@@ -338,3 +366,22 @@ def test_a_reports_missing_fields_have_defaults(spark):
     good, bad = logs.read_telemetry(lines)
     assert [tuple(r) for r in good.collect()] == [("a", "", 0, 0, False, False, False, 0, 0, 0, 0.0, "", "", "", [], [])]
     assert bad.count() == 2
+
+
+def test_one_pool_of_all_tasks_keeps_its_order(spark):
+    q = spark.range(3000).selectExpr("'p' as pool", "id as task", "cast((id * 7919) % 3000 as int) as enqueued", "0 as retries", "id as place")
+    want = {r.task for r in q.collect() if r.enqueued >= 1000}
+    assert {r.task for r in planning.queue_rejects(q, 1000).collect()} == want
+    failed = spark.createDataFrame([(5, 9), (5, 8), (7, 3)], "task long, at int")
+    dropped = q.withColumn("retries", F.when(F.col("task") == 7, 3).otherwise(0))
+    got = {r.task: r for r in planning.requeue(dropped, failed).collect()}
+    assert (got[5].place, got[5].disposition, got[7].place, got[7].disposition) == (2999, "requeued", None, "dropped")
+    assert [got[k].place for k in (0, 4, 6, 8, 2999)] == [1, 5, 6, 7, 2998]
+
+
+def test_reported_totals_are_verified(spark):
+    p = spark.createDataFrame([(s, n, 10.0) for s in range(6) for n in range(2)], "site int, node int, predicted double")
+    a = spark.createDataFrame([(s, n, 30.0 if n else 12.0) for s in range(5) for n in range(2)], "site int, node int, actual double")
+    told = spark.createDataFrame([(0, 40.0), (1, 20.0), (2, 42.0), (3, 41.0), (4, None), (9, 1.0)], "site int, reported double")
+    got = {r.site: (r.effective, r.n_nodes, r.verdict) for r in energy.verify_reported(told, p, a).collect()}
+    assert got == {0: (40.0, 2, "exact"), 1: (40.0, 2, "summed predictions"), 2: (40.0, 2, "summed actuals"), 3: (40.0, 2, "off"), 4: (40.0, 2, "not reported"), 5: (20.0, 2, "not reported"), 9: (None, 0, "unknown site")}
