@@ -14,12 +14,15 @@ import uuid
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
 from fleetlake.operators.scans import running
 from fleetlake.sources.shards import HEADER, MAGIC, VERSION
+from fleetlake.storage import written
 
 FORMAT = "fleetlake_shards"
 #: What an item takes of a volume beside its bytes: about its entry in the table, so that a table is bounded too.
@@ -59,7 +62,7 @@ class Written(WriterCommitMessage):
 class ShardWriter(DataSourceArrowWriter):
     """Each attempt of a task writes into a folder of its own; only the driver's commit moves files to their names.
 
-    Rows come sorted by (grp, volume, start), a volume in one task. A task that dies or
+    Rows come sorted by (grp, volume, start), a volume in one task. A null start is where the item before ends. A task that dies or
     runs twice leaves files that no message names; commit and abort delete them.
     """
 
@@ -89,7 +92,7 @@ class ShardWriter(DataSourceArrowWriter):
                         close()
                     key, table, parts, end, before = (grp, volume), [], [], 0, None
                 again = (item, start, len(payload)) == before
-                if start != end and not again:
+                if start is not None and start != end and not again:
                     raise ValueError(f"item {item} of {grp} starts at {start} and not at {end}")
                 before = (item, start, len(payload))
                 table.append({"start": end, "bytes": len(payload), "name": name, "item": item})
@@ -204,6 +207,20 @@ class ShardFiles(DataSource):
         return ShardWriter(self.options["path"], int(self.options.get("node", 1)), overwrite)
 
 
+def _item_rows(items: DataFrame) -> DataFrame:
+    """Null groups and payloads are empty; ``h`` puts items that repeat one in order."""
+    payload = F.coalesce("payload", F.lit(b""))
+    return items.select(F.coalesce("grp", F.lit("")).alias("grp"), F.col("item").cast("long").alias("item"), "name", payload.alias("payload"), F.xxhash64(payload).alias("h"))
+
+
+def _places(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """(grp, item, h, bytes, volume, start in the group) from lengths alone; equal items of a group are one row."""
+    sizes = rows.groupBy("grp", "item", "h").agg(F.max(F.octet_length("payload")).cast("long").alias("bytes"), F.count("*").alias("n"))
+    sizes = sizes.withColumn("all", F.col("bytes") * F.col("n")).withColumn("cost", F.col("all") + ENTRY * F.col("n"))
+    r = running(sizes, ["grp"], ["item", "h"], sums={"end": "all", "spent": "cost"})
+    return r.withColumn("volume", F.floor((F.col("spent") - F.col("cost")) / max_bytes)).withColumn("start", F.col("end") - F.col("all"))
+
+
 def layout_volumes(items: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     """(grp, volume, start, item, name, payload) of items (grp, item, name, payload): where each one lies.
 
@@ -211,29 +228,71 @@ def layout_volumes(items: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     have one start here and follow each other in the file. A volume takes ``max_bytes`` and
     what the items that begin in it have beyond. Null groups and payloads are empty.
     """
-    payload = F.coalesce("payload", F.lit(b""))
-    rows = items.select(F.coalesce("grp", F.lit("")).alias("grp"), "item", "name", payload.alias("payload"), F.xxhash64(payload).alias("h"))
-    # Places come from lengths alone; payloads meet them once. Equal items of a group are one row there, with their number.
-    sizes = rows.groupBy("grp", "item", "h").agg(F.max(F.octet_length("payload")).cast("long").alias("bytes"), F.count("*").alias("n"))
-    sizes = sizes.withColumn("all", F.col("bytes") * F.col("n")).withColumn("cost", F.col("all") + ENTRY * F.col("n"))
-    r = running(sizes, ["grp"], ["item", "h"], sums={"end": "all", "spent": "cost"})
-    r = r.withColumn("volume", F.floor((F.col("spent") - F.col("cost")) / max_bytes)).withColumn("start", F.col("end") - F.col("all"))
-    first = r.groupBy("grp", "volume").agg(F.min("start").alias("first"))
-    placed = r.join(first, ["grp", "volume"]).select(*[F.col(c).alias(f"p_{c}") for c in ("grp", "item", "h")], "volume", "bytes", (F.col("start") - F.col("first")).alias("start"))
+    rows = _item_rows(items)
+    return _laid_out(rows, _places(rows, max_bytes)).drop("h")
+
+
+def _laid_out(rows: DataFrame, places: DataFrame) -> DataFrame:
+    first = places.groupBy("grp", "volume").agg(F.min("start").alias("first"))
+    placed = places.join(first, ["grp", "volume"]).select(*[F.col(c).alias(f"p_{c}") for c in ("grp", "item", "h")], "volume", "bytes", (F.col("start") - F.col("first")).alias("start"))
     same = (F.col("grp") == F.col("p_grp")) & F.col("item").eqNullSafe(F.col("p_item")) & (F.col("h") == F.col("p_h"))
-    return rows.join(placed, same).select("grp", "volume", "start", "item", "name", "payload", "bytes")
+    return rows.join(placed, same).select("grp", "volume", "start", "item", "name", "payload", "bytes", "h")
+
+
+@dataclass
+class Bounds:
+    """Of a group's volumes the first (item, h), in order; ``nulls`` of them begin with an item without a number."""
+
+    nulls: int
+    item: np.ndarray
+    h: np.ndarray
+    volume: np.ndarray
+
+    def find(self, item: np.ndarray, null: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The volumes that items lie in: those with the last bound not beyond them."""
+        numbers = self.item[self.nulls :]
+        low = np.where(null, 0, self.nulls + np.searchsorted(numbers, item, side="left"))
+        high = np.where(null, self.nulls, self.nulls + np.searchsorted(numbers, item, side="right"))
+        for i in np.flatnonzero(low < high):  # items with which volumes begin: their hash decides
+            low[i] += np.searchsorted(self.h[low[i] : high[i]], h[i], side="right")
+        return self.volume[low - 1]
+
+
+def _in_volumes(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``rows`` with the volume they lie in and no start; ``firsts`` (grp, volume, item, h) go to all tasks."""
+    number = lambda: (F.coalesce("item", F.lit(0).cast("long")).alias("item"), F.col("item").isNull().alias("null"))
+    table = firsts.select("grp", "volume", *number(), "h").toPandas().sort_values("volume")
+    bounds = {g: Bounds(int(t["null"].sum()), t["item"].to_numpy(), t["h"].to_numpy(), t["volume"].to_numpy()) for g, t in table.groupby("grp")}
+    known = rows.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("long")
+    def volume(grp: pd.Series, item: pd.Series, null: pd.Series, h: pd.Series) -> pd.Series:
+        out = np.empty(len(grp), np.int64)
+        for g, at in grp.groupby(grp, sort=False).indices.items():
+            out[at] = known.value[g].find(item.to_numpy()[at], null.to_numpy()[at], h.to_numpy()[at])
+        return pd.Series(out)
+
+    own = volume("grp", *number(), "h")
+    return rows.withColumn("volume", own).select("grp", "volume", F.lit(None).cast("long").alias("start"), "item", "name", "payload", F.octet_length("payload").cast("long").alias("bytes"), "h")
 
 
-def write_shards(items: DataFrame, path: str, max_bytes: int = 64 << 20, node: int = 1, mode: str = "append") -> None:
-    """Writes items (grp, item, name, payload) as shard files under ``path``.
+def write_shards(items: DataFrame, path: str, max_bytes: int = 64 << 20, node: int = 1, mode: str = "append", broadcast_rows: int = 1_000_000) -> None:
+    """Writes items (grp, item, name, payload) as shard files under ``path``, as ``layout_volumes`` places them.
 
     A task holds one volume at a time. ``append`` refuses files that exist, ``overwrite``
-    replaces all. Repeated runs of a task leave nothing behind.
+    replaces all. Repeated runs of a task leave nothing behind. Payloads are shuffled
+    once, to their volumes: up to ``broadcast_rows`` volumes are found by their first items,
+    which go to all tasks (about 30 bytes each); with more, payloads meet their places in a join first.
     """
     spark = items.sparkSession
     spark.dataSource.register(ShardFiles)
-    dealt = layout_volumes(items, max_bytes).repartition("grp", "volume").sortWithinPartitions("grp", "volume", "start", "bytes", "item")
-    dealt.drop("bytes").write.format(FORMAT).option("node", node).mode(mode).save(path)
+    rows = _item_rows(items)
+    places = _places(rows, max_bytes)
+    firsts = written(places.groupBy("grp", "volume").agg(F.min(F.struct("item", "h")).alias("f")).select("grp", "volume", "f.*"), "volumes")
+    few = firsts.count() <= broadcast_rows
+    dealt = (_in_volumes(rows, firsts) if few else _laid_out(rows, places)).repartition("grp", "volume")
+    ordered = dealt.sortWithinPartitions("grp", "volume", *(("item", "h") if few else ("start", "bytes", "item")))
+    ordered.drop("bytes", "h").write.format(FORMAT).option("node", node).mode(mode).save(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -31,6 +31,26 @@ def test_files_hold_what_was_laid_out(spark, items, tmp_path):
     assert read == sorted((r.item, bytes(r.payload or b"")) for r in items.collect())
 
 
+def test_places_by_bounds_and_by_a_join_give_the_same_files(spark, tmp_path):
+    rows = [("g", i % 7 if i % 7 else None, str(i % 3), bytes([i % 11]) * (i % 90)) for i in range(700)] + [(None, 2**53 + 1, "far", b"z"), (None, 2**53, "near", b"y"), ("g", -(2**63), "least", b"m")]
+    items = spark.createDataFrame(rows, "grp string, item long, name string, payload binary").repartition(5)
+    for limit in (10**6, 0):
+        sf.write_shards(items, str(tmp_path / str(limit)), max_bytes=300, broadcast_rows=limit)
+    names = sorted(os.listdir(tmp_path / "0"))
+    assert len(names) > 50 and names == sorted(os.listdir(tmp_path / "1000000"))
+    tensors = [sorted(map(str, sf.read_shards(spark, str(tmp_path / n))[0].select("grp", "volume", "item", "name", "start", "bytes").collect())) for n in ("0", "1000000")]
+    assert tensors[0] == tensors[1] and len(tensors[0]) == 703
+    bodies = [[(tmp_path / n / f).read_bytes()[-1:] + str((tmp_path / n / f).stat().st_size).encode() for f in names] for n in ("0", "1000000")]
+    assert bodies[0] == bodies[1]
+
+
+def test_payloads_are_shuffled_once(spark, items):
+    rows = sf._item_rows(items)
+    firsts = sf._places(rows, 4000).groupBy("grp", "volume").agg(F.min(F.struct("item", "h")).alias("f")).select("grp", "volume", "f.*")
+    plan = sf._in_volumes(rows, firsts)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 0
+
+
 def test_spans_beyond_a_tensor_are_refused(spark, items, tmp_path):
     path = str(tmp_path / "out")
     sf.write_shards(items.where("grp = 'hot' and item < 3"), path)
