@@ -33,7 +33,6 @@ from fleetlake.llm.common import drop_old_shuffles, materialize, mix, pieces, re
 
 END = b"\0end"  # not a word: words hold what isn't white space, and none has this hash by design
 START = np.uint64(0x5E0F7C3A91D24B86)  # stands before each text in the hashes of sequences
-KEY_BITS = 56  # of a hash that stand for a sequence
 
 
 @dataclass(frozen=True)
@@ -163,14 +162,14 @@ class Block:
 
 def _keys(levels: list[Level]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all sequences of the levels in rising order, and that order. Without sequences both are empty."""
-    keys = np.concatenate([x.hashes for x in levels]) >> np.uint64(64 - KEY_BITS) if levels else np.empty(0, np.uint64)
+    keys = np.concatenate([x.hashes for x in levels]) if levels else np.empty(0, np.uint64)
     order = np.argsort(keys)
     return keys[order], order
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of each of the rising keys; it never falls."""
-    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _runs(parts: list[np.ndarray], buckets: int):
