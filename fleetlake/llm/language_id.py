@@ -8,11 +8,11 @@ stands a uniform distribution. The statistics are frozen after training, so a tr
 becomes an automaton: a table of all its contexts by byte with the next context and
 the exact code length. A text's language is the one that codes it shortest.
 
-The trees are fitted on a bounded sample of labelled documents: of each language
-the share ``sample_docs / documents`` with the smallest hashes, or all if it has
-fewer, so ``sample_docs`` give or take its square root. Each tree is fitted in a
-task of its own; every document is scored whole. The model takes some megabytes a
-language, in the driver and in each worker.
+The trees are fitted on all labelled documents. Tasks count their runs of bytes, the
+counts are added up by Spark, and each tree is fitted from them in a task of its
+own; every document is scored whole. The model grows with the different contexts of a
+language and not with its documents: some megabytes a language, in the driver and in
+each worker.
 """
 
 from __future__ import annotations
@@ -32,34 +32,65 @@ PIECE = 1 << 21
 @dataclass(frozen=True)
 class PpmParams:
     order: int = 3
-    sample_docs: int = 1500  # labelled documents a language that the trees are fitted on, about
-    bits_quantile: float = 0.95  # of a language's sampled texts, for ``bits_bounds``
+    bits_quantile: float = 0.95  # of a language's labelled texts, for ``bits_bounds``
     bits_slack: float = 1.25
-    short_bits: float = 120.0  # that a text may take beyond its bound, for words the sample lacks
+    short_bits: float = 120.0  # that a text may take beyond its bound, for words that the labelled texts lack
+
+
+#: Different runs of bytes that a task adds up before it hands them on.
+GRAMS_AT_ONCE = 1 << 21
+
+
+def _added(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of sorted values, with their counts added up."""
+    if not len(values):
+        return values, counts
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[at], np.add.reduceat(counts, at)
+
+
+def _windows(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different runs of ``size`` bytes, packed into a number, one from each byte on; byte 0 stands behind a text."""
+    u = np.frombuffer(b"\0".join([*texts, bytes(size)]), np.uint8)
+    code = np.zeros(len(u) - size + 1, np.uint32 if size <= 4 else np.uint64)
+    for j in range(size):
+        code <<= code.dtype.type(8)
+        code |= u[j : j + len(code)]
+    values, counts = np.unique(code, return_counts=True)
+    return values.astype(np.int64), counts
 
 
 def _count_grams(batches, order: int):
-    """(lang, k, code, n): how often k bytes, packed into a long, follow each other. Byte 0 ends a text."""
+    """(lang, k, code, n): how often k bytes, packed into a long, follow each other. Byte 0 ends a text.
+
+    Only the longest runs are counted; those of k bytes are their beginnings.
+    """
     import pyarrow as pa
 
-    for b in pieces(batches):
-        langs = np.array(b.column(0).to_pylist(), object)
-        texts = b.column(1).to_pylist()
-        out = []
-        for lang in sorted(set(langs.tolist())):
-            u = np.frombuffer(b"\0".join([b"", *(t.encode() for t, g in zip(texts, langs, strict=True) if g == lang), b""]), np.uint8).astype(np.int64)
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def told():
+        for lang, (values, counts) in known.items():
             for k in range(1, order + 2):
-                code, clean = np.zeros(len(u) - k + 1, np.int64), np.ones(len(u) - k + 1, bool)
+                code, clean = values >> 8 * (order + 1 - k), np.ones(len(values), bool)
                 for j in range(k):
-                    part = u[j : j + len(code)]
-                    code = code * 256 + part
-                    clean &= part > 0
-                values, counts = np.unique(code[clean], return_counts=True)
-                out.append((lang, k, values, counts))
-        rows = [[g] * len(v) for g, _, v, _ in out]
-        yield pa.record_batch(
-            [pa.array([x for r in rows for x in r], pa.string()), pa.array(np.concatenate([np.full(len(v), k) for _, k, v, _ in out])), pa.array(np.concatenate([v for *_, v, _ in out])), pa.array(np.concatenate([c for *_, c in out]).astype(np.int64))], names=["lang", "k", "code", "n"]
-        )
+                    clean &= code >> 8 * j & 255 > 0
+                code, n = _added(code[clean], counts[clean])
+                yield pa.record_batch([pa.repeat(pa.scalar(lang), len(code)), pa.array(np.full(len(code), k, np.int64)), pa.array(code), pa.array(n)], names=["lang", "k", "code", "n"])
+
+    for b in pieces(batches):
+        texts: dict[str, list[bytes]] = {}
+        for g, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+            texts.setdefault(g, []).append(t)
+        for g, own in texts.items():
+            new = _windows(own, order + 1)
+            values, counts = (np.concatenate(x) for x in zip(known[g], new, strict=True)) if g in known else new
+            by = np.argsort(values, kind="stable")
+            known[g] = _added(values[by], counts[by])
+        if sum(len(v) for v, _ in known.values()) > GRAMS_AT_ONCE:
+            yield from told()
+            known.clear()
+    yield from told()
 
 
 class PpmTree:
@@ -148,20 +179,16 @@ class PpmModel:
         return np.stack([t.code_lengths(buffer, starts, order, piece) for t in self.trees], 1)
 
 
-def _sample(labelled: DataFrame, p: PpmParams) -> DataFrame:
-    """About ``sample_docs`` usable rows a language: those whose hash is below the language's bound."""
-    usable = labelled.where("text is not null and text <> '' and lang is not null").withColumn("r", F.xxhash64("key", "text"))
-    share = F.lit(float(p.sample_docs)) / F.col("n_lang")
-    bounds = usable.groupBy("lang").agg(F.count("*").alias("n_lang")).select("lang", F.when(share < 1, (2.0**64 * share - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1)).alias("bound"))
-    return usable.join(F.broadcast(bounds), "lang").where("r <= bound").drop("bound")  # a row a language
+def _usable(labelled: DataFrame) -> DataFrame:
+    return labelled.where("text is not null and text <> '' and lang is not null")
 
 
 def fit_ppm(labelled: DataFrame, params: PpmParams = PpmParams()) -> PpmModel:
-    """``labelled``: key (long), text, lang. Fitted on about ``sample_docs`` texts a language."""
+    """``labelled``: key (long), text, lang. Fitted on all texts that have a language."""
     import pyarrow as pa
 
     p = params
-    grams = _sample(labelled, p).select("lang", "text").mapInArrow(lambda it: _count_grams(it, p.order), "lang string, k long, code long, n long")
+    grams = _usable(labelled).select("lang", "text").mapInArrow(lambda it: _count_grams(it, p.order), "lang string, k long, code long, n long")
 
     def fit(table: pa.Table) -> pa.Table:
         import zstandard
@@ -204,11 +231,14 @@ def _score(batches, model, order: int, field: str | None):
 
 
 def bits_bounds(labelled: DataFrame, model: PpmModel, params: PpmParams = PpmParams()) -> dict[str, float]:
-    """Bits a byte of each language's own texts in the sample: the quantile ``bits_quantile`` times ``bits_slack``."""
+    """Bits a byte of each language's own labelled texts: the quantile ``bits_quantile`` times ``bits_slack``.
+
+    Bits a byte are taken to a thousandth, so that a language has some ten thousand different ones however many texts it has.
+    """
     p = params
-    rows = _sample(labelled, p).select(F.col("key").alias("doc_id"), F.struct("text", "lang", F.octet_length("text").alias("size")).alias("row"))
+    rows = _usable(labelled).select(F.col("key").alias("doc_id"), F.struct("text", "lang", F.octet_length("text").alias("size")).alias("row"))
     own = identify(rows, model, p, passed="row").where("lang_pred = row.lang and row.size >= 100")
-    found = own.groupBy("lang_pred").agg(F.percentile("bits_per_byte", F.lit(p.bits_quantile)).alias("q")).collect()
+    found = own.groupBy("lang_pred").agg(F.percentile(F.round("bits_per_byte", 3), F.lit(p.bits_quantile)).alias("q")).collect()
     return {r.lang_pred: r.q * p.bits_slack for r in found}
 
 

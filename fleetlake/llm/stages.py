@@ -27,7 +27,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that is known; ``lang`` becomes the one found.
 
-    A text must be coded in no more bits a byte than its language's own sampled
+    A text must be coded in no more bits a byte than its language's own labelled
     texts take (``language_id.bits_bounds``): one that no language codes well is in
     none of them. Null texts and texts without a letter go. Repeated rows, and rows
     without a doc_id, are judged by their texts alike; of equally short codes the

@@ -270,6 +270,26 @@ def test_code_lengths_equal_plain_ppm(spark, order):
     assert [r.lang_pred for r in single.orderBy("doc_id").collect()] == ["und", "und", "y"]
 
 
+def test_trees_and_bounds_come_from_all_labelled_texts(spark, monkeypatch):
+    """Before, both came from a sample of about 1,500 texts a language."""
+    rng = np.random.default_rng(6)
+    texts = {g: ["".join(rng.choice(list(letters), 3)) for _ in range(1900)] + ["".join(rng.choice(list(letters), 120 + i)) for i in range(25)] for g, letters in (("x", "abcde "), ("y", "efghi "))}
+    rows = spark.createDataFrame([(i, t, g) for g, ts in texts.items() for i, t in enumerate(ts)], "key long, text string, lang string")
+    asked = [b"abba cede", b"hi fee", b"zzz"]
+    buffer = np.frombuffer(b"".join(t + b"\0" for t in asked), np.uint8)
+    starts = np.cumsum([0, *(len(t) + 1 for t in asked)])[:-1]
+    for most in (language_id.GRAMS_AT_ONCE, 10):
+        monkeypatch.setattr(language_id, "GRAMS_AT_ONCE", most)
+        model = language_id.fit_ppm(rows)
+        want = [[plain_ppm_bits([t.encode() for t in texts[g]], text, 3) for g in model.languages] for text in asked]
+        assert np.allclose(model.code_lengths(buffer, starts, 3), want, rtol=1e-4)
+    bounds = language_id.bits_bounds(rows, model)
+    for g, ts in texts.items():
+        long = [t.encode() for t in ts if len(t) >= 100]
+        bits = model.code_lengths(np.frombuffer(b"".join(t + b"\0" for t in long), np.uint8), np.cumsum([0, *(len(t) + 1 for t in long)])[:-1], 3)[:, model.languages.index(g)]
+        assert abs(bounds[g] / 1.25 - np.quantile(bits / [len(t) for t in long], 0.95)) < 0.002
+
+
 def test_rare_languages_keep_their_contexts_and_many_languages_are_learned(spark):
     rng = np.random.default_rng(4)
     words = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
