@@ -30,6 +30,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of 4 MB, whatever their length, unless the session names a size itself.
+
+    Without it a batch has 10,000 rows, so that a worker's memory grows with the rows' lengths.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+
+
 class SaveConflict(Exception):
     """Another writer saved a version since the one that was read."""
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,35 @@ def test_softmax_of_arrays_and_a_chain_of_sources(spark):
     table = lambda *rows: spark.createDataFrame(rows, "node int, power_watts int")
     got = fleet.overlay_live(table((1, 10)), table((1, 11), (2, 12)), table((2, 13), (3, 14)))
     assert {(r.node, r.power_watts) for r in got.collect()} == {(1, 10), (2, 12), (3, 14)}
+
+
+def test_rows_go_to_python_in_batches_of_bounded_bytes(spark):
+    """Before, a batch had 10,000 rows of any length, and 4 million pieces or all ids of it were looked up at a time."""
+    from fleetlake import storage
+    from fleetlake.functions import bpe
+
+    assert bpe.PIECES_AT_ONCE <= 1 << 18
+    spark.conf.unset(storage.BATCH_BYTES)
+    words = bpe.Vocabulary({0: "a", 1: "\u0120a"}, {}, [("\u0120", "a")])
+    long = spark.range(0, 300, 1, 1).select("id", F.repeat(F.lit("a a "), 20_000).alias("text"))
+    bpe.bpe_decode(bpe.bpe_encode(long.select("id", F.rtrim("text").alias("text")), words), words)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    assert max(r.n for r in long.mapInArrow(sizes, "n long").collect()) < 8 << 20
+    spark.conf.set(storage.BATCH_BYTES, "1000000")
+    storage.bounded_batches(spark)
+    assert spark.conf.get(storage.BATCH_BYTES) == "1000000"
+    spark.conf.unset(storage.BATCH_BYTES)
+
+
+def test_spans_are_read_in_runs_of_bounded_bytes(monkeypatch):
+    from fleetlake.sources import shard_files
+
+    monkeypatch.setattr(shard_files, "READ_BYTES", 100)
+    lengths = [60, 60, -5, 0, 250, 10, 60]
+    b = pa.record_batch([pa.array(lengths, pa.int64())] * 6, names=list("abcdef"))
+    runs = [x.column(5).to_pylist() for x in shard_files._span_runs([b])]
+    assert [n for r in runs for n in r] == lengths and len(runs) > 2 and all(sum(r) - max(r) <= 100 for r in runs)
