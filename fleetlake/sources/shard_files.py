@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from fleetlake.operators.scans import running
 from fleetlake.sources.shards import HEADER, MAGIC, VERSION
-from fleetlake.storage import written
+from fleetlake.storage import bounded_batches, written
 
 FORMAT = "fleetlake_shards"
 #: What an item takes of a volume beside its bytes: about its entry in the table, so that a table is bounded too.
@@ -286,6 +286,7 @@ def write_shards(items: DataFrame, path: str, max_bytes: int = 64 << 20, node: i
     """
     spark = items.sparkSession
     spark.dataSource.register(ShardFiles)
+    bounded_batches(spark)
     rows = _item_rows(items)
     places = _places(rows, max_bytes)
     firsts = written(places.groupBy("grp", "volume").agg(F.min(F.struct("item", "h")).alias("f")).select("grp", "volume", "f.*"), "volumes")
@@ -303,11 +304,24 @@ def read_shards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("path", "grp", "volume", "reason")
 
 
+#: Bytes of spans that are read before they are handed on (one span at least).
+READ_BYTES = 4 << 20
+
+
+def _span_runs(batches):
+    """Batches of spans, cut into runs of about ``READ_BYTES`` that are to be read."""
+    for b in batches:
+        ends = np.cumsum(np.maximum(b.column(5).to_numpy(), 0))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // READ_BYTES)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            yield b.slice(i, j - i)
+
+
 def _span_batches(batches):
     import pyarrow as pa
 
     path, stream, length = None, None, 0
-    for b in batches:
+    for b in _span_runs(batches):
         content, reason = [], []
         for r in b.to_pylist():
             end = r["offset"] + r["length"]
