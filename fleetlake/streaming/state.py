@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType, TimestampType
@@ -35,11 +34,9 @@ def timed(rows: DataFrame) -> DataFrame:
     return rows.where("node is not null and ts is not null and seq is not null").withColumn("ts", ts).withColumn("us", F.unix_micros("ts"))
 
 
-def _in_order(parts: Iterator[pd.DataFrame], last: tuple | None) -> list[dict]:
+def _in_order(rows: Iterator[Row], last: tuple | None) -> list[Row]:
     """The rows of one key and trigger by (us, seq), without those that aren't newer than the last one of an earlier trigger."""
-    rows = pd.concat(list(parts)).astype(object)
-    rows = rows.where(rows.notna(), None).sort_values(["us", "seq"], kind="stable").to_dict("records")
-    return [r for r in rows if last is None or (r["us"], r["seq"]) > last]
+    return sorted((r for r in rows if last is None or (r.us, r.seq) > last), key=lambda r: (r.us, r.seq))
 
 
 class NodeState(StatefulProcessor):
@@ -51,11 +48,12 @@ class NodeState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", self.state)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         names = ["us", "seq", *self.fields]
-        before = dict(zip(names, self.last.get(), strict=True)) if self.last.exists() else None
+        kept = self.last.get()  # one call to the store; null if there is nothing yet
+        before = None if kept is None else dict(zip(names, kept, strict=True))
         told = []
-        reports = _in_order(rows, (before["us"], before["seq"]) if before else None)
+        reports = [r.asDict() for r in _in_order(rows, (before["us"], before["seq"]) if before else None)]
         for r in reports:
             status = self.status(r)
             if before is None:
@@ -71,11 +69,9 @@ class NodeState(StatefulProcessor):
             before = r
         if reports:
             self.last.update(tuple(before[c] for c in names))
-            told.append(("State", before["seq"], self.status(before)))
-        if told:
-            out = {"node": [key[0]] * len(told)} | {c: [t[i] for t in told] for i, c in enumerate(("kind", "seq", "detail"))}
-            out |= {c: [None] * (len(told) - 1) + [before[c]] for c in ("us", *self.fields)}
-            yield pd.DataFrame(out, dtype=object)
+            row, none = Row("node", "kind", "seq", "detail", "us", *self.fields), [None] * (len(self.fields) + 1)
+            yield from (row(key[0], *t, *none) for t in told)
+            yield row(key[0], "State", before["seq"], self.status(before), before["us"], *(before[c] for c in self.fields))
 
     @staticmethod
     def status(r: dict) -> str:
@@ -100,7 +96,7 @@ def stream_state(reports: DataFrame, fields: list[str], profile: list[str] | Non
     for f in kept:
         if f.name != "seq":
             out = out.add(f.name, f.dataType)
-    return rows.groupBy("node").transformWithStateInPandas(NodeState(fields, kept, profile or []), out, "Append", "None")
+    return rows.groupBy("node").transformWithState(NodeState(fields, kept, profile or []), out, "Append", "None")
 
 
 class KeyedTable:
@@ -182,7 +178,7 @@ class Failures(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("failures", "us long, seq long, streak long, failed_s long, change string")
+        self.kept = handle.getValueState("failures", "us long, seq long, streak long, failed_s long, change string, timer long")
 
     def _due(self, failed_s: int | None, change: str, until_us: int) -> Iterator[tuple]:
         """What happens by itself after a failure, before ``until_us``."""
@@ -191,46 +187,47 @@ class Failures(StatefulProcessor):
             if (failed_s + after) * 1_000_000 < until_us and (change not in past or past.index(name) > past.index(change)):
                 yield None, (failed_s + after) * 1_000_000, name
 
-    def _wait(self, failed_s: int | None, change: str) -> None:
-        """One timer at most: for the next step."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        ahead = list(self._due(failed_s, change, 2**63))
-        if ahead:
-            self.handle.registerTimer(ahead[0][1] // 1000 - 1)  # fires when the watermark is past it
-
-    def _frames(self, node, seen: list[tuple], changes: list[tuple]) -> Iterator[pd.DataFrame]:
-        told = [(node, seq, streak, offline, None, None) for seq, streak, offline in seen] + [(node, seq, None, None, at, change) for seq, at, change in changes]
-        if told:
-            yield pd.DataFrame(told, columns=["node", "seq", "streak", "offline", "at_us", "change"], dtype=object)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        us, seq, streak, failed, change = self.kept.get() if self.kept.exists() else (None, None, 0, None, "clear")
+    def _wait(self, failed_s: int | None, change: str, timer: int | None) -> int | None:
+        """One timer at most, for the next step, instead of ``timer``, which is told by the state and not by a list of timers."""
+        ahead = next(self._due(failed_s, change, 2**63), None)
+        wanted = None if ahead is None else ahead[1] // 1000 - 1  # fires when the watermark is past it
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        return wanted
+
+    def _rows(self, node, seen: list[tuple], changes: list[tuple]) -> Iterator[Row]:
+        row = Row("node", "seq", "streak", "offline", "at_us", "change")
+        yield from (row(node, seq, streak, offline, None, None) for seq, streak, offline in seen)
+        yield from (row(node, seq, None, None, at, change) for seq, at, change in changes)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        us, seq, streak, failed, change, timer = self.kept.get() or (None, None, 0, None, "clear", None)
         seen, changes = [], []
         for r in _in_order(rows, None if us is None else (us, seq)):
-            us, seq = r["us"], r["seq"]
+            us, seq = r.us, r.seq
             for step in self._due(failed, change, us):
                 changes.append(step)
                 change = step[2]
-            bad = r["verb"] == "failure"
+            bad = r.verb == "failure"
             streak, failed = (streak + 1, us // 1_000_000) if bad else (0, None)
             if change != ("cooling" if bad else "clear"):
                 change = "cooling" if bad else "clear"
                 changes.append((seq, us, change))
             seen.append((seq, streak, bad and streak >= self.limit))
         if seen:
-            self.kept.update((us, seq, streak, failed, change))
-            self._wait(failed, change)
-        yield from self._frames(key[0], seen, changes)
+            self.kept.update((us, seq, streak, failed, change, self._wait(failed, change, timer)))
+        yield from self._rows(key[0], seen, changes)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        us, seq, streak, failed, change = self.kept.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        us, seq, streak, failed, change, timer = self.kept.get()
+        timer = None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer  # Spark deletes the one that has expired
         changes = list(self._due(failed, change, timerValues.getCurrentWatermarkInMs() * 1000 + 1))
-        if changes:
-            change = changes[-1][2]
-            self.kept.update((us, seq, streak, failed, change))
-        self._wait(failed, change)
-        yield from self._frames(key[0], [], changes)
+        change = changes[-1][2] if changes else change
+        self.kept.update((us, seq, streak, failed, change, self._wait(failed, change, timer)))
+        yield from self._rows(key[0], [], changes)
 
     def close(self) -> None:
         pass
@@ -250,7 +247,7 @@ def stream_failures(reports: DataFrame, limit: int = LIMIT, cooldown_s: int = CO
     """
     rows = timed(reports).select("node", "ts", "us", "seq", "verb").withWatermark("ts", f"{delay_s} seconds")
     out = StructType([rows.schema["node"]]).add("seq", "long").add("streak", "long").add("offline", "boolean").add("at_us", "long").add("change", "string")
-    return rows.groupBy("node").transformWithStateInPandas(Failures(limit, cooldown_s, timeout_s), out, "Append", "eventTime")
+    return rows.groupBy("node").transformWithState(Failures(limit, cooldown_s, timeout_s), out, "Append", "eventTime")
 
 
 def failure_changes(reports: DataFrame, cooldown_s: int = COOLDOWN_S, timeout_s: int = TIMEOUT_S, delay_s: int = 0) -> DataFrame:

@@ -79,3 +79,49 @@ def test_cooldown_by_timers_equals_the_rule_at_each_time(spark, reports, one_cor
         got = {r.node: (r.c == "cooling", r.c == "timed_out") for r in then.collect()}
         assert {r.node: (r.cooling, r.timed_out) for r in rule.collect() if r.streak} == {n: got[n] for n in got if any(got[n]) or n in {r.node for r in rule.collect() if r.streak}}
     out.unpersist()
+
+
+class Store:
+    """A handle and a value state that count the calls, each of which is a turn over a socket."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, [], set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name == "get":
+                return self.value
+            if name == "exists":
+                return self.value is not None
+            if name == "update":
+                self.value = args[0]
+            if name == "listTimers":
+                return iter(sorted(self.timers))
+            if name in ("registerTimer", "deleteTimer"):
+                (self.timers.add if name == "registerTimer" else self.timers.remove)(args[0])
+
+        return call
+
+
+def test_a_key_and_trigger_takes_few_turns_to_the_store_and_no_frames():
+    """Before, rows came and went as a DataFrame a key, ``exists`` was a turn of its own and timers were listed."""
+    from pyspark.sql import Row
+
+    store, node = Store(), state.NodeState(["verb", "load_avg", "agent_version"], None, [])
+    node.init(store)
+    reports = [Row(node=1, us=us, seq=us, verb="heartbeat", load_avg=0.5, agent_version="v1") for us in (3, 1, 2)]
+    assert [(r.kind, r.seq) for r in node.handleInputRows((1,), iter(reports), None)] == [("Joined", 1), ("Updated", 2), ("Updated", 3), ("State", 3)]
+    assert list(node.handleInputRows((1,), iter(reports), None)) == [] and store.calls == ["get", "update", "get"]
+    store, failing = Store(), state.Failures(3, 10, 20)
+    failing.init(store)
+    report = lambda s, verb: Row(node=1, ts=None, us=s * 1_000_000, seq=s, verb=verb)
+    out = list(failing.handleInputRows((1,), iter([report(2, "failure"), report(1, "failure")]), None))
+    assert [(r.seq, r.streak) for r in out if r.change is None] == [(1, 1), (2, 2)] and store.timers == {11_999}
+    list(failing.handleInputRows((1,), iter([report(3, "failure")]), None))
+    assert store.timers == {12_999}
+    list(failing.handleInputRows((1,), iter([report(4, "heartbeat")]), None))
+    assert store.timers == set() and "listTimers" not in store.calls and "exists" not in store.calls
