@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlake.llm.common import drop_old_shuffles, materialize, mix, pieces, release, texts_of, word_hashes
+from fleetlake.storage import bounded_batches
 
 END = b"\0end"  # not a word: words hold what isn't white space, and none has this hash by design
 START = np.uint64(0x5E0F7C3A91D24B86)  # stands before each text in the hashes of sequences
@@ -120,6 +121,13 @@ def _blocks(batches, p: LmParams):
 BLOCKS = "block long, doc_ids array<long>, train array<boolean>, lengths array<long>, train_tokens long, train_docs long, words binary, tokens binary"
 
 
+def _one_by_one(batches):
+    """The rows of the batches as dicts, of which one is held at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 @dataclass
 class Level:
     """The distinct sequences of one length in a block: hashes, and the one that ends at each place (or -1)."""
@@ -146,11 +154,17 @@ class Block:
             low = self.levels[-1]
             before = np.concatenate([np.array([-1], np.int32), low.place[:-1]])
             at = np.flatnonzero((before >= 0) & (self.w > 0))
-            codes, inverse = np.unique(before[at].astype(np.int64) * len(hashes) + self.w[at], return_inverse=True)
-            context, word = codes // len(hashes), codes % len(hashes)
-            place, suffix = np.full(len(self.w), -1, np.int32), np.empty(len(codes), np.int32)
-            place[at] = inverse
-            suffix[inverse] = low.place[at]
+            codes = before[at].astype(np.int64) * len(hashes) + self.w[at]
+            by_code = np.argsort(codes).astype(np.int32)
+            codes, at = codes[by_code], at.astype(np.int32)[by_code]
+            del before, by_code
+            new = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
+            codes, suffix = codes[new], low.place[at[new]]
+            place = np.full(len(self.w), -1, np.int32)
+            place[at] = np.cumsum(new, dtype=np.int32) - 1
+            del at, new
+            context, word = (codes // len(hashes)).astype(np.int32), (codes % len(hashes)).astype(np.int32)
+            del codes
             self.levels.append(Level(mix(low.hashes[context] * np.uint64(0x9E3779B97F4A7C15) + hashes[word]), place, context, suffix))
 
     def counts(self, n: int) -> np.ndarray:
@@ -163,7 +177,7 @@ class Block:
 def _keys(levels: list[Level]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all sequences of the levels in rising order, and that order. Without sequences both are empty."""
     keys = np.concatenate([x.hashes for x in levels]) if levels else np.empty(0, np.uint64)
-    order = np.argsort(keys)
+    order = np.argsort(keys).astype(np.int32)
     return keys[order], order
 
 
@@ -181,19 +195,38 @@ def _runs(parts: list[np.ndarray], buckets: int):
         yield bucket, [slice(int(a[i]), int(z[i])) for a, z in zip(low, high, strict=True)]
 
 
-def _deal_counts(batches, order: int, buckets: int):
-    """Rows of (bucket, block, words, word_counts, keys, counts)."""
+def _counted(row: dict, order: int):
+    """Of a block's words and of its sequences: rising keys and their counts. The block itself isn't kept."""
+    block = Block(row, order)
+    ones = block.counts(0)
+    ones[0] = 0  # a start isn't a word
+    counts = np.concatenate([np.empty(0, np.uint32), *(block.counts(n) for n in range(1, order))])
+    for level in block.levels:
+        level.place = level.context = level.suffix = None
+    (wk, wo), (sk, so) = _keys(block.levels[:1]), _keys(block.levels[1:])
+    return wk, ones[wo], sk, counts[so]
+
+
+def _deal_counts(batches, order: int, buckets: int, most_bytes: int = 1 << 20):
+    """Rows of (bucket, block, words, word_counts, keys, counts), in batches of about ``most_bytes``."""
     import pyarrow as pa
 
-    for b in batches:
-        for row in b.to_pylist():
-            block = Block(row, order)
-            (wk, wo), (sk, so) = _keys(block.levels[:1]), _keys(block.levels[1:])
-            ones = block.counts(0)
-            ones[0] = 0  # a start isn't a word
-            wv, sv = ones[wo], np.concatenate([np.empty(0, np.uint32), *(block.counts(n) for n in range(1, order))])[so]
-            out = [(i, row["block"], _pack_keys(wk[w]), _pack(wv[w]), _pack_keys(sk[s]), _pack(sv[s])) for i, (w, s) in _runs([wk, sk], buckets)]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 2 + [pa.binary()] * 4, strict=True)], names=["bucket", "block", "words", "word_counts", "keys", "counts"])
+    def batch(rows):
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64()] * 2 + [pa.binary()] * 4, strict=True)], names=["bucket", "block", "words", "word_counts", "keys", "counts"])
+
+    for row in _one_by_one(batches):
+        name, rows, size = row["block"], [], 0
+        wk, wv, sk, sv = _counted(row, order)
+        del row
+        for i, (w, s) in _runs([wk, sk], buckets):
+            rows.append((i, name, _pack_keys(wk[w]), _pack(wv[w]), _pack_keys(sk[s]), _pack(sv[s])))
+            size += sum(map(len, rows[-1][2:]))
+            if size >= most_bytes:
+                yield batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield batch(rows)
+        del wk, wv, sk, sv, rows
 
 
 COUNTS = "bucket long, block long, words binary, word_counts binary, keys binary, counts binary"
@@ -235,6 +268,14 @@ def _add_counts(table, least: int):
     return pa.table({"bucket": table["bucket"], "block": table["block"], "n_seen": pa.array([seen] + [0] * (n - 1), pa.int64()), "word_totals": pa.array([_pack(x) for x in words], pa.binary()), "totals": pa.array([_pack(x) for x in _split(told, sizes)], pa.binary())})
 
 
+def _answers(levels: list[Level], told, column: str) -> np.ndarray:
+    """What the buckets told of each sequence of the levels."""
+    order = _keys(levels)[1]
+    out = np.empty(len(order), np.int64)
+    out[order] = _joined(told, column, np.int64)
+    return out
+
+
 def _joined(table, column: str, kind) -> np.ndarray:
     """What the buckets told a block, in the order of its keys. ``table`` is sorted by bucket."""
     return np.concatenate([np.empty(0, kind), *(_open(x, kind) for x in table[column].to_pylist())])
@@ -252,15 +293,17 @@ def _walk(row: dict, told, p: LmParams, starts: int, buckets: int):
     told = told.sort_by("bucket")
     block, order = Block(row, p.order), p.order
     n_seen = int(sum(told["n_seen"].to_pylist()))
-    total = np.empty(len(block.levels[0].hashes), np.int64)
-    total[_keys(block.levels[:1])[1]] = _joined(told, "word_totals", np.int64)
+    total = _answers(block.levels[:1], told, "word_totals")
     total[0] = starts
-    answers = np.empty(sum(len(x.hashes) for x in block.levels[1:]), np.int64)
-    answers[_keys(block.levels[1:])[1]] = _joined(told, "totals", np.int64)
+    answers = _answers(block.levels[1:], told, "totals")
+    del told
+    if order > 1:
+        block.levels[-1].hashes = None  # no contexts of anything
     counts, mine = [total], [np.zeros(len(total), bool)]
-    for part in _split(answers, [len(x.hashes) for x in block.levels[1:]]) if order > 1 else []:
+    for part in _split(answers, [len(x.context) for x in block.levels[1:]]) if order > 1 else []:
         counts.append(part >> 1)
         mine.append(part & 1 > 0)
+    part = answers = None
 
     words = block.w > 0
     cost = np.zeros(len(block.w))
@@ -268,7 +311,7 @@ def _walk(row: dict, told, p: LmParams, starts: int, buckets: int):
     sums, asked = [], []
     for n in range(order - 1, 0, -1):
         level, low = block.levels[n], counts[n - 1]
-        kept = (level.place >= 0) & (counts[n][level.place] > 0) if len(level.hashes) else np.zeros(len(words), bool)
+        kept = (level.place >= 0) & (counts[n] > 0)[level.place] if len(level.context) else np.zeros(len(words), bool)
         hit = np.flatnonzero(open_ & kept)
         at = level.place[hit]
         cost[hit] = np.log10((counts[n][at] - p.discount) / low[level.context[at]]) if len(hit) else 0
@@ -276,8 +319,9 @@ def _walk(row: dict, told, p: LmParams, starts: int, buckets: int):
         before = np.concatenate([np.array([-1], np.int32), block.levels[n - 1].place[:-1]])
         least = p.least_count if n == 1 else 1  # totals of sequences below the least count aren't told
         failed = np.flatnonzero(open_ & (before >= 0))
-        failed = failed[(low[before[failed]] >= least) | ((before[failed] == 0) & (n == 1))]
+        failed = failed[(low[before[failed]] >= least) | ((before[failed] == 0) & (n == 1))].astype(np.int32)
         asked.append((failed, before[failed]))
+        del kept, hit, at
         # Arcs that this block answers for, by context.
         arcs = np.flatnonzero(mine[n])
         context, suffix = level.context[arcs], level.suffix[arcs]
@@ -289,6 +333,8 @@ def _walk(row: dict, told, p: LmParams, starts: int, buckets: int):
         s["below"] = np.bincount(context, weights=lower, minlength=len(low))
         s["asked"][before[failed]] = 1
         sums.append(s)
+        level.place = level.context = level.suffix = counts[n] = mine[n] = None  # shorter ones don't need it
+        del arcs, context, suffix, lower, before
     sums.reverse()
     asked.reverse()
     base = np.log10(total + 0.1)[block.w]
@@ -305,6 +351,7 @@ def _walk(row: dict, told, p: LmParams, starts: int, buckets: int):
         return keys[used], s[used], rank
 
     (wk, ws, wrank), (sk, ss, srank) = dealt(block.levels[: order > 1], sums[:1]), dealt(block.levels[1 : order - 1], sums[1:])
+    del sums
     rows = [(i, row["block"], _pack_keys(wk[w]), _pack(ws[w]), _pack_keys(sk[s]), _pack(ss[s])) for i, (w, s) in _runs([wk, sk], buckets)] if len(wk) + len(sk) else []
     doc = np.repeat(np.arange(len(block.lengths)), block.lengths + 1)
 
@@ -374,6 +421,7 @@ def score_texts(docs: DataFrame, params: LmParams = LmParams(), id_col: str = "d
     """
     p = params
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"))
     blocks = materialize(rows.mapInArrow(lambda it: _blocks(it, p), BLOCKS), "blocks")
     size = blocks.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("train_docs"), F.lit(0)).alias("d"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("all")).first()
