@@ -311,13 +311,15 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     full = materialize(base.mapInArrow(lambda it: _digest_batches(it, k, below), "doc_id long, n long, d1 long, d2 long, toks array<long>"), "digests")
-    rows = full.select("doc_id", "n", "d1", "d2")
+    rows = materialize(full.select("doc_id", "n", "d1", "d2"), "rows")
     known = rows.where("n > 0 and doc_id is not null")
     reps = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     heads = reps.select(F.col("rep").alias("doc_id"))
     few = reps.count() <= p.broadcast_rows
     heads = F.broadcast(heads) if few else heads
     vertices = materialize(full.where("n > 0").join(heads, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "toks"), "vertices")
+    release(full)
+    drop_old_shuffles(spark)
 
     often = vertices.select(F.explode("toks").alias("t")).where(F.col("t") < below).groupBy("t").agg(F.count("*").alias("df")).where(F.col("df") > p.frequent_above).select("t")
     often = materialize(often, "frequent")
@@ -329,7 +331,9 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
         carried = vertices.select("id", F.explode("toks").alias("t")).join(often, "t").groupBy("id").agg(F.collect_set("t").alias("own"))
         source = vertices.join(carried, "id", "left").select("id", "n", "toks", "own")
     schema = "sig long, id long, n long, plain boolean"
+    drop_old_shuffles(spark)
     rare = materialize(source.mapInArrow(lambda it: _sign_batches(it, p.percent, table), schema), "signatures")
+    release(vertices)
     short_of_rare = rare.where("sig = 0").select("id")
     few = short_of_rare.count() <= p.broadcast_rows
     whole = base.where("text is not null").join(F.broadcast(short_of_rare) if few else short_of_rare, base.doc_id == short_of_rare.id, "left_semi")
@@ -338,7 +342,7 @@ def jaccard_components(docs: DataFrame, params: JoinParams = JoinParams(), id_co
 
     buckets = sigs.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("pivot")).where("c > 1")
     members = materialize(sigs.join(buckets, "sig").select("sig", "id", "n", "plain", "c", F.col("pivot.id").alias("p"), F.col("pivot.n").alias("pn")), "members")
-    release(vertices, rare, combined)
+    release(rare, combined)
     drop_old_shuffles(spark)
     large = members.where(F.col("c") > p.small_bucket)
     # Large buckets and those of combinations: members meet pivots first, so that groups of near copies become one component.
