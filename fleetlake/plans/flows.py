@@ -265,7 +265,8 @@ def _(spark, d):
 def _(spark, d):
     x = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("sequence"), F.col("label").alias("token_pos"), F.lit(0).alias("layer_start"), F.lit(9).alias("layer_end"), F.col("embedding").alias("x"))
     sent = frames.encode_frames(x).select("id", F.when(F.col("id") % 5 == 0, F.expr("substring(frame, 1, length(frame) - 8)")).otherwise(F.col("frame")).alias("frame"))
-    good, bad = frames.decode_frames(sent)
+    # Written as they were sent, so that they are made once and a task has one Python process at a time.
+    good, bad = frames.decode_frames(storage.written(sent, "frames"))
     shown = good.select("id", "token_pos", F.round(F.element_at("x", -1).cast("double"), 6).alias("last"), F.lit("ok").alias("reason"))
     return shown.unionByName(bad, allowMissingColumns=True)
 
